@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tellur.llm.simhash import op1_simhash
+from tellur.llm import htmltext, mixing, simhash, tokens, topk, warc
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_topk": topk.op2_topk,
+    "op3_tokens": tokens.op3_tokens,
+    "op4_html": htmltext.op4_html,
+    "op5_warc": warc.op5_warc,
+    "op6_mix": mixing.op6_mix,
+}
+ORACLES = {"op2_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op6_mix": mixing.ORACLE}
