@@ -29,8 +29,8 @@ def targets(sources: DataFrame, share: float = 1.5, epochs: float = 2.0, weights
     budget = F.sum("source_size").over(everything) * F.lit(float(share))
     level = F.greatest(F.lit(0.0), budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     s = s.withColumn("level", level)
-    # The level at the first source that isn't capped is the final one; with a budget beyond all caps there is none.
-    final = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    # Levels rise while sources stop at their caps and fall from the first that doesn't: its level is final. With a budget beyond all caps there is none.
+    final = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
     return s.select("source", "source_size", F.coalesce(F.least(F.col("cap"), final * F.col("weight")), F.col("cap")).alias("target"))
 
 
@@ -74,7 +74,7 @@ l AS (
   SELECT *, greatest(0.0::DOUBLE, 1.5::DOUBLE * (SELECT sum(source_size)::DOUBLE FROM s)
       - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, coalesce(least(cap, (SELECT min(level) FROM l WHERE level * weight <= cap) * weight), cap) AS target FROM l),
+t AS (SELECT source, source_size, coalesce(least(cap, (SELECT max(level) FROM l WHERE level * weight <= cap) * weight), cap) AS target FROM l),
 b AS (SELECT source, bucket, sum(size)::BIGINT AS lot FROM d GROUP BY 1, 2),
 c AS (
   SELECT b.source, b.bucket, t.source_size, t.target,
