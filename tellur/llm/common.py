@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,28 +55,87 @@ _POWERS = np.cumprod(np.full(64, _ODD, np.uint64))
 _CODES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def byte_blocks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as UTF-8 in runs of about `most` bytes, each with the position of its first text. None counts as empty."""
-    start, run, n = 0, [], 0
-    for i, t in enumerate(texts):
-        run.append(b := (t or "").encode("utf-8", "replace"))
-        n += len(b)
+def runs(texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[list[str]]:
+    """The texts in order, in runs of about `most` characters. None counts as empty."""
+    run, n = [], 0
+    for t in texts:
+        run.append(t or "")
+        n += len(run[-1])
         if n >= most:
-            yield start, run
-            start, run, n = i + 1, [], 0
+            yield run
+            run, n = [], 0
     if run:
-        yield start, run
+        yield run
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of some texts, in order, and where each text's words begin (one more at the end)."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y): about `most` labelled training rows at most, chosen by a hash of the id among rows that aren't held out.
+
+    Labels other than 0 and 1 are left out; of several labels of a document the greatest counts. The chosen ids are
+    bounded by `most`, so they are broadcast and no text is shuffled to find them.
+    """
+    y = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y")).where(~held_out(F.col("id")))
+    if (n := y.count()) > most:
+        y = y.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(y), "id")
+
+
+def fit(rows: DataFrame, train) -> object:
+    """What `train` makes of the bounded training rows (a pandas frame with id, text, y, sorted), in one task."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [*frames]
+        if held and sum(map(len, held)):
+            frame = pd.concat(held).sort_values(["id", "text"], ignore_index=True)
+            frame = frame.iloc[np.argsort(mix(frame.id.to_numpy(np.int64).view(np.uint64)), kind="stable")].reset_index(drop=True)
+            yield pd.DataFrame({"model": [pickle.dumps(train(frame))]})
+
+    found = rows.repartition(1).mapInPandas(work, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
+
+
+def scored(docs: DataFrame, model: object, score, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row by `score(model, texts)`; without a model every score is 0.5."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [score(sent.value, run) if sent.value is not None else np.full(len(run), 0.5) for run in runs(x.as_py() for x in b.column(1))]
+            s = np.concatenate(done) if done else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string"), held_out(F.col(id_col)).alias("held_out"))
+    return rows.mapInArrow(work, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, model: object, score, threshold: float, high: bool, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose score is at least the threshold (`high`) or under it."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [score(sent.value, run) for run in runs(x.as_py() for x in b.column(at))]
+            s = np.concatenate(done) if done else np.empty(0)
+            yield b.filter(pa.array((s >= threshold) == high, pa.bool_()))
+
+    return docs if model is None else docs.mapInArrow(work, docs.schema)
+
+
+def word_hashes(texts: list[str | None], stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the lower-cased words of some texts, in order, and where each text's words begin (one more at the end).
+
+    For each of `stems`, the hashes of the words' first so many bytes follow. A word is a run of ASCII letters, digits
+    and characters beyond ASCII.
+    """
     raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
     ends = np.cumsum([len(b) + 1 for b in raw])
     buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     inside = _WORD_BYTE[buf]
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.empty(0, np.uint64)
+        return none, np.zeros(len(texts) + 1, np.int64), *(none for _ in stems)
     new = np.empty(len(at), bool)
     new[0] = True
     np.not_equal(at[1:], at[:-1] + 1, out=new[1:])
@@ -81,5 +143,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(np.append(first, len(at)))
     place = (np.arange(len(at)) - np.repeat(first, length)) & 63
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(_CODES[buf[at]] * _POWERS[place], first)
-    return mix(h), np.concatenate([[0], np.searchsorted(at[first], ends)])
+        codes = _CODES[buf[at]] * _POWERS[place]
+        h = np.add.reduceat(codes, first)
+        cut = [mix(np.add.reduceat(np.where(place < n, codes, np.uint64(0)), first) + np.uint64(n)) for n in stems]
+    return mix(h), np.concatenate([[0], np.searchsorted(at[first], ends)]), *cut
