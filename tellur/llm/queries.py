@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tellur.llm import htmltext, mixing, simhash, tokens, topk, warc
+from tellur.llm import htmltext, mixing, quality, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,5 +11,7 @@ QUERIES = {
     "op4_html": htmltext.op4_html,
     "op5_warc": warc.op5_warc,
     "op6_mix": mixing.op6_mix,
+    "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLES = {"op2_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op6_mix": mixing.ORACLE}
