@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tellur.llm import htmltext, mixing, quality, simhash, tokens, topk, toxicity, warc
+from tellur.llm import decontaminate, htmltext, licenses, mixing, quality, simhash, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,5 +13,7 @@ QUERIES = {
     "op6_mix": mixing.op6_mix,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_licenses": licenses.op9_licenses,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES = {"op2_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op6_mix": mixing.ORACLE}
+ORACLES = {"op2_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op9_licenses": licenses.ORACLE}
