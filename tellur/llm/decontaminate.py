@@ -24,7 +24,7 @@ from tellur.llm.common import durable, read, runs, word_hashes
 STEP, PASSAGE = 8, 32
 RANK = 48
 #: Least cosine of a candidate, least shares of the item's words in the common subsequence, and of its answer's.
-COSINE, LCS, ANSWER = 0.6, 0.7, 0.5
+COSINE, LCS, ANSWER = 0.45, 0.7, 0.5
 #: Bytes of benchmark text that one search holds; a larger benchmark is searched in parts.
 MOST_BYTES = 16_000_000
 
@@ -240,6 +240,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
     return out
 
 
+def untouched(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no benchmark item; a row with a null id stays."""
+    found = durable(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leak_id")).distinct())
+    return docs.join(found, docs.doc_id == found.leak_id, "left_anti")
+
+
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     """doc_id, item_id, cosine, lcs of all `documents` against `benchmark`."""
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

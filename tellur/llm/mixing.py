@@ -59,6 +59,16 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple
     return out.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "source")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, all columns, that the mix takes words of, with `size`, `target` and `taken` beside them.
+
+    Columns of `docs` with these names are kept under a leading underscore.
+    """
+    docs = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("size", "source_size", "target", "taken")})
+    took = mix(docs.select("doc_id", "text", "source"), **options).select(F.col("doc_id").alias("mix_id"), "size", "source_size", "target", "taken").dropDuplicates(["mix_id"])
+    return docs.join(took, docs.doc_id.eqNullSafe(F.col("mix_id"))).drop("mix_id").where("taken > 0")
+
+
 def op6_mix(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of all `documents`."""
     return mix(read(spark, sf_dir, "documents")).drop("source")

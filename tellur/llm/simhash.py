@@ -94,15 +94,50 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return child, parent[child]
 
 
-def links(distinct: DataFrame, radius: int, bits: int = 64) -> DataFrame:
-    """Edges (u, v) between the ids of a table (node, f0, f1, ...) of distinct fingerprints that span what links at `radius` bits."""
+def nearest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a its nearest row of b within `radius` bits, and the reverse, as positions (in a, then b): b is None for a with itself."""
+    same = b is None
+    b = a if same else b
+    ends = len(a), len(b)
+    best = [np.full(n, radius + 1, np.int16) for n in ends]
+    to = [np.zeros(n, np.int64) for n in ends]
+    for i in range(0, len(a), 256):
+        x = a[i : i + 256]
+        for j in range(0, len(b), 2048):
+            y = b[j : j + 2048]
+            bits = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            for k in range(1, a.shape[1]):
+                bits += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
+            if same and i < j + 2048 and j < i + 256:
+                r = np.arange(max(i, j), min(i + len(x), j + len(y)))
+                bits[r - i, r - j] = 255
+            if bits.min() > radius:
+                continue
+            for side, (lo, at, axis) in enumerate(((i, bits, 1), (j, bits.T, 1))):
+                least = at.min(axis=axis)
+                rows = np.flatnonzero(least < best[side][lo : lo + len(at)])
+                best[side][rows + lo] = least[rows]
+                to[side][rows + lo] = at[rows].argmin(axis=1) + (j if side == 0 else i)
+    u, v = (np.flatnonzero(x <= radius) for x in best)
+    off = 0 if same else len(a)
+    return (u, to[0][u]) if same else (np.concatenate([u, v + off]), np.concatenate([to[0][u] + off, to[1][v]]))
+
+
+def links(distinct: DataFrame, radius: int, bits: int = 64, pick=forest, lots: int = CHUNKS) -> DataFrame:
+    """Edges (u, v) between the ids of a table (node, f0, f1, ...) of distinct fingerprints, by `pick` for each two chunks.
+
+    With `forest`, they span what links at `radius` bits. A chunk holds fingerprints whose population counts lie in one
+    band, a third of the radius wide.
+    """
     k = bits // 64
     words = [f"f{i}" for i in range(k)]
-    weight = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0])).cast("int")
-    distinct = distinct.withColumn("p", weight)
-    found = {r.p: r["count"] for r in distinct.groupBy("p").count().collect()}  # one row for each population count: bits + 1 at most
-    held = min(CHUNK_MOST, max(CHUNK_LEAST, math.ceil(sum(found.values()) / CHUNKS)))
-    parts = [math.ceil(found.get(p, 0) / held) for p in range(bits + 1)]
+    band = max(1, radius // 3)
+    reach, n_bands = (radius + band - 1) // band, bits // band + 1
+    weight = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+    distinct = distinct.withColumn("p", F.floor(weight / band).cast("int"))
+    found = {r.p: r["count"] for r in distinct.groupBy("p").count().collect()}  # one row for each band: bits + 1 at most
+    held = min(CHUNK_MOST, max(CHUNK_LEAST, math.ceil(sum(found.values()) / lots)))
+    parts = [math.ceil(found.get(p, 0) / held) for p in range(n_bands)]
     chunks = (
         distinct.withColumn("c", F.pmod(F.xxhash64(*words), F.element_at(F.array(*(F.lit(max(1, x)) for x in parts)), F.col("p") + 1)).cast("int"))
         .groupBy("p", "c")
@@ -113,8 +148,8 @@ def links(distinct: DataFrame, radius: int, bits: int = 64) -> DataFrame:
         for frame in frames:
             for p, c, rows in zip(frame.p, frame.c, frame.rows, strict=True):
                 packed = np.array([[r[x] for x in ("node", *words)] for r in rows], np.int64).tobytes()
-                ahead = [(p, c, q, d) for q in range(p, min(bits, p + radius) + 1) for d in range(c if q == p else 0, parts[q])]
-                behind = [(q, d, p, c) for q in range(max(0, p - radius), p + 1) for d in range(c if q == p else parts[q])]
+                ahead = [(p, c, q, d) for q in range(p, min(n_bands - 1, p + reach) + 1) for d in range(c if q == p else 0, parts[q])]
+                behind = [(q, d, p, c) for q in range(max(0, p - reach), p + 1) for d in range(c if q == p else parts[q])]
                 keys = [(*x, 0) for x in ahead] + [(*x, 1) for x in behind]
                 for i in range(0, len(keys), 16):
                     out = pd.DataFrame(keys[i : i + 16], columns=["p", "c", "q", "d", "side"])
@@ -124,7 +159,7 @@ def links(distinct: DataFrame, radius: int, bits: int = 64) -> DataFrame:
         sides = [np.frombuffer(x, np.int64).reshape(-1, k + 1) for x in group.sort_values("side").packed]
         ids = np.concatenate([x[:, 0] for x in sides])
         f = [np.ascontiguousarray(x[:, 1:]).view(np.uint64) for x in sides]
-        child, root = forest(f[0], f[1] if len(f) > 1 else None, radius)
+        child, root = pick(f[0], f[1] if len(f) > 1 else None, radius)
         return pd.DataFrame({"u": ids[child], "v": ids[root]})
 
     sent = chunks.mapInPandas(send, "p int, c int, q int, d int, side int, packed binary")
@@ -151,6 +186,61 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, bits: int = 64
     return rows.join(classes, words).select("id", *words, "component")
 
 
+def shingle_set(text: str | None, n: int) -> bytes:
+    """The distinct shingles' hashes, 32 bits each, sorted."""
+    h = np.fromiter((xxhash.xxh32_intdigest(x) for x in shingles(text, n)), np.uint32)
+    return np.unique(h).tobytes()
+
+
+def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): groups of rows whose n-word shingles have a Jaccard similarity of `least` or more, link by link.
+
+    Candidates are fingerprints within `radius` bits: of each two chunks, every fingerprint's nearest in the other, so a
+    group of many near copies makes a few pairs for each of its texts and not all pairs. Each candidate pair is then held
+    to the exact similarity of its shingles. Texts with one fingerprint are one text here. Nulls, empty texts, repeated
+    rows, ties and other columns as in `near_duplicates`; texts without words are copies of each other.
+    """
+    words = [f"f{i}" for i in range(bits // 64)]
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = durable(fingerprints(texts, n, bits, "id", "text").withColumn("node", F.xxhash64(*words)))
+    reps = durable(rows.groupBy("node", *words).agg(F.min("id").alias("least")))
+    pairs = links(reps.select("node", *words), radius, bits, nearest, 16).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = durable(pairs.where("u <> v").distinct())
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = durable(asked.join(reps.select("node", "least"), "node").where("least IS NOT NULL"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), n) for x in b.column(1)], pa.binary())], names=["node", "s"])
+
+    held = texts.join(asked.withColumnRenamed("least", "id"), "id").select("node", "text").mapInArrow(sets, "node bigint, s binary")
+    held = durable(held.dropDuplicates(["node"]))
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(p, q, assume_unique=True)) if least * max(len(p), len(q)) <= min(len(p), len(q)) else 0
+                ok.append(both >= least * (len(p) + len(q) - both) - 1e-9)
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    joined = pairs.join(held.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    labels = components(joined.select("u", "v", "a", "b").mapInArrow(same, "u bigint, v bigint"))
+    named = durable(reps.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root")))
+    roots = durable(named.groupBy("root").agg(F.min("least").alias("component")))
+    classes = durable(named.join(roots, "root").select("node", "component"))
+    return rows.select("id", "node").join(classes, "node").select("id", "component")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of `docs`, all columns, with the smallest id of each group of near copies; repeated rows of an id stay once."""
+    keep = near_copies(docs, n, least).where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept_id"))
+    keep = durable(keep.groupBy("kept_id").agg(F.count("*").alias("rows")))
+    once = docs.dropDuplicates(["doc_id"]) if keep.where("rows > 1").limit(1).count() else docs
+    return once.join(keep, once.doc_id.eqNullSafe(keep.kept_id), "left_semi")
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of all `documents`: 3-word shingles, 64 bits, radius 3."""
     out = near_duplicates(read(spark, sf_dir, "documents"))
