@@ -49,9 +49,9 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple
     goal = targets(lots.groupBy("source").agg(F.sum("lot").alias("source_size")), share, epochs, weights).withColumnRenamed("source", "of")
     lots = lots.join(goal, F.col("source").eqNullSafe(F.col("of")))
     order = Window.partitionBy("source").orderBy("bucket")  # 16 ** DIGITS rows of a source at most
-    whole = F.floor(F.col("target") / F.col("source_size"))
+    whole = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
     start = F.sum("lot").over(order) - F.col("lot")
-    part = F.when(F.col("source_size") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("target") - whole * F.col("source_size") - start) / F.col("lot"))))
+    part = F.when(F.col("source_size") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("target") - whole * F.col("source_size") - start) / F.nullif(F.col("lot"), F.lit(0)))))
     lots = lots.withColumns({"whole": F.coalesce(whole, F.lit(0)), "part": F.coalesce(part, F.lit(0.0))})
     lots = lots.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "source_size", "target", "whole", "part")
     out = rows.join(lots, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
