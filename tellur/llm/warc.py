@@ -44,7 +44,7 @@ def plan(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_col:
 
 
 def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 1_000) -> None:
-    """Writes planned records as WARC 1.1 files of at most `per_file` records under `path`, which must not exist."""
+    """Writes planned records as gzipped WARC 1.1 files of at most `per_file` records under `path`, which must not exist."""
 
     def name(page_id, digest):
         return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), digest, F.lit(">"))
@@ -70,7 +70,7 @@ def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per
         F.lit(END),
     )
     lines = records.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def pack_member(record: bytes) -> bytes:
@@ -89,6 +89,8 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         raise Bad("no version line")
     if (cut := data.find(b"\r\n\r\n", at)) < 0:
         raise Bad("no end of header")
+    if re.search(rb"WARC/1\.[01]\r\n", data[at + 10 : cut]):
+        raise Bad("a version line within the header")
     fields = {}
     for line in data[at:cut].split(b"\r\n")[1:]:
         key, sep, value = line.partition(b":")
@@ -120,37 +122,59 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[dict, int]:
-    d = zlib.decompressobj(31)
-    try:
-        plain = d.decompress(data[at:])
-    except zlib.error as e:
-        raise Bad(f"gzip: {e}") from None
-    if not d.eof:
-        raise Bad("gzip: cut off")
-    record, end = _record(plain, 0)
-    if end != len(plain):
-        raise Bad("more than one record in a member")
-    return record, len(data) - len(d.unused_data)
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What can be unpacked of the gzip member at a position, where it ends, and what is wrong with it, if anything."""
+    d, out = zlib.decompressobj(31), []
+    for i in range(at, len(data), 1 << 16):
+        try:
+            out.append(d.decompress(data[i : i + (1 << 16)]))
+        except zlib.error as e:
+            return b"".join(out), at, f"gzip: {e}"
+        if d.eof:
+            return b"".join(out), min(len(data), i + (1 << 16)) - len(d.unused_data), ""
+    return b"".join(out), at, "gzip: cut off"
 
 
 def salvage(data: bytes) -> Iterator[tuple[dict | None, tuple[int, int, str] | None]]:
-    """(record, None) for every valid record of an archive's bytes, plain or in gzip members, and (None, gap) for bytes between them."""
+    """(record, None) for every valid record of an archive's bytes, and (None, gap) for the bytes that are none.
+
+    A gzip member holds one record or many; a gap inside one is given as the member's place. Of a damaged member the
+    records before the damage are kept, and the search goes on behind its first bytes.
+    """
     at = gap = 0
     reason = ""
     while at < len(data):
-        try:
-            record, end = (_member if data[at : at + 2] == b"\x1f\x8b" else _record)(data, at)
-        except Bad as e:
-            reason = reason or str(e)
-            ahead = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(ahead, default=len(data))
-            continue
-        if at > gap:
+        inner, bad, packed = [], "", data[at : at + 2] == b"\x1f\x8b"
+        if packed:
+            plain, end, bad = _member(data, at)
+            if plain:
+                inner = [*salvage(plain)]
+            packed = any(r for r, _ in inner)
+            bad = bad or next((g[2] for _, g in inner if g), "") if packed else bad or "no record in a member"
+        else:
+            try:
+                record, end = _record(data, at)
+                inner = [(record, None)]
+            except Bad as e:
+                bad = str(e)
+        found = [r for r, _ in inner if r]
+        if found and at > gap:
             yield None, (gap, at, reason)
-        yield record, None
-        at = gap = end
-        reason = ""
+            gap = at
+        for r in found:
+            yield r, None
+        if not bad:
+            at = gap = end
+            reason = ""
+            continue
+        reason = reason or bad
+        if packed and end > at:  # whole, but with bad bytes inside
+            yield None, (at, end, bad)
+            at = gap = end
+            reason = ""
+            continue
+        ahead = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
+        at = min(ahead, default=len(data))
     if gap < len(data):
         yield None, (gap, len(data), reason)
 
