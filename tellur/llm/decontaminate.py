@@ -22,9 +22,10 @@ from tellur.llm.common import durable, read, runs, word_hashes
 
 #: Words in a step between windows, and in a passage of the TF-IDF matrix.
 STEP, PASSAGE = 8, 32
-RANK = 48
+#: Rank of the factorisation, and how many of its leading directions, those of language and common words, are left out.
+RANK, COMMON = 64, 16
 #: Least cosine of a candidate, least shares of the item's words in the common subsequence, and of its answer's.
-COSINE, LCS, ANSWER = 0.45, 0.7, 0.5
+COSINE, LCS, ANSWER = 0.5, 0.7, 0.5
 #: Bytes of benchmark text that one search holds; a larger benchmark is searched in parts.
 MOST_BYTES = 16_000_000
 
@@ -98,8 +99,8 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int, more: int) -> Iterato
         yield ids, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
-def idf(encoded: DataFrame, n_terms: int) -> np.ndarray:
-    """Log inverse passage frequency of each code, over all passages; the largest for code 0 and unseen terms."""
+def idf(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """Log inverse passage frequency of each code, over all passages, and how many there are; the largest for code 0 and unseen terms."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, passages = np.zeros(n_terms + 1, np.int64), 0
@@ -117,16 +118,18 @@ def idf(encoded: DataFrame, n_terms: int) -> np.ndarray:
     total = max(1.0, df[0])
     out = np.log((1 + total) / (1 + df))
     out[0] = math.log(1 + total)
-    return out
+    return np.maximum(out, 1e-3), int(df[0])
 
 
-def latent(encoded: DataFrame, weights: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
-    """(codes x rank) an orthonormal basis of the leading right singular vectors of the passages' TF-IDF matrix.
+def latent(encoded: DataFrame, items: Items, weights: np.ndarray, rank: int, common: int, seed: int = 11) -> np.ndarray:
+    """(codes x dimensions) right singular vectors of the TF-IDF matrix of all passages and items, without the `common` leading ones.
 
-    The range finder of Halko, Martinsson and Tropp with one power step: A'A times a random matrix, one sum for each
-    partition, added up by slices of terms on the executors. Cosines in the basis don't depend on its rotation.
+    The randomised range finder of Halko, Martinsson and Tropp with one power step: A'A times a random matrix, one sum
+    for each partition, added up by slices of terms on the executors. With no more terms than `rank` the space is whole.
     """
     n = len(weights)
+    if n <= rank:
+        return np.eye(n)
     probe = (np.random.default_rng(seed).normal(size=(n, rank)) * weights[:, None]).astype(np.float32)
     probe[0] = 0
     sent = encoded.sparkSession.sparkContext.broadcast(probe)
@@ -155,7 +158,9 @@ def latent(encoded: DataFrame, weights: np.ndarray, rank: int, seed: int = 11) -
     z = np.zeros((n, rank))
     for r in parts:
         z[r["at"] : r["at"] + slice_of] = np.frombuffer(r.z).reshape(-1, rank)
-    return np.linalg.qr(z * weights[:, None])[0]
+    for w in items.words:
+        np.add.at(z, w, probe[w].sum(axis=0))
+    return np.linalg.svd(z * weights[:, None], full_matrices=False)[0][:, common:]
 
 
 def search(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float, share: float, answer: float) -> DataFrame:
@@ -234,8 +239,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
         if not len(items.terms):
             continue
         encoded = durable(encode(docs, items, id_col, text_col))
-        weights = idf(encoded, len(items.terms))
-        found = search(encoded, items, weights, latent(encoded, weights, min(rank, len(weights))), cosine, share, answer)
+        weights, passages = idf(encoded, len(items.terms))
+        basis = latent(encoded, items, weights, rank, min(COMMON, rank // 4, passages // 256))
+        found = search(encoded, items, weights, basis, cosine, share, answer)
         out = found if parts == 1 else out.unionByName(found)
     return out
 
