@@ -9,6 +9,7 @@ characters outside a plain set, or with a special token's string, go to the libr
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,7 @@ CACHE = 500_000
 
 @lru_cache(maxsize=2)
 def _load(path: str, kind: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part; the library's threads would contend with them
     if kind == "sentencepiece":
         import sentencepiece
 
