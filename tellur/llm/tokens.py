@@ -104,10 +104,11 @@ class Counter:
 
     def _count(self, text: str) -> int:
         parts = self.find(text)
-        if missed := set(parts).difference(self.table, self.cache):
+        # One look-up for each pre-token: set.difference with two tables would walk the whole cache for every text.
+        if missed := {p for p in set(parts) if p not in self.table and p not in self.cache}:
             if len(self.cache) + len(missed) > CACHE:
                 self.cache = {}
-                missed = set(parts).difference(self.table)
+                missed = {p for p in set(parts) if p not in self.table}
             missed = list(missed)
             self.cache.update(zip(missed, whole_counts(self.path, missed), strict=True))
         both = [self.table.get(p) or self.cache[p] for p in parts]
