@@ -11,6 +11,7 @@ the links.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ from tellur.llm.graph import components
 
 #: Most and fewest fingerprints in a chunk. Between the two a chunk has 1/64 of all, so that copies of a chunk sent to its partners grow with the input.
 CHUNK_MOST, CHUNK_LEAST, CHUNKS = 65_536, 1_024, 64
+#: Hashes in a sketch of a text's shingles.
+SKETCH = 256
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -123,46 +126,105 @@ def nearest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarra
     return (u, to[0][u]) if same else (np.concatenate([u, v + off]), np.concatenate([to[0][u] + off, to[1][v]]))
 
 
-def links(distinct: DataFrame, radius: int, bits: int = 64, pick=forest, lots: int = CHUNKS) -> DataFrame:
+def sketch(text: str | None, n: int) -> tuple[int, bytes]:
+    """How many distinct shingles there are, and the smallest SKETCH of their 32-bit hashes, filled up by the greatest value."""
+    h = np.frombuffer(shingle_set(text, n), np.uint32)
+    out = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    out[: min(len(h), SKETCH)] = h[:SKETCH]
+    return len(h), out.tobytes()
+
+
+def apart(a: np.ndarray, b: np.ndarray | None, radius: int, roots: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within `radius` bits whose `roots` (of a, then b) differ and whose sketches allow a similarity of `least`.
+
+    Positions in a, then b; b is None for a with itself. Two sketches that hold all shingles give the similarity itself;
+    such pairs join their roots, and one pair for each join is enough. Otherwise the sketches estimate it from at least
+    SKETCH hashes of the union, and pairs down to four standard deviations under `least` are given.
+    """
+    same, off = b is None, 0 if b is None else len(a)
+    b = a if same else b
+    _, codes = np.unique(sketches, return_inverse=True)
+    codes = codes.reshape(sketches.shape)
+    ends = np.minimum(sizes, SKETCH)
+    whole = sizes <= SKETCH
+    codes[np.arange(SKETCH) >= ends[:, None]] = (none := int(codes.max(initial=0)) + 1)
+    last = np.where(whole, none - 1, codes[:, -1])
+    floor = least - 4 * np.sqrt(least * (1 - least) / SKETCH)
+    _, root = np.unique(roots, return_inverse=True)
+    held = np.zeros(none + 1, bool)
+    us, vs = [], []
+    for i in range(0, len(a), 64):
+        x = a[i : i + 64]
+        bits = sum(np.bitwise_count(x[:, None, k] ^ b[None, :, k]) for k in range(a.shape[1]))
+        for r in np.flatnonzero(bits.min(axis=1) <= radius):
+            u = i + r
+            c = np.flatnonzero(bits[r] <= radius)
+            c = (c[c > u] if same else c) + off
+            c = c[(root[c] != root[u]) & (least * np.maximum(sizes[c], sizes[u]) <= np.minimum(sizes[c], sizes[u]))]
+            if not len(c):
+                continue
+            held[codes[u, : ends[u]]] = True
+            both = held[codes[c]].sum(axis=1)
+            held[codes[u, : ends[u]]] = False
+            upto = np.minimum(last[c], last[u])
+            either = np.searchsorted(codes[u, : ends[u]], upto, "right") + (codes[c] <= upto[:, None]).sum(axis=1) - both
+            known = whole[c] & whole[u]
+            ok = both >= np.where(known, least, floor) * either - 1e-9
+            for v, sure in zip(c[ok], known[ok], strict=True):
+                if root[v] != root[u]:
+                    us.append(u)
+                    vs.append(v)
+                    if sure:
+                        root[root == root[v]] = root[u]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def links(distinct: DataFrame, radius: int, bits: int = 64, pick=forest, lots: int = CHUNKS, most: int = CHUNK_MOST) -> DataFrame:
     """Edges (u, v) between the ids of a table (node, f0, f1, ...) of distinct fingerprints, by `pick` for each two chunks.
 
-    With `forest`, they span what links at `radius` bits. A chunk holds fingerprints whose population counts lie in one
-    band, a third of the radius wide.
+    With `forest`, they span what links at `radius` bits. Columns `root`, `size` and `sketch` of the table, if there,
+    follow for `pick`. A chunk holds `most` fingerprints whose population counts lie in one band, a third of the radius wide.
     """
     k = bits // 64
     words = [f"f{i}" for i in range(k)]
+    marked = "sketch" in distinct.columns
+    cols = ["node", *(["root", "size"] if marked else []), *words]
     band = max(1, radius // 3)
     reach, n_bands = (radius + band - 1) // band, bits // band + 1
     weight = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
     distinct = distinct.withColumn("p", F.floor(weight / band).cast("int"))
     found = {r.p: r["count"] for r in distinct.groupBy("p").count().collect()}  # one row for each band: bits + 1 at most
-    held = min(CHUNK_MOST, max(CHUNK_LEAST, math.ceil(sum(found.values()) / lots)))
+    held = min(most, max(CHUNK_LEAST, math.ceil(sum(found.values()) / lots)))
     parts = [math.ceil(found.get(p, 0) / held) for p in range(n_bands)]
     chunks = (
         distinct.withColumn("c", F.pmod(F.xxhash64(*words), F.element_at(F.array(*(F.lit(max(1, x)) for x in parts)), F.col("p") + 1)).cast("int"))
         .groupBy("p", "c")
-        .agg(F.collect_list(F.struct("node", *words)).alias("rows"))
+        .agg(F.collect_list(F.struct(*cols, *(["sketch"] if marked else []))).alias("rows"))
     )
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, c, rows in zip(frame.p, frame.c, frame.rows, strict=True):
-                packed = np.array([[r[x] for x in ("node", *words)] for r in rows], np.int64).tobytes()
+                packed = np.array([[r[x] for x in cols] for r in rows], np.int64).tobytes()
+                sketches = b"".join(r["sketch"] for r in rows) if marked else b""
                 ahead = [(p, c, q, d) for q in range(p, min(n_bands - 1, p + reach) + 1) for d in range(c if q == p else 0, parts[q])]
                 behind = [(q, d, p, c) for q in range(max(0, p - reach), p + 1) for d in range(c if q == p else parts[q])]
                 keys = [(*x, 0) for x in ahead] + [(*x, 1) for x in behind]
-                for i in range(0, len(keys), 16):
-                    out = pd.DataFrame(keys[i : i + 16], columns=["p", "c", "q", "d", "side"])
-                    yield out.assign(packed=[packed] * len(out))
+                step = max(1, min(16, (1 << 25) // (len(packed) + len(sketches))))
+                for i in range(0, len(keys), step):
+                    out = pd.DataFrame(keys[i : i + step], columns=["p", "c", "q", "d", "side"])
+                    yield out.assign(packed=[packed] * len(out), sketches=[sketches] * len(out))
 
     def match(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.frombuffer(x, np.int64).reshape(-1, k + 1) for x in group.sort_values("side").packed]
-        ids = np.concatenate([x[:, 0] for x in sides])
-        f = [np.ascontiguousarray(x[:, 1:]).view(np.uint64) for x in sides]
-        child, root = pick(f[0], f[1] if len(f) > 1 else None, radius)
-        return pd.DataFrame({"u": ids[child], "v": ids[root]})
-
-    sent = chunks.mapInPandas(send, "p int, c int, q int, d int, side int, packed binary")
+        group = group.sort_values("side")
+        rows = [np.frombuffer(x, np.int64).reshape(-1, len(cols)) for x in group.packed]
+        f = [np.ascontiguousarray(x[:, -k:]).view(np.uint64) for x in rows]
+        rows = np.concatenate(rows)
+        more = (rows[:, 1], rows[:, 2], np.frombuffer(b"".join(group.sketches), np.uint32).reshape(len(rows), -1)) if marked else ()
+        one, other = pick(f[0], f[1] if len(f) > 1 else None, radius, *more)
+        return pd.DataFrame({"u": rows[one, 0], "v": rows[other, 0]})
+
+    sent = chunks.mapInPandas(send, "p int, c int, q int, d int, side int, packed binary, sketches binary")
     return sent.groupBy("p", "c", "q", "d").applyInPandas(match, "u bigint, v bigint")
 
 
@@ -192,20 +254,8 @@ def shingle_set(text: str | None, n: int) -> bytes:
     return np.unique(h).tobytes()
 
 
-def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): groups of rows whose n-word shingles have a Jaccard similarity of `least` or more, link by link.
-
-    Candidates are fingerprints within `radius` bits: of each two chunks, every fingerprint's nearest in the other, so a
-    group of many near copies makes a few pairs for each of its texts and not all pairs. Each candidate pair is then held
-    to the exact similarity of its shingles. Texts with one fingerprint are one text here. Nulls, empty texts, repeated
-    rows, ties and other columns as in `near_duplicates`; texts without words are copies of each other.
-    """
-    words = [f"f{i}" for i in range(bits // 64)]
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = durable(fingerprints(texts, n, bits, "id", "text").withColumn("node", F.xxhash64(*words)))
-    reps = durable(rows.groupBy("node", *words).agg(F.min("id").alias("least")))
-    pairs = links(reps.select("node", *words), radius, bits, nearest, 16).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = durable(pairs.where("u <> v").distinct())
+def alike(texts: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
+    """The `pairs` (u, v: nodes) whose texts have a similarity of `least` or more; `reps` gives a node's text as the id `least`."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = durable(asked.join(reps.select("node", "least"), "node").where("least IS NOT NULL"))
 
@@ -226,8 +276,44 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(held.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    labels = components(joined.select("u", "v", "a", "b").mapInArrow(same, "u bigint, v bigint"))
-    named = durable(reps.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root")))
+    return joined.select("u", "v", "a", "b").mapInArrow(same, "u bigint, v bigint")
+
+
+def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): groups of rows whose n-word shingles have a Jaccard similarity of `least` or more, link by link.
+
+    Candidates are fingerprints within `radius` bits, and each candidate pair is held to the exact similarity of its
+    shingles. First come, of each two chunks, every fingerprint's nearest in the other: they name all texts that have
+    candidates, and join the bulk of each group by a few pairs for each text. Among the texts named, all pairs within
+    `radius` bits that are left in different groups come next, sketches of their shingles at hand, so that no such link
+    is lost and no group makes all its pairs. Texts with one fingerprint are one text here. Nulls, empty texts, repeated
+    rows, ties and other columns as in `near_duplicates`; texts without words are copies of each other.
+    """
+    words = [f"f{i}" for i in range(bits // 64)]
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = durable(fingerprints(texts, n, bits, "id", "text").withColumn("node", F.xxhash64(*words)))
+    reps = durable(rows.groupBy("node", *words).agg(F.min("id").alias("least")))
+    pairs = links(reps.select("node", *words), radius, bits, nearest, 16).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = durable(pairs.where("u <> v").distinct())
+    labels = components(alike(texts, reps, pairs, n, least))
+    named = durable(reps.join(labels, "node", "left").select("node", *words, "least", F.coalesce("label", "node").alias("root")))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [sketch(x.as_py(), n) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["node", "size", "sketch"])
+
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = durable(asked.join(named, "node").where("least IS NOT NULL"))
+    marks = texts.join(asked.select(F.col("least").alias("id"), "node"), "id").select("node", "text").mapInArrow(sketches, "node bigint, size bigint, sketch binary")
+    marked = durable(asked.select("node", "root", *words).join(marks.dropDuplicates(["node"]), "node"))
+    more = durable(links(marked, radius, bits, functools.partial(apart, least=least), 8, CHUNK_MOST // 8))
+    found = alike(texts, reps, more, n, least)
+    # The groups that further links join become one: their roots are the nodes of a smaller graph.
+    group = named.select("node", "root")
+    between = found.join(group.withColumnsRenamed({"node": "u", "root": "a"}), "u").join(group.withColumnsRenamed({"node": "v", "root": "b"}), "v")
+    joined = components(between.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "root")
+    named = durable(named.join(joined, "root", "left").select("node", "least", F.coalesce("label", "root").alias("root")))
     roots = durable(named.groupBy("root").agg(F.min("least").alias("component")))
     classes = durable(named.join(roots, "root").select("node", "component"))
     return rows.select("id", "node").join(classes, "node").select("id", "component")

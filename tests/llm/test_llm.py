@@ -85,6 +85,40 @@ def test_near_copies_keep_one(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_near_copies_lose_no_link(spark):
+    """Families of texts at similarities around 0.8, short and longer than a sketch, against all pairs."""
+    rng = random.Random(12)
+    texts = []
+    for length, family in ((120, 40), (150, 40), (700, 25), (2000, 12)):
+        words = [f"w{rng.randrange(5000)}" for _ in range(length)]
+        for _ in range(family):
+            own = list(rng.choice([words, words, texts[-1].split() if texts and len(texts[-1].split()) > 0.9 * length else words]))
+            for _ in range(rng.randint(0, length // 30)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(own))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert 10 < len(set(label)) < len(texts) - 20
+    got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
+def test_sketches_bound_what_is_emitted():
+    """Rows of one root give no pair; known similar rows join their roots once."""
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(60)) for i in (1, 1, 1, 1)]
+    f = np.array([simhash.fingerprint(t, 5, 2) for t in texts])
+    marks = [simhash.sketch(t, 5) for t in texts]
+    sizes, rows = np.array([n for n, _ in marks]), np.frombuffer(b"".join(x for _, x in marks), np.uint32).reshape(4, -1)
+    assert len(simhash.apart(f, None, 34, np.array([5, 5, 5, 5]), sizes, rows, 0.8)[0]) == 0
+    assert len(simhash.apart(f, None, 34, np.array([1, 2, 3, 4]), sizes, rows, 0.8)[0]) == 3
+    assert len(simhash.apart(f[:2], f[2:], 34, np.array([1, 1, 2, 3]), sizes, rows, 0.8)[0]) == 2
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)], 0) for i in range(120)]
