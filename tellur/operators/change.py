@@ -156,3 +156,49 @@ def fuse(relief: DataFrame, bands: DataFrame, names: tuple[str, str, str], mode:
         return F.coalesce(byte(out * 255), F.lit(0))
 
     return x.select("r", "c", *(channel(n).alias(k) for n, k in zip(names, ("red", "green", "blue"), strict=True)))
+
+
+def _cubic(x: Column) -> Column:
+    return F.when(x < 1, 1.5 * x * x * x - 2.5 * x * x + 1).when(x < 2, -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2).otherwise(0.0)
+
+
+def _spline(x: Column) -> Column:
+    return F.when(x < 1, (4 - 6 * x * x + 3 * x * x * x) / 6).when(x < 2, (2 - x) * (2 - x) * (2 - x) / 6).otherwise(0.0)
+
+
+def _lanczos(x: Column) -> Column:
+    y = math.pi * x
+    return F.when(x < 1e-9, 1.0).when(x < 3, 3 * F.sin(y) * F.sin(y / 3) / (y * y)).otherwise(0.0)
+
+
+#: Kernels of the interpolating resamplers and how far each reaches.
+KERNELS = {"triangle": (lambda x: F.greatest(F.lit(0.0), 1 - x), 1), "cubic": (_cubic, 2), "cubic_spline": (_spline, 2), "lanczos": (_lanczos, 3)}
+
+
+def interpolate(cells: DataFrame, step: float, kind: str = "cubic", r0: float = 0.0, c0: float = 0.0, least: float = 0.1) -> DataFrame:
+    """(r, c, z) at centres r0 + r step, c0 + c step of the source lattice, up to its last row and column.
+
+    The kernel is separable, so each source cell adds its value and weight to the target columns that it reaches, and
+    each of those sums to the target rows: two groupings that combine before their shuffle, and no join. A step over 1
+    widens the kernel. Nodata cells weigh nothing; a target whose weights sum to `least` or less has none.
+    """
+    if kind not in KERNELS:
+        raise ValueError(f"no kernel {kind!r}; there are {', '.join(KERNELS)}")
+    kernel, reach = KERNELS[kind]
+    scale = max(1.0, step)
+    by = keys(cells)
+    said = cells.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    if said.r is None:
+        return cells.select(*by, "r", "c", "z")
+
+    def spread(df: DataFrame, axis: str, origin: float, last: int, other: str) -> DataFrame:
+        first = F.greatest(F.lit(0), F.ceil((F.col(axis) - reach * scale - origin) / step).cast("int"))
+        end = F.least(F.lit(int((last - origin) // step)), F.floor((F.col(axis) + reach * scale - origin) / step).cast("int"))
+        out = df.select(*by, axis, other, "v", "w", F.explode(F.when(first <= end, F.sequence(first, end))).alias("t"))
+        k = kernel(F.abs(F.col(axis) - (F.lit(float(origin)) + F.col("t") * step)) / scale)
+        return out.groupBy(*by, "t", other).agg(F.sum(F.col("v") * k).alias("v"), F.sum(F.col("w") * k).alias("w")).withColumnRenamed("t", f"to_{axis}")
+
+    known = cells.where("z IS NOT NULL").select(*by, "r", "c", F.col("z").alias("v"), F.lit(1.0).alias("w"))
+    wide = spread(known, "c", c0, said.c, "r")
+    out = spread(wide, "r", r0, said.r, "to_c").where(F.col("w") > least)
+    return out.select(*by, F.col("to_r").alias("r"), F.col("to_c").alias("c"), (F.col("v") / F.col("w")).alias("z"))

@@ -10,6 +10,7 @@ from tellur.functions import recipes
 from tellur.operators import blend as B
 from tellur.operators import change as C
 from tellur.operators import detect as D
+from tellur.operators import field as L
 from tellur.operators import horizon as H
 from tellur.operators import points as P
 from tellur.operators import stencil as S
@@ -376,3 +377,77 @@ register(
     """SELECT event_id, CASE WHEN props IS NULL THEN 1 ELSE 0 END + 1 + 1 AS n_errors FROM events""",
     lambda s, d: recipes.check(s.read.parquet(f"{d}/events.parquet"), "props").select("event_id", F.size("errors").alias("n_errors")),
 )
+
+# --- interpolating resamplers ---------------------------------------------------------------------------------------
+
+_KERNEL_SQL = {
+    "triangle": (1, "greatest(0.0::DOUBLE, 1 - x)"),
+    "cubic": (2, "CASE WHEN x < 1 THEN 1.5 * x * x * x - 2.5 * x * x + 1 WHEN x < 2 THEN -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2 ELSE 0 END"),
+    "cubic_spline": (2, "CASE WHEN x < 1 THEN (4 - 6 * x * x + 3 * x * x * x) / 6 WHEN x < 2 THEN (2 - x) * (2 - x) * (2 - x) / 6 ELSE 0 END"),
+    "lanczos": (3, "CASE WHEN x < 1e-9 THEN 1 WHEN x < 3 THEN 3 * sin(pi() * x) * sin(pi() * x / 3) / (pi() * x * pi() * x) ELSE 0 END"),
+}
+for _kind, (_reach, _k) in _KERNEL_SQL.items():
+    _axis = "SELECT t, {a}, (" + _k + ")::DOUBLE AS w FROM (SELECT t, {a}, abs({a} - ({o} + t * 0.70710678118))::DOUBLE AS x FROM (SELECT DISTINCT {a} FROM dem_nd), (SELECT unnest(range(0, (SELECT floor((max({a}) - {o}) / 0.70710678118)::BIGINT + 1 FROM dem_nd))) AS t)) WHERE x < " + str(_reach)
+    register(
+        f"interpolate_{_kind}",
+        f"""WITH {X.SQL}, wr AS ({_axis.format(a="r", o="0.23712345678")}), wc AS ({_axis.format(a="c", o="0.51131357911")}),
+s AS (SELECT wr.t AS r, wc.t AS c, sum(wr.w * wc.w * z) AS v, sum(wr.w * wc.w) AS w FROM dem_nd d JOIN wr ON d.r = wr.r JOIN wc ON d.c = wc.c WHERE z IS NOT NULL GROUP BY wr.t, wc.t)
+SELECT r::INT AS r, c::INT AS c, round(v / w, 6) AS z FROM s WHERE w > 0.1""",
+        lambda s, d, k=_kind: C.interpolate(X.dem_nd(s, d), 0.70710678118, k, 0.23712345678, 0.51131357911),
+    )
+
+# --- field records, viewers, detector tiles -------------------------------------------------------------------------
+
+register(
+    "anomalies_read",
+    """WITH x AS (SELECT o_orderkey AS fid, o_totalprice AS x, (o_custkey * 2)::DOUBLE AS y, CASE WHEN o_orderkey % 3 = 0 THEN 'A-' || o_orderkey END AS a,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 1000000 END AS f, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS m FROM orders WHERE o_orderstatus <> 'P')
+SELECT fid, round(x, 6) AS x, y, coalesce(a, printf('ANOM-%04d', row_number() OVER (ORDER BY fid))) AS anomaly_id, round(coalesce(f, 0.5), 6) AS confidence, coalesce(m, 'manual') AS method FROM x""",
+    lambda s, d: L.anomalies(
+        s.read.parquet(f"{d}/orders.parquet").select(
+            F.col("o_orderkey").alias("fid"),
+            F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("x"),
+            (F.col("o_custkey") * 2).cast("double").alias("y"),
+            F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('A-', o_orderkey) END AS anomaly_id"),
+            F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 1000000 END AS confidence"),
+            F.expr("CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS method"),
+        ),
+        "fid",
+    ),
+)
+register(
+    "detections_footprints",
+    _DETS
+    + """SELECT id, x1, y1, x2, y2, round(confidence, 9) AS confidence, class_id, printf('%.2f,%.2f,%.2f,%.2f', x1, y1, x2, y2) AS bbox,
+printf('POLYGON ((%.2f %.2f, %.2f %.2f, %.2f %.2f, %.2f %.2f, %.2f %.2f))', x1, y1, x2, y1, x2, y2, x1, y2, x1, y1) AS wkt FROM k""",
+    lambda s, d: L.footprints(D.decode(_outputs(s, d), 0.1)),
+    9,
+)
+register(
+    "viewer_settings",
+    """WITH m AS (SELECT o_custkey AS raster_id, min(o_totalprice) AS x0, min(o_orderkey)::DOUBLE AS y0, max(o_totalprice) AS x1, max(o_orderkey)::DOUBLE AS y1, avg(o_totalprice) / 200000 AS opacity FROM orders GROUP BY 1)
+SELECT raster_id, round((x0 + x1) / 2, 6) AS lon, round((y0 + y1) / 2, 6) AS lat, greatest(1, least(16, trunc(14 - (x1 - x0) / 5000)::INT)) AS zoom, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, opacity)), 6) AS opacity FROM m""",
+    lambda s, d: L.viewer(
+        s.read.parquet(f"{d}/orders.parquet")
+        .groupBy(F.col("o_custkey").alias("raster_id"))
+        .agg(F.min("o_totalprice").alias("x0"), F.min("o_orderkey").cast("double").alias("y0"), F.max("o_totalprice").alias("x1"), F.max("o_orderkey").cast("double").alias("y1"), (F.avg("o_totalprice") / 200000).alias("opacity"))
+    ),
+)
+register(
+    "cloud_rasters",
+    """WITH m AS (SELECT p_partkey AS raster_id, p_size * 90 AS rows, p_partkey % 77 * 64 AS cols, p_partkey % 5 * 32 AS block, p_partkey % 3 AS overviews FROM part)
+SELECT *, CASE WHEN greatest(rows, cols) > 512 THEN greatest(1, length(ltrim(bin(greatest(rows, cols) // 256), '0')) - 1) ELSE 0 END::INT AS level, block >= 64 AND (greatest(rows, cols) <= 1024 OR overviews > 0) AS valid FROM m""",
+    lambda s, d: L.cloud_check(
+        s.read.parquet(f"{d}/part.parquet").select(
+            F.col("p_partkey").alias("raster_id"), (F.col("p_size") * 90).alias("rows"), (F.col("p_partkey") % 77 * 64).alias("cols"), (F.col("p_partkey") % 5 * 32).alias("block"), (F.col("p_partkey") % 3).alias("overviews")
+        )
+    ),
+)
+register(
+    "detector_tiles",
+    f"""WITH {X.SQL}, n AS (SELECT greatest(1, ceil((max(r) + 1 - 4) / 28.0::DOUBLE))::INT AS nr FROM dem_nd), k AS (SELECT unnest(range(0, 5000))::INT AS t),
+s AS (SELECT a.t AS tr, b.t AS tc, r, c, z FROM dem_nd JOIN k a ON r >= a.t * 28 AND r < a.t * 28 + 32 JOIN k b ON c >= b.t * 28 AND c < b.t * 28 + 32, n WHERE a.t < nr AND b.t < 4),
+g AS (SELECT tr, tc, min(z) AS lo, max(z) AS hi FROM s GROUP BY 1, 2)
+SELECT tr, tc, r, c, coalesce(round(CASE WHEN hi - lo > 1e-6 THEN (z - lo) / (hi - lo) END, 6), 0) AS x FROM s JOIN g USING (tr, tc)""",
+    lambda s, d: (lambda x: L.detector_tiles(x, (x.agg(F.max("r")).first()[0] or 0) + 1, X.WIDTH, 32, 4))(X.dem_nd(s, d)),
+)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tellur.functions import recipes
-from tellur.operators import blend, change, detect, horizon, points, stencil, windows
+from tellur.operators import blend, change, detect, field, horizon, points, stencil, windows
 from tellur.sources import cells
 
 
@@ -123,6 +123,45 @@ def test_points(spark):
     assert points.viewer_zoom(100) == 13 and points.viewer_zoom(math.nan) == 8
 
 
+@pytest.mark.parametrize("kind", list(change.KERNELS))
+def test_interpolation_keeps_planes_and_skips_nodata(spark, kind):
+    z = raster(spark, lambda r, c: None if (r, c) == (6, 6) else 2.0 * r + c)
+    got = grid(change.interpolate(z, 0.5, kind), "z")
+    inside = {k: v for k, v in got.items() if 6 <= k[0] <= 16 and 6 <= k[1] <= 16 and max(abs(k[0] - 12), abs(k[1] - 12)) > 6 - 1}
+    exact = 1e-9 if kind != "lanczos" else 0.2  # the window's weights don't reproduce planes exactly
+    assert inside and all(abs(v - (k[0] + k[1] / 2)) < exact for k, v in inside.items() if max(abs(k[0] - 12), abs(k[1] - 12)) >= 6)
+    flat = grid(change.interpolate(z.where("z IS NULL"), 0.5, kind), "z")
+    assert flat == {}
+    with pytest.raises(ValueError):
+        change.interpolate(z, 0.5, "moon")
+
+
+def test_field_records(spark):
+    rows = [(5, 1.0, 2.0, None, None, None), (200_000, 1.0, 2.0, None, 0.9, "auto"), (7, None, 2.0, "x", None, None), (9, 3.0, 4.0, "mine", None, None)]
+    got = {r.k: (r.anomaly_id, r.confidence, r.method) for r in field.anomalies(spark.createDataFrame(rows, "k bigint, x double, y double, anomaly_id string, confidence double, method string"), "k").collect()}
+    assert got == {5: ("ANOM-0001", 0.5, "manual"), 9: ("mine", 0.5, "manual"), 200_000: ("ANOM-0003", 0.9, "auto")}
+    box = field.footprints(spark.createDataFrame([(0.0, 0.0, 2.0, 1.5), (1.0, 1.0, 1.0, 5.0), (None, 0.0, 1.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")).collect()
+    assert [r.bbox for r in box] == ["0.00,0.00,2.00,1.50"] and box[0].wkt.startswith("POLYGON ((0.00 0.00, 2.00 0.00, 2.00 1.50")
+
+
+def test_viewer_and_cloud_rasters(spark):
+    rows = [(1, 0.0, 0.0, 10_000.0, 4.0, 2.0), (2, 0.0, 0.0, math.nan, 4.0, None), (3, 0.0, 0.0, 1e6, 4.0, -1.0)]
+    got = {r.raster_id: (r.lon, r.zoom, r.opacity) for r in field.viewer(spark.createDataFrame(rows, "raster_id int, x0 double, y0 double, x1 double, y1 double, opacity double")).collect()}
+    assert got == {1: (5000.0, 12, 1.0), 2: (0.0, 8, 1.0), 3: (500_000.0, 1, 0.0)}
+    meta = spark.createDataFrame([(200, 200, 512, 0), (2000, 2000, 512, 0), (2000, 2000, 512, 2), (600, 9, 32, 1)], "rows int, cols int, block int, overviews int")
+    assert [(r.level, r.valid) for r in field.cloud_check(meta).collect()] == [(0, True), (2, False), (2, True), (1, False)]
+    assert [change.overview_levels(r, c) for r, c in ((200, 200), (2000, 2000), (600, 9))] == [0, 2, 1]
+
+
+def test_detector_tiles_cover_the_raster(spark):
+    z = raster(spark, lambda r, c: None if (r, c) == (0, 0) else float(c), 12, 20)
+    got = field.detector_tiles(z, 12, 20, 8, 2).collect()
+    assert {(r.tr, r.tc) for r in got} == {(a, b) for a in range(2) for b in range(3)}
+    assert {(r.r, r.c) for r in got} == {(r, c) for r in range(12) for c in range(20)}
+    one = {(r.r, r.c): r.x for r in got if (r.tr, r.tc) == (0, 0)}
+    assert len(one) == 64 and one[0, 0] == 0 and one[1, 7] == 1 and abs(one[3, 3] - 3 / 7) < 1e-12
+
+
 def test_names_and_recipes(spark):
     df = spark.createDataFrame([(" ../my  site*1 ",), ("",), (None,)], "n string")
     assert [r[0] for r in df.select(recipes.slug("n")).collect()] == ["my_site_1", "untitled", "untitled"]
