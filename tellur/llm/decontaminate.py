@@ -25,7 +25,7 @@ STEP, PASSAGE = 8, 32
 #: Rank of the factorisation, and how many of its leading directions, those of language and common words, are left out.
 RANK, COMMON = 64, 16
 #: Least cosine of a candidate, least shares of the item's words in the common subsequence, and of its answer's.
-COSINE, LCS, ANSWER = 0.45, 0.7, 0.5
+COSINE, LCS, ANSWER = 0.35, 0.7, 0.5
 #: Bytes of benchmark text that one search holds; a larger benchmark is searched in parts.
 MOST_BYTES = 16_000_000
 
