@@ -2,8 +2,9 @@
 
 Words of the benchmark are the terms; all passages of the corpus make a TF-IDF matrix over them. A randomised SVD, with
 its products summed over all partitions, gives a latent space for that matrix. Windows of each document, as long as a
-benchmark item and a little more, are compared with the items there by cosine. Candidates must then hold enough of the
-item's words, a long enough longest common subsequence with it, and the item's answer (its last sentence).
+benchmark item and a little more, are compared with the items there by cosine. An exact look-up by each item's rarest
+words adds every other window that can hold enough of an item, so no cosine decides what is found. Candidates must then
+hold enough of the item's words, a long enough longest common subsequence with it, and the item's answer (its last sentence).
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ STEP, PASSAGE = 8, 32
 RANK, COMMON = 64, 16
 #: Least cosine of a candidate, least shares of the item's words in the common subsequence, and of its answer's.
 COSINE, LCS, ANSWER = 0.35, 0.7, 0.5
+#: Of an item's rarest words, one for each that a copy may lack and so many more are looked up; a window needs so many of them.
+RARE = 2
 #: Bytes of benchmark text that one search holds; a larger benchmark is searched in parts.
 MOST_BYTES = 16_000_000
 
@@ -99,8 +102,8 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int, more: int) -> Iterato
         yield ids, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
-def idf(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
-    """Log inverse passage frequency of each code, over all passages, and how many there are; the largest for code 0 and unseen terms."""
+def idf(encoded: DataFrame, n_terms: int) -> np.ndarray:
+    """Log inverse passage frequency of each code, over all passages; the largest for code 0 and unseen terms."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, passages = np.zeros(n_terms + 1, np.int64), 0
@@ -118,7 +121,7 @@ def idf(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     total = max(1.0, df[0])
     out = np.log((1 + total) / (1 + df))
     out[0] = math.log(1 + total)
-    return np.maximum(out, 1e-3), int(df[0])
+    return np.maximum(out, 1e-3)
 
 
 def latent(encoded: DataFrame, items: Items, weights: np.ndarray, rank: int, common: int, seed: int = 11) -> np.ndarray:
@@ -163,17 +166,48 @@ def latent(encoded: DataFrame, items: Items, weights: np.ndarray, rank: int, com
     return np.linalg.svd(z * weights[:, None], full_matrices=False)[0][:, common:]
 
 
+def rare_words(items: Items, weights: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts by code, items, how many of its words an item needs): the items that are looked up by each code.
+
+    A common subsequence of `share` of an item lacks a bounded number of its words. Of any words of the item, that many and
+    k more, the window holds k at least. The choice of the rarest ones only bounds the work.
+    """
+    codes, owners, needs = [], [], np.ones(len(items.words), np.int64)
+    for i, w in enumerate(items.words):
+        least = max(1, math.ceil(share * len(w) - 1e-9))
+        needs[i] = min(RARE, least)
+        chosen = np.unique(w[np.argsort(-weights[w], kind="stable")[: len(w) - least + needs[i]]])
+        codes.append(chosen)
+        owners.append(np.full(len(chosen), i))
+    codes, owners = np.concatenate([*codes, np.empty(0, np.int64)]), np.concatenate([*owners, np.empty(0, np.int64)])
+    order = np.argsort(codes, kind="stable")
+    return np.searchsorted(codes[order], np.arange(len(weights) + 1)), owners[order], needs
+
+
+def looked_up(codes: np.ndarray, rare: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(step, item) for each place of a word by which an item is looked up."""
+    starts, owners, _ = rare
+    n = np.diff(starts)[codes]
+    at = np.flatnonzero(n)
+    n = n[at]
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at // STEP, n), owners[np.repeat(starts[codes[at]], n) + place]
+
+
 def search(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float, share: float, answer: float) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs): the best window of each document and item that passes all checks."""
+    """(doc_id, item_id, cosine, lcs): the best window of each document and item that passes all checks.
+
+    Candidates are windows of a cosine of `cosine` or more and those of the look-up, whose cosine may be less.
+    """
     vectors = (basis * weights[:, None]).astype(np.float32)
     vectors[0] = 0
     longest = max(map(len, items.words), default=0)
     fill = (-(-longest // STEP) + 1) * STEP
     fill += -fill % PASSAGE
-    sent = encoded.sparkSession.sparkContext.broadcast((vectors, items))
+    sent = encoded.sparkSession.sparkContext.broadcast((vectors, items, rare_words(items, weights, share)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, own = sent.value
+        v, own, rare = sent.value
         rank = v.shape[1]
         by_steps: dict[int, list[int]] = {}
         for i, w in enumerate(own.words):
@@ -181,6 +215,9 @@ def search(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                 by_steps.setdefault(-(-len(w) // STEP) + 1, []).append(i)
         aims = {m: np.array([v[own.words[i]].sum(axis=0) for i in at]) for m, at in by_steps.items()}
         aims = {m: x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True)) for m, x in aims.items()}
+        column, length = np.zeros(len(own.words), np.int64), np.zeros(len(own.words), np.int64)  # of an item in its aims, and its steps
+        for m, x in by_steps.items():
+            column[x], length[x] = np.arange(len(x)), m
         member = np.zeros((len(own.words), len(v)), np.int16)  # how often an item has a term
         for i, w in enumerate(own.words):
             np.add.at(member[i], w, 1)
@@ -189,6 +226,7 @@ def search(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
             total = np.zeros((len(steps) + 1, rank), np.float32)
             np.cumsum(v[steps].sum(axis=1), axis=0, out=total[1:])
             doc = np.repeat(np.arange(len(ids)), np.diff(starts) // STEP)
+            step, of = looked_up(codes, rare)
             best: dict[tuple[int, int], tuple[float, int]] = {}
             for m, aim in aims.items():
                 if len(steps) < m:
@@ -196,7 +234,13 @@ def search(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                 w = total[m:] - total[:-m]
                 norm = np.linalg.norm(w, axis=1)
                 sims = (w / np.maximum(1e-6, norm)[:, None]) @ aim.T
-                at, which = np.nonzero(sims >= cosine)
+                wanted = sims >= cosine
+                mine = length[of] == m
+                first = step[mine][:, None] - np.arange(m)  # the windows that a place is in
+                keys = (first * len(aim) + column[of[mine]][:, None])[(first >= 0) & (first < len(w))]
+                keys, times = np.unique(keys, return_counts=True)
+                wanted.ravel()[keys[times >= rare[2][np.array(by_steps[m])[keys % len(aim)]]]] = True
+                at, which = np.nonzero(wanted)
                 one = doc[at] == doc[at + m - 1]
                 at, which = at[one], which[one]
                 item = np.array(by_steps[m])[which]
@@ -239,8 +283,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
         if not len(items.terms):
             continue
         encoded = durable(encode(docs, items, id_col, text_col))
-        weights, passages = idf(encoded, len(items.terms))
-        basis = latent(encoded, items, weights, rank, min(COMMON, rank // 4, passages // 256))
+        weights = idf(encoded, len(items.terms))
+        basis = latent(encoded, items, weights, rank, min(COMMON, rank // 4))
         found = search(encoded, items, weights, basis, cosine, share, answer)
         out = found if parts == 1 else out.unionByName(found)
     return out

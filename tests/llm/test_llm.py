@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tellur.llm import decontaminate, htmltext, licenses, mixing, quality, simhash, tokens, topk, toxicity, warc
+from tellur.llm.common import word_hashes
 from tellur.llm.graph import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, score string, component string, y int"
@@ -303,6 +304,37 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "sf0.1"])
+def test_leaks_find_every_copy_and_paraphrase(spark, table):
+    """Every item word for word, with 5 words put in, and with a quarter of its words replaced, each inside a document, beside the whole table."""
+    rng = random.Random(21)
+    folder = f"/root/testdata/{table}"
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    hosts = [r.text.split() for r in docs.where("length(text) > 600").orderBy("doc_id").limit(200).collect()]
+    other = lambda: rng.choice(rng.choice(hosts))
+    rows, want = [], {0: set(), 1: set(), 2: set()}
+    for item in bench.orderBy("item_id").collect():
+        for kind in want:
+            words = item.text.split()
+            for _ in range(5 if kind == 1 else 0):
+                words.insert(rng.randrange(len(words)), other())
+            for at in rng.sample(range(len(words)), len(words) // 4 if kind == 2 else 0):
+                words[at] = other()
+            own = decontaminate.Items([0], [item.text])
+            n, answer = len(own.words[0]), len(own.answers[0])
+            # As much of the copy as a window holds at any offset.
+            held = own.codes(word_hashes([" ".join(words)])[0])[: -(-n // decontaminate.STEP) * decontaminate.STEP + 1]
+            if decontaminate.lcs(own.words[0], held) >= 0.7 * n and decontaminate.lcs(own.answers[0], held) >= 0.5 * answer:
+                want[kind].add((-1 - len(rows), item.item_id))
+            host = rng.choice(hosts)
+            at = rng.randrange(len(host))
+            rows.append((-1 - len(rows), " ".join(host[:at] + words + host[at:])))
+    assert all(len(x) > 0.7 * len(rows) / 3 for x in want.values())
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs.union(spark.createDataFrame(rows, docs.schema)), bench).collect()}
+    assert [len(x - got) for x in want.values()] == [0, 0, 0]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
