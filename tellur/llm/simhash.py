@@ -41,13 +41,20 @@ def shingles(text: str | None, n: int) -> list[bytes]:
     return [flat[a : b - 1] for a, b in zip([0, *ends], ends[n - 1 :], strict=False)]
 
 
-def fingerprint(text: str | None, n: int, words: int = 1) -> np.ndarray:
-    """`words` 64-bit values; zeros for a text without words."""
-    out = np.zeros(words, np.uint64)
+def fingerprint(text: str | None, n: int, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """`words` 64-bit values; zeros for a text without words.
+
+    With `distinct`, a shingle counts once however often it occurs, and a hash of the set of shingles follows.
+    """
+    out = np.zeros(words + distinct, np.uint64)
     if not (parts := shingles(text, n)):
         return out
     for k in range(words):
         h = np.fromiter((xxhash.xxh64_intdigest(x, 42 + k) for x in parts), np.uint64, len(parts))
+        if distinct and k == 0:
+            h, first = np.unique(h, return_index=True)
+            parts = parts if len(h) == len(parts) else [parts[i] for i in first]
+            out[words] = xxhash.xxh64_intdigest(h.tobytes())
         counts = np.zeros(64, np.int64)
         for i in range(0, len(h), 8192):
             counts += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -55,13 +62,13 @@ def fingerprint(text: str | None, n: int, words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, n: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0, f1, ...): the signed 64-bit words of every row's fingerprint."""
-    k = bits // 64
+def fingerprints(docs: DataFrame, n: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """(id, f0, f1, ...): the signed 64-bit words of every row's fingerprint; with `distinct` the set's hash is the last."""
+    k = bits // 64 + distinct
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(t.as_py(), n, k) for t in b.column(1)], np.uint64).reshape(-1, k).view(np.int64)
+            f = np.array([fingerprint(t.as_py(), n, k - distinct, distinct) for t in b.column(1)], np.uint64).reshape(-1, k).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(k))], names=["id", *(f"f{i}" for i in range(k))])
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(work, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(k)))
@@ -180,7 +187,7 @@ def apart(a: np.ndarray, b: np.ndarray | None, radius: int, roots: np.ndarray, s
 
 
 def links(distinct: DataFrame, radius: int, bits: int = 64, pick=forest, lots: int = CHUNKS, most: int = CHUNK_MOST) -> DataFrame:
-    """Edges (u, v) between the ids of a table (node, f0, f1, ...) of distinct fingerprints, by `pick` for each two chunks.
+    """Edges (u, v) between the ids of a table (node, f0, f1, ...) of fingerprints, by `pick` for each two chunks.
 
     With `forest`, they span what links at `radius` bits. Columns `root`, `size` and `sketch` of the table, if there,
     follow for `pick`. A chunk holds `most` fingerprints whose population counts lie in one band, a third of the radius wide.
@@ -197,7 +204,7 @@ def links(distinct: DataFrame, radius: int, bits: int = 64, pick=forest, lots: i
     held = min(most, max(CHUNK_LEAST, math.ceil(sum(found.values()) / lots)))
     parts = [math.ceil(found.get(p, 0) / held) for p in range(n_bands)]
     chunks = (
-        distinct.withColumn("c", F.pmod(F.xxhash64(*words), F.element_at(F.array(*(F.lit(max(1, x)) for x in parts)), F.col("p") + 1)).cast("int"))
+        distinct.withColumn("c", F.pmod(F.xxhash64("node"), F.element_at(F.array(*(F.lit(max(1, x)) for x in parts)), F.col("p") + 1)).cast("int"))
         .groupBy("p", "c")
         .agg(F.collect_list(F.struct(*cols, *(["sketch"] if marked else []))).alias("rows"))
     )
@@ -282,16 +289,18 @@ def alike(texts: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, least: fl
 def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): groups of rows whose n-word shingles have a Jaccard similarity of `least` or more, link by link.
 
-    Candidates are fingerprints within `radius` bits, and each candidate pair is held to the exact similarity of its
-    shingles. First come, of each two chunks, every fingerprint's nearest in the other: they name all texts that have
+    Fingerprints count each distinct shingle once, as the similarity does. Candidates are fingerprints within `radius` bits,
+    equal ones too, and each candidate pair is held to the exact similarity of its shingles. First come, of each two chunks, every fingerprint's nearest in the other: they name all texts that have
     candidates, and join the bulk of each group by a few pairs for each text. Among the texts named, all pairs within
-    `radius` bits that are left in different groups come next, sketches of their shingles at hand, so that no such link
-    is lost and no group makes all its pairs. Texts with one fingerprint are one text here. Nulls, empty texts, repeated
+    `radius` bits that are left in different groups come next, sketches of their shingles at hand, so that no link
+    within `radius` bits is lost and no group makes all its pairs; similar pairs beyond it are missed. Texts with one set of
+    shingles are one text here. Nulls, empty texts, repeated
     rows, ties and other columns as in `near_duplicates`; texts without words are copies of each other.
     """
     words = [f"f{i}" for i in range(bits // 64)]
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = durable(fingerprints(texts, n, bits, "id", "text").withColumn("node", F.xxhash64(*words)))
+    k = len(words)
+    rows = durable(fingerprints(texts, n, bits, "id", "text", True).select("id", *words, F.xxhash64(*words, f"f{k}").alias("node")))
     reps = durable(rows.groupBy("node", *words).agg(F.min("id").alias("least")))
     pairs = links(reps.select("node", *words), radius, bits, nearest, 16).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = durable(pairs.where("u <> v").distinct())

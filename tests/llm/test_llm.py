@@ -109,6 +109,27 @@ def test_near_copies_lose_no_link(spark):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_near_copies_with_repeats(spark):
+    """Repeated lines don't hide copies, and one dominant shingle makes none of texts that differ otherwise."""
+    rng = random.Random(14)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for length, times in ((100, 5), (100, 10), (100, 10), (300, 20), (300, 40)):
+        words, line = new(length), new(6)
+        texts += [" ".join(words + line), " ".join(words + line * times)]
+    for _ in range(6):
+        texts.append(" ".join(new(20) + ["again"] * 400))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                label[i] = label[j]
+    assert label == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8, *range(10, 16)]
+    got = {r.id: r.component for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_sketches_bound_what_is_emitted():
     """Rows of one root give no pair; known similar rows join their roots once."""
     texts = [" ".join(f"w{(i * j) % 97}" for j in range(60)) for i in (1, 1, 1, 1)]
