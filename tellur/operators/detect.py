@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellur.llm.common import durable
+
 
 def decode(rows: DataFrame, threshold: float, column: str = "out") -> DataFrame:
     """Adds x1, y1, x2, y2, confidence, class_id to rows with an array of a detector's numbers.
@@ -65,25 +65,26 @@ def overlaps(boxes: DataFrame, threshold: float, cell: float, id_col: str = "id"
     return p.select(F.col("aid").alias("a"), F.col("bid").alias("b"), overlap("a", "b").alias("iou")).where(F.col("iou") >= threshold)
 
 
-def suppress(boxes: DataFrame, threshold: float = 0.45, by: tuple[str, ...] = ("class_id",), id_col: str = "id") -> DataFrame:
-    """Greedy suppression within each group: by falling confidence (ties by id), a box stays if its overlap with all kept is under the threshold."""
-    fields = [f for f in boxes.schema.fields if f.name in {*by, id_col, "x1", "y1", "x2", "y2", "confidence"}]
-    names = [f.name for f in fields]
-
-    def keep(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["confidence", id_col], ascending=[False, True], kind="stable")
-        box = f[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        live = np.ones(len(f), bool)
-        for i in range(len(f)):
-            if live[i]:
-                rest = box[i + 1 :]
-                both = np.clip(np.minimum(box[i, 2], rest[:, 2]) - np.maximum(box[i, 0], rest[:, 0]), 0, None) * np.clip(np.minimum(box[i, 3], rest[:, 3]) - np.maximum(box[i, 1], rest[:, 1]), 0, None)
-                live[i + 1 :] &= both / np.maximum(1e-12, area[i] + area[i + 1 :] - both) < threshold
-        return f[live]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return boxes.select(*names).groupBy(*by).applyInPandas(keep, schema)
+def suppress(boxes: DataFrame, threshold: float = 0.45, by: tuple[str, ...] = ("class_id",), id_col: str = "id", cell: float = 64) -> DataFrame:
+    """Greedy suppression within each group: by falling confidence (ties by id), a box stays if its overlap with all kept is under the threshold (above 0).
+
+    The rule is resolved over the graph of overlaps: in each round boxes that no undecided stronger box overlaps stay, and
+    what they overlap goes. No group meets in one task.
+    """
+    names = [f.name for f in boxes.schema.fields if f.name in {*by, id_col, "x1", "y1", "x2", "y2", "confidence"}]
+    boxes = durable(boxes.select(*names, F.monotonically_increasing_id().alias("node")))
+    pairs = overlaps(boxes.withColumn("class_id", F.struct(*by)), threshold, cell, "node")
+    rank = lambda p: boxes.select(F.col("node").alias(p), F.struct(-F.col("confidence"), id_col, "node").alias(p + "rank"))
+    pairs = pairs.join(rank("a"), "a").join(rank("b"), "b").withColumn("first", F.col("arank") < F.col("brank"))
+    left = durable(pairs.select(F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("strong"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("weak")))
+    gone = None
+    while left.limit(1).count():
+        heads = left.select("strong").distinct().join(left.select(F.col("weak").alias("strong")), "strong", "left_anti")
+        lost = durable(left.join(heads, "strong", "left_semi").select(F.col("weak").alias("node")).distinct())
+        gone = lost if gone is None else gone.union(lost)
+        left = left.join(lost.withColumnRenamed("node", "strong"), "strong", "left_anti").join(lost.withColumnRenamed("node", "weak"), "weak", "left_anti")
+        left = durable(left.select("strong", "weak"))
+    return (boxes if gone is None else boxes.join(gone, "node", "left_anti")).select(*names)
 
 
 def to_map(boxes: DataFrame, transform: tuple[float, float, float, float, float, float]) -> DataFrame:

@@ -327,7 +327,7 @@ register(
 SELECT a, b, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.3""",
     lambda s, d: D.overlaps(D.decode(_outputs(s, d), 0.1), 0.3, 64),
 )
-register("detections_suppress", None, lambda s, d: D.suppress(D.decode(_outputs(s, d), 0.1).withColumns({"tx": F.floor(F.col("x1") / 250).cast("int"), "ty": F.floor(F.col("y1") / 250).cast("int")}), 0.45, ("class_id", "tx", "ty")))
+register("detections_suppress", None, lambda s, d: D.suppress(D.decode(_outputs(s, d), 0.1), 0.45))
 register(
     "detections_to_map",
     _DETS + "SELECT id, 500000 + x1 * 0.5 AS x1, 6000000 - y2 * 0.5 AS y1, 500000 + x2 * 0.5 AS x2, 6000000 - y1 * 0.5 AS y2, round(confidence, 9) AS confidence, class_id FROM k",

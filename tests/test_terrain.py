@@ -184,3 +184,22 @@ def test_entry_points_agree(spark):
 
     q = e.queries()
     assert set(e.oracle_sql()) <= set(q) and "slope" in q
+
+
+def test_suppression_of_a_whole_class(spark):
+    """The query against the greedy rule over all boxes of a class, wherever they lie."""
+    from tellur import registry
+    from tellur.plans import queries as Q
+
+    boxes = Q.D.decode(Q._outputs(spark, "/root/testdata/sf0.001"), 0.1).collect()
+    want, kept = set(), {}
+    for r in sorted(boxes, key=lambda r: (-r.confidence, r.id)):
+        for k in kept.setdefault(r.class_id, []):
+            both = max(0, min(r.x2, k.x2) - max(r.x1, k.x1)) * max(0, min(r.y2, k.y2) - max(r.y1, k.y1))
+            if both / ((r.x2 - r.x1) * (r.y2 - r.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - both) >= 0.45:
+                break
+        else:
+            kept[r.class_id].append(r)
+            want.add(r.id)
+    got = [r.id for r in registry.queries()["detections_suppress"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want)
