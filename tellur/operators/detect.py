@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellur.llm.common import durable
+from tellur.sources.durable import durable
 
 
 def decode(rows: DataFrame, threshold: float, column: str = "out") -> DataFrame:
