@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,22 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellur.sources.durable import durable, shared_folder  # noqa: F401  for the operators
+
 #: The word definition that the size and shingle contracts share: runs without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the cluster's shared folder.
-
-    The folder is that of ``spark.checkpoint.dir``; only a session without one (as in tests) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
