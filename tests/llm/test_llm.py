@@ -145,17 +145,33 @@ def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)], 0) for i in range(120)]
     rows += [(200, rows[7][1], 0), (201, rows[7][1], 0), (50, None, 0), (202, [1.0, float("nan")] * 3, 0), (203, [1.0, None] * 3, 0), (None, [1.0] * 6, 0), (300, [1e17] * 6, 0), (250, [0.5, 0.25], 0)]
+    rows += [(100, rows[3][1], 0), (100, rows[3][1], 1), (60, rows[9][1], 0)]  # rows that repeat an id are rows of their own
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id int").repartition(3)
-    vec = {}
-    for i, x, _ in rows:
-        if i is not None and x is not None and all(v is not None and np.isfinite(v) for v in x):
-            vec.setdefault(i, [int(np.floor(256 * float(np.float32(v)))) for v in x] + [0] * (6 - len(x)))
+    vec = [(i, [int(np.floor(256 * float(np.float32(v)))) for v in x] + [0] * (6 - len(x))) for i, x, _ in rows if i is not None and x is not None and all(v is not None and np.isfinite(v) for v in x)]
     want = []
-    for q in (i for i in vec if i % 50 == 0):
-        s = sorted((-min(sum(a * b for a, b in zip(vec[q], vec[i], strict=True)), 2**63 - 1), i) for i in vec if i != q)[:5]
-        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    for n, (q, x) in enumerate(vec):
+        if q % 50 == 0:
+            s = sorted((-min(sum(a * b for a, b in zip(x, y, strict=True)), 2**63 - 1), i) for j, (i, y) in enumerate(vec) if j != n)[:5]
+            want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert sum(r[0] == 100 for r in want) == 15
     assert sorted(map(tuple, topk.top_k(df, F.col("id") % 50 == 0).collect())) == sorted(want)
-    assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
+    assert topk.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0 and topk.top_k(df, F.col("id") < -5).count() == 0
+
+
+def test_topk_over_many_blocks(spark, monkeypatch):
+    """Blocks, bands and lots of a few rows, lengths far apart, so that pruning takes effect."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "PARTS", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=5) * 10 ** rng.uniform(-1, 1)]) for i in range(400)]
+    x = np.array([[int(np.floor(256 * v)) for v in r[1]] for r in rows])
+    want = []
+    for q in range(0, 400, 20):
+        order = sorted((i for i in range(400) if i != q), key=lambda i: (-int(x[q] @ x[i]), i))[:5]
+        want += [(q, k + 1, i, int(x[q] @ x[i])) for k, i in enumerate(order)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df, F.col("id") % 20 == 0).collect())) == want
 
 
 def test_tokens(docs):
