@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors, fewer with each level; a container's points are
-discounted by the share of its text in links. The best container is kept with those of its siblings that read like text.
+Paragraphs pass points for their length and commas to their ancestors, fewer with each level, and in full to the article
+that they are in; a container's points are discounted by the share of its text in links. The best container is kept with
+those of its siblings that read like text. Parsing and scoring take time in proportion to the page, however it is nested.
 """
 
 from __future__ import annotations
@@ -20,23 +21,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold the article's text.
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input label iframe object svg math canvas audio video dialog menu".split())
-#: Words of a class or id that mark menus, notices, adverts, comments and the like.
+#: Words of which a class or id is made that marks menus, notices, adverts, comments and the like.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related replies share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside those in such a name. With any other word the name is that of something else: ad-hoc, menu-prices.
+BESIDE = frozenset("area articles bar block bottom box buttons center container content form icons inner item items js left links list main mobile outer page posts primary right section secondary site slot sticky thread to top unit wrap wrapper".split())
 #: An opening tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table article section div body main blockquote".split())
 
 
 class Node:
-    __slots__ = ("children", "links", "parent", "score", "size", "tag", "marks")
+    __slots__ = ("children", "commas", "home", "links", "loose", "marks", "own", "own_links", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, marks: str = ""):
         self.tag, self.parent, self.marks = tag, parent, marks
+        self.home = self if tag in ("article", "main") else parent.home if parent else None  # the article or main part that it is in
         self.children: list[Node | str] = []
-        self.score, self.size, self.links = 0.0, 0, 0
+        self.score, self.size, self.links, self.own, self.own_links, self.commas, self.loose = 0.0, 0, 0, 0, 0, 0, False
 
 
 class Builder(HTMLParser):
@@ -44,51 +48,74 @@ class Builder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("root", None)
+        self.open = [Node("root", None)]
+        self.places: dict[str, list[int]] = {}  # of open elements, by tag
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE and tag not in VOID:
             self._end({"p"}, HOLDS - {"blockquote"} | {"li", "td"})
             if tag in ENDS:
                 self._end(ENDS[tag], {"ul", "ol", "dl", "table"})
-        node = Node(tag, self.at, " ".join(v for k, v in attrs if k in ("class", "id", "role") and v))
-        self.at.children.append(node)
+        node = Node(tag, self.open[-1], " ".join(v for k, v in attrs if k in ("class", "id", "role") and v))
+        self.open[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.parent
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         self._end({tag}, HOLDS if tag in INLINE or tag == "p" else frozenset())
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.open[-1].children.append(data)
 
-    def _end(self, tags: set[str], walls) -> None:
-        node = self.at
-        while node.parent is not None:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            if node.tag in walls:
-                return
-            node = node.parent
+    def _end(self, tags, walls) -> None:
+        """Closes the innermost open element of `tags`, unless one of `walls` is open within it."""
+        at = self._last(tags)
+        if at and at >= self._last(walls):
+            self._close(at)
+
+    def _last(self, tags) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def _close(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+
+def _to_the_end(parse):
+    """A tag, comment or declaration that never ends takes the rest of the page, as in browsers; else each of many would search it."""
+
+    def method(self, i, *args):
+        k = parse(self, i, *args)
+        return len(self.rawdata) if k < 0 else k
+
+    return method
+
+
+for _name in ("parse_starttag", "parse_endtag", "parse_comment", "parse_pi", "parse_html_declaration"):
+    setattr(Builder, _name, _to_the_end(getattr(HTMLParser, _name)))
+
+
+def marked(names: str) -> bool:
+    """Whether a class, id or role of these, as a whole, names a menu, notice, advert or the like."""
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not MARKS.isdisjoint(words) and all(w in MARKS or w in BESIDE for w in words):
+            return True
+    return False
 
 
 def _dropped(node: Node) -> bool:
     if node.tag in DROPPED:
         return True
-    inside = node.parent
     if node.tag == "header":
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        return inside is None
-    if node.tag in ("body", "html", "root", "main") or not node.marks:
-        return False
-    return not MARKS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", node.marks).lower()))
+        return node.home is None
+    return node.tag not in ("body", "html", "root", "main") and bool(node.marks) and marked(node.marks)
 
 
 def _text(nodes: list[Node]) -> str:
@@ -117,6 +144,35 @@ def _prune(root: Node) -> list[Node]:
     return seen
 
 
+def measure(nodes: list[Node]) -> None:
+    """Sizes, links and commas of all nodes (in page order) from their children, then scores from those of text blocks.
+
+    A block's own text is that of its strings and inline elements; blocks within it are text blocks of their own.
+    """
+    for x in reversed(nodes):  # children come before parents
+        for c in x.children:
+            if isinstance(c, str):
+                n = len(" ".join(c.split()))
+                x.size, x.own, x.commas, x.loose = x.size + n, x.own + n, x.commas + c.count(","), x.loose or n > 0
+            else:
+                x.size, x.links = x.size + c.size, x.links + c.links
+                if c.tag in INLINE:
+                    x.own, x.own_links, x.commas, x.loose = x.own + c.own, x.own_links + c.own_links, x.commas + c.commas, x.loose or c.loose
+        if x.tag == "a":
+            x.links, x.own_links = x.size, x.own
+    for x in nodes:
+        if not x.loose or x.tag in INLINE:
+            continue
+        points = (1 + x.commas + min(x.own / 100, 3)) * (1 - x.own_links / x.own)
+        if x.home:
+            x.home.score += points
+        up, share = (x if x.tag in HOLDS else x.parent), 1.0
+        while up is not None and share > 0.05:
+            if up is not x.home:
+                up.score += points * share
+            up, share = up.parent, share / 2
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; empty for null, empty and text-free pages. Nesting of any depth and unclosed tags are fine."""
     if not html:
@@ -124,37 +180,16 @@ def main_text(html: str | None) -> str:
     b = Builder()
     b.feed(html)
     b.close()
-    nodes = _prune(b.root)
-    for x in reversed(nodes):  # children come before parents
-        own = sum(len(" ".join(c.split())) for c in x.children if isinstance(c, str))
-        x.size = own + sum(c.size for c in x.children if not isinstance(c, str))
-        x.links = x.size if x.tag == "a" else sum(c.links for c in x.children if not isinstance(c, str))
-    for x in nodes:
-        loose = any(isinstance(c, str) and c.strip() for c in x.children) or any(not isinstance(c, str) and c.tag in INLINE and c.size for c in x.children)
-        if not x.size or x.tag in INLINE or not loose:
-            continue
-        text = _text([x])
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - x.links / x.size)
-        up, share = (x if x.tag in HOLDS else x.parent), 1.0
-        while up is not None and share > 0.05:
-            up.score += points * share
-            up, share = up.parent, share / 2
+    nodes = _prune(root := b.open[0])
+    measure(nodes)
     found = [x for x in nodes if x.score > 0 and x.tag not in INLINE]
     if not found:
-        return _text([b.root]) if b.root.links < b.root.size else ""
-    best = max(found, key=lambda x: x.score * (1 - x.links / max(1, x.size)))
-    up = best
-    while up is not None:  # an article is one container, however it is divided
-        if up.tag in ("article", "main"):
-            best = up
-            break
-        up = up.parent
+        return _text([root]) if root.links < root.size else ""
+    best = max(found, key=lambda x: x.score * (1 - x.links / max(1, x.size)))  # of equal ones the outermost
     kept = [best]
-    if best.parent is not None and best.tag not in ("article", "main"):
-        least = max(4.0, 0.2 * best.score)
-        kept = [c for c in best.parent.children if not isinstance(c, str) and (c is best or _reads(c, least))]
-    elif best.tag == "article" and best.parent is not None:
-        kept = [c for c in best.parent.children if not isinstance(c, str) and (c is best or c.tag == "article" and c.score >= 0.2 * best.score)]
+    if best.parent is not None and best.tag != "main":
+        least = (0.0 if best.tag == "article" else 4.0, 0.2 * best.score)
+        kept = [c for c in best.parent.children if not isinstance(c, str) and (c is best or _reads(c, max(least)) and (best.tag != "article" or c.tag == "article"))]
     return _text(kept)
 
 
@@ -169,7 +204,8 @@ def _reads(x: Node, least: float) -> bool:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row; ids and urls are kept as they are, null or repeated, and other columns left out.
 
-    Null and empty pages have empty text. n_chars counts code points. An empty table gives none.
+    Null and empty pages have empty text. n_chars counts code points. Pages of any length are read whole, in time in
+    proportion to it. An empty table gives none.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

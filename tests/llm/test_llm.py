@@ -199,6 +199,77 @@ def test_html(html, want):
     assert htmltext.main_text(html) == want
 
 
+@pytest.mark.parametrize("name, gone", [("ad-hoc", 0), ("banner-image-caption", 0), ("menu-prices", 0), ("ad", 1), ("ad-slot", 1), ("cookieBanner", 1), ("post-body sidebar", 1), ("site_footer", 1), ("comments-list", 1), ("headerless", 0)])
+def test_marks_are_whole_names(name, gone):
+    assert htmltext.main_text(f"<article><p>Some text, here</p><p class='{name}'>and more, there</p></article>") == "Some text, here" + ("" if gone else " and more, there")
+
+
+def test_html_is_linear():
+    """A megabyte of nesting, stray end tags, open paragraphs and headers."""
+    import time
+
+    for page in ("<div>word, here " * 70_000, "<div>" * 100_000 + "</b></section>" * 50_000 + "x", "<p><b>word<br>" * 70_000, "<article>" + "<header>a " * 100_000, "<section><p>a, b</p>" * 50_000, "<!-- " * 200_000, "<a " * 300_000):
+        began = time.time()
+        htmltext.main_text(page)
+        assert time.time() - began < 8, page[:40]  # under 2 s on an idle machine
+
+
+def plain_scores(nodes):
+    """Scores by walking each block's subtree and all its ancestors."""
+    scores = {id(x): 0.0 for x in nodes}
+    for x in nodes:
+        text, linked, todo = [], 0, [(x, False)]
+        while todo:
+            at, link = todo.pop()
+            for c in at.children:
+                if isinstance(c, str):
+                    text.append(c)
+                    linked += len(" ".join(c.split())) * (link or at.tag == "a")
+                elif c.tag in htmltext.INLINE:
+                    todo.append((c, link or at.tag == "a"))
+        size = sum(len(" ".join(t.split())) for t in text)
+        if not size or x.tag in htmltext.INLINE:
+            continue
+        points = (1 + sum(t.count(",") for t in text) + min(size / 100, 3)) * (1 - linked / size)
+        line = [x]
+        while line[-1].parent:
+            line.append(line[-1].parent)
+        home = next((u for u in line if u.tag in ("article", "main")), None)
+        if home:
+            scores[id(home)] += points
+        for level, up in enumerate(line[0 if x.tag in htmltext.HOLDS else 1 :][:5]):
+            if up is not home:
+                scores[id(up)] += points / 2**level
+    return scores
+
+
+def test_scores_agree_with_brute_force():
+    rng = random.Random(17)
+    tags = "div p section article main ul li b a span blockquote table tr td h2".split()
+    for _ in range(60):
+        page = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "some words, here ", "more text " * rng.randint(1, 20)]) for _ in range(120))
+        b = htmltext.Builder()
+        b.feed(page)
+        b.close()
+        nodes = htmltext._prune(b.open[0])
+        htmltext.measure(nodes)
+        want = plain_scores(nodes)
+        assert all(abs(x.score - want[id(x)]) < 1e-9 for x in nodes)
+
+
+def test_html_of_the_given_pages(spark):
+    """Every page of sf0.01: the text between the article's tags, without them."""
+    import html
+    import re
+
+    from tellur.llm import queries
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    for r in queries.QUERIES["op4_html"](spark, "/root/testdata/sf0.01").collect():
+        inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
+        assert r.text == " ".join(html.unescape(re.sub(r"</?(?:p|h1|br|ul|li)[^>]*>", " ", re.sub(r"</?(?:b|a|i)[^>]*>", "", inner))).split()) and r.n_chars == len(r.text)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", "t"), (1, None, None, "t"), (None, "v", "", "t")], "page_id bigint, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in htmltext.extract(df).collect()) == [(0, "", 0), (1, "", 0), (1, "a b", 3)]
