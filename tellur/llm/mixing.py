@@ -12,14 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellur.llm.common import WORD, read
+from tellur.llm.common import WORD, durable, read
 
 #: Hash buckets of a source: 16 ** DIGITS.
 DIGITS = 3
+#: Rows of buckets that are broadcast, about 100 bytes each; those of more sources are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Columns that the mix adds to documents.
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def targets(sources: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1)) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row for each source, by code point with null last, weighed by `weights` in turn."""
+    """(source, source_size, target) from (source, source_size): one row for each source, by code point with null last, weighed by `weights` in turn.
+
+    The levels need all sources in order, so these rows, one a source, meet in one task.
+    """
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.pmod(turn, F.lit(len(weights))) + 1)
     s = sources.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(epochs)))
@@ -34,17 +41,18 @@ def targets(sources: DataFrame, share: float = 1.5, epochs: float = 2.0, weights
     return s.select("source", "source_size", F.coalesce(F.least(F.col("cap"), final * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for each row of `docs`; taken: words the mix takes, repeats counted.
+def _rows(seed: str, id_col: str, text_col: str, source_col: str) -> dict:
+    """What the mix needs of a row, as columns."""
+    return {
+        "doc_id": F.col(id_col).cast("bigint"),
+        "source": F.col(source_col).cast("string"),
+        "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint"),
+        "bucket": F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, DIGITS),
+    }
 
-    Null and empty texts have size 0 and nothing taken. A null source is a source, sorted last. Repeated rows count each;
-    rows with equal ids share a bucket, a null id counts as the empty string. Other columns take no part. An empty table
-    gives none. Reruns agree, however rows are partitioned: bucket and fraction depend on id, source and sums only.
-    """
-    bucket = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, DIGITS)
-    rows = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), bucket.alias("bucket")
-    )
+
+def _lots(rows: DataFrame, share: float, epochs: float, weights: tuple[float, ...]) -> DataFrame:
+    """(s, b, source_size, target, whole, part) of each source and bucket of rows (source, bucket, size): repetitions, whole and in part."""
     lots = rows.groupBy("source", "bucket").agg(F.sum("size").alias("lot"))
     goal = targets(lots.groupBy("source").agg(F.sum("lot").alias("source_size")), share, epochs, weights).withColumnRenamed("source", "of")
     lots = lots.join(goal, F.col("source").eqNullSafe(F.col("of")))
@@ -53,20 +61,50 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple
     start = F.sum("lot").over(order) - F.col("lot")
     part = F.when(F.col("source_size") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("target") - whole * F.col("source_size") - start) / F.nullif(F.col("lot"), F.lit(0)))))
     lots = lots.withColumns({"whole": F.coalesce(whole, F.lit(0)), "part": F.coalesce(part, F.lit(0.0))})
-    lots = lots.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "source_size", "target", "whole", "part")
+    lots = durable(lots.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "source_size", "target", "whole", "part"))
+    return F.broadcast(lots) if lots.count() <= BROADCAST_ROWS else lots
+
+
+def _taken(size) -> F.Column:
+    return (F.col("whole") * size + F.floor(F.col("part") * size)).cast("bigint")
+
+
+def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: str = "mix-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) for each row of `docs`; taken: words the mix takes, repeats counted.
+
+    Null and empty texts have size 0 and nothing taken. A null source is a source, sorted last. Repeated rows count each;
+    rows with equal ids share a bucket, a null id counts as the empty string. Other columns take no part. An empty table
+    gives none. Reruns agree, however rows are partitioned: bucket and fraction depend on id, source and sums only.
+    Words are counted once, into a written table of ids, sources and sizes.
+    """
+    rows = durable(docs.select(*(x.alias(n) for n, x in _rows(seed, id_col, text_col, source_col).items())))
+    lots = _lots(rows, share, epochs, weights)
     out = rows.join(lots, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    taken = F.col("whole") * F.col("size") + F.floor(F.col("part") * F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", _taken(F.col("size")).alias("taken"), "source")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, that the mix takes words of, with `size`, `target` and `taken` beside them.
+def mixed(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: str = "mix-1") -> DataFrame:
+    """The rows of `docs`, all columns, that the mix takes words of, with `size`, `source_size`, `target` and `taken` beside them.
 
-    Columns of `docs` with these names are kept under a leading underscore.
+    Each row has its own size, whatever ids repeat or are null. Columns of `docs` with these names get underscores before
+    them, as many as are needed. Nulls, empty texts and empty tables as in `mix`.
     """
-    docs = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("size", "source_size", "target", "taken")})
-    took = mix(docs.select("doc_id", "text", "source"), **options).select(F.col("doc_id").alias("mix_id"), "size", "source_size", "target", "taken").dropDuplicates(["mix_id"])
-    return docs.join(took, docs.doc_id.eqNullSafe(F.col("mix_id"))).drop("mix_id").where("taken > 0")
+    own, new = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if (to := c).lower() in ADDED:
+            while to.lower() in own:
+                to = f"_{to}"
+            own.add(to.lower())
+            new[c] = to
+    docs = docs.withColumnsRenamed(new)
+    names = docs.columns
+    of = {k: x.alias(k) for k, x in _rows(seed, "doc_id", "text", "source").items()}
+    lots = _lots(docs.select(of["source"], of["bucket"], of["size"]), share, epochs, weights)
+    # The document stays one column beside what the mix needs, so that no name of it clashes.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), *of.values())
+    out = rows.join(lots, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    out = out.withColumn("taken", _taken(F.col("size"))).where("taken > 0")
+    return out.select(*(F.col("doc")[c].alias(c) for c in names), *ADDED)
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:

@@ -62,16 +62,17 @@ def fingerprint(text: str | None, n: int, words: int = 1, distinct: bool = False
     return out
 
 
-def fingerprints(docs: DataFrame, n: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """(id, f0, f1, ...): the signed 64-bit words of every row's fingerprint; with `distinct` the set's hash is the last."""
+def fingerprints(docs: DataFrame, n: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False, name_col: str | None = None) -> DataFrame:
+    """(id, f0, f1, ...): the signed 64-bit words of every row's fingerprint; with `distinct` the set's hash is the last, with `name_col` that column follows."""
     k = bits // 64 + distinct
+    more = [name_col] if name_col else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([fingerprint(t.as_py(), n, k - distinct, distinct) for t in b.column(1)], np.uint64).reshape(-1, k).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(k))], names=["id", *(f"f{i}" for i in range(k))])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(k)), *b.columns[2:]], names=["id", *(f"f{i}" for i in range(k)), *more])
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(work, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(k)))
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *more).mapInArrow(work, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(k)) + "".join(f", {x} string" for x in more))
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,16 +263,14 @@ def shingle_set(text: str | None, n: int) -> bytes:
 
 
 def alike(texts: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
-    """The `pairs` (u, v: nodes) whose texts have a similarity of `least` or more; `reps` gives a node's text as the id `least`."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = durable(asked.join(reps.select("node", "least"), "node").where("least IS NOT NULL"))
+    """The `pairs` (u, v: nodes) whose texts have a similarity of `least` or more; `reps` gives a node's text as the row (id, digest)."""
+    asked = durable(reps.select("node", "rep").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), n) for x in b.column(1)], pa.binary())], names=["node", "s"])
 
-    held = texts.join(asked.withColumnRenamed("least", "id"), "id").select("node", "text").mapInArrow(sets, "node bigint, s binary")
-    held = durable(held.dropDuplicates(["node"]))
+    held = durable(text_of(texts, asked).mapInArrow(sets, "node bigint, s binary").dropDuplicates(["node"]))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,35 +285,37 @@ def alike(texts: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, least: fl
     return joined.select("u", "v", "a", "b").mapInArrow(same, "u bigint, v bigint")
 
 
-def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): groups of rows whose n-word shingles have a Jaccard similarity of `least` or more, link by link.
+def text_of(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, text) for each node of `asked` (node, rep: a row's id and digest); rows that repeat id and text give it each."""
+    asked = asked.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.digest").alias("rep_digest"))
+    return texts.join(asked, texts.id.eqNullSafe(asked.rep_id) & (texts.digest == asked.rep_digest)).select("node", "text")
 
-    Fingerprints count each distinct shingle once, as the similarity does. Candidates are fingerprints within `radius` bits,
-    equal ones too, and each candidate pair is held to the exact similarity of its shingles. First come, of each two chunks, every fingerprint's nearest in the other: they name all texts that have
-    candidates, and join the bulk of each group by a few pairs for each text. Among the texts named, all pairs within
-    `radius` bits that are left in different groups come next, sketches of their shingles at hand, so that no link
-    within `radius` bits is lost and no group makes all its pairs; similar pairs beyond it are missed. Texts with one set of
-    shingles are one text here. Nulls, empty texts, repeated
-    rows, ties and other columns as in `near_duplicates`; texts without words are copies of each other.
+
+def families(docs: DataFrame, n: int, least: float, bits: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, digest, node) of each row of `docs`, (node, component, rep) of each set of shingles): the groups of `near_copies`.
+
+    A row is named by its id and its text's digest, so rows that repeat an id or have none are told apart. `rep` is the
+    row of its group that stands for it: the one with the smallest id, nulls last, then the smallest digest.
     """
     words = [f"f{i}" for i in range(bits // 64)]
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), digest.alias("digest"))
     k = len(words)
-    rows = durable(fingerprints(texts, n, bits, "id", "text", True).select("id", *words, F.xxhash64(*words, f"f{k}").alias("node")))
-    reps = durable(rows.groupBy("node", *words).agg(F.min("id").alias("least")))
+    rows = durable(fingerprints(texts, n, bits, "id", "text", True, "digest").select("id", "digest", *words, F.xxhash64(*words, f"f{k}").alias("node")))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    reps = durable(rows.groupBy("node", *words).agg(F.min(first).alias("rep")))
     pairs = links(reps.select("node", *words), radius, bits, nearest, 16).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = durable(pairs.where("u <> v").distinct())
     labels = components(alike(texts, reps, pairs, n, least))
-    named = durable(reps.join(labels, "node", "left").select("node", *words, "least", F.coalesce("label", "node").alias("root")))
+    named = durable(reps.join(labels, "node", "left").select("node", *words, "rep", F.coalesce("label", "node").alias("root")))
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [sketch(x.as_py(), n) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["node", "size", "sketch"])
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = durable(asked.join(named, "node").where("least IS NOT NULL"))
-    marks = texts.join(asked.select(F.col("least").alias("id"), "node"), "id").select("node", "text").mapInArrow(sketches, "node bigint, size bigint, sketch binary")
+    asked = durable(named.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node"))
+    marks = text_of(texts, asked).mapInArrow(sketches, "node bigint, size bigint, sketch binary")
     marked = durable(asked.select("node", "root", *words).join(marks.dropDuplicates(["node"]), "node"))
     more = durable(links(marked, radius, bits, functools.partial(apart, least=least), 8, CHUNK_MOST // 8))
     found = alike(texts, reps, more, n, least)
@@ -322,18 +323,40 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128
     group = named.select("node", "root")
     between = found.join(group.withColumnsRenamed({"node": "u", "root": "a"}), "u").join(group.withColumnsRenamed({"node": "v", "root": "b"}), "v")
     joined = components(between.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "root")
-    named = durable(named.join(joined, "root", "left").select("node", "least", F.coalesce("label", "root").alias("root")))
-    roots = durable(named.groupBy("root").agg(F.min("least").alias("component")))
-    classes = durable(named.join(roots, "root").select("node", "component"))
+    named = durable(named.join(joined, "root", "left").select("node", "rep", F.coalesce("label", "root").alias("root")))
+    roots = durable(named.groupBy("root").agg(F.min("rep").alias("rep")))
+    return rows.select("id", "digest", "node"), durable(named.select("node", "root").join(roots, "root").select("node", F.col("rep.id").alias("component"), "rep"))
+
+
+def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): groups of rows whose n-word shingles have a Jaccard similarity of `least` or more, link by link.
+
+    Fingerprints count each distinct shingle once, as the similarity does. Candidates are fingerprints within `radius` bits,
+    equal ones too, and each candidate pair is held to the similarity of its shingles, by 32-bit hashes of them. First
+    come, of each two chunks, every fingerprint's nearest in the other: they name all texts that have candidates, and join
+    the bulk of each group by a few pairs for each text. Among the texts named, all pairs within `radius` bits that are
+    left in different groups come next, sketches of their shingles at hand, so that no link within `radius` bits is lost
+    and no group makes all its pairs; similar pairs beyond it are missed (the README says how many). Texts with one set of
+    shingles are one text here. Rows that repeat an id with another text are rows of their own, as are those with a null
+    id. Nulls, empty texts, ties and other columns as in `near_duplicates`; texts without words are copies of each other.
+    """
+    rows, classes = families(docs, n, least, bits, radius, id_col, text_col)
     return rows.select("id", "node").join(classes, "node").select("id", "component")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of `docs`, all columns, with the smallest id of each group of near copies; repeated rows of an id stay once."""
-    keep = near_copies(docs, n, least).where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("kept_id"))
-    keep = durable(keep.groupBy("kept_id").agg(F.count("*").alias("rows")))
-    once = docs.dropDuplicates(["doc_id"]) if keep.where("rows > 1").limit(1).count() else docs
-    return once.join(keep, once.doc_id.eqNullSafe(keep.kept_id), "left_semi")
+def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 34) -> DataFrame:
+    """The rows of `docs`, all columns, that stand for their groups of near copies: the smallest id, nulls last; rows that repeat it with the same text stay once."""
+    rows, classes = families(docs, n, least, bits, radius, "doc_id", "text")
+    keep = classes.select("rep.id", "rep.digest").distinct()
+    keep = durable(rows.join(keep.select(F.col("id").alias("kept_id"), F.col("digest").alias("kept")), rows.id.eqNullSafe(F.col("kept_id")) & (rows.digest == F.col("kept"))).groupBy("kept_id", "kept").agg(F.count("*").alias("times")))
+    digest = F.md5(F.coalesce(docs.text.cast("string"), F.lit("")))
+    chosen = docs.join(keep, docs.doc_id.cast("bigint").eqNullSafe(keep.kept_id) & (digest == keep.kept), "left_semi")
+    if not keep.where("times > 1").limit(1).count():
+        return chosen
+    # Repeated rows are few or many: of each, the first met stays. Texts go by their digest, which is combined before the shuffle.
+    names = chosen.columns
+    once = chosen.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), chosen.doc_id.alias("i"), F.md5(F.coalesce(chosen.text.cast("string"), F.lit(""))).alias("d"))
+    return once.dropDuplicates(["i", "d"]).select(*(F.col("doc")[c].alias(c) for c in names))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -130,6 +130,46 @@ def test_near_copies_with_repeats(spark):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    """A row is an id with a text: ids 1 (T), 1 (U), 2 (near T), 3 (near U), and the same without ids."""
+    rng = random.Random(31)
+    t, u = ([f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(2))
+    near = lambda x: " ".join([*x[:100], "changed", *x[101:]])
+    rows = [(1, " ".join(t)), (1, " ".join(u)), (2, near(t)), (3, near(u)), (None, "quite alone in this world today"), (None, "another one alone in this world"), (1, " ".join(t)), (None, near(u))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("digest", F.lit("x"))
+    assert sorted((r.id or 0, r.component or 0) for r in simhash.near_copies(df).collect()) == [(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(df).collect()) == sorted([(1, " ".join(t)), (1, " ".join(u)), (0, rows[4][1]), (0, rows[5][1])])
+
+
+def test_near_copies_against_all_pairs_of_the_given_table(spark):
+    """Groups of the documents of sf0.01, against all pairs of similarity 0.8 that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    sets = [frozenset(simhash.shingles(r.text, 5)) for r in rows]
+    holders = {}
+    for i, x in enumerate(sets):
+        for w in x:
+            holders.setdefault(w, []).append(i)
+    met = {}
+    for own in holders.values():
+        for i in own:
+            for j in own:
+                if i < j:
+                    met[i, j] = met.get((i, j), 0) + 1
+    label = {r.doc_id: r.doc_id for r in rows}
+    pairs = [(rows[i].doc_id, rows[j].doc_id) for (i, j), both in met.items() if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)]
+    pairs += [(rows[i].doc_id, rows[j].doc_id) for i in range(len(sets)) for j in range(i) if not sets[i] and not sets[j]]
+    again = True
+    while again:
+        again = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                again = True
+    assert len(pairs) > 50
+    assert {r.id: r.component for r in simhash.near_copies(docs).collect()} == label
+
+
 def test_sketches_bound_what_is_emitted():
     """Rows of one root give no pair; known similar rows join their roots once."""
     texts = [" ".join(f"w{(i * j) % 97}" for j in range(60)) for i in (1, 1, 1, 1)]
@@ -378,6 +418,15 @@ def test_mixing_by_hand(docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_rows_keep_their_own_size(spark):
+    rows = [(None, "a b c d", "s", 7, 8), (None, "x", "s", 7, 8), (3, "p q", "t", 7, 8), (3, "p q r s t", "t", 7, 8), (4, None, None, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, Size int, _size int")
+    got = mixing.mixed(df, share=2.0).collect()
+    assert sorted((r.text, r.size, r.taken, r.source_size) for r in got) == [("a b c d", 4, 8, 5), ("p q", 2, 4, 7), ("p q r s t", 5, 10, 7), ("x", 1, 2, 5)]
+    assert got[0].asDict().keys() == {"doc_id", "text", "source", "__Size", "_size", "size", "source_size", "target", "taken"}
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
 def labelled_docs(spark, kind):
     rng = random.Random(4)
     rows, labels = [], []
