@@ -29,8 +29,12 @@ RANK, COMMON = 64, 16
 COSINE, LCS, ANSWER = 0.35, 0.7, 0.5
 #: Of an item's rarest words, one for each that a copy may lack and so many more are looked up; a window needs so many of them.
 RARE = 2
-#: Bytes of benchmark text that one search holds; a larger benchmark is searched in parts.
-MOST_BYTES = 16_000_000
+#: Bytes of benchmark text that one search holds, so 800,000 distinct words or so and 200 MB of their vectors at most; a larger benchmark is searched in parts.
+MOST_BYTES = 4_000_000
+#: Windows, and items, whose cosines are at hand at once.
+AT_ONCE = 4_096
+#: Sums that meet in one task when those of all partitions are added up.
+FAN = 64
 
 
 def answer_of(text: str) -> str:
@@ -128,11 +132,11 @@ def latent(encoded: DataFrame, items: Items, weights: np.ndarray, rank: int, com
     """(codes x dimensions) right singular vectors of the TF-IDF matrix of all passages and items, without the `common` leading ones.
 
     The randomised range finder of Halko, Martinsson and Tropp with one power step: A'A times a random matrix, one sum
-    for each partition, added up by slices of terms on the executors. With no more terms than `rank` the space is whole.
+    for each partition, added up by slices of terms on the executors, FAN at a time. The space of few terms has fewer
+    dimensions, and as large a share of them is left out.
     """
     n = len(weights)
-    if n <= rank:
-        return np.eye(n)
+    encoded = encoded.coalesce(max(1, 4 * encoded.sparkSession.sparkContext.defaultParallelism))  # sums for each core, not for each file
     probe = (np.random.default_rng(seed).normal(size=(n, rank)) * weights[:, None]).astype(np.float32)
     probe[0] = 0
     sent = encoded.sparkSession.sparkContext.broadcast(probe)
@@ -151,19 +155,29 @@ def latent(encoded: DataFrame, items: Items, weights: np.ndarray, rank: int, com
             sorted_c = c[order]
             begin = np.flatnonzero(np.concatenate([[True], sorted_c[1:] != sorted_c[:-1]]))
             z[sorted_c[begin]] += np.add.reduceat(y[row[order]], begin)
+        from pyspark import TaskContext
+
         rows = [(i, z[i : i + slice_of].tobytes()) for i in range(0, n, slice_of)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["at", "z"])
+        lane = pa.array([TaskContext.get().partitionId() // FAN] * len(rows), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), lane, pa.array([r[1] for r in rows], pa.binary())], names=["at", "lane", "z"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": frame["at"].iloc[:1], "z": [sum(np.frombuffer(x) for x in frame.z).tobytes()]})
-
-    parts = encoded.mapInArrow(work, "at bigint, z binary").groupBy("at").applyInPandas(add, "at bigint, z binary").collect()  # the benchmark's terms x rank numbers
+        total = np.zeros(len(frame.z.iloc[0]) // 8)
+        for x in frame.z:
+            total += np.frombuffer(x)
+        return pd.DataFrame({"at": frame["at"].iloc[:1], "lane": frame.lane.iloc[:1] // FAN, "z": [total.tobytes()]})
+
+    schema = "at bigint, lane bigint, z binary"
+    parts, lanes = encoded.mapInArrow(work, schema), encoded.rdd.getNumPartitions()
+    while lanes > 1:
+        parts, lanes = parts.groupBy("at", "lane").applyInPandas(add, schema), -(-lanes // FAN)
     z = np.zeros((n, rank))
-    for r in parts:
+    for r in parts.collect():  # the benchmark's terms x rank numbers
         z[r["at"] : r["at"] + slice_of] = np.frombuffer(r.z).reshape(-1, rank)
     for w in items.words:
         np.add.at(z, w, probe[w].sum(axis=0))
-    return np.linalg.svd(z * weights[:, None], full_matrices=False)[0][:, common:]
+    left = np.linalg.svd(z * weights[:, None], full_matrices=False)[0]
+    return left[:, common * left.shape[1] // rank :]
 
 
 def rare_words(items: Items, weights: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,9 +232,8 @@ def search(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
         column, length = np.zeros(len(own.words), np.int64), np.zeros(len(own.words), np.int64)  # of an item in its aims, and its steps
         for m, x in by_steps.items():
             column[x], length[x] = np.arange(len(x)), m
-        member = np.zeros((len(own.words), len(v)), np.int16)  # how often an item has a term
-        for i, w in enumerate(own.words):
-            np.add.at(member[i], w, 1)
+        # Which words an item has, as one sorted list of (item, code), so that it grows with the benchmark's words only.
+        pairs = np.unique(np.concatenate([np.empty(0, np.int64), *(i * len(v) + w for i, w in enumerate(own.words))]))
         for ids, codes, starts in _groups(batches, 1 << 16, fill):
             steps = codes.reshape(-1, STEP)
             total = np.zeros((len(steps) + 1, rank), np.float32)
@@ -232,30 +245,34 @@ def search(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndar
                 if len(steps) < m:
                     continue
                 w = total[m:] - total[:-m]
-                norm = np.linalg.norm(w, axis=1)
-                sims = (w / np.maximum(1e-6, norm)[:, None]) @ aim.T
-                wanted = sims >= cosine
+                w /= np.maximum(1e-6, np.linalg.norm(w, axis=1, keepdims=True))
                 mine = length[of] == m
                 first = step[mine][:, None] - np.arange(m)  # the windows that a place is in
                 keys = (first * len(aim) + column[of[mine]][:, None])[(first >= 0) & (first < len(w))]
                 keys, times = np.unique(keys, return_counts=True)
-                wanted.ravel()[keys[times >= rare[2][np.array(by_steps[m])[keys % len(aim)]]]] = True
-                at, which = np.nonzero(wanted)
+                wanted = [keys[times >= rare[2][np.array(by_steps[m])[keys % len(aim)]]]]
+                for i in range(0, len(w), AT_ONCE):
+                    for j in range(0, len(aim), AT_ONCE):
+                        at, which = np.nonzero(w[i : i + AT_ONCE] @ aim[j : j + AT_ONCE].T >= cosine)
+                        wanted.append((at + i) * len(aim) + which + j)
+                at, which = np.divmod(np.unique(np.concatenate(wanted)), len(aim))
                 one = doc[at] == doc[at + m - 1]
                 at, which = at[one], which[one]
                 item = np.array(by_steps[m])[which]
-                for i in range(0, len(at), 4096):
-                    a, t = at[i : i + 4096], item[i : i + 4096]
+                for i in range(0, len(at), AT_ONCE):
+                    a, t = at[i : i + AT_ONCE], item[i : i + AT_ONCE]
                     words = codes[(a * STEP)[:, None] + np.arange(m * STEP)]
-                    held = (member[t[:, None], words] > 0).sum(axis=1)
+                    key = t[:, None] * len(v) + words
+                    held = (pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key).sum(axis=1)
                     need = np.array([share * len(own.words[k]) for k in t])
+                    sims = (w[a] * aim[which[i : i + AT_ONCE]]).sum(axis=1)
                     for k in np.flatnonzero(held >= need - 1e-9):
                         target = own.words[t[k]]
                         n = lcs(target, words[k])
                         if n < share * len(target) - 1e-9 or lcs(own.answers[t[k]], words[k]) < answer * len(own.answers[t[k]]) - 1e-9:
                             continue
                         key = (int(doc[a[k]]), int(t[k]))
-                        best[key] = max(best.get(key, (0, 0.0)), (n, float(sims[at[i + k], which[i + k]])))
+                        best[key] = max(best.get(key, (0, 0.0)), (n, float(sims[k])))
             if best:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[d] for d, _ in best], pa.int64()), pa.array([own.ids[t] for _, t in best], pa.int64()), pa.array([c for _, c in best.values()], pa.float64()), pa.array([n / len(own.words[t]) for (_, t), (n, _) in best.items()], pa.float64())],
@@ -269,9 +286,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
     """(doc_id, item_id, cosine, lcs) of each document row that holds a benchmark item; lcs is the share of the item's words.
 
     Null and empty texts hold none, and null or wordless items are in none. Repeated document rows are found each,
-    repeated items count once for each row of theirs; null document ids are kept. Items of any length are searched; a
-    benchmark of more than MOST_BYTES is searched in parts of about that size, so what is sent stays bounded. Other
-    columns take no part. Without documents or items there are no rows.
+    repeated items count once for each row of theirs; null document ids are kept. Items and texts of any length are
+    searched whole. Of several windows of a document that hold an item the one with the longest subsequence counts, then
+    the greatest cosine. A benchmark of more than MOST_BYTES is searched in parts of about that size, so what is sent
+    stays bounded; a cosine is that of the part's space, while the look-up makes the rows found the same in any parts.
+    Other columns take no part. Without documents or items there are no rows.
     """
     asked = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0

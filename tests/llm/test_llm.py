@@ -505,6 +505,42 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_agree_with_all_windows(spark, monkeypatch):
+    """Whole, altered and cut passages of short and long items, against every window of every document; in one part and in several."""
+    rng = random.Random(27)
+    new = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    texts = []
+    for i, n in enumerate((1, 2, 5, 9, 16, 30, 70, 70, 12)):
+        words = new(n) + [f"only{i}"] * (n > 5)
+        texts.append(" ".join(words[: n // 2]) + ". " + " ".join(words[n // 2 :]) + ".")
+    bench = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (3, texts[4])], "item_id bigint, text string")
+    rows = []
+    for _ in range(120):
+        words = new(rng.randint(0, 60))
+        for _ in range(rng.randint(0, 3)):
+            copy = rng.choice(texts).replace(".", "").split()
+            for at in rng.sample(range(len(copy)), int(len(copy) * rng.choice([0, 0.1, 0.25, 0.32, 0.5]))):
+                copy[at] = rng.choice(new(3))
+            words += copy + new(rng.randint(0, 20))
+        rows.append((len(rows), " ".join(words)))
+    items = decontaminate.Items(*zip(*((r.item_id, r.text) for r in bench.collect()), strict=True))
+    want, step = set(), decontaminate.STEP
+    for i, text in rows:
+        c = np.concatenate([items.codes(word_hashes([text])[0]), np.zeros(200, np.uint32)])
+        for item, target, end in zip(items.ids, items.words, items.answers, strict=True):
+            m = (-(-len(target) // step) + 1) * step
+            for at in range(0, len(text.split()), step):
+                if decontaminate.lcs(target, c[at : at + m]) >= 0.7 * len(target) - 1e-9 and decontaminate.lcs(end, c[at : at + m]) >= 0.5 * len(end) - 1e-9:
+                    want.add((i, int(item)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = lambda: {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert found() == want and len(want) > 100
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 300)
+    assert found() == want
+    some = docs.where("doc_id % 3 = 0")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(some, bench).collect()} == {(a, b) for a, b in want if a % 3 == 0}
+
+
 @pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "sf0.1"])
 def test_leaks_find_every_copy_and_paraphrase(spark, table):
     """Every item word for word, with 5 words put in, and with a quarter of its words replaced, each inside a document, beside the whole table."""
