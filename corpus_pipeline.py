@@ -3,6 +3,10 @@
 Each stage reads all that its predecessor wrote. All but the last return the columns of `documents`; the last adds how
 many words of a document the mix takes. No stage is expressible in SQL as a whole (learned models, fingerprints, latent
 vectors), so ORACLE_SQL is None and tests hold the stages against brute force.
+
+Each row is judged as a row: null ids, repeated ids and repeated rows go through every stage. A null or empty text counts
+as a text without words (one of all such rows stays in the near-dedup stage), other columns are kept as they are, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tellur.llm import decontaminate, mixing, quality, simhash, toxicity
-from tellur.llm.common import read
+from tellur.llm.common import read, shared_folder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +35,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage (operator 10)."""
+    """Documents that hold no benchmark passage (operator 10); a row with a null id stays."""
     return decontaminate.untouched(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -46,8 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet in the shared folder and read again."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}-{name}")

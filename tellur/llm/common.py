@@ -57,16 +57,25 @@ def runs(texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[list[str]
         yield run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y): about `most` labelled training rows at most, chosen by a hash of the id among rows that aren't held out.
+#: Bytes of text that a model is fitted on, about, at most.
+MOST_BYTES = 1 << 27
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(id, text, y): about `most` labelled training rows and `most_bytes` bytes of them at most, chosen by a hash of the id among rows that aren't held out.
 
     Labels other than 0 and 1 are left out; of several labels of a document the greatest counts. The chosen ids are
-    bounded by `most`, so they are broadcast and no text is shuffled to find them.
+    bounded by `most`, so they are broadcast and no text is shuffled to find them. Rows that repeat an id are all taken.
     """
     y = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y")).where(~held_out(F.col("id")))
     if (n := y.count()) > most:
         y = y.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(y), "id")
+    rows = durable(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(y), "id"))
+    found = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = min(most / max(1, found.n), most_bytes / max(1, found.bytes or 0))
+    if share >= 0.9 and (found.bytes or 0) <= most_bytes:  # a choice by hash is about as many
+        return rows
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(1), F.md5(F.coalesce("text", F.lit("")))), F.lit(1 << 20)) < int((1 << 20) * share))
 
 
 def fit(rows: DataFrame, train) -> object:

@@ -1,8 +1,9 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is a vector of measures of its characters and words, which
-a learned layer encodes; a gated attention (the product of a tanh and a sigmoid branch) weighs the passages, and a
-logistic layer scores the weighted sum. All weights are learned together from labels of documents.
+A document is a bag of passages of PASSAGE words. Each passage is a vector of its hashed words and of measures of its
+characters and words, which a learned layer encodes; a gated attention (the product of a tanh and a sigmoid branch)
+weighs the passages, and a logistic layer scores the weighted sum. All weights are learned together from labels of
+documents, of which few are gone through more often than many, so that about as many steps are made.
 """
 
 from __future__ import annotations
@@ -25,11 +26,19 @@ for _i, _chars in enumerate(_KINDS, 1):
     _KIND[list(_chars)] = _i
 _KIND[128:] = len(_KINDS) + 1
 N_KINDS = len(_KINDS) + 2
-N_FEATURES = N_KINDS + 7
+#: Buckets of hashed words (lower-cased ASCII letters, other characters as they are) in a passage's vector, behind the measures.
+BUCKETS = 128
+N_MEASURES = N_KINDS + 7
+N_FEATURES = N_MEASURES + BUCKETS
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
 
 
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The measures of every passage, and where each text's passages begin. A text without words is one passage."""
+    """The vector of every passage, and where each text's passages begin. A text without words is one passage.
+
+    A bucket holds the root of the share of the passage's words that are hashed to it.
+    """
     raw = [(t or "").encode("utf-8", "replace") + b" " for t in texts]
     buf = np.frombuffer(b"".join(raw), np.uint8)
     kind = _KIND[buf]
@@ -53,7 +62,7 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         part_of_byte = np.where(lead, part_of_byte, part_of_word[np.maximum(word_of_byte, 0)])
     counts = np.bincount(part_of_byte * N_KINDS + kind, minlength=total * N_KINDS).reshape(total, N_KINDS).astype(float)
     size = counts.sum(axis=1, keepdims=True)
-    out = np.zeros((total, N_FEATURES))
+    out = np.zeros((total, N_FEATURES), np.float32)
     out[:, :N_KINDS] = np.sqrt(counts / np.maximum(1, size))
     words = np.bincount(part_of_word, minlength=total).astype(float) if len(begin) else np.zeros(total)
     out[:, N_KINDS] = np.log1p(words) / 4
@@ -66,8 +75,12 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out[:, N_KINDS + 2] = np.sqrt(np.maximum(0, np.bincount(part_of_word, length**2, total) / per - mean**2)) / (1 + mean)
         letters = np.flatnonzero(~blank)
         place = (letters - np.repeat(begin, stop - begin)) & 63
+        heads = np.concatenate([[0], np.cumsum(stop - begin)[:-1]])
         with np.errstate(over="ignore"):
-            h = mix(np.add.reduceat(_CODES[buf[letters]] * _POWERS[place], np.concatenate([[0], np.cumsum(stop - begin)[:-1]])))
+            h = mix(np.add.reduceat(_CODES[buf[letters]] * _POWERS[place], heads))
+            bucket = (mix(np.add.reduceat(_CODES[_LOWER[buf[letters]]] * _POWERS[place], heads)) % np.uint64(BUCKETS)).astype(np.int64)
+        share = np.bincount(part_of_word * BUCKETS + bucket, minlength=total * BUCKETS).reshape(total, BUCKETS) / per[:, None]
+        out[:, N_MEASURES:] = np.sqrt(share)
         key = np.sort((part_of_word.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
         new = np.concatenate([[True], key[1:] != key[:-1]])
         out[:, N_KINDS + 3] = np.bincount((key[new] >> np.uint64(40)).astype(np.int64), minlength=total) / per
@@ -140,7 +153,8 @@ def model_of(docs: DataFrame, labels: DataFrame, most: int = MOST):
 def quality(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of `docs`, fitted on `labels` (doc_id, quality).
 
-    Null and empty texts are one passage without words, marked as such. Rows with a null id are scored, not held out and
+    Whole texts of any length are scored; the model is fitted on about `most` rows and MOST_BYTES bytes at most. Null and
+    empty texts are one passage without words, marked as such. Rows with a null id are scored, not held out and
     never trained on; repeated rows score alike. Without labels of both kinds every score is 0.5. Other columns take no
     part. An empty table gives none.
     """
@@ -148,7 +162,11 @@ def quality(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: flo
 
 
 def good(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that are predicted good."""
+    """The rows of `docs`, all columns, that are predicted good: a score of the threshold or more.
+
+    A row is judged by its own text, so null ids, repeated rows and ties change nothing; null and empty texts are judged
+    as in `quality`. Without labels of both kinds no row goes. An empty table gives none.
+    """
     return kept(docs, model_of(docs, labels, most), score, threshold, high=True)
 
 

@@ -2,7 +2,8 @@
 
 Features are words, their stems (first bytes), pairs of neighbours and pairs that skip one word, each hashed to 2**BITS
 buckets and counted once a document. Per-coordinate learning rates and L1 sparsity leave few weights, which every task
-gets; a document's score needs only the features with weights.
+gets; a document's score needs only the features with weights. The strength of L1 follows the root of the number of
+training documents, within bounds, as sums of gradients do.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def l1(documents: int) -> float:
+    return min(4.0, max(0.75, documents**0.5 / 30))
+
+
 def train(frame: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray] | None:
     """(bias, buckets, weights): one update for each document and epoch, in the frame's order."""
     if frame.y.nunique() < 2:
@@ -51,7 +56,7 @@ def train(frame: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray] | None:
     docs = [np.append(x, 1 << BITS) for x in np.split(b, cuts)]  # the last is the bias
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     w = np.zeros((1 << BITS) + 1)
-    shrink = np.full((1 << BITS) + 1, min(4.0, max(0.75, len(frame) ** 0.5 / 30)))
+    shrink = np.full((1 << BITS) + 1, l1(len(frame)))
     shrink[-1] = 0
     for _ in range(EPOCHS):
         for f, y in zip(docs, frame.y.to_numpy(), strict=True):
@@ -97,7 +102,8 @@ def model_of(docs: DataFrame, labels: DataFrame, most: int = MOST):
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of `docs`, fitted on `labels` (doc_id, toxic).
 
-    Null and empty texts have the score of a text without features. Rows with a null id are scored, not held out and
+    Whole texts of any length are scored; the weights are fitted on about `most` rows and MOST_BYTES bytes at most. Null
+    and empty texts have the score of a text without features. Rows with a null id are scored, not held out and
     never trained on; repeated rows score alike. Without labels of both kinds every score is 0.5. Other columns take no
     part. An empty table gives none.
     """
@@ -105,7 +111,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: fl
 
 
 def clean(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic."""
+    """The rows of `docs`, all columns, that aren't predicted toxic: a score under the threshold.
+
+    A row is judged by its own text, so null ids, repeated rows and ties change nothing; null and empty texts are judged
+    as in `toxicity`. Without labels of both kinds no row goes. An empty table gives none.
+    """
     return kept(docs, model_of(docs, labels, most), score, threshold, high=False)
 
 

@@ -474,6 +474,139 @@ def test_gradients_of_the_attention_model():
         m[k][at] += 1e-6
 
 
+def plain_passages(text):
+    """The vector of each passage by loops over words and characters."""
+    words = [w for w in quality_words(text) if w]
+    groups = [words[i : i + quality.PASSAGE] for i in range(0, len(words), quality.PASSAGE)] or [[]]
+    out = []
+    for g in groups:
+        length = [len(w) for w in g]
+        x = np.zeros(quality.N_FEATURES)
+        n, at = max(1, len(g)), quality.N_KINDS
+        x[at] = np.log1p(len(g)) / 4
+        if words:
+            mean = sum(length) / n
+            x[at + 1] = np.log1p(mean)
+            x[at + 2] = np.sqrt(max(0, sum(v * v for v in length) / n - mean**2)) / (1 + mean)
+            x[at + 3] = len(set(g)) / n
+            x[at + 4] = sum(a == b for a, b in zip(g, g[1:], strict=False)) / n
+            x[at + 5] = sum(v > 24 for v in length) / n
+        x[at + 6] = not g
+        for w in g:
+            w = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+            h = 0
+            for i, c in enumerate(w):
+                h = (h + int(quality._CODES[c]) * int(quality._POWERS[i & 63])) % 2**64
+            x[quality.N_MEASURES + int(quality.mix(np.array([h], np.uint64))[0] % np.uint64(quality.BUCKETS))] += 1 / n
+        x[quality.N_MEASURES :] = np.sqrt(x[quality.N_MEASURES :])
+        out.append(x)
+    return np.array(out)
+
+
+def quality_words(text):
+    import re
+
+    return re.split(rb"[ \t\r\v\f\n]+", (text or "").encode("utf-8", "replace"))
+
+
+def test_passages_agree_with_plain_loops():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Word", "word", "x" * 30, "a,b", "é1", "!!", "stone"]) for _ in range(rng.choice([0, 1, 5, 64, 65, 200]))) for _ in range(12)] + ["", None, "  lead\n\nand trail  "]
+    x, starts = quality.passages(texts)
+    want = [plain_passages(t) for t in texts]
+    assert list(np.diff(starts)) == [len(w) for w in want]
+    at = [i for i in range(quality.N_FEATURES) if i >= quality.N_KINDS]
+    assert np.allclose(x[:, at], np.concatenate(want)[:, at], atol=1e-6)
+    kinds = x[:, : quality.N_KINDS] ** 2  # shares of the kinds of bytes, blanks before and between words included
+    assert np.allclose(kinds.sum(axis=1), 1, atol=1e-6)
+    assert kinds[starts[-2], quality._KIND[ord("\n")]] == pytest.approx(2 / 20) and kinds[starts[-2], quality._KIND[ord("a")]] == pytest.approx(12 / 20)
+
+
+def test_scores_of_quality_agree_with_plain_loops(spark):
+    """Every row's score by loops over passages, from the model that the operator fits."""
+    import math
+
+    docs, labels = labelled_docs(spark, "quality")
+    m = quality.model_of(docs, labels)
+    rows = sorted(((r.doc_id or -1, r.text) for r in docs.collect()), key=str)
+    got = sorted((r.doc_id or -1, r.score) for r in quality.quality(docs, labels).collect())
+    want = []
+    for i, text in rows:
+        hs, es = [], []
+        for x in quality.passages([text])[0]:
+            h = [math.tanh(sum((x[j] - m["mean"][j]) / m["std"][j] * m["w1"][j, k] for j in range(len(x))) + m["b1"][k]) for k in range(quality.HIDDEN)]
+            e = 0.0
+            for g in range(quality.GATE):
+                t, u = (sum(h[k] * m[w][k, g] for k in range(quality.HIDDEN)) for w in "vu")
+                e += math.tanh(t) / (1 + math.exp(-u)) * m["a"][g]
+            hs.append(h)
+            es.append(math.exp(e))
+        z = [sum(e * h[k] for e, h in zip(es, hs, strict=True)) / sum(es) for k in range(quality.HIDDEN)]
+        s = sum(a * b for a, b in zip(z, m["c"], strict=True)) + float(m["d"][0])
+        want.append((i, 1 / (1 + math.exp(-max(-35, min(35, s))))))
+    assert [a for a, _ in got] == [a for a, _ in sorted(want)] and all(abs(a - b) < 1e-5 for (_, a), (_, b) in zip(got, sorted(want), strict=True))
+
+
+def plain_features(text):
+    """Buckets of one text's words, stems, neighbours and skips, by loops."""
+    import re
+
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode("utf-8", "replace"))
+    h = [int(word_hashes([w.decode()])[0][0]) for w in words]
+    stems = [int(word_hashes([w.decode()], (toxicity.STEM,))[2][0]) for w in words]
+    pairs = [(0xD6E8FEB86659FD93 * a + b) % 2**64 for a, b in zip(h, h[1:], strict=False)] + [(0xA0761D6478BD642F * a + b) % 2**64 for a, b in zip(h, h[2:], strict=False)]
+    mixed = [int(x) for x in toxicity.mix(np.array(pairs, np.uint64))] if pairs else []
+    return {x >> (64 - toxicity.BITS) for x in [*h, *stems, *mixed]}
+
+
+def test_toxicity_agrees_with_a_plain_loop(spark):
+    """FTRL-proximal by dictionaries, one coordinate after the other, and every row's score from its weights."""
+    import math
+
+    docs, labels = labelled_docs(spark, "toxic")
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    import zlib
+
+    own = sorted((i, t) for i, t in rows if i in y and zlib.crc32(str(i).encode()) % 5)
+    ids = np.array([i for i, _ in own], np.int64)
+    own = [own[i] for i in np.argsort(toxicity.mix(ids.view(np.uint64)), kind="stable")]
+    sets = [plain_features(t) for _, t in own]
+    seen = {}
+    for s in sets:
+        for f in s:
+            seen[f] = seen.get(f, 0) + 1
+    z, n, strength = {}, {}, toxicity.l1(len(own))
+
+    def weight(f):
+        if f not in z or abs(z[f]) <= (least := 0 if f == "bias" else strength):
+            return 0.0
+        return -(z[f] - math.copysign(least, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for (i, _), s in zip(own, sets, strict=True):
+            live = [f for f in s if seen[f] >= toxicity.LEAST_DOCS] + ["bias"]
+            w = {f: weight(f) for f in live}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[i]
+            for f in live:
+                z[f] = z.get(f, 0) + g - (math.sqrt(n.get(f, 0) + g * g) - math.sqrt(n.get(f, 0))) / toxicity.ALPHA * w[f]
+                n[f] = n.get(f, 0) + g * g
+    want = sorted((i or -1, 1 / (1 + math.exp(-weight("bias") - sum(weight(f) for f in plain_features(t))))) for i, t in rows)
+    got = sorted((r.doc_id or -1, r.score) for r in toxicity.toxicity(docs, labels).collect())
+    assert len(got) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_training_rows_are_bounded(spark):
+    from tellur.llm.common import labelled
+
+    docs, labels = labelled_docs(spark, "toxic")
+    whole = labelled(docs, labels, "toxic", 10_000)
+    size = whole.agg(F.sum(F.octet_length("text"))).first()[0]
+    fewer = labelled(docs, labels, "toxic", 10_000, most_bytes=size // 3)
+    assert whole.count() > 300 and 0.15 * size < fewer.agg(F.sum(F.octet_length("text"))).first()[0] < 0.5 * size
+    assert 50 < labelled(docs, labels, "toxic", 100).count() < 150
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT-text"]
     rows = [(1, "a b c\nReleased under the MIT License.\nend"), (2, "x\n\n" + mit.replace(", ", ",\n") + "\n\ny"), (3, None), (4, ""), (5, "the mit of the cats under license"), (None, "LICENSED under CC BY-NC 4.0!"), (1, "a b c\nReleased under the MIT License.\nend")]
@@ -576,11 +709,47 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near-dedup", "decontamination", "mixing"]
-    docs, labels = labelled_docs(spark, "toxic")
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    labels.withColumn("quality", F.lit(1)).write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, "no such words anywhere here")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = {r.doc_id for r in out}
-    toxic = [i for i in kept if i is not None and i < 400 and i % 3 == 0]
-    assert len(toxic) <= 7 and len(kept) > 150  # 134 were toxic; a learned model may miss a few in a hundred
+    """Planted junk, toxic texts, copies, near copies and leaks go; clean documents stay."""
+    rng = random.Random(4)
+    rows, labels, junk, toxic = [], [], set(), set()
+    for i in range(900):
+        words = [f"{rng.choice('bcdfghklmnprst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice(['a', 'en', 'ing', 'or'])}" for _ in range(rng.randint(40, 200))]
+        text = " ".join(words)
+        if i % 5 == 1:
+            junk.add(i)
+            text = text.upper() + " $$$ ### !!! " * 20
+        if i % 5 == 2:
+            toxic.add(i)
+            text += " you utter " + rng.choice(["dolt", "dunce"]) + " go"
+        rows.append([i, text, "en", f"s{i % 3}", len(text)])
+        labels.append((i, int(i not in junk), int(i in toxic)))
+    clean = [i for i in range(900) if i not in junk | toxic]
+    item = " ".join(f"quiz{i}" for i in range(24)) + ". Answer is nine."
+    leaks = set(clean[10:20])
+    for i in leaks:
+        rows[i][1] += " " + item
+    copies, near = {}, {}
+    for k, i in enumerate(clean[30:50]):
+        copies[2000 + k], words = i, rows[i][1].split()
+        near[3000 + k] = i
+        words[len(words) // 2] = "changed"
+        rows += [[2000 + k, rows[i][1], "en", "s1", 1], [3000 + k, " ".join(words), "en", "s2", 1]]
+    rows += [[None, " ".join(f"lonely{i}" for i in range(30)), None, None, None], [4000, None, None, None, None], [4001, "", None, "s1", 0]]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, folder = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
+    ids, columns = [], docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), stage(spark, docs, folder).schema)
+        assert name == "mixing" or docs.columns == columns
+        ids.append({r.doc_id for r in docs.collect()})
+        assert docs.count() == len(ids[-1])
+    good, mild, single, pure, mixed = ids
+    assert len(good & junk) <= 5 and len(good - junk) >= 700 and None in good
+    assert len(mild & toxic) <= 5 and len(good - toxic - mild) <= 5
+    assert not single & (copies.keys() | near.keys()) and {i for i in copies.values() if i in mild} <= single
+    assert single == mild - copies.keys() - near.keys() - ({4001} if 4000 in mild else set())
+    assert pure == single - leaks and leaks & single
+    whole = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert whole.keys() == mixed and mixed <= pure and all(r.taken > 0 for r in whole.values())
