@@ -1,38 +1,80 @@
-"""Licence scans: lines and paragraphs against licence templates by the Dice coefficient of word bigrams. DataFrame functions only.
+"""Licence scans: word windows against licence templates by the Dice coefficient of word bigrams. DataFrame functions only.
 
-Dice >= t needs |A| and |B| within a factor (2 - t) / t and a share t / (2 - t) of the template's bigrams in the text. The
-first bounds which templates a text meets; the second makes a few words of each template necessary, one of which must
-occur before a text's bigrams are made at all. Templates are a short fixed list, inlined as literals; nothing is joined.
+A window has as many words as the template and may lie anywhere in the text: in a line, across lines or paragraphs. Dice
+of t or more needs a share t / (2 - t) of the template's bigrams in the window, and as many of its words as can hold so
+many bigrams. The number of the template's words that the text has bounds which templates a text meets, then the number
+of bigrams does; only then windows are made, at the places of the template's bigrams. Templates are a fixed list, inlined
+as one literal; nothing is joined or shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellur.llm.common import read
 
-#: Notices and short texts of common licences (fixed values, from the licences themselves).
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. {it} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+_CC = "This work is licensed under a Creative Commons {kind} 4.0 International License."
+
+#: Notices, headers and texts of common licences (fixed values, from the licences themselves), by SPDX name and kind.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC0-1.0": "Released into the public domain under CC0 1.0.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
-    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
-    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "0BSD/text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "AGPL-3.0/header": "This program " + _GNU.format(name="Affero General Public License", version="3", it="This program"),
+    "AGPL-3.0/notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "Apache-2.0/header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0/text": 'Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. '
+    '"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.',
+    "BSD-2-Clause/notice": "Released under the BSD 2-Clause License.",
+    "BSD-2-Clause/text": f"{_BSD_HEAD} {_BSD_TAIL}",
+    "BSD-3-Clause/notice": "Released under the BSD 3-Clause License.",
+    "BSD-3-Clause/text": f"{_BSD_HEAD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_TAIL}",
+    "BSL-1.0/text": "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "CC-BY-4.0/deed": _CC.format(kind="Attribution"),
+    "CC-BY-4.0/notice": "Licensed under CC BY 4.0.",
+    "CC-BY-NC-4.0/deed": _CC.format(kind="Attribution-NonCommercial"),
+    "CC-BY-NC-4.0/notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0/deed": _CC.format(kind="Attribution-ShareAlike"),
+    "CC-BY-SA-4.0/notice": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0/deed": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC0-1.0/notice": "Released into the public domain under CC0 1.0.",
+    "EPL-2.0/notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "GPL-2.0/header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0/notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-3.0/header": "This program " + _GNU.format(name="General Public License", version="3", it="This program"),
+    "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0/text": "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. "
+    "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+    "ISC/text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "LGPL-2.1/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0/header": "This program " + _GNU.format(name="Lesser General Public License", version="3", it="This program"),
+    "LGPL-3.0/notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "MIT/grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "MIT/notice": "Released under the MIT License.",
+    "MIT/text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
+    f"The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}",
+    "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "WTFPL/text": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "Zlib/text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 LEAST_DICE = 0.8
 
@@ -45,77 +87,89 @@ def bigrams_of(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def needed(bigrams: list[str], least: float) -> set[str]:
-    """Words of a template of which a text with Dice >= least has one at least: more bigrams hold them than may be missing."""
-    spare = len(bigrams) - math.ceil(least / (2 - least) * len(bigrams) - 1e-9)
-    chosen: set[str] = set()
-    for w in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
-        if sum(not chosen.isdisjoint(b.split()) for b in bigrams) > spare:
-            break
-        chosen.add(w)
-    return chosen
+def kinds_of(templates: dict[str, str], least: float) -> list[dict]:
+    """What the scan needs of each template: its words and bigrams, how many of each a text must have, and the window's bigrams."""
+    out = []
+    for name, text in sorted(templates.items()):
+        words = words_of(text)
+        if not (bigrams := bigrams_of(words)):
+            continue
+        need = math.ceil(least / (2 - least) * len(bigrams) - 1e-9)
+        # Each bigram has two places for words; so few distinct words, the most frequent ones, can hold as many as are needed.
+        places, few = sorted(Counter(w for b in bigrams for w in b.split()).values(), reverse=True), 0
+        while sum(places[:few]) < 2 * need:
+            few += 1
+        out.append({"license": name, "words": sorted(set(words)), "bigrams": bigrams, "need_words": few, "need": need, "wide": len(words) - 1})
+    return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, unit, line_no, license, dice): for each matching line, or paragraph of several lines, its best template.
+    """(doc_id, license, start, n_words, dice): the best window of each row's text for each template that reaches `least`.
 
-    Text is lower-cased and everything but letters and digits becomes a space. `unit` is 'line' or 'paragraph' (lines
-    between empty ones) and line_no counts from 0 within the unit's kind. Ties go to the template whose name is smaller.
-    Null and empty texts match nothing; null ids are kept; repeated rows match each; templates of one word never match.
-    Other columns take no part. An empty table gives none.
+    Text is lower-cased and everything but letters and digits becomes a space; `start` counts words from 0. A window
+    begins with a bigram of the template and has as many words, fewer at the text's end; ties go to the first. Of windows
+    that overlap, one gives way to any of a greater Dice, then more words, then the smaller name. Null and empty texts match nothing; null
+    ids are kept; repeated rows match each; templates of one word never match. Texts of any length, of one line or many,
+    are scanned whole. Other columns take no part. An empty table gives none.
     """
-    known = {k: b for k, t in templates.items() if (b := bigrams_of(words_of(t)))}
-    if not known:
-        known = {"": []}
-    anchors = sorted(set().union(*(needed(b, least) for b in known.values())) or {""})
-    kinds = F.array(*(F.struct(F.lit(k).alias("license"), (F.array(*map(F.lit, b)) if b else F.array().cast("array<string>")).alias("bigrams")) for k, b in sorted(known.items())))
-    shortest = min(least / (2 - least) * len(b) for b in known.values())
-
-    text = F.col("text")
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("line_no"), x.alias("raw")))
-    parts = F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("line_no"), x.alias("raw")))
-    several = F.filter(parts, lambda x: x["raw"].contains("\n"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    # Each explode of one element keeps Catalyst from copying an expression into the lambdas that use it over and over.
-    units = rows.select("doc_id", F.explode(F.concat(lines, several)).alias("u"))
-    units = units.select("doc_id", "u.unit", "u.line_no", F.explode(F.array(F.split(F.trim(F.regexp_replace(F.lower("u.raw"), r"[^\p{L}\p{N}]+", " ")), " "))).alias("w"))
-    units = units.where((F.size("w") - 1 >= math.ceil(shortest - 1e-9)) & F.arrays_overlap("w", F.array(*map(F.lit, anchors))))
-    pairs = F.array_distinct(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.element_at("w", i + 2))))
-    units = units.where(F.size("w") > 1).select("doc_id", "unit", "line_no", F.explode(F.array(pairs)).alias("b"))
-    low, high = least / (2 - least), (2 - least) / least
-    n = F.size("b")
-    met = F.filter(kinds, lambda t: (n >= low * F.size(t["bigrams"]) - F.lit(1e-9)) & (n <= high * F.size(t["bigrams"]) + F.lit(1e-9)))
+    known = kinds_of(templates, least)
+    schema = "array<struct<license: string, words: array<string>, bigrams: array<string>, need_words: int, need: int, wide: int>>"
+    kinds = F.from_json(F.lit(json.dumps(known)), schema)  # a constant, folded once
+    every = F.from_json(F.lit(json.dumps(sorted({w for k in known for w in k["words"]}))), "array<string>")
+    fewest = min((k["need_words"] for k in known), default=1)
+
+    def once(df: DataFrame, **columns: Column) -> DataFrame:
+        """Adds columns by exploding one element, which keeps Catalyst from copying their expressions into those that use them."""
+        ((name, x),) = columns.items()
+        return df.select("*", F.explode(F.array(x)).alias(name))
+
+    def rated(k: Column) -> Column:
+        """The best (dice, -start) of a template's windows, as a match."""
+        places = F.filter(F.transform("b", lambda x, i: F.when(F.array_contains(k["bigrams"], x), i + 1)), lambda x: x.isNotNull())
 
-    def rate(t):
-        return F.struct((F.lit(2.0) * F.size(F.array_intersect("b", t["bigrams"])) / (n + F.size(t["bigrams"]))).alias("dice"), t["license"].alias("license"))
+        def rate(at: Column) -> Column:
+            own = F.array_distinct(F.slice("b", at, k["wide"]))
+            return F.struct((F.lit(2.0) * F.size(F.array_intersect(own, k["bigrams"])) / (F.size(own) + F.size(k["bigrams"]))).alias("dice"), (1 - at).alias("behind"))
 
-    rated = units.select("doc_id", "unit", "line_no", F.explode(F.array(F.filter(F.transform(met, rate), lambda x: x["dice"] >= least))).alias("m"))
-    rated = rated.withColumn("top", F.array_max(F.transform("m", lambda x: x["dice"]))).where("top IS NOT NULL")
-    best = F.array_min(F.transform(F.filter("m", lambda x: x["dice"] == F.col("top")), lambda x: x["license"]))
-    return rated.select("doc_id", "unit", "line_no", best.alias("license"), F.round("top", 6).alias("dice"))
+        best = F.array_max(F.transform(places, rate))
+        return F.struct(best["dice"].alias("dice"), (-best["behind"]).alias("start"), (k["wide"] + 1).alias("n_words"), k["license"].alias("license"))
+
+    def gives_way(x: Column, y: Column) -> Column:
+        overlap = (x["start"] < y["start"] + y["n_words"]) & (y["start"] < x["start"] + x["n_words"])
+        longer = (y["n_words"] > x["n_words"]) | ((y["n_words"] == x["n_words"]) & (y["license"] < x["license"]))
+        return overlap & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & longer))
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    rows = rows.select("doc_id", F.explode(F.array(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " "))).alias("w"))
+    rows = once(rows, have=F.array_intersect("w", every)).where(F.size("have") >= fewest)
+    rows = once(rows, k=F.filter(kinds, lambda k: F.size(F.array_intersect("have", k["words"])) >= k["need_words"])).where(F.size("k") > 0)
+    rows = once(rows.drop("have"), b=F.transform(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1))))
+    rows = once(rows.select("doc_id", "b", "k"), met=F.filter("k", lambda k: F.size(F.array_intersect("b", k["bigrams"])) >= k["need"])).where(F.size("met") > 0)
+    rows = once(rows.select("doc_id", "b", "met"), m=F.filter(F.transform("met", rated), lambda x: x["dice"] >= least))
+    left = F.filter("m", lambda x: ~F.exists("m", lambda y: gives_way(x, y)))
+    return rows.select("doc_id", F.explode(left).alias("m")).select("doc_id", "m.license", "m.start", "m.n_words", F.round("m.dice", 6).alias("dice"))
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
-    """doc_id, unit, line_no, license, dice of all `documents`."""
+    """doc_id, license, start, n_words, dice of all `documents`."""
     return scan(read(spark, sf_dir, "documents"))
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE) -> str:
-    """The scan in SQL, every unit against every template without the pruning."""
-    known = ", ".join(f"('{k}', [{', '.join(f"'{x}'" for x in bigrams_of(words_of(t)))}])" for k, t in sorted(templates.items()))
+    """The scan in SQL, every window that begins with a bigram of a template, without the pruning."""
+    known = ", ".join(f"('{k['license']}', {k['wide']}, [{', '.join(f"'{x}'" for x in k['bigrams'])}])" for k in kinds_of(templates, least))
     return rf"""
-WITH t(license, bigrams) AS (VALUES {known}),
-u AS (
-  SELECT doc_id, 'line' AS unit, unnest(range(len(l))) AS line_no, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
-  UNION ALL
-  SELECT doc_id, unit, line_no, raw FROM (
-    SELECT doc_id, 'paragraph' AS unit, unnest(range(len(l))) AS line_no, unnest(l) AS raw FROM (SELECT doc_id, string_split_regex(text, '\n[ \t\r]*\n') AS l FROM documents))
-  WHERE contains(raw, chr(10))),
-w AS (SELECT doc_id, unit, line_no, string_split(trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
-b AS (SELECT doc_id, unit, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-d AS (SELECT doc_id, unit, line_no, license, 2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice FROM b, t WHERE list_has_any(b, bigrams)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit, line_no ORDER BY dice DESC, license) AS n FROM d WHERE dice >= {least})
-SELECT doc_id, unit, line_no::INTEGER AS line_no, license, round(dice::DOUBLE, 6) AS dice FROM r WHERE n = 1
+WITH t(license, wide, bigrams) AS (VALUES {known}),
+g AS (SELECT license, wide, bigrams, unnest(bigrams) AS g FROM t),
+w AS (SELECT row_number() OVER () AS n, doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT n, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM w WHERE len(w) > 1),
+p AS (SELECT n, unnest(b) AS g, unnest(range(len(b))) AS start FROM b),
+h AS (SELECT p.n, p.start, g.license, g.wide, g.bigrams, b.doc_id, list_distinct(b.b[p.start + 1 : p.start + g.wide]) AS own FROM p JOIN g USING (g) JOIN b ON p.n = b.n),
+d AS (SELECT n, doc_id, license, start, wide + 1 AS n_words, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice FROM h),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, license ORDER BY dice DESC, start) AS q FROM d WHERE dice >= {least}) WHERE q = 1)
+SELECT doc_id, license, start::INTEGER AS start, n_words::INTEGER AS n_words, round(dice, 6) AS dice FROM m x
+WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.n = x.n AND x.start < y.start + y.n_words AND y.start < x.start + x.n_words
+  AND (y.dice > x.dice OR y.dice = x.dice AND (y.n_words > x.n_words OR y.n_words = x.n_words AND y.license < x.license)))
 """
 
 

@@ -608,11 +608,56 @@ def test_training_rows_are_bounded(spark):
 
 
 def test_licenses(spark):
-    mit = licenses.TEMPLATES["MIT-text"]
-    rows = [(1, "a b c\nReleased under the MIT License.\nend"), (2, "x\n\n" + mit.replace(", ", ",\n") + "\n\ny"), (3, None), (4, ""), (5, "the mit of the cats under license"), (None, "LICENSED under CC BY-NC 4.0!"), (1, "a b c\nReleased under the MIT License.\nend")]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("w", F.lit(1))).collect()
-    assert sorted((r.doc_id or 0, r.unit, r.line_no, r.license) for r in got) == [(0, "line", 0, "CC-BY-NC-4.0"), (1, "line", 1, "MIT"), (1, "line", 1, "MIT"), (2, "paragraph", 1, "MIT-text")]
-    assert all(r.dice == 1 for r in got)
+    text = licenses.TEMPLATES["MIT/text"]
+    gpl = "#! /bin/sh\n# " + licenses.TEMPLATES["GPL-3.0/header"].replace("modify it", "modify\n# it").replace(". ", ".\n#\n# ")
+    rows = [
+        (1, "a b c\nThis project is Released under the MIT License.\nend"),
+        (2, "x\n\nCopyright (c) 1999 Someone\n\n" + text.replace(", ", ",\n") + "\n\ny"),
+        (3, None),
+        (4, ""),
+        (5, "the mit of the cats under license"),
+        (None, "LICENSED under CC BY-NC 4.0!"),
+        (1, "a b c\nThis project is Released under the MIT License.\nend"),
+        (6, gpl),
+        (7, "we say: " + licenses.TEMPLATES["BSD-3-Clause/text"].replace("copyright holder", "Some Company", 1) + " and more, all in one long line " * 50),
+        (8, "word"),
+        (9, "under the terms of the License " * 400),
+        (10, "Released under the MIT License. " * 300 + "Licensed under CC BY 4.0."),
+    ]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"w": F.lit(1), "b": F.lit(1), "k": F.lit(1)})).collect()
+    found = sorted((r.doc_id or 0, r.license, r.start, r.n_words) for r in got)
+    assert found == [
+        (0, "CC-BY-NC-4.0/notice", 0, 7),
+        (1, "MIT/notice", 6, 5),
+        (1, "MIT/notice", 6, 5),
+        (2, "MIT/text", 5, len(licenses.words_of(text))),
+        (6, "GPL-3.0/header", 2, len(licenses.words_of(licenses.TEMPLATES["GPL-3.0/header"]))),
+        (7, "BSD-3-Clause/text", 2, len(licenses.words_of(licenses.TEMPLATES["BSD-3-Clause/text"]))),
+        (10, "CC-BY-4.0/notice", 1500, 6),
+        (10, "MIT/notice", 0, 5),
+    ]
+    assert licenses.scan(spark.createDataFrame(rows[:0], "doc_id bigint, text string")).count() == 0
+
+
+def test_licenses_agree_with_sql(spark, tmp_path):
+    """Altered, cut and merged templates among prose, scanned with the pruning and by the SQL without."""
+    import duckdb
+
+    rng = random.Random(23)
+    names = list(licenses.TEMPLATES)
+    rows = [(0, None), (1, ""), (2, "the"), (2, "the license")]
+    for i in range(150):
+        words = prose(rng, rng.randint(0, 40)).split()
+        for name in rng.sample(names, rng.randint(0, 3)):
+            own = licenses.TEMPLATES[name].split()
+            for at in rng.sample(range(len(own)), int(len(own) * rng.choice([0, 0.03, 0.08, 0.15]))):
+                own[at] = rng.choice(["", "changed", own[at].upper()])
+            words += own[: rng.choice([None, None, len(own) * 9 // 10])] + prose(rng, rng.randint(0, 10)).split()
+        rows.append((i, rng.choice([" ", "\n", "\n\n", " * "]).join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    documents = docs.toPandas()  # noqa: F841  DuckDB reads it by name
+    want = sorted(duckdb.sql(licenses.ORACLE).fetchall(), key=str)
+    assert sorted(map(tuple, licenses.scan(docs).collect()), key=str) == want and len(want) > 120
 
 
 def test_lcs():
