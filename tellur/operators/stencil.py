@@ -7,25 +7,24 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellur.sources.cells import keys
+from tellur.sources.cells import keys, whole
 
 
 def neighbours(cells: DataFrame, value: str = "z", fill: bool = True) -> DataFrame:
-    """Adds nw, n, ne, w, m, e, sw, s, se for every cell of a dense raster.
+    """Adds nw, n, ne, w, m, e, sw, s, se for every cell.
 
-    With `fill`, nodata counts as the raster's mean, otherwise it stays NULL. Two shuffles, on row and on column, whatever
-    is computed from the nine values afterwards.
+    With `fill`, nodata counts as the raster's mean, otherwise it stays NULL; cells that a raster's box lacks are nodata
+    too. Two shuffles, on row and on column, whatever is computed from the nine values afterwards.
     """
-    by = keys(cells)
-    x = F.col(value)
-    if fill:
-        x = F.coalesce(x, F.avg(value).over(Window.partitionBy(*by))) if by else F.coalesce(x, F.lit(cells.agg(F.avg(value)).first()[0]))
+    by, names = keys(cells), cells.columns
+    cells = whole(cells, value)
+    x = F.coalesce(F.col(value), F.col("_mean")) if fill else F.col(value)
     across, down = Window.partitionBy(*by, "r").orderBy("c"), Window.partitionBy(*by, "c").orderBy("r")
     one = cells.withColumn("_v", F.struct(x.alias("x")))
     one = one.withColumn("_row", F.struct(F.coalesce(F.lag("_v").over(across), F.col("_v"))["x"].alias("w"), F.col("_v.x").alias("m"), F.coalesce(F.lead("_v").over(across), F.col("_v"))["x"].alias("e")))
     one = one.withColumns({"_up": F.coalesce(F.lag("_row").over(down), F.col("_row")), "_down": F.coalesce(F.lead("_row").over(down), F.col("_row"))})
-    names = {"nw": "_up.w", "n": "_up.m", "ne": "_up.e", "w": "_row.w", "m": "_row.m", "e": "_row.e", "sw": "_down.w", "s": "_down.m", "se": "_down.e"}
-    return one.select(*cells.columns, *(F.col(v).alias(k) for k, v in names.items()))
+    nine = {"nw": "_up.w", "n": "_up.m", "ne": "_up.e", "w": "_row.w", "m": "_row.m", "e": "_row.e", "sw": "_down.w", "s": "_down.m", "se": "_down.e"}
+    return one.select(*names, *(F.col(v).alias(k) for k, v in nine.items()))
 
 
 def horn(cell: float = 1.0) -> tuple[Column, Column]:

@@ -3,48 +3,98 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Kernel = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
+from tellur.sources.cells import keys
 
 
-def over_tiles(cells: DataFrame, halo: int, kernel: Kernel, names: list[str], tile: int = 256, edge: str = "mean") -> DataFrame:
-    """(r, c, *names): what a kernel makes of every tile.
+@dataclass
+class Block:
+    """A tile's heights with `halo` cells around it: NaN where the raster has none or ends."""
 
-    The kernel gets a block of heights with `halo` cells around the tile and the mask of valid ones, and returns an array
-    of the tile's size for each name. Cells outside the raster and nodata hold the raster's mean, or with edge='repeat'
-    the nearest border cell. A task holds one block, (tile + 2 halo)^2 cells; cells in several halos are sent to each.
+    z: np.ndarray
+    halo: int
+    mean: float
+    #: Rows and columns of the raster's box, counted from the block's corner: first and last of each.
+    box: tuple[int, int, int, int]
+
+    def filled(self) -> np.ndarray:
+        """Nodata, and what lies outside the raster, as the raster's mean."""
+        return np.where(np.isnan(self.z), self.mean, self.z)
+
+    def _at(self, rows, cols) -> np.ndarray:
+        return self.z[np.ix_(rows, cols)]
+
+    def repeated(self) -> np.ndarray:
+        """Outside the raster the nearest border cell; nodata stays NaN."""
+        r0, r1, c0, c1 = self.box
+        return self._at(np.clip(np.arange(self.z.shape[0]), r0, r1), np.clip(np.arange(self.z.shape[1]), c0, c1))
+
+    def reflected(self) -> np.ndarray:
+        """Outside the raster the cells mirrored at its border, which isn't repeated; nodata stays NaN.
+
+        A cell at most `halo` outside is mirrored to one at most `halo` inside, so the block holds it.
+        """
+
+        def mirror(n: int, low: int, high: int) -> np.ndarray:
+            period = max(1, 2 * (high - low))
+            at = np.mod(np.arange(n) - low, period)
+            return low + np.minimum(at, period - at)
+
+        r0, r1, c0, c1 = self.box
+        return self._at(mirror(self.z.shape[0], r0, r1), mirror(self.z.shape[1], c0, c1))
+
+    def cut(self, z: np.ndarray, dr: int = 0, dc: int = 0) -> np.ndarray:
+        """The tile, moved by so many cells within the halo."""
+        h = self.halo
+        return z[h + dr : z.shape[0] - h + dr, h + dc : z.shape[1] - h + dc]
+
+
+Kernel = Callable[[Block], dict[str, np.ndarray]]
+
+
+def over_tiles(cells: DataFrame, halo: int, kernel: Kernel, names: list[str], tile: int = 256) -> DataFrame:
+    """([raster_id,] r, c, *names): what a kernel makes of every tile of every raster.
+
+    The kernel gets a block and returns an array of the tile's size for each name. A task holds one block, (tile + 2 halo)^2
+    cells; cells in several halos are sent to each. Rasters may begin anywhere; cells that a raster's box lacks are
+    nodata. Nodata cells have no values.
     """
-    said = cells.agg(F.avg("z").alias("mean"), F.max("r").alias("r"), F.max("c").alias("c")).first()
-    mean, rows, cols = said.mean or 0.0, (said.r or 0) + 1, (said.c or 0) + 1
+    by = keys(cells)
+    stats = cells.groupBy(*by).agg(F.avg("z").alias("_mean"), *(f(x).alias(f"_{f.__name__}_{x}") for x in "rc" for f in (F.min, F.max)))
+    own = ["_mean", "_min_r", "_max_r", "_min_c", "_max_c"]
+    if by:
+        sent, fixed = cells.select(*by, "r", "c", F.col("z").cast("double").alias("z")).join(stats, by), None
+    else:
+        fixed = stats.first()  # five numbers of the one raster
+        sent = cells.select("r", "c", F.col("z").cast("double").alias("z"), *(F.lit(fixed[x]).alias(x) for x in own))
 
-    def spans(x: str, last: int):
-        return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(x) - halo) / tile)).cast("int"), F.least(F.lit((last - 1) // tile), F.floor((F.col(x) + halo) / tile)).cast("int")))
+    def spans(x: str):
+        low, last = F.col(f"_min_{x}"), F.floor((F.col(f"_max_{x}") - F.col(f"_min_{x}")) / tile)
+        return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(x) - low - halo) / tile)).cast("int"), F.least(last, F.floor((F.col(x) - low + halo) / tile)).cast("int")))
 
-    sent = cells.select("r", "c", F.col("z").cast("double").alias("z"), spans("r", rows).alias("tr")).select("r", "c", "z", "tr", spans("c", cols).alias("tc"))
+    keep = [*by, "r", "c", "z", *(own if by else [])]
+    sent = sent.withColumn("tr", spans("r")).select(*own if not by else [], *keep, "tr").withColumn("tc", spans("c")).select(*keep, "tr", "tc")
 
     def work(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = key[0] * tile, key[1] * tile
-        h, w = min(tile, rows - r0), min(tile, cols - c0)
+        mean, r_min, r_max, c_min, c_max = (fixed[x] if fixed else f[x].iloc[0] for x in own)
+        r0, c0 = int(r_min) + key[-2] * tile, int(c_min) + key[-1] * tile
+        h, w = min(tile, int(r_max) + 1 - r0), min(tile, int(c_max) + 1 - c0)
         z = np.full((h + 2 * halo, w + 2 * halo), np.nan)
         z[f.r.to_numpy() - r0 + halo, f.c.to_numpy() - c0 + halo] = f.z.to_numpy(float)
-        valid = ~np.isnan(z)
-        if edge == "repeat":
-            at_r = np.clip(np.arange(r0 - halo, r0 + h + halo), 0, rows - 1) - r0 + halo
-            at_c = np.clip(np.arange(c0 - halo, c0 + w + halo), 0, cols - 1) - c0 + halo
-            z = z[np.ix_(at_r, at_c)]
-            valid = ~np.isnan(z)
-        else:
-            z = np.where(valid, z, mean)
-        out = kernel(z, valid)
-        ok = valid[halo : halo + h, halo : halo + w]
+        box = (int(r_min) - r0 + halo, int(r_max) - r0 + halo, int(c_min) - c0 + halo, int(c_max) - c0 + halo)
+        block = Block(z, halo, float(mean) if mean is not None and mean == mean else 0.0, box)
+        out = kernel(block)
+        ok = ~np.isnan(block.cut(z))
         rr, cc = np.mgrid[r0 : r0 + h, c0 : c0 + w]
-        return pd.DataFrame({"r": rr.ravel(), "c": cc.ravel()} | {n: np.where(ok, out[n], np.nan).ravel() for n in names})
+        at = {"r": rr.ravel(), "c": cc.ravel()} | {n: np.where(ok, out[n], np.nan).ravel() for n in names}
+        return pd.DataFrame(({by[0]: key[0]} if by else {}) | at)
 
-    schema = "r int, c int, " + ", ".join(f"{n} double" for n in names)
-    out = sent.groupBy("tr", "tc").applyInPandas(work, schema)
-    return out.select("r", "c", *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in names))
+    schema = "".join(f"`{b}` {cells.schema[b].dataType.simpleString()}, " for b in by) + "r int, c int, " + ", ".join(f"{n} double" for n in names)
+    out = sent.groupBy(*by, "tr", "tc").applyInPandas(work, schema)
+    return out.select(*by, "r", "c", *(F.when(~F.isnan(n), F.col(n)).alias(n) for n in names))

@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellur.sources.cells import keys
+from tellur.sources.cells import keys, whole
 
 
 def _mirrored(cells: DataFrame, axis: str, radius: int) -> DataFrame:
-    """The raster with `radius` rows of cells reflected beyond both ends of an axis (the border cell is repeated)."""
+    """The raster with `radius` rows of cells reflected beyond both ends of an axis (the border cell is repeated), over and over if it is narrow."""
     by = keys(cells)
     ends = cells.groupBy(*by).agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
     both = cells.join(F.broadcast(ends), by) if by else cells.crossJoin(F.broadcast(ends))  # one row for each raster
-    at = F.col(axis)
-    copies = F.array_compact(F.array(at, F.when(at - F.col("_lo") < radius, 2 * F.col("_lo") - 1 - at), F.when(F.col("_hi") - at < radius, 2 * F.col("_hi") + 1 - at)))
+    at, lo, hi = F.col(axis), F.col("_lo"), F.col("_hi")
+    side = hi - lo + 1
+    near = F.array_compact(F.array(at, F.when(at - lo < radius, 2 * lo - 1 - at), F.when(hi - at < radius, 2 * hi + 1 - at)))
+    turns = F.sequence(-F.ceil(F.lit(radius) / (2 * side)).cast("int") - 1, F.ceil(F.lit(radius) / (2 * side)).cast("int") + 1)
+    often = F.flatten(F.transform(turns, lambda m: F.array((at + 2 * side * m).cast("int"), (2 * lo - 1 - at + 2 * side * m).cast("int"))))
+    often = F.filter(often, lambda x: (x >= lo - radius) & (x <= hi + radius))
+    copies = F.when(side >= radius, near).otherwise(often)
     return both.withColumn("_real", at).withColumn(axis, F.explode(copies)).withColumn("_inside", F.col(axis) == F.col("_real")).drop("_lo", "_hi", "_real")
 
 
 def box_mean(cells: DataFrame, radius: int) -> DataFrame:
-    """(r, c, z, mean): the mean over (2 radius + 1)^2 cells, reflected at the border, nodata as the raster's mean.
-
-    The radius must be smaller than both sides of the raster.
-    """
+    """(r, c, z, mean): the mean over (2 radius + 1)^2 cells, reflected at the border, nodata and missing cells as the raster's mean."""
     by = keys(cells)
-    mean = F.avg("z").over(Window.partitionBy(*by)) if by else F.lit(cells.agg(F.avg("z")).first()[0])
-    x = _mirrored(cells.withColumn("_f", F.coalesce("z", mean)), "c", radius)
+    x = _mirrored(whole(cells).withColumn("_f", F.coalesce("z", "_mean")).drop("_mean"), "c", radius)
     x = x.withColumn("_f", F.sum("_f").over(Window.partitionBy(*by, "r").orderBy("c").rowsBetween(-radius, radius))).where("_inside").drop("_inside")
     x = _mirrored(x, "r", radius)
     x = x.withColumn("_f", F.sum("_f").over(Window.partitionBy(*by, "c").orderBy("r").rowsBetween(-radius, radius))).where("_inside")
@@ -40,11 +41,10 @@ def local_relief(cells: DataFrame, radius: int = 20) -> DataFrame:
 def deviations(cells: DataFrame, radii: tuple[int, ...]) -> DataFrame:
     """(r, c, z, dev_<radius>...): (height - mean) / population deviation of the clipped square; 0 where that is under 0.001.
 
-    Nodata counts as the raster's mean.
+    Nodata and missing cells count as the raster's mean.
     """
     by = keys(cells)
-    mean = F.avg("z").over(Window.partitionBy(*by)) if by else F.lit(cells.agg(F.avg("z")).first()[0])
-    x = cells.withColumn("_f", F.coalesce("z", mean))
+    x = whole(cells).withColumn("_f", F.coalesce("z", "_mean")).drop("_mean")
     across, down = Window.partitionBy(*by, "r").orderBy("c"), Window.partitionBy(*by, "c").orderBy("r")
     sums = {f"_{k}{q}": F.sum(v).over(across.rowsBetween(-q, q)) for q in radii for k, v in (("s", F.col("_f")), ("q", F.col("_f") * F.col("_f")), ("n", F.lit(1.0)))}
     x = x.withColumns(sums)

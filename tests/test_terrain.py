@@ -54,13 +54,106 @@ def test_tiles_agree_with_one_tile(spark):
 
     z = raster(spark, lambda r, c: math.sin(r) * 10 + c if (r + c) % 17 else None, 30, 25)
 
-    def kernel(x, valid):
-        return {"s": sum(x[2 + i : x.shape[0] - 2 + i, 2 + j : x.shape[1] - 2 + j] for i in range(-2, 3) for j in range(-2, 3))}
+    def kernel(b):
+        return {"s": sum(b.cut(b.filled(), i, j) for i in range(-2, 3) for j in range(-2, 3))}
 
     a, b = (grid(over_tiles(z, 2, kernel, ["s"], tile=t), "s") for t in (7, 64))
     assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
 
 
+def plain_ray(samples, noise, lenient):
+    """The horizon of one ray with the filter, sample by sample."""
+    best = candidate = 0.0
+    wait, good = 0, False
+    for s in samples:
+        if wait > 0 and s >= candidate - (math.sin(math.radians(2)) if lenient else 0):
+            good = True
+        if s > max(best, candidate):
+            if good if lenient else wait > 0:
+                best = candidate
+            candidate, good, wait = s, False, noise - 1 if lenient else noise
+        elif wait > 0:
+            wait -= 1
+        if wait == 0:
+            if good:
+                best = max(best, candidate)
+            candidate, good = best, False
+    return max(best, candidate) if good or wait > 0 else best
+
+
+@pytest.mark.parametrize("noise", [1, 2, 3])
+def test_noise_filters_against_a_loop_for_each_ray(spark, noise):
+    import random
+
+    rng = random.Random(noise)
+    h = {(r, c): rng.choice([0.0, 0.0, rng.uniform(0, 6)]) for r in range(14) for c in range(11)}
+    z, mean = raster(spark, lambda r, c: h[r, c], 14, 11), sum(h.values()) / len(h)
+    w = horizon.directional(8, 315, 0.5)
+    sky, asky = grid(horizon.sky_view(z, 8, 5, noise), "svf"), grid(horizon.anisotropic_sky_view(z, 8, 5, noise=noise), "asvf")
+    for (r, c), own in h.items():
+        tops = {True: [], False: []}
+        for ray in horizon.rays(8, 5):
+            s = [(x := h.get((r + dr, c + dc), mean) - own) / math.hypot(x, d) for dr, dc, d in ray]
+            for lenient in tops:
+                tops[lenient].append(max(0.0, plain_ray(s, noise, lenient)))
+        assert sky[r, c] == pytest.approx(1 - sum(tops[False]) / 8) and asky[r, c] == pytest.approx(sum((1 - t) * k for t, k in zip(tops[True], w, strict=True)) / sum(w))
+    assert plain_ray([0.3, 0.5, 0, 0], 2, False) == 0.3 and plain_ray([0.3, 0.5], 2, False) == 0.5 and plain_ray([0.5, 0, 0, 0], 2, False) == 0
+
+
+def test_rasters_are_kept_apart(spark):
+    """Two rasters of other shapes, origins and holes, in one table: each gets what it gets alone."""
+    from tellur.operators import tiles
+
+    a = raster(spark, lambda r, c: float(r * 3 + c % 4), 9, 8).withColumn("r", F.col("r") + 5)
+    b = raster(spark, lambda r, c: float((r - c) % 5) * 10, 7, 12).withColumn("c", F.col("c") - 3).where("NOT (r = 3 AND c = 2)")
+    both = a.withColumn("raster_id", F.lit("a")).unionByName(b.withColumn("raster_id", F.lit("b")))
+    for make, name in ((lambda x: horizon.sky_view(x, 8, 3), "svf"), (stencil.slope, "slope"), (lambda x: windows.local_relief(x, 2), "slrm"), (lambda x: horizon.openness(x, True, 8, 3, edge="reflect"), "openness"), (lambda x: horizon.local_dominance(x, 2, 4, 1, 45), "dominance")):
+        got = {(r.raster_id, r.r, r.c): r[name] for r in make(both).collect()}
+        alone = {(k, r.r, r.c): r[name] for k, x in (("a", a), ("b", b)) for r in make(x).collect()}
+        assert got.keys() == alone.keys() and all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in alone.items()), name
+    assert len(grid(tiles.over_tiles(a, 1, lambda t: {"m": t.cut(t.filled())}, ["m"], tile=4), "m")) == 72
+
+
+def test_a_missing_cell_is_nodata(spark):
+    z = raster(spark, lambda r, c: float(c)).where("NOT (r = 5 AND c = 5)")
+    got = grid(stencil.slope(z), "slope")
+    filled = grid(stencil.slope(raster(spark, lambda r, c: None if (r, c) == (5, 5) else float(c))), "slope")
+    assert len(got) == 144 and all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in filled.items())
+
+
+def test_a_radius_beyond_the_raster(spark):
+    flat = grid(windows.local_relief(raster(spark, lambda r, c: 4.0, 6, 6), 20), "slrm")
+    assert all(abs(v) < 1e-9 for v in flat.values())
+    h = [[float((3 * r + 5 * c) % 7) for c in range(3)] for r in range(4)]
+    fold = lambda i, n: (i % (2 * n)) if (i % (2 * n)) < n else 2 * n - 1 - i % (2 * n)
+    got = grid(windows.box_mean(raster(spark, lambda r, c: h[r][c], 4, 3), 5), "mean")
+    for r in range(4):
+        for c in range(3):
+            assert got[r, c] == pytest.approx(sum(h[fold(r + i, 4)][fold(c + j, 3)] for i in range(-5, 6) for j in range(-5, 6)) / 121)
+
+
+def test_openness_with_a_mirrored_border(spark):
+    h = {(r, c): float((7 * r + 3 * c * c) % 11) for r in range(8) for c in range(9)}
+    got = grid(horizon.openness(raster(spark, lambda r, c: h[r, c], 8, 9), False, 8, 4, edge="reflect"), "openness")
+    fold = lambda i, n: min(i % (2 * n - 2), 2 * n - 2 - i % (2 * n - 2))
+    for (r, c), own in h.items():
+        angles = [90 - math.degrees(math.asin(max((x := h[fold(r + dr, 8), fold(c + dc, 9)] - own) / math.hypot(x, d) for dr, dc, d in ray))) for ray in horizon.rays(8, 4)]
+        assert got[r, c] == pytest.approx(sum(angles) / 8)
+    with pytest.raises(ValueError):
+        horizon.openness(raster(spark, lambda r, c: 1.0), edge="wrap")
+
+
+def test_measures_in_one_pass(spark):
+    z = raster(spark, lambda r, c: math.sin(r) * 5 + c if (r + c) % 13 else None, 20, 15)
+    asked = {"ma": ("svf", {"directions": 8, "radius": 4}), "mb": ("openness", {"directions": 8, "radius": 4}), "mc": ("slope", {}), "md": ("hillshade", {"azimuths": (315,)}), "me": ("dominance", {"least": 2, "most": 3}), "mf": ("openness", {"radius": 3, "negative": True})}
+    got = {(r.r, r.c): r for r in horizon.measures(z, asked).collect()}
+    alone = {"ma": (horizon.sky_view(z, 8, 4), "svf"), "mb": (horizon.openness(z, False, 8, 4), "openness"), "mc": (stencil.slope(z), "slope"), "md": (stencil.hillshade(z, (315,)), "hillshade"), "me": (horizon.local_dominance(z, 2, 3), "dominance"), "mf": (horizon.openness(z, True, 16, 3), "openness")}
+    for k, (x, name) in alone.items():
+        assert all((got[at][k] is None) == (v is None) and (v is None or abs(got[at][k] - v) < 1e-6) for at, v in grid(x, name).items()), k
+    with pytest.raises(ValueError):
+        horizon.measures(z, {"ma": ("svf", {"depth": 1})})
+
+
 def test_box_mean_is_mirrored(spark):
     got = grid(windows.box_mean(raster(spark, lambda r, c: float(c), 4, 4), 1), "mean")
     assert abs(got[0, 0] - 1 / 3) < 1e-12 and abs(got[2, 3] - 8 / 3) < 1e-12
