@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellur.operators.change import quantiles
 from tellur.operators.windows import byte
+from tellur.sources.cells import keys
 
 MODES = ("multiply", "screen", "overlay", "soft_light")
 
@@ -46,11 +48,32 @@ def over(a: Column, b: Column, mode: str, opacity: float = 1.0) -> Column:
 
 
 def blend(a: DataFrame, b: DataFrame, mode: str, opacity: float = 1.0) -> DataFrame:
-    """(r, c, blend) of two rasters (r, c, z) on one lattice; raises if the cells aren't the same."""
-    both = a.select("r", "c", F.col("z").alias("a")).join(b.select("r", "c", F.col("z").alias("b")), ["r", "c"])
-    if a.count() != both.count() or b.count() != both.count():
+    """([raster_id,] r, c, blend) of two rasters (r, c, z) on one lattice; raises if the cells aren't the same, each once."""
+    by = [*keys(a), "r", "c"]
+    layers = a.select(*by, F.col("z").alias("a"), F.lit(None).cast("double").alias("b"), F.lit(1).alias("of")).unionByName(b.select(*by, F.lit(None).cast("double").alias("a"), F.col("z").alias("b"), F.lit(2).alias("of")))
+    both = layers.groupBy(*by).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.count_if(F.col("of") == 1).alias("na"), F.count_if(F.col("of") == 2).alias("nb"))
+    if both.where("na <> 1 OR nb <> 1").limit(1).count():
         raise ValueError("the rasters have other shapes")
-    return both.select("r", "c", over(F.col("a"), F.col("b"), mode, opacity).alias("blend"))
+    return both.select(*by, over(F.col("a"), F.col("b"), mode, opacity).alias("blend"))
+
+
+def same_place(metas: DataFrame) -> DataFrame:
+    """Adds `error` to pairs of rasters (crs_a, crs_b, x0_a, ..., y1_b): what keeps them from being blended, or NULL.
+
+    Their CRS must be the same, and their extents within a millionth of the greater side.
+    """
+    side = F.greatest(*(F.abs(F.col(f"{k}1_{r}") - F.col(f"{k}0_{r}")) for k in "xy" for r in "ab"))
+    far = [F.abs(F.col(f"{k}_a") - F.col(f"{k}_b")) > side * 1e-6 for k in ("x0", "y0", "x1", "y1")]
+    return metas.withColumn("error", F.when(~F.col("crs_a").eqNullSafe(F.col("crs_b")), "other CRS").when(far[0] | far[1] | far[2] | far[3], "other extent"))
+
+
+def prescale(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two rasters (r, c, z) as layers of 0..255, by their ranges: `a` is the base (see `prescaled`)."""
+    out = []
+    for x, base in ((a, True), (b, False)):
+        low, high = bounds(x, ["z"])["z"]
+        out.append(x.withColumn("z", prescaled(F.col("z"), low, high, base)))
+    return out[0], out[1]
 
 
 def prescaled(x: Column, low: float, high: float, base: bool) -> Column:
@@ -64,21 +87,23 @@ def prescaled(x: Column, low: float, high: float, base: bool) -> Column:
 
 def red_relief(relief: DataFrame, steep: DataFrame, opacity: float = 0.5) -> DataFrame:
     """(r, c, red) from (r, c, slrm) and (r, c, slope): stretched relief times inverted slope; layers without range are 0."""
-    x = relief.join(steep, ["r", "c"])
+    by = [*keys(relief), "r", "c"]
+    x = relief.join(steep, by)
     b = bounds(x, ["slrm", "slope"])
     layers = [stretch(F.col(n), *b[n], constant=0.0) for n in ("slrm", "slope")]
     slope = 1 - layers[1] if b["slope"][1] > b["slope"][0] else layers[1]
-    return x.select("r", "c", over(layers[0] * 255, slope * 255, "multiply", opacity).alias("red"))
+    return x.select(*by, over(layers[0] * 255, slope * 255, "multiply", opacity).alias("red"))
 
 
 def vat(layers: DataFrame) -> DataFrame:
     """(r, c, vat) from (r, c, hillshade, slope, openness, svf): shade times inverted slope, openness overlaid, times sky view, each by half."""
     b = bounds(layers, ["hillshade", "slope", "openness", "svf"])
-    x = layers.select("r", "c", *((stretch(F.col(k), *v) * 255).alias(k) for k, v in b.items()))
+    by = [*keys(layers), "r", "c"]
+    x = layers.select(*by, *((stretch(F.col(k), *v) * 255).alias(k) for k, v in b.items()))
     # One column for each step: Catalyst keeps such steps apart and computes each once.
     x = x.withColumn("vat", over(F.col("hillshade"), 255 - F.col("slope"), "multiply", 0.5))
     x = x.withColumn("vat", over(F.col("vat"), F.col("openness"), "overlay", 0.5))
-    return x.withColumn("vat", over(F.col("vat"), F.col("svf"), "multiply", 0.5)).select("r", "c", "vat")
+    return x.withColumn("vat", over(F.col("vat"), F.col("svf"), "multiply", 0.5)).select(*by, "vat")
 
 
 def e4mstp(layers: DataFrame) -> DataFrame:
@@ -95,7 +120,7 @@ def e4mstp(layers: DataFrame) -> DataFrame:
         x = x * sky * 0.25 + x * 0.75
         x = blended(x, F.col(f"mstp_{name}") / 255, "overlay") * 0.9 + x * 0.1
         out[name] = byte(x * 255)
-    return layers.select("r", "c", *(v.alias(k) for k, v in out.items()))
+    return layers.select(*keys(layers), "r", "c", *(v.alias(k) for k, v in out.items()))
 
 
 def principal(metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -110,6 +135,7 @@ def principal(metrics: DataFrame, names: list[str]) -> DataFrame:
     vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :3]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(3)])
     z = [(F.col(n) - (said[f"avg_{n}"] or 0.0)) / sd[n] for n in names]
-    scores = metrics.select("r", "c", *(sum((z[i] * float(vectors[i, k]) for i in range(1, len(names))), z[0] * float(vectors[0, k])).alias(f"pc{k + 1}") for k in range(3)))
-    q = scores.agg(*(F.percentile(f"pc{k}", F.array(F.lit(0.02), F.lit(0.98))).alias(f"pc{k}") for k in (1, 2, 3))).first()
-    return scores.select("r", "c", *((clip(stretch(F.col(f"pc{k}"), *(q[f"pc{k}"] or (0.0, 0.0)), constant=0.0, least=1e-10)) * 255).alias(f"pc{k}") for k in (1, 2, 3)))
+    by = [*keys(metrics), "r", "c"]
+    scores = metrics.select(*by, *(sum((z[i] * float(vectors[i, k]) for i in range(1, len(names))), z[0] * float(vectors[0, k])).alias(f"pc{k + 1}") for k in range(3)))
+    q = {f"pc{k}": quantiles(scores, f"pc{k}", [0.02, 0.98]) or (0.0, 0.0) for k in (1, 2, 3)}
+    return scores.select(*by, *((clip(stretch(F.col(k), *v, constant=0.0, least=1e-10)) * 255).alias(k) for k, v in q.items()))

@@ -10,11 +10,65 @@ from pyspark.sql import functions as F
 from tellur.sources.cells import keys
 
 
+#: Values whose percentiles one aggregate may hold; of more, bins are refined until those with the ranks hold so few.
+AT_ONCE = 1_000_000
+BINS = 4_096
+
+
+def quantiles(table: DataFrame, name: str, shares: list[float], most: int = AT_ONCE) -> list[float] | None:
+    """Exact percentiles of a column, interpolated between the two values beside a rank; None without values.
+
+    Up to `most` values an aggregate finds them. Beyond, values are counted in bins, and the bins that hold the wanted ranks
+    are divided again until they hold `most` values at most or one value: a few counts reach the driver in each pass.
+    """
+    x = table.where(F.col(name).isNotNull()).select(F.col(name).cast("double").alias("x"))
+    said = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not said.n:
+        return None
+    if said.n <= most:
+        return list(x.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0])
+
+    def at(rank: int) -> float:
+        """The value of a rank: bins are narrowed around it."""
+        lo, hi, before, inside = said.lo, said.hi, 0, said.n
+        while inside > most and hi > lo and (wide := (hi - lo) / BINS) > 0:
+            own = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
+            bins = own.groupBy(F.least(F.lit(BINS - 1), F.floor((F.col("x") - lo) / wide)).alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            for b in sorted(bins.collect(), key=lambda r: r.b):
+                if rank < before + b.n:
+                    break
+                before += b.n
+            if (b.lo, b.hi, b.n) == (lo, hi, inside):
+                break
+            lo, hi, inside = b.lo, b.hi, b.n
+        if lo == hi:
+            return lo
+        own = x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("x").count().orderBy("x").limit(rank - before + 1).collect()
+        for r in own:
+            before += r["count"]
+            if rank < before:
+                return r.x
+        return hi
+
+    out = []
+    for share in shares:
+        place = share * (said.n - 1)
+        low = at(math.floor(place))
+        high = at(math.ceil(place)) if place % 1 else low
+        out.append(low + (high - low) * (place % 1))
+    return out
+
+
 def statistics(cells: DataFrame) -> DataFrame:
-    """One row: least, greatest, mean, population deviation, percentiles 5 to 95 and counts of valid and nodata cells."""
-    return cells.groupBy(*keys(cells)).agg(
-        F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std"), *(F.percentile("z", F.lit(p / 100)).alias(f"p{p}") for p in (5, 25, 50, 75, 95)), F.count("z").alias("n_valid"), F.count_if(F.col("z").isNull()).alias("n_nodata")
-    )
+    """One row: least, greatest, mean, population deviation, percentiles 5 to 95 and counts of valid and nodata cells; one for each raster_id."""
+    shares, by = (5, 25, 50, 75, 95), keys(cells)
+    out = [F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std")]
+    counts = [F.count("z").alias("n_valid"), F.count_if(F.col("z").isNull()).alias("n_nodata")]
+    if by or cells.where("z IS NOT NULL").count() <= AT_ONCE:
+        return cells.groupBy(*by).agg(*out, *(F.percentile("z", F.lit(p / 100)).alias(f"p{p}") for p in shares), *counts)
+    q = quantiles(cells, "z", [p / 100 for p in shares])
+    one = cells.agg(*out, *counts)
+    return one.select("z_min", "z_max", "z_mean", "z_std", *(F.lit(v).alias(f"p{p}") for p, v in zip(shares, q, strict=True)), "n_valid", "n_nodata")
 
 
 def histogram(cells: DataFrame, bins: int = 100) -> DataFrame:
@@ -30,7 +84,7 @@ def histogram(cells: DataFrame, bins: int = 100) -> DataFrame:
 
 def display_range(cells: DataFrame, deviations: float | None = 2.0) -> DataFrame:
     """(low, high): the range, cut to the mean plus and minus so many deviations if given."""
-    s = statistics(cells)
+    s = cells.groupBy(*keys(cells)).agg(F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std"))
     if deviations is None:
         return s.select(F.col("z_min").alias("low"), F.col("z_max").alias("high"))
     return s.select(F.greatest("z_min", F.col("z_mean") - deviations * F.col("z_std")).alias("low"), F.least("z_max", F.col("z_mean") + deviations * F.col("z_std")).alias("high"))
@@ -68,16 +122,21 @@ RESAMPLE = {
     "q3": lambda z: F.percentile(z, F.lit(0.75)),
     "rms": lambda z: F.sqrt(F.avg(F.col(z) * F.col(z))),
     "mode": lambda z: F.mode(z, True),
-    "nearest": lambda z: F.max_by(z, F.struct("r", "c")),
 }
 
 
+def nearest(factor: int) -> Column:
+    """The value of the block's cell nearest to its centre, of equal ones the last."""
+    off = [F.col(x) - F.floor(F.col(x) / factor) * factor - (factor - 1) / 2 for x in "rc"]
+    return F.min_by("z", F.struct(off[0] * off[0] + off[1] * off[1], -F.col("r"), -F.col("c")))
+
+
 def resample(cells: DataFrame, factor: int, kind: str = "average") -> DataFrame:
-    """(r, c, z) on a lattice `factor` times coarser; 'nearest' takes the last cell of each block."""
-    if kind not in RESAMPLE:
-        raise ValueError(f"no resampling {kind!r}; there are {', '.join(RESAMPLE)}")
+    """(r, c, z) on a lattice `factor` times coarser; 'nearest' takes the cell nearest to the centre of each block."""
+    if kind not in RESAMPLE and kind != "nearest":
+        raise ValueError(f"no resampling {kind!r}; there are nearest, {', '.join(RESAMPLE)}")
     by = keys(cells)
-    out = cells.groupBy(*by, F.floor(F.col("r") / factor).cast("int").alias("r2"), F.floor(F.col("c") / factor).cast("int").alias("c2")).agg(RESAMPLE[kind]("z").alias("z"))
+    out = cells.groupBy(*by, F.floor(F.col("r") / factor).cast("int").alias("r2"), F.floor(F.col("c") / factor).cast("int").alias("c2")).agg((nearest(factor) if kind == "nearest" else RESAMPLE[kind]("z")).alias("z"))
     return out.withColumnsRenamed({"r2": "r", "c2": "c"})
 
 
@@ -87,44 +146,82 @@ def overview_levels(rows: int, cols: int) -> int:
     return max(1, (side // 256).bit_length() - 1) if side > 512 else 0
 
 
+#: What a level of a pyramid keeps of each cell so that the next can be made of it, and the value that they give.
+LEVELS = {
+    "average": ({"s": lambda: F.sum("z"), "n": lambda: F.count("z")}, lambda: F.try_divide("s", "n")),
+    "rms": ({"s": lambda: F.sum(F.col("z") * F.col("z")), "n": lambda: F.count("z")}, lambda: F.sqrt(F.try_divide("s", "n"))),
+    "sum": ({"s": lambda: F.sum("z")}, lambda: F.col("s")),
+    "min": ({"s": lambda: F.min("z")}, lambda: F.col("s")),
+    "max": ({"s": lambda: F.max("z")}, lambda: F.col("s")),
+}
+
+
 def pyramid(cells: DataFrame, levels: int, kind: str = "average") -> DataFrame:
-    """(level, r, c, z) of levels 1..n, each from the raster itself by one grouping."""
+    """(level, r, c, z) of levels 1..n. Sums, counts and extremes of a level are made of the one below it; other kinds of the raster itself."""
     by = keys(cells)
-    each = cells.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
-    at = F.pow(F.lit(2.0), F.col("level"))
-    out = each.groupBy(*by, "level", F.floor(F.col("r") / at).cast("int").alias("r2"), F.floor(F.col("c") / at).cast("int").alias("c2")).agg(RESAMPLE[kind]("z").alias("z"))
-    return out.withColumnsRenamed({"r2": "r", "c2": "c"})
+    half = [F.floor(F.col(x) / 2).cast("int").alias(x) for x in "rc"]
+    out, level = None, cells
+    for i in range(1, levels + 1):
+        if kind in LEVELS:
+            parts, value = LEVELS[kind]
+            again = {k: (F.min if kind == "min" else F.max if kind == "max" else F.sum)(k) for k in parts}
+            level = level.select(*by, *half, *(["z"] if i == 1 else parts)).groupBy(*by, "r", "c").agg(*((f() if i == 1 else again[k]).alias(k) for k, f in parts.items()))
+            own = level.select(*by, F.lit(i).alias("level"), "r", "c", value().alias("z"))
+        else:
+            own = resample(cells, 2**i, kind).select(*by, F.lit(i).alias("level"), "r", "c", "z")
+        out = own if out is None else out.unionByName(own)
+    return out
+
 
+def bilinear(cells: DataFrame, step: float, r0: float = 0.0, c0: float = 0.0, last: tuple[int, int] | None = None) -> DataFrame:
+    """(r, c, z) at centres r0 + r step, c0 + c step of the source lattice, to its end or to the target (r, c) `last`: the four cells around each, those that exist weighed anew."""
+    return interpolate(cells, step, "triangle", r0, c0, 0.0, widen=False, last=last)
 
-def bilinear(cells: DataFrame, rows: int, cols: int, step: float, r0: float = 0.0, c0: float = 0.0) -> DataFrame:
-    """(r, c, z) at centres r0 + r step, c0 + c step of the source lattice; the four cells around each, those that exist weighed anew.
 
-    Source cells are sent to the targets they touch, so the join is on the source cell.
+def aligned(cells: DataFrame, grid: dict, to: dict, kind: str = "bilinear") -> DataFrame:
+    """(r, c, z) of a raster on `grid` at the cells of the grid `to` that it covers; grids are dicts of x0, y0, px_w, px_h (a side of either sign), rows, cols.
+
+    Both are of one CRS. An interpolating kind takes the centres of the target's cells; any other takes all source cells
+    whose centres lie in a target cell.
     """
-    spark = cells.sparkSession
-    t = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
-    y, x = F.lit(r0) + F.col("r") * step, F.lit(c0) + F.col("c") * step
-    corners = F.array(*(F.struct((F.floor(y) + i).cast("int").alias("sr"), (F.floor(x) + j).cast("int").alias("sc"), ((y - F.floor(y) if i else 1 - (y - F.floor(y))) * (x - F.floor(x) if j else 1 - (x - F.floor(x)))).alias("w")) for i in (0, 1) for j in (0, 1)))
-    near = t.select("r", "c", F.explode(corners).alias("k")).select("r", "c", "k.*").where("w > 0")
-    z = near.join(cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), "z"), ["sr", "sc"]).where("z IS NOT NULL")
-    return z.groupBy("r", "c").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
+    if kind not in KERNELS and kind not in RESAMPLE and kind not in ("bilinear", "nearest"):
+        raise ValueError(f"no resampling {kind!r}")
+    step = [to["px_h"] / grid["px_h"], to["px_w"] / grid["px_w"]]
+    off = [(to[k] - grid[k]) / grid[p] for k, p in (("y0", "px_h"), ("x0", "px_w"))]  # the target's corner, in source cells
+    if min(step) <= 0:
+        raise ValueError("the grids run in other directions")
+    by, inside = keys(cells), (F.col("r") >= 0) & (F.col("r") < to["rows"]) & (F.col("c") >= 0) & (F.col("c") < to["cols"])
+    if kind in KERNELS or kind == "bilinear":
+        if abs(step[0] - step[1]) > 1e-9 * step[0]:
+            raise ValueError("the cells have other shapes")
+        first = [o + s / 2 - 0.5 for o, s in zip(off, step, strict=True)]
+        out = interpolate(cells, step[0], "triangle" if kind == "bilinear" else kind, *first, *((0.0,) if kind == "bilinear" else ()), widen=kind != "bilinear", last=(to["rows"] - 1, to["cols"] - 1))
+        return out.where(inside)
+    at = [((F.col(x) + 0.5 - o) / s) for x, o, s in zip("rc", off, step, strict=True)]
+    cell = [F.floor(x).cast("int").alias(f"{n}2") for x, n in zip(at, "rc", strict=True)]
+    far = [x - F.floor(x) - 0.5 for x in at]
+    value = F.min_by("z", F.struct("far", -F.col("r"), -F.col("c"))) if kind == "nearest" else RESAMPLE[kind]("z")
+    out = cells.select(*by, "r", "c", "z", *cell, (far[0] * far[0] + far[1] * far[1]).alias("far")).groupBy(*by, "r2", "c2").agg(value.alias("z"))
+    return out.withColumnsRenamed({"r2": "r", "c2": "c"}).where(inside)
 
 
 def stack(layers: list[DataFrame]) -> DataFrame:
-    """(r, c, bands): co-located rasters as one array for each cell; a cell that a layer lacks has NULL there."""
-    out = layers[0].select("r", "c", F.col("z").alias("b0"))
+    """([raster_id,] r, c, bands): co-located rasters as one array for each cell; a cell that a layer lacks has NULL there."""
+    by = [*keys(layers[0]), "r", "c"]
+    out = layers[0].select(*by, F.col("z").alias("b0"))
     for i, x in enumerate(layers[1:], 1):
-        out = out.join(x.select("r", "c", F.col("z").alias(f"b{i}")), ["r", "c"], "full")
-    return out.select("r", "c", F.array(*(f"b{i}" for i in range(len(layers)))).alias("bands"))
+        out = out.join(x.select(*by, F.col("z").alias(f"b{i}")), by, "full")
+    return out.select(*by, F.array(*(f"b{i}" for i in range(len(layers)))).alias("bands"))
 
 
 def mosaic(layers: list[DataFrame]) -> DataFrame:
-    """(r, c, z): the last layer with a value wins in each cell."""
-    parts = [x.select("r", "c", "z", F.lit(i).alias("n")) for i, x in enumerate(layers)]
+    """([raster_id,] r, c, z): the last layer with a value wins in each cell."""
+    by = [*keys(layers[0]), "r", "c"]
+    parts = [x.select(*by, "z", F.lit(i).alias("n")) for i, x in enumerate(layers)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.groupBy("r", "c").agg(F.max_by("z", F.when(F.col("z").isNotNull(), F.col("n"))).alias("z"))
+    return out.groupBy(*by).agg(F.max_by("z", F.when(F.col("z").isNotNull(), F.col("n"))).alias("z"))
 
 
 #: How a relief and bands are fused: relief, bands as red, green and blue, mode, opacity (fixed values).
@@ -143,7 +240,8 @@ def fuse(relief: DataFrame, bands: DataFrame, names: tuple[str, str, str], mode:
 
     if missing := [n for n in names if n not in bands.columns]:
         raise ValueError(f"bands are missing: {missing}")
-    x = relief.select("r", "c", F.col("z").alias("relief")).join(bands, ["r", "c"])
+    by = [*keys(relief), "r", "c"]
+    x = relief.select(*by, F.col("z").alias("relief")).join(bands, by)
     b = bounds(x, ["relief", *dict.fromkeys(names)])
     light = stretch(F.col("relief"), *b["relief"], least=1e-10)
 
@@ -155,7 +253,19 @@ def fuse(relief: DataFrame, bands: DataFrame, names: tuple[str, str, str], mode:
             out = (1 - opacity) * s + opacity * blended(light, s, mode)
         return F.coalesce(byte(out * 255), F.lit(0))
 
-    return x.select("r", "c", *(channel(n).alias(k) for n, k in zip(names, ("red", "green", "blue"), strict=True)))
+    return x.select(*by, *(channel(n).alias(k) for n, k in zip(names, ("red", "green", "blue"), strict=True)))
+
+
+def fused(cells: DataFrame, bands: DataFrame, recipe: str, options: dict | None = None) -> DataFrame:
+    """(r, c, red, green, blue) by a recipe of RECIPES: its relief, made of the heights, with its bands. `options` are those of the relief's operator."""
+    from tellur.operators import horizon, stencil, windows
+
+    if recipe not in RECIPES:
+        raise ValueError(f"no recipe {recipe!r}; there are {', '.join(RECIPES)}")
+    kind, names, mode, opacity = RECIPES[recipe]
+    make = {"svf": horizon.sky_view, "local_dominance": horizon.local_dominance, "slope": stencil.slope, "slrm": windows.local_relief}[kind]
+    relief = make(cells, **(options or {}))
+    return fuse(relief.withColumnRenamed(relief.columns[-1], "z"), bands, names, mode, opacity)
 
 
 def _cubic(x: Column) -> Column:
@@ -175,30 +285,31 @@ def _lanczos(x: Column) -> Column:
 KERNELS = {"triangle": (lambda x: F.greatest(F.lit(0.0), 1 - x), 1), "cubic": (_cubic, 2), "cubic_spline": (_spline, 2), "lanczos": (_lanczos, 3)}
 
 
-def interpolate(cells: DataFrame, step: float, kind: str = "cubic", r0: float = 0.0, c0: float = 0.0, least: float = 0.1) -> DataFrame:
-    """(r, c, z) at centres r0 + r step, c0 + c step of the source lattice, up to its last row and column.
+def interpolate(cells: DataFrame, step: float, kind: str = "cubic", r0: float = 0.0, c0: float = 0.0, least: float = 0.1, widen: bool = True, last: tuple[int, int] | None = None) -> DataFrame:
+    """(r, c, z) at centres r0 + r step, c0 + c step of the source lattice, up to its last row and column, or to the target (r, c) `last`.
 
     The kernel is separable, so each source cell adds its value and weight to the target columns that it reaches, and
     each of those sums to the target rows: two groupings that combine before their shuffle, and no join. A step over 1
-    widens the kernel. Nodata cells weigh nothing; a target whose weights sum to `least` or less has none.
+    widens the kernel, unless `widen` is off. Nodata cells weigh nothing; a target whose weights sum to `least` or less has none.
     """
     if kind not in KERNELS:
         raise ValueError(f"no kernel {kind!r}; there are {', '.join(KERNELS)}")
     kernel, reach = KERNELS[kind]
-    scale = max(1.0, step)
+    scale = max(1.0, step) if widen else 1.0
     by = keys(cells)
     said = cells.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
     if said.r is None:
         return cells.select(*by, "r", "c", "z")
 
-    def spread(df: DataFrame, axis: str, origin: float, last: int, other: str) -> DataFrame:
+    def spread(df: DataFrame, axis: str, origin: float, end: int, other: str) -> DataFrame:
         first = F.greatest(F.lit(0), F.ceil((F.col(axis) - reach * scale - origin) / step).cast("int"))
-        end = F.least(F.lit(int((last - origin) // step)), F.floor((F.col(axis) + reach * scale - origin) / step).cast("int"))
+        end = F.least(F.lit(end), F.floor((F.col(axis) + reach * scale - origin) / step).cast("int"))
         out = df.select(*by, axis, other, "v", "w", F.explode(F.when(first <= end, F.sequence(first, end))).alias("t"))
         k = kernel(F.abs(F.col(axis) - (F.lit(float(origin)) + F.col("t") * step)) / scale)
         return out.groupBy(*by, "t", other).agg(F.sum(F.col("v") * k).alias("v"), F.sum(F.col("w") * k).alias("w")).withColumnRenamed("t", f"to_{axis}")
 
     known = cells.where("z IS NOT NULL").select(*by, "r", "c", F.col("z").alias("v"), F.lit(1.0).alias("w"))
-    wide = spread(known, "c", c0, said.c, "r")
-    out = spread(wide, "r", r0, said.r, "to_c").where(F.col("w") > least)
+    ends = last or (int((said.r - r0) // step), int((said.c - c0) // step))
+    wide = spread(known, "c", c0, ends[1], "r")
+    out = spread(wide, "r", r0, ends[0], "to_c").where(F.col("w") > least)
     return out.select(*by, F.col("to_r").alias("r"), F.col("to_c").alias("c"), (F.col("v") / F.col("w")).alias("z"))

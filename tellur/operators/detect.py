@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellur.sources.cells import keys
 from tellur.sources.durable import durable
 
 
@@ -30,6 +33,18 @@ def decode(rows: DataFrame, threshold: float, column: str = "out") -> DataFrame:
     return out.where((F.col("confidence") >= threshold) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
 
 
+def decode_parts(rows: DataFrame, threshold: float) -> DataFrame:
+    """Boxes of models with four outputs: rows with num, boxes (arrays of corners), scores and classes give one row for each of the first num boxes.
+
+    Rows under the threshold and boxes without area are left out, as by `decode`; a num beyond the arrays gives what there is.
+    """
+    each = F.posexplode(F.slice(F.arrays_zip("boxes", "scores", "classes"), 1, F.greatest(F.lit(0), F.least(F.col("num").cast("int"), F.size("boxes")))))
+    out = rows.where("num IS NOT NULL AND boxes IS NOT NULL").select(*(c for c in rows.columns if c not in ("num", "boxes", "scores", "classes")), each.alias("n", "d"))
+    v = F.col("d.boxes")
+    out = out.select(*(c for c in out.columns if c != "d"), *(F.get(v, i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))), F.col("d.scores").alias("confidence"), F.col("d.classes").cast("int").alias("class_id"))
+    return out.where((F.col("confidence") >= threshold) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+
+
 def rescale(boxes: DataFrame, model: int, tile_w: Column, tile_h: Column, x0: Column, y0: Column) -> DataFrame:
     """Boxes from model to raster pixels, kept within their tile; two decimals for corners, four for confidence."""
     at = lambda n, side, off: F.round(F.least(side, F.greatest(F.lit(0.0), F.col(n) * side / model)) + off, 2)
@@ -55,17 +70,23 @@ def overlap(a: str, b: str) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def overlaps(boxes: DataFrame, threshold: float, cell: float, id_col: str = "id") -> DataFrame:
-    """(a, b, iou): pairs of one class with iou >= threshold, a < b. Boxes meet in the grid cells they cover, counted in the first they share."""
+def overlaps(boxes: DataFrame, threshold: float, cell: float, id_col: str = "id", by: tuple[str, ...] = ("class_id",)) -> DataFrame:
+    """(a, b, iou): pairs with the same `by` (class, scene) and iou >= threshold > 0, a < b.
+
+    Boxes meet in the grid cells of side `cell` that they cover, and are counted in the first they share. An iou of t
+    needs areas within a factor t, which is asked before boxes are compared. A cell near the usual box keeps cells small.
+    """
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    g = boxes.select(F.col(id_col).alias("id"), "class_id", "x1", "y1", "x2", "y2", F.explode(span("x1", "x2")).alias("gx"), span("y1", "y2").alias("ys")).withColumn("gy", F.explode("ys")).drop("ys")
-    a, b = (g.select("gx", "gy", "class_id", *(F.col(c).alias(p + c) for c in ("id", "x1", "y1", "x2", "y2"))) for p in "ab")
-    p = a.join(b, ["gx", "gy", "class_id"]).where("aid < bid")
-    p = p.where((F.col("gx") == F.floor(F.greatest("ax1", "bx1") / cell)) & (F.col("gy") == F.floor(F.greatest("ay1", "by1") / cell)))
+    keys = [f"_k{i}" for i in range(len(by))]
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    g = boxes.select(F.col(id_col).alias("id"), *(F.col(k).alias(n) for k, n in zip(by, keys, strict=True)), "x1", "y1", "x2", "y2", area.alias("area"), F.explode(span("x1", "x2")).alias("gx"), span("y1", "y2").alias("ys")).withColumn("gy", F.explode("ys")).drop("ys")
+    a, b = (g.select("gx", "gy", *keys, *(F.col(c).alias(p + c) for c in ("id", "x1", "y1", "x2", "y2", "area"))) for p in "ab")
+    p = a.join(b, ["gx", "gy", *keys]).where("aid < bid AND ax1 < bx2 AND bx1 < ax2 AND ay1 < by2 AND by1 < ay2")
+    p = p.where((F.least("aarea", "barea") >= threshold * F.greatest("aarea", "barea") * (1 - 1e-12)) & (F.col("gx") == F.floor(F.greatest("ax1", "bx1") / cell)) & (F.col("gy") == F.floor(F.greatest("ay1", "by1") / cell)))
     return p.select(F.col("aid").alias("a"), F.col("bid").alias("b"), overlap("a", "b").alias("iou")).where(F.col("iou") >= threshold)
 
 
-def suppress(boxes: DataFrame, threshold: float = 0.45, by: tuple[str, ...] = ("class_id",), id_col: str = "id", cell: float = 64) -> DataFrame:
+def suppress(boxes: DataFrame, threshold: float = 0.45, by: tuple[str, ...] = ("class_id",), id_col: str = "id", cell: float = 32) -> DataFrame:
     """Greedy suppression within each group: by falling confidence (ties by id), a box stays if its overlap with all kept is under the threshold (above 0).
 
     The rule is resolved over the graph of overlaps: in each round boxes that no undecided stronger box overlaps stay, and
@@ -73,7 +94,7 @@ def suppress(boxes: DataFrame, threshold: float = 0.45, by: tuple[str, ...] = ("
     """
     names = [f.name for f in boxes.schema.fields if f.name in {*by, id_col, "x1", "y1", "x2", "y2", "confidence"}]
     boxes = durable(boxes.select(*names, F.monotonically_increasing_id().alias("node")))
-    pairs = overlaps(boxes.withColumn("class_id", F.struct(*by)), threshold, cell, "node")
+    pairs = overlaps(boxes, threshold, cell, "node", by)
     rank = lambda p: boxes.select(F.col("node").alias(p), F.struct(-F.col("confidence"), id_col, "node").alias(p + "rank"))
     pairs = pairs.join(rank("a"), "a").join(rank("b"), "b").withColumn("first", F.col("arank") < F.col("brank"))
     left = durable(pairs.select(F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("strong"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("weak")))
@@ -94,3 +115,91 @@ def to_map(boxes: DataFrame, transform: tuple[float, float, float, float, float,
     p = [at(x, y) for x in ("x1", "x2") for y in ("y1", "y2")]
     xs, ys = [q[0] for q in p], [q[1] for q in p]
     return boxes.withColumns({"x1": F.least(*xs), "y1": F.least(*ys), "x2": F.greatest(*xs), "y2": F.greatest(*ys)})
+
+
+def resized(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """A band on another number of cells: bilinear between half-cell centres, borders repeated."""
+    at = []
+    for n, m in ((rows, x.shape[0]), (cols, x.shape[1])):
+        p = np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
+        low = np.floor(p).astype(int)
+        at.append((low, np.minimum(low + 1, m - 1), p - low))
+    (r0, r1, fr), (c0, c1, fc) = at
+    top, low = (x[r][:, c0] * (1 - fc) + x[r][:, c1] * fc for r in (r0, r1))
+    return top * (1 - fr[:, None]) + low * fr[:, None]
+
+
+def model_input(bands: np.ndarray, size: int) -> np.ndarray:
+    """(1, bands, size, size) floats of a tile (bands, rows, cols): one band becomes three; integers are divided by 255, others stretched to 0..1 by the tile's range.
+
+    NaN and -inf are 0, +inf is 1; a tile without range is 0.
+    """
+    x = np.repeat(bands, 3, axis=0) if len(bands) == 1 else bands
+    whole = np.issubdtype(x.dtype, np.integer)
+    if x.shape[1:] != (size, size):
+        x = np.stack([resized(b.astype(float), size, size) for b in x])
+    if whole:
+        return (x / 255.0)[None].astype(np.float32)
+    known = np.isfinite(x)
+    low, high = (x[known].min(), x[known].max()) if known.any() else (0.0, 0.0)
+    with np.errstate(invalid="ignore"):
+        out = (x - low) / (high - low) if high - low > 1e-6 else np.where(known, 0.0, x)
+    return np.nan_to_num(out, nan=0.0, posinf=1.0, neginf=0.0)[None].astype(np.float32)
+
+
+def onnx_model(data: bytes):
+    """A function of one array, from an ONNX model's bytes; loaded once in a worker."""
+    held = []
+
+    def run(x: np.ndarray) -> list[np.ndarray]:
+        if not held:
+            import onnxruntime
+
+            held.append(onnxruntime.InferenceSession(data))
+        return held[0].run(None, {held[0].get_inputs()[0].name: x})
+
+    return run
+
+
+def detect(cells: DataFrame, model, names: list[str], tile: int = 640, overlap: int = 32, size: int = 640, threshold: float = 0.25) -> DataFrame:
+    """([raster_id,] tr, tc, x1, y1, x2, y2, confidence, class_id, label): a model's detections over overlapping tiles, in raster pixels.
+
+    `cells` have bands z, or b0, b1, ...; `model` takes (1, bands, size, size) floats and returns its outputs: one array of
+    rows as `decode` takes them, or num, boxes, scores and classes. Other outputs, label maps among them, give no boxes.
+    Tile k begins at k times (tile - overlap). A task holds one tile; a cell is sent to the few tiles that hold it.
+    """
+    by, step = keys(cells), tile - overlap
+    bands = [c for c in cells.columns if c not in (*by, "r", "c")]
+    ends = cells.groupBy(*by).agg(F.max("r").alias("_r"), F.max("c").alias("_c"))
+    sent = cells.join(ends, by) if by else cells.crossJoin(F.broadcast(ends))  # one row for each raster
+
+    def tiles(axis: str) -> Column:
+        count = F.greatest(F.lit(1), F.ceil((F.col(f"_{axis}") + 1 - overlap) / step))
+        first = F.greatest(F.lit(0), F.floor((F.col(axis) - tile) / step).cast("int") + 1)
+        return F.explode(F.sequence(first, F.least(count - 1, F.floor(F.col(axis) / step)).cast("int")))
+
+    sent = sent.select(*cells.columns, "_r", "_c", tiles("r").alias("tr")).select("*", tiles("c").alias("tc"))
+
+    def work(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = key[-2] * step, key[-1] * step
+        h, w = min(tile, int(f._r.iloc[0]) + 1 - r0), min(tile, int(f._c.iloc[0]) + 1 - c0)
+        whole = all(np.issubdtype(f[b].dtype, np.integer) for b in bands)
+        x = np.full((len(bands), h, w), 0 if whole else np.nan, np.int64 if whole else float)
+        for i, b in enumerate(bands):
+            x[i, f.r.to_numpy() - r0, f.c.to_numpy() - c0] = f[b].to_numpy()
+        out = [np.asarray(o, float) for o in model(model_input(x, size))]
+        one, four = [], [None] * 4
+        if len(out) == 1 and out[0].ndim == 3 and out[0].shape[-1] >= 6:
+            one = [row.tolist() for row in out[0][0]]
+        elif len(out) >= 4:
+            strip = lambda o, n: o[0] if o.ndim > n else o
+            four = [int(out[0].ravel()[0]) if out[0].size else 0, strip(out[1], 2).tolist(), strip(out[2], 1).tolist(), [int(k) for k in strip(out[3], 1)]]
+        rows = [(*key, w, h, v, None, None, None, None) for v in one] + ([(*key, w, h, None, *four)] if four[0] is not None else [])
+        return pd.DataFrame(rows, columns=[*by, "tr", "tc", "w", "h", "out", "num", "boxes", "scores", "classes"])
+
+    schema = "".join(f"`{b}` {cells.schema[b].dataType.simpleString()}, " for b in by) + "tr int, tc int, w int, h int, out array<double>, num int, boxes array<array<double>>, scores array<double>, classes array<int>"
+    found = sent.groupBy(*by, "tr", "tc").applyInPandas(work, schema)
+    boxes = decode(found.where("out IS NOT NULL").drop("num", "boxes", "scores", "classes"), threshold)
+    boxes = boxes.unionByName(decode_parts(found.where("num IS NOT NULL").drop("out"), threshold).drop("n"))
+    boxes = rescale(boxes, size, F.col("w"), F.col("h"), F.col("tc") * step, F.col("tr") * step).where("x2 > x1 AND y2 > y1")
+    return boxes.select(*by, "tr", "tc", "x1", "y1", "x2", "y2", "confidence", "class_id", label(F.col("class_id"), names).alias("label"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellur.sources.durable import durable
+
 #: Parameters of the progressive morphological filter by terrain (fixed values): largest window, slope, first and largest distance, cell.
 GROUND = {"fine": (20, 0.15, 0.15, 0.5, 0.5), "standard": (33, 0.25, 0.3, 1.0, 1.0), "forested": (50, 0.5, 0.5, 2.0, 2.0)}
 
@@ -59,16 +65,207 @@ def ground(points: DataFrame, kind: str = "standard") -> DataFrame:
     return b.select(*points.columns, near.alias("ground"))
 
 
-def outliers(points: DataFrame, cell: float = 1.0, neighbours: int = 8, factor: float = 2.0) -> DataFrame:
-    """Adds `outlier`: points in cells whose surroundings (3x3 cells) hold fewer than `neighbours` others, or whose distance in height
-    to the surroundings' mean is over the mean such distance by more than `factor` deviations. Sums of cells meet, not points."""
-    b = binned(points, cell)
-    sums = b.groupBy("r", "c").agg(F.sum("z").alias("s"), F.count("*").alias("n"))
+def outliers(points: DataFrame, neighbours: int = 8, factor: float = 2.0) -> DataFrame:
+    """Adds `outlier`: points whose mean distance to their nearest `neighbours` points is over the mean of all such by more than `factor` sample deviations.
+
+    Points meet in cubes of about as many points as are asked; a point whose nearest lie farther than a cube's side meets
+    those of cubes twice as wide in the next round, until none is left, so the nearest are exact. Points of equal place
+    are neighbours of each other; with fewer points than neighbours there are no outliers.
+    """
+    p = durable(points.withColumn("_id", F.monotonically_increasing_id()))
+    said = p.agg(F.count("*").alias("n"), *(f(x).alias(f"{f.__name__}_{x}") for x in "xyz" for f in (F.min, F.max))).first()
+    if said.n <= neighbours:
+        return points.withColumn("outlier", F.lit(False))
+    sides = [said[f"max_{x}"] - said[f"min_{x}"] for x in "xyz"]
+    live = [x for x in sides if x > 0]
+    cell = (math.prod(live) * neighbours / said.n) ** (1 / len(live)) if live else 1.0
+    places, left, done = p.select("_id", "x", "y", "z"), p.select("_id", "x", "y", "z"), None
     steps = F.sequence(F.lit(-1), F.lit(1))
-    near = sums.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).select((F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "s", "n").groupBy("r", "c").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    d = b.join(near, ["r", "c"]).withColumn("d", F.abs(F.col("z") - (F.col("s") - F.col("z")) / F.greatest(F.lit(1), F.col("n") - 1)))
-    said = d.agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("sd"))
-    return d.crossJoin(F.broadcast(said)).select(*points.columns, ((F.col("n") - 1 < neighbours) | (F.col("d") > F.col("m") + factor * F.col("sd"))).alias("outlier"))
+    nearest = Window.partitionBy("a").orderBy("d")
+    while True:
+        last = cell >= max(sides)
+        cube = [F.floor(F.col(x) / cell).alias(f"k{x}") for x in "xyz"]
+        own = left.select(F.col("_id").alias("a"), *(F.col(x).alias(f"a{x}") for x in "xyz"), *cube)
+        for x in "xyz":
+            own = own.withColumn("s", F.explode(steps)).withColumn(f"k{x}", F.col(f"k{x}") + F.col("s")).drop("s")
+        met = own.join(places.select("_id", "x", "y", "z", *cube), ["kx", "ky", "kz"]).where("a <> _id")
+        d = F.sqrt(sum(((F.col(x) - F.col(f"a{x}")) * (F.col(x) - F.col(f"a{x}")) for x in "yz"), (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax"))))
+        best = met.select("a", d.alias("d")).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= neighbours).groupBy("a").agg(F.avg("d").alias("d"), F.max("d").alias("far"), F.count("*").alias("n"))
+        best = durable(best.where(F.lit(last) | ((F.col("n") == neighbours) & (F.col("far") <= cell))).select(F.col("a").alias("_id"), "d"))
+        done = best if done is None else done.unionByName(best)
+        if last:
+            break
+        left = durable(left.join(best, "_id", "left_anti"))
+        if not left.limit(1).count():
+            break
+        cell *= 2
+    m = done.agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("sd")).first()
+    return p.join(done, "_id").select(*points.columns, (F.col("d") > m.m + factor * m.sd).alias("outlier"))
+
+
+#: Parameters of the cloth by terrain (fixed values): cell, threshold, rigidness, time step, smoothing of slopes.
+CLOTH = {
+    "archaeology_fine": (0.5, 0.5, 1, 0.65, False),
+    "archaeology_standard": (1.0, 0.8, 2, 0.65, True),
+    "forested": (2.0, 1.2, 3, 0.50, True),
+    "urban": (1.0, 0.5, 1, 0.65, True),
+}
+
+
+def drape(low: np.ndarray, rigidness: int, time_step: float, slopes: bool, iterations: int) -> np.ndarray:
+    """The cloth over lowest heights (NaN: none) turned upside down, turned back (Zhang et al., 2016).
+
+    It falls by gravity and stops where it meets a height; after each fall neighbours pull a particle to their mean, as
+    often as it is rigid. With `slopes`, particles beside fixed ones of nearly their height are laid down at the end.
+    """
+    under = np.where(np.isnan(low), -np.inf, -low)
+    top = np.nanmax(-low) + 1.0
+    cloth, before, fixed = np.full(low.shape, top), np.full(low.shape, top), np.zeros(low.shape, bool)
+    fall = 0.2 * time_step * time_step
+    for _ in range(iterations):
+        now = np.where(fixed, cloth, cloth + (cloth - before) * 0.99 - fall)
+        before = cloth
+        for _ in range(rigidness):
+            p = np.pad(now, 1, mode="edge")
+            mean = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4
+            now = np.where(fixed, now, now + (mean - now) / 2)
+        hit = ~fixed & (now <= under)
+        now, fixed = np.where(hit, under, now), fixed | hit
+        moved = np.abs(now - before).max()
+        cloth = now
+        if moved < 1e-3:
+            break
+    if slopes:
+        for _ in range(max(low.shape)):
+            p, f = np.pad(cloth, 1, mode="edge"), np.pad(fixed, 1)
+            beside = np.zeros(low.shape, bool)
+            for r, c in ((0, 1), (2, 1), (1, 0), (1, 2)):
+                at = np.s_[r : r + low.shape[0], c : c + low.shape[1]]
+                beside |= f[at] & (np.abs(p[at] - under) < 0.3)
+            if not (laid := ~fixed & beside & np.isfinite(under)).any():
+                break
+            cloth, fixed = np.where(laid, under, cloth), fixed | laid
+    return -cloth
+
+
+def cloth_ground(points: DataFrame, kind: str = "archaeology_standard", iterations: int = 500, tile: int = 128, halo: int = 16) -> DataFrame:
+    """Adds `ground`: whether a point lies within the threshold of a cloth draped over the points from below.
+
+    Cloths are those of blocks of tile x tile cells with `halo` more around, so a task holds one block's lowest heights and
+    its own points; an unknown kind is the standard one. Of a cloth beyond the halo nothing is known, so blocks can differ from one
+    whole cloth where it hangs free for longer than that.
+    """
+    cell, threshold, rigidness, time_step, slopes = CLOTH.get(kind, CLOTH["archaeology_standard"])
+    low = binned(points, cell).groupBy("r", "c").agg(F.min("z").alias("z"))
+    schema = "r int, c int, cloth double"
+
+    def spans(x: str):
+        return F.explode(F.sequence(F.floor((F.col(x) - halo) / tile).cast("int"), F.floor((F.col(x) + halo) / tile).cast("int")))
+
+    sent = low.select("r", "c", "z", spans("r").alias("tr")).select("*", spans("c").alias("tc"))
+
+    def work(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        r, c = f.r.to_numpy(), f.c.to_numpy()
+        z = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
+        z[r - r.min(), c - c.min()] = f.z
+        cloth = drape(z, rigidness, time_step, slopes, iterations)[r - r.min(), c - c.min()]
+        own = (r // tile == key[0]) & (c // tile == key[1])
+        return pd.DataFrame({"r": r[own], "c": c[own], "cloth": cloth[own]})
+
+    hung = sent.groupBy("tr", "tc").applyInPandas(work, schema)
+    near = binned(points, cell).join(hung, ["r", "c"])
+    return near.select(*points.columns, (F.abs(F.col("z") - F.col("cloth")) <= threshold).alias("ground"))
+
+
+def crs_of(meta: DataFrame) -> Column:
+    """The CRS of a cloud's metadata (epsg, compoundwkt, wkt, proj4; all optional), the first that is there; empty text counts as missing."""
+    names = [n for n in ("compoundwkt", "wkt", "proj4") if n in meta.columns]
+    code = [F.concat(F.lit("EPSG:"), F.nullif(F.trim(F.col("epsg").cast("string")), F.lit("")))] if "epsg" in meta.columns else []
+    return F.coalesce(*code, *(F.nullif(F.trim(n), F.lit("")) for n in names), F.lit(None).cast("string"))
+
+
+def to_dem(points: DataFrame, crs: str | None, kind: str = "archaeology_standard", cell: float = 1.0, least: int = 10) -> tuple[DataFrame, dict]:
+    """((r, c, z) of the ground, counts): cloth filter, then inverse distances. Raises without a CRS or with fewer than `least` ground points."""
+    if not crs:
+        raise ValueError("the cloud has no CRS; give one")
+    flagged = durable(cloth_ground(points, kind))
+    said = flagged.agg(F.count("*").alias("n"), F.count_if("ground").alias("ground")).first()
+    if said.ground < least:
+        raise ValueError(f"only {said.ground} ground points")
+    return inverse_distance(flagged.where("ground"), cell), {"points": said.n, "ground": said.ground, "off_ground": said.n - said.ground, "crs": crs}
+
+
+def in_range(points: DataFrame, limits: str) -> DataFrame:
+    """Points within limits such as 'Classification[2:2], z[0:]': all of them, ends included; an exclamation mark turns one round."""
+    for part in limits.split(","):
+        m = re.fullmatch(r"\s*(\w+)(!?)\[([-+.\deE]*):([-+.\deE]*)\]\s*", part)
+        if not m or m[1].lower() not in {c.lower() for c in points.columns}:
+            raise ValueError(f"no such limits: {part.strip()!r}")
+        x = F.col(m[1])
+        inside = (F.lit(True) if not m[3] else x >= float(m[3])) & (F.lit(True) if not m[4] else x <= float(m[4]))
+        points = points.where(x.isNotNull() & (~inside if m[2] else inside))
+    return points
+
+
+def ferried(points: DataFrame, dimensions: str) -> DataFrame:
+    """Copies dimensions, as 'Classification=>UserData, z=>height' says."""
+    for part in dimensions.split(","):
+        m = re.fullmatch(r"\s*(\w+)\s*=>\s*(\w+)\s*", part)
+        if not m:
+            raise ValueError(f"no such copy: {part.strip()!r}")
+        points = points.withColumn(m[2], F.col(m[1]))
+    return points
+
+
+#: Stages that a pipeline may have (fixed values).
+STAGES = frozenset(
+    "readers.las readers.laz readers.copc readers.pcd readers.optech writers.las writers.laz writers.gdal writers.copc filters.pmf filters.smrf filters.outlier filters.range filters.ferry filters.assign "
+    "filters.reprojection filters.transformation filters.crop filters.merge filters.splitter filters.sample filters.voxelcentroid filters.cluster filters.hag_nn filters.hag_delaunay filters.elm filters.returns "
+    "filters.stats filters.expression".split()
+)
+
+
+def checked(pipeline: str) -> list[dict]:
+    """The stages of a pipeline's JSON; raises for anything but a list of objects with a type of STAGES."""
+    stages = json.loads(pipeline).get("pipeline", [])
+    if not isinstance(stages, list):
+        raise ValueError("a pipeline is a list")
+    for i, stage in enumerate(stages):
+        if not isinstance(stage, dict) or not stage.get("type"):
+            raise ValueError(f"stage {i} isn't an object with a type")
+        if stage["type"] not in STAGES:
+            raise ValueError(f"stage {i} is {stage['type']!r}, which isn't allowed")
+    return stages
+
+
+def pipeline(source: str, target: str, kind: str = "standard", cell: float = 1.0, output: str = "grid") -> str:
+    """JSON of a ground pipeline: read, drop outliers, classify, keep ground, write a grid or points."""
+    if kind not in GROUND:
+        raise ValueError(f"no such terrain: {kind}")
+    writer = {"type": "writers.gdal", "filename": target, "resolution": cell} if output == "grid" else {"type": "writers.las", "filename": target}
+    return json.dumps({"pipeline": [{"type": "readers.las", "filename": source}, {"type": "filters.outlier", "mean_k": 8, "multiplier": 2.0}, {"type": "filters.pmf", "terrain": kind}, {"type": "filters.range", "limits": "Classification[2:2]"}, writer]}, indent=2)
+
+
+def run(points: DataFrame, stages: str) -> tuple[DataFrame, dict]:
+    """(points or cells, counts) by a pipeline's stages over a table in place of its reader; classes are 7 for outliers, 2 for ground, 1 for others."""
+    parts = checked(stages)
+    for stage in parts:
+        kind = stage["type"]
+        if kind == "filters.outlier":
+            points = outliers(points, stage.get("mean_k", 8), stage.get("multiplier", 2.0)).withColumn("Classification", F.when(F.col("outlier"), 7).otherwise(1)).drop("outlier")
+        elif kind == "filters.pmf":
+            seen = points.where("Classification <> 7") if "Classification" in points.columns else points
+            points = ground(seen, stage.get("terrain", "standard")).withColumn("Classification", F.when(F.col("ground"), 2).otherwise(1)).drop("ground")
+        elif kind == "filters.range":
+            points = in_range(points, stage["limits"])
+        elif kind == "filters.ferry":
+            points = ferried(points, stage["dimensions"])
+        elif kind == "writers.gdal":
+            points = inverse_distance(points, stage.get("resolution", 1.0))
+        elif not kind.startswith(("readers.", "writers.")):
+            raise ValueError(f"{kind} isn't built")
+    points = durable(points)
+    return points, {"point_count": points.count(), "stage_count": len(parts), "first_stage_type": parts[0]["type"] if parts else None}
 
 
 def viewer_zoom(width: float, least: int = 8) -> int:

@@ -189,7 +189,7 @@ def test_resampling_and_stacks(spark):
     assert grid(change.resample(z, 2), "z")[0, 0] == 2.5
     assert change.resample(z, 4, "rms").first().z == pytest.approx(math.sqrt(sum(i * i for i in range(16)) / 16))
     assert change.overview_levels(512, 300) == 0 and change.overview_levels(2000, 2000) == 2
-    assert grid(change.bilinear(z, 2, 2, 1.0, 0.5, 0.5), "z")[0, 0] == 2.5
+    assert grid(change.bilinear(z, 1.0, 0.5, 0.5), "z")[0, 0] == 2.5
     assert grid(change.mosaic([z, z.where("r = 0").withColumn("z", F.lit(9.0))]), "z")[0, 1] == 9.0
     with pytest.raises(ValueError):
         change.resample(z, 2, "lanczos7")
@@ -197,6 +197,57 @@ def test_resampling_and_stacks(spark):
         change.fuse(z, z, ("B8", "B4", "B3"), "multiply", 0.5)
 
 
+def test_quantiles_by_refined_bins(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=3000), rng.integers(0, 5, 3000).astype(float), np.concatenate([rng.normal(size=2000) * 1e-9, [1e9] * 500]), np.full(2000, 7.0)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "z double")
+        assert change.quantiles(df, "z", [0.02, 0.25, 0.5, 0.98], most=100) == pytest.approx(list(np.percentile(x, [2, 25, 50, 98])))
+    assert change.quantiles(df.where("z IS NULL"), "z", [0.5]) is None
+
+
+def test_pyramids_of_sums(spark):
+    z = raster(spark, lambda r, c: None if r == 3 and c < 4 else float(r * r + c), 13, 10)
+    for kind in (*change.RESAMPLE, "nearest"):
+        got = {(r.level, r.r, r.c): r.z for r in change.pyramid(z, 3, kind).collect()}
+        for level in (1, 2, 3):
+            for k, v in grid(change.resample(z, 2**level, kind), "z").items():
+                assert got[(level, *k)] == pytest.approx(v) if v is not None else got[(level, *k)] is None
+    assert grid(change.resample(z, 4, "nearest"), "z")[0, 0] == 6.0 and grid(change.resample(z, 4, "nearest"), "z")[3, 2] == 144.0 + 9.0
+
+
+def test_aligned_grids(spark):
+    z = raster(spark, lambda r, c: 2.0 * r + c, 20, 20)
+    grid_a = {"x0": 100.0, "y0": 500.0, "px_w": 1.0, "px_h": -1.0, "rows": 20, "cols": 20}
+    same = grid(change.aligned(z, grid_a, grid_a), "z")
+    assert len(same) == 400 and all(v == 2.0 * r + c for (r, c), v in same.items())
+    shifted = grid_a | {"x0": 102.25, "y0": 499.5, "rows": 10, "cols": 9}
+    for kind in ("bilinear", "cubic"):
+        got = grid(change.aligned(z, grid_a, shifted, kind), "z")
+        assert len(got) == 90 and all(abs(got[r, c] - (2 * (r + 0.5) + c + 2.25)) < 1e-9 for r, c in got if kind == "bilinear" or r > 1)
+    coarse = grid_a | {"px_w": 4.0, "px_h": -4.0, "rows": 5, "cols": 5}
+    assert grid(change.aligned(z, grid_a, coarse, "average"), "z") == grid(change.resample(z, 4), "z")
+    assert grid(change.aligned(z, grid_a, coarse, "nearest"), "z") == grid(change.resample(z, 4, "nearest"), "z")
+    with pytest.raises(ValueError):
+        change.aligned(z, grid_a, shifted | {"px_h": 1.0})
+    with pytest.raises(ValueError):
+        change.aligned(z, grid_a, shifted, "moon")
+
+
+def test_blend_conditions(spark):
+    twice = spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0)], "r int, c int, z double")
+    with pytest.raises(ValueError):
+        blend.blend(twice, twice.limit(1), "multiply")
+    a, b = (spark.createDataFrame([(0, i, v) for i, v in enumerate(x)], "r int, c int, z double") for x in ([0.0, 0.5, 1.0], [-1.0, 0.0, 3.0]))
+    p, q = (grid(x, "z") for x in blend.prescale(a, b))
+    assert [p[0, i] for i in range(3)] == [0, 127.5, 255] and [q[0, i] for i in range(3)] == [0, 63.75, 255]
+    row = ("EPSG:1", "EPSG:1", *[0.0, 0.0, 10.0, 10.0] * 2)
+    names = "crs_a string, crs_b string, " + ", ".join(f"{k}_{r} double" for r in "ab" for k in ("x0", "y0", "x1", "y1"))
+    pairs = spark.createDataFrame([row, (row[0], "EPSG:2", *row[2:]), (*row[:-1], 10.1), (*row[:-1], 10.000001), (None, None, *row[2:])], names)
+    assert [r.error for r in blend.same_place(pairs).collect()] == [None, "other CRS", "other extent", None, None]
+
+
 def test_detections(spark):
     rows = [(1, [0.0, 0.0, 10.0, 10.0, 0.9, 0.0]), (2, [1.0, 1.0, 11.0, 11.0, 0.8, 0.0]), (3, [50.0, 50.0, 10.0, 10.0, 0.9, 0.1, 0.9]), (4, [5.0, 5.0, 4.0, 9.0, 0.9, 0.0]), (5, [0.0, 0.0, 5.0, 5.0, 0.1, 0.0])]
     boxes = detect.decode(spark.createDataFrame(rows, "id bigint, out array<double>"), 0.25)
@@ -211,11 +262,98 @@ def test_points(spark):
     pts = spark.createDataFrame([(x + 0.5, y + 0.5, 10.0 if (x, y) != (5, 5) else 30.0) for x in range(12) for y in range(12)], "x double, y double, z double")
     flags = {(r.x, r.y): r.ground for r in points.ground(pts, "standard").collect()}
     assert not flags[5.5, 5.5] and sum(flags.values()) == 143
-    assert {(r.x, r.y) for r in points.outliers(pts, 2.0).where("outlier").collect()} == {(5.5, 5.5)}
+    assert {(r.x, r.y) for r in points.outliers(pts).where("outlier").collect()} == {(5.5, 5.5)}
     assert points.lowest(pts, 4.0).count() == 9
     assert points.viewer_zoom(100) == 13 and points.viewer_zoom(math.nan) == 8
 
 
+def test_outliers_by_exact_neighbours(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(40, 3)) * 0.01 + 5, [[30, 0, 0], [0, 0, 9]], np.zeros((12, 3))])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    mean = np.sort(d, axis=1)[:, :8].mean(axis=1)
+    want = mean > mean.mean() + 2 * mean.std(ddof=1)
+    got = {r.i: r.outlier for r in points.outliers(spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "i int, x double, y double, z double")).collect()}
+    assert want.any() and [got[i] for i in range(len(x))] == want.tolist()
+    few = spark.createDataFrame([(0.0, 0.0, 0.0)] * 3, "x double, y double, z double")
+    assert [r.outlier for r in points.outliers(few).collect()] == [False] * 3
+
+
+def test_cloth(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(42)
+    df = lambda x: spark.createDataFrame([tuple(map(float, p)) for p in x], "x double, y double, z double")
+    flat = np.column_stack([rng.uniform(0, 10, (200, 2)), 100 + rng.normal(0, 0.01, 200)])
+    assert points.cloth_ground(df(flat)).where("ground").count() > 160
+    xy = rng.uniform(0, 40, (3000, 2))
+    roof = (np.abs(xy - 20) < 5).all(axis=1)
+    got = {(r.x, r.y): r.ground for r in points.cloth_ground(df(np.column_stack([xy, np.where(roof, 8.0, 0.0) + xy[:, 0] * 0.05]))).collect()}
+    on = np.array([got[tuple(p)] for p in xy])
+    assert len(got) == 3000 and on[~roof].mean() > 0.95 and on[roof].mean() < 0.2
+    assert points.cloth_ground(df(flat).limit(0)).count() == 0
+    dem, said = points.to_dem(df(flat), "EPSG:1", "moon")
+    assert said["points"] == 200 and said["ground"] + said["off_ground"] == 200 and abs(dem.agg(F.avg("z")).first()[0] - 100) < 0.1
+    with pytest.raises(ValueError):
+        points.to_dem(df(flat), None)
+    with pytest.raises(ValueError):
+        points.to_dem(df(flat[:5]), "EPSG:1")
+
+
+def test_pipelines_of_points(spark):
+    pts = spark.createDataFrame([(x + 0.5, y + 0.5, 10.0 if (x, y) != (5, 5) else 300.0) for x in range(12) for y in range(12)], "x double, y double, z double")
+    cells, said = points.run(pts, points.pipeline("a.las", "b.tif"))
+    assert said == {"point_count": cells.count(), "stage_count": 5, "first_stage_type": "readers.las"} and cells.agg(F.max("z")).first()[0] == pytest.approx(10)
+    for bad in ('{"pipeline": {}}', '{"pipeline": [1]}', '{"pipeline": [{}]}', '{"pipeline": [{"type": "filters.shell"}]}'):
+        with pytest.raises(ValueError):
+            points.checked(bad)
+    assert len(points.STAGES) == 29
+    some = spark.createDataFrame([(1, 0.5), (2, 1.5), (2, None), (3, 2.5)], "Classification int, z double")
+    assert points.in_range(some, "Classification[2:2]").count() == 2 and points.in_range(some, "Classification![2:2], z[1:]").count() == 1
+    assert points.ferried(some, "Classification=>UserData").columns[-1] == "UserData"
+    for bad in ("moon[1:2]", "z(1)"):
+        with pytest.raises(ValueError):
+            points.in_range(some, bad)
+    meta = spark.createDataFrame([(4326, None, "w", "p"), (None, "", "w", "p"), (None, None, None, "p"), (None, None, None, None)], "epsg int, compoundwkt string, wkt string, proj4 string")
+    assert [r[0] for r in meta.select(points.crs_of(meta)).collect()] == ["EPSG:4326", "w", "p", None]
+
+
+def test_models_over_tiles(spark):
+    """A model that frames the brightest cell of its input, over overlapping tiles."""
+    import numpy as np
+
+    def brightest(x):
+        at = np.unravel_index(np.nanargmax(x[0, 0]), x.shape[2:])
+        return [np.array([[[at[1], at[0], at[1] + 1, at[0] + 1, float(x[0, 0][at]), 0]]])]
+
+    z = raster(spark, lambda r, c: None if (r, c) == (0, 0) else float((r * 37 + c * 101) % 997), 20, 24)
+    got = detect.detect(z, brightest, ["peak"], 8, 2, 8, 0.5).collect()
+    h = {(r.r, r.c): r.z for r in z.collect()}
+    assert len(got) == 3 * 4 and {r.label for r in got} == {"peak"}
+    for r in got:
+        own = {k: v for k, v in h.items() if v is not None and r.tr * 6 <= k[0] < r.tr * 6 + 8 and r.tc * 6 <= k[1] < r.tc * 6 + 8}
+        if len(own) >= 63:  # tiles at the end are smaller and resized
+            assert (r.y1, r.x1) == max(own, key=own.get)
+    four = lambda x: [np.array([2]), np.array([[[0, 0, 4, 4], [1, 1, 1, 5], [0, 0, 8, 8]]]), np.array([[0.9, 0.9, 0.9]]), np.array([[1, 0, 0]])]
+    boxes = detect.detect(z, four, ["a"], 24, 0, 8).collect()
+    assert [(r.x2, r.y2, r.label) for r in boxes] == [(12.0, 10.0, "class_1")]
+    assert detect.detect(z, lambda x: [np.zeros((1, 8, 8))], []).count() == 0
+    whole = detect.model_input(np.array([[[0, 255], [51, 102]]]), 2)
+    assert whole.shape == (1, 3, 2, 2) and whole[0, 2].tolist() == [[0.0, 1.0], [pytest.approx(0.2), pytest.approx(0.4)]]
+    odd = detect.model_input(np.array([[[np.nan, np.inf], [-np.inf, 3.0]]]), 2)
+    assert odd[0, 0].tolist() == [[0.0, 1.0], [0.0, 0.0]]
+    assert detect.resized(np.array([[0.0, 4.0]]), 1, 4).tolist() == [[0.0, 1.0, 3.0, 4.0]]
+
+
+def test_boxes_of_four_outputs(spark):
+    rows = [(1, 2, [[0.0, 0.0, 1.0, 1.0], [0.0, 0.0, 2.0, 2.0], [0.0, 0.0, 3.0, 3.0]], [0.9, 0.1, 0.9], [4, 5, 6]), (2, 9, [[5.0, 5.0, 4.0, 9.0], [1.0, 1.0, 3.0, 3.0]], [0.9, 0.8], [0, 1]), (3, None, None, None, None), (4, 0, [[0.0, 0.0, 1.0, 1.0]], [0.9], [1])]
+    got = detect.decode_parts(spark.createDataFrame(rows, "id int, num int, boxes array<array<double>>, scores array<double>, classes array<int>"), 0.25).collect()
+    assert [(r.id, r.n, r.x2, r.class_id) for r in got] == [(1, 0, 1.0, 4), (2, 1, 3.0, 1)]
+
+
 @pytest.mark.parametrize("kind", list(change.KERNELS))
 def test_interpolation_keeps_planes_and_skips_nodata(spark, kind):
     z = raster(spark, lambda r, c: None if (r, c) == (6, 6) else 2.0 * r + c)
