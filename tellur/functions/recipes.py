@@ -8,12 +8,29 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parameters by terrain (fixed values).
+#: Options of the operators by terrain (fixed values).
 PRESETS = {
-    "flat_agricultural": {"svf": (20, 16, 1), "openness": (15, 16), "slrm": 20, "local_dominance": (10, 20, 1.7)},
-    "forested": {"svf": (10, 16, 3), "openness": (5, 16), "slrm": 12, "local_dominance": (5, 15, 1.5)},
-    "upland_steep": {"svf": (5, 16, 2), "openness": (5, 16), "slrm": 8, "local_dominance": (5, 10, 1.0)},
-    "coastal": {"svf": (15, 32, 1), "openness": (10, 32), "slrm": 25, "local_dominance": (15, 30, 2.0)},
+    "flat_agricultural": {"svf": {"radius": 20, "directions": 16, "noise": 1}, "openness": {"radius": 15, "directions": 16}, "slrm": {"radius": 20}, "local_dominance": {"least": 10, "most": 20, "height": 1.7}},
+    "forested": {"svf": {"radius": 10, "directions": 16, "noise": 3}, "openness": {"radius": 5, "directions": 16}, "slrm": {"radius": 12}, "local_dominance": {"least": 5, "most": 15, "height": 1.5}},
+    "upland_steep": {"svf": {"radius": 5, "directions": 16, "noise": 2}, "openness": {"radius": 5, "directions": 16}, "slrm": {"radius": 8}, "local_dominance": {"least": 5, "most": 10, "height": 1.0}},
+    "coastal": {"svf": {"radius": 15, "directions": 32, "noise": 1}, "openness": {"radius": 10, "directions": 32}, "slrm": {"radius": 25}, "local_dominance": {"least": 15, "most": 30, "height": 2.0}},
+}
+
+#: Parameters that a recipe may give to each algorithm: kind, default, and least and greatest if bounded (fixed values).
+DEFINITIONS = {
+    "hillshade": {"azimuths": ("string", "315,45,135,225,270,360"), "altitude": ("float", 45.0, 0, 90)},
+    "slrm": {"trend_radius": ("int", 20, 1, 500)},
+    "svf": {"search_radius": ("int", 10, 1, 200), "num_directions": ("int", 16, 4, 64), "noise_level": ("int", 0, 0, 3)},
+    "slope": {"units": ("string", "degrees")},
+    "openness": {"search_radius": ("int", 10, 1, 200), "num_directions": ("int", 16, 4, 64)},
+    "mstp": {"local_radius": ("int", 5, 1, 100), "meso_radius": ("int", 50, 1, 1000), "broad_radius": ("int", 500, 1, 5000)},
+    "local_dominance": {"min_radius": ("int", 5, 1, 100), "max_radius": ("int", 20, 1, 500), "observer_height": ("float", 1.7, 0.1)},
+    "asvf": {"search_radius": ("int", 10, 1, 200), "num_directions": ("int", 16, 4, 64), "azimuth": ("float", 315.0, 0, 360), "anisotropy": ("float", 1.0, 0.1)},
+    "e4mstp": {},
+    "pca": {"num_directions": ("int", 16, 4, 64)},
+    "vat": {},
+    "red_relief": {},
+    "blend": {"mode": ("string", "multiply")},
 }
 
 
@@ -30,15 +47,59 @@ def slug(name: Column) -> Column:
     return F.when(F.coalesce(F.length(x), F.lit(0)) == 0, "untitled").otherwise(x)
 
 
+def _kind(parsed: Column, path: str) -> Column:
+    """The kind of a JSON value at a path: OBJECT, ARRAY, STRING, BOOLEAN, INT, REAL, VOID; NULL if there is none."""
+    name = F.regexp_extract(F.schema_of_variant(F.try_variant_get(parsed, path, "variant")), r"^[A-Z]+", 0)
+    return F.when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "INT").when(name.isin("DECIMAL", "DOUBLE", "FLOAT"), "REAL").otherwise(name)
+
+
+#: Kinds of JSON values that pass as each kind of parameter. A boolean passes as a number, as in the compatible variant.
+PASSES = {"int": ("INT", "BOOLEAN"), "float": ("INT", "REAL", "BOOLEAN"), "string": ("STRING",)}
+
+
 def check(recipes: DataFrame, column: str = "recipe") -> DataFrame:
-    """Adds `errors`: what is wrong with each JSON recipe (an object with recipe_version x.y.z and algorithms)."""
-    v, a = F.get_json_object(column, "$.recipe_version"), F.get_json_object(column, "$.algorithms")
-    wrong = F.array(
-        F.when(F.col(column).isNull() | ~F.coalesce(F.trim(column).startswith("{"), F.lit(False)), F.lit("not an object")),
-        F.when(v.isNull(), F.lit("recipe_version is missing")).when(~v.rlike(r"^\d+\.\d+\.\d+$"), F.lit("recipe_version isn't x.y.z")),
-        F.when(a.isNull(), F.lit("algorithms is missing")).when(~a.startswith("{"), F.lit("algorithms isn't an object")),
+    """Adds `errors` and `warnings` of each JSON recipe: an object with recipe_version x.y.z and algorithms, each an object of parameters of the right kinds.
+
+    Unknown algorithms are warned of, unknown parameters pass, bounds aren't enforced; a landscape_type is a name of PRESETS or empty.
+    """
+    v = F.try_parse_json(column)
+    kind = lambda path: _kind(v, path)
+    is_object = F.coalesce(kind("$") == "OBJECT", F.lit(False))
+    version, place = F.try_variant_get(v, "$.recipe_version", "string"), F.try_variant_get(v, "$.landscape_type", "string")
+    wrong = [
+        F.when(kind("$.recipe_version").isNull(), F.lit("recipe_version is missing")).when(~F.coalesce(version.rlike(r"^\d+\.\d+\.\d+$"), F.lit(False)), F.lit("recipe_version isn't x.y.z")),
+        F.when(kind("$.algorithms").isNull(), F.lit("algorithms is missing")).when(kind("$.algorithms") != "OBJECT", F.lit("algorithms isn't an object")),
+    ]
+    for name, params in DEFINITIONS.items():
+        own = kind(f"$.algorithms.{name}")
+        wrong.append(F.when(own != "OBJECT", F.lit(f"{name} isn't an object")))
+        given = {"enabled": ("BOOLEAN",)} | {k: PASSES[x[0]] for k, x in params.items()}
+        wrong += [F.when((own == "OBJECT") & ~kind(f"$.algorithms.{name}.{k}").isin(*kinds), F.lit(f"{name}.{k} is of another kind")) for k, kinds in given.items()]
+    landscape = kind("$.landscape_type")
+    wrong.append(F.when(landscape.isNotNull() & (landscape != "VOID") & ~F.coalesce((landscape == "STRING") & place.isin("", *PRESETS), F.lit(False)), F.lit("landscape_type is unknown")))
+    names = F.map_keys(F.from_json(F.get_json_object(column, "$.algorithms"), "map<string,string>"))
+    unknown = F.coalesce(F.array_except(names, F.array(*map(F.lit, DEFINITIONS))), F.array().cast("array<string>"))
+    return recipes.withColumns(
+        {
+            "errors": F.when(is_object, F.array_compact(F.array(*wrong))).otherwise(F.array(F.lit("not an object"))),
+            "warnings": F.when(is_object, F.transform(unknown, lambda x: F.concat(x, F.lit(" is unknown")))).otherwise(F.array().cast("array<string>")),
+        }
     )
-    return recipes.withColumn("errors", F.array_compact(wrong))
+
+
+def presets_of(column: str = "recipe") -> Column:
+    """Parameters by algorithm of a JSON recipe, as maps of text: without `enabled` and private names, algorithms without parameters left out."""
+    found = F.from_json(F.get_json_object(column, "$.algorithms"), "map<string,string>")
+    each = F.transform_values(found, lambda k, x: F.map_filter(F.from_json(x, "map<string,string>"), lambda p, _: (p != "enabled") & ~p.startswith("_")))
+    return F.map_filter(each, lambda k, x: F.coalesce(F.size(x), F.lit(0)) > 0)
+
+
+def exported(name: Column, author: Column, at: Column, algorithms: Column, version: str = "1.0.0") -> Column:
+    """A recipe's JSON, stamped with a time in UTC."""
+    if not re.fullmatch(r"\d+\.\d+\.\d+", version):
+        raise ValueError("a version is x.y.z")
+    stamp = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.to_json(F.struct(F.lit(version).alias("recipe_version"), name.alias("name"), author.alias("author"), stamp.alias("created"), algorithms.alias("algorithms")))
 
 
 def to_presets(recipe: str) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +30,25 @@ def anomalies(features: DataFrame, key: str) -> DataFrame:
     return out.fillna({k: v for k, v in FIELDS.items() if v is not None})
 
 
+def template(spark: SparkSession) -> DataFrame:
+    """An empty table of anomaly records, to be filled in the field."""
+    return spark.createDataFrame([], "anomaly_id string, confidence double, method string, description string, observer string, observed_at timestamp, status string, photo string, notes string")
+
+
+def escaped(text: Column) -> Column:
+    """Text as HTML shows it."""
+    for raw, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    return text
+
+
+def pages(settings: DataFrame) -> DataFrame:
+    """Adds `config` (JSON) and `html` of a viewer to rows with title, lon, lat, zoom and opacity."""
+    config = F.to_json(F.struct("title", F.array("lon", "lat").alias("center"), "zoom", "opacity"))
+    html = F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), escaped(F.col("title")), F.lit("</title></head><body><div id='map'></div><script src='viewer.js' data-config='config.json'></script></body></html>"))
+    return settings.withColumns({"config": config, "html": html})
+
+
 def footprints(detections: DataFrame) -> DataFrame:
     """Adds the closed outline of each box as WKT and the box as text with two decimals; empty and malformed boxes go."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))

@@ -19,6 +19,47 @@ def nodata(z: Column, value: float | None = None) -> Column:
     return z if value is None else F.when(F.abs(z - F.lit(float(value))) <= 1e-5, None).otherwise(z)
 
 
+def band(cells: DataFrame, number: int = 1) -> DataFrame:
+    """One band of a raster with a `band` column."""
+    return cells.where(F.col("band") == number).drop("band")
+
+
+def extents(meta: DataFrame) -> DataFrame:
+    """Adds `cell_size` (mean side of a cell) and `x_min`, `y_min`, `x_max`, `y_max` to rasters (rows, cols, x0, y0, px_w, px_h); an empty CRS becomes NULL."""
+    x, y = F.col("x0") + F.col("cols") * F.col("px_w"), F.col("y0") + F.col("rows") * F.col("px_h")
+    out = meta.withColumns({"cell_size": (F.abs("px_w") + F.abs("px_h")) / 2, "x_min": F.least("x0", x), "y_min": F.least("y0", y), "x_max": F.greatest("x0", x), "y_max": F.greatest("y0", y)})
+    return out.withColumn("crs", F.nullif(F.trim("crs"), F.lit(""))) if "crs" in meta.columns else out
+
+
+def shifted(cells: DataFrame, down: int, right: int, fill: float | None = None) -> DataFrame:
+    """The raster moved by whole cells within its place; what comes in is `fill`, what goes out is lost."""
+    by = [*keys(cells), "r", "c"]
+    moved = cells.select(*keys(cells), (F.col("r") + down).alias("r"), (F.col("c") + right).alias("c"), "z", F.lit(True).alias("_in"))
+    out = cells.select(*by).join(moved, by, "left")
+    return out.select(*by, F.when(F.col("_in"), F.col("z")).otherwise(F.lit(fill).cast("double")).alias("z"))
+
+
+#: Bands of the satellite: what they show, the side of a cell in metres, the middle of the band in nanometres (fixed values).
+SENTINEL = {
+    "B2": ("Blue", 10, 490),
+    "B3": ("Green", 10, 560),
+    "B4": ("Red", 10, 665),
+    "B5": ("Vegetation Red Edge", 20, 705),
+    "B6": ("Vegetation Red Edge", 20, 740),
+    "B7": ("Vegetation Red Edge", 20, 783),
+    "B8": ("NIR", 10, 842),
+    "B8A": ("Narrow NIR", 20, 865),
+    "B11": ("SWIR 1", 20, 1610),
+    "B12": ("SWIR 2", 20, 2190),
+}
+
+
+def described(table: DataFrame, column: str = "band") -> DataFrame:
+    """Adds description, resolution and center_nm of a satellite band's name, NULL for others."""
+    known = F.create_map(*(y for k, (text, side, nm) in SENTINEL.items() for y in (F.lit(k), F.struct(F.lit(text).alias("description"), F.lit(side).alias("resolution"), F.lit(nm).alias("center_nm")))))
+    return table.withColumn("_b", F.element_at(known, F.col(column))).select(*table.columns, "_b.description", "_b.resolution", "_b.center_nm")
+
+
 def lattice(table: DataFrame, number: str, value: Column, width: int = WIDTH) -> DataFrame:
     """Rows with dense numbers 0, 1, ... as a raster of the given width."""
     at = F.col(number)
@@ -66,7 +107,7 @@ def dem_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(r, c, b1, b2, b3): three bands on the same lattice."""
+    """(r, c, b1, b2, b3): three bands on the same lattice, and the names that satellites give to such bands."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     at = F.col("o_orderkey")
     return o.select(

@@ -396,14 +396,75 @@ def test_detector_tiles_cover_the_raster(spark):
 def test_names_and_recipes(spark):
     df = spark.createDataFrame([(" ../my  site*1 ",), ("",), (None,)], "n string")
     assert [r[0] for r in df.select(recipes.slug("n")).collect()] == ["my_site_1", "untitled", "untitled"]
-    bad = spark.createDataFrame([('{"recipe_version":"1.0","algorithms":{}}',), (recipes.export({"svf": {"radius": 5}}),), ("[]",), (None,)], "recipe string")
-    assert [len(r.errors) for r in recipes.check(bad).collect()] == [1, 0, 3, 3]
-    assert recipes.to_presets('{"algorithms":{"svf":{"enabled":true,"_x":1,"radius":5},"vat":{"enabled":true}}}') == {"svf": {"radius": 5}}
-    assert recipes.preset("coastal")["slrm"] == 25
+    rows = [
+        ('{"recipe_version":"1.0","algorithms":{}}', 1, 0),
+        (recipes.export({"svf": {"search_radius": 5, "enabled": True, "moon": "x"}}, landscape_type="coastal"), 0, 0),
+        ("[]", 1, 0),
+        (None, 1, 0),
+        ("{", 1, 0),
+        ("{}", 2, 0),
+        ('{"recipe_version":"1.0.0","algorithms":[]}', 1, 0),
+        ('{"recipe_version":1,"algorithms":{"moon":{},"svf":3}}', 2, 1),
+        ('{"recipe_version":"1.0.0","algorithms":{"svf":{"enabled":1,"search_radius":5.5,"noise_level":true},"hillshade":{"azimuths":3,"altitude":"4"},"asvf":{"azimuth":3}}}', 4, 0),
+        ('{"recipe_version":"1.0.0","algorithms":{},"landscape_type":"lunar"}', 1, 0),
+        ('{"recipe_version":"1.0.0","algorithms":{},"landscape_type":""}', 0, 0),
+    ]
+    got = recipes.check(spark.createDataFrame([(i, x) for i, (x, _, _) in enumerate(rows)], "i int, recipe string")).orderBy("i").collect()
+    assert [(len(r.errors), len(r.warnings)) for r in got] == [(a, b) for _, a, b in rows]
+    some = '{"algorithms":{"svf":{"enabled":true,"_x":1,"radius":5},"vat":{"enabled":true},"odd":7}}'
+    assert recipes.to_presets(some) == {"svf": {"radius": 5}}
+    assert spark.createDataFrame([(some,)], "recipe string").select(recipes.presets_of()).first()[0] == {"svf": {"radius": "5"}}
+    assert recipes.preset("coastal")["slrm"] == {"radius": 25}
     with pytest.raises(ValueError):
         recipes.preset("moon")
 
 
+def test_batch_is_what_each_relief_is(spark):
+    from tellur.operators import batch
+
+    z = raster(spark, lambda r, c: math.sin(r * 0.7) * 5 + (c * c) % 7 if (r, c) != (4, 4) else None, 15, 14)
+    got = {(r.r, r.c): r for r in batch.batch(z, list(batch.NAMES), "upland_steep").collect()}
+    alone = {
+        "hillshade": stencil.hillshade(z), "slope": stencil.slope(z), "tri": stencil.ruggedness(z), "svf": horizon.sky_view(z, 16, 5, 2), "asvf": horizon.anisotropic_sky_view(z, 16, 5, noise=2), "openness_negative": horizon.openness(z, True, 16, 5),
+        "local_dominance": horizon.local_dominance(z, 5, 10, height=1.0), "slrm": windows.local_relief(z, 8), "red_relief": blend.red_relief(windows.local_relief(z, 8), stencil.slope(z)),
+    }
+    for name, x in alone.items():
+        for k, v in grid(x, x.columns[-1]).items():
+            assert (got[k][name] is None) == (v is None) and (v is None or abs(got[k][name] - v) < 1e-6), name
+    assert len(got) == 210 and all(0 <= r.vat <= 255 and 0 <= r.e4mstp_red <= 255 for k, r in got.items() if k != (4, 4)) and got[4, 4].e4mstp_red == 0
+    with pytest.raises(ValueError):
+        batch.batch(z, ["moon"])
+
+
+def test_sinks(spark, tmp_path):
+    from tellur.sinks import rasters
+    from tellur.sources import cells as X
+
+    z = raster(spark, lambda r, c: float(r * 100 + c), 20, 30)
+    rasters.write_raster(z, str(tmp_path / "z"), 8)
+    assert grid(rasters.read_raster(spark, str(tmp_path / "z")), "z") == grid(z, "z")
+    part = rasters.read_raster(spark, str(tmp_path / "z"), (7, 9, 10, 20), 8)
+    assert set(grid(part, "z")) == {(r, c) for r in range(7, 10) for c in range(10, 21)} and "PartitionFilters: [isnotnull(tile_r" in part._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="exists"):
+        rasters.write_raster(z, str(tmp_path / "z"))
+    rgb = z.select("r", "c", *(F.col("c").cast("int").alias(k) for k in ("red", "green", "blue")))
+    rasters.write_colours(rgb, str(tmp_path / "rgb"))
+    with pytest.raises(ValueError):
+        rasters.write_colours(z, str(tmp_path / "rgb2"))
+    rasters.write_change(change.difference(z, z.where("r > 0")), str(tmp_path / "dod"))
+    assert {r.z for r in rasters.read_raster(spark, str(tmp_path / "dod/mask")).collect()} == {0, 255}
+    found = field.anomalies(spark.createDataFrame([(1, 1.0, 2.0, None, None, None)], "k bigint, x double, y double, anomaly_id string, confidence double, method string"), "k")
+    layers = spark.createDataFrame([("a", "EPSG:1"), ("b", "")], "name string, crs string")
+    path = rasters.write_package(found, layers, str(tmp_path), "My site!")
+    assert path.endswith("/My_site_") and spark.read.parquet(f"{path}/project").first().crs == "EPSG:1" and spark.read.parquet(f"{path}/anomalies").columns[:9] == field.template(spark).columns
+    with pytest.raises(Exception, match="exists"):
+        rasters.write_package(found, layers, str(tmp_path), "My site!")
+    with pytest.raises(ValueError):
+        rasters.write_package(found, layers.where("crs = ''"), str(tmp_path), "other")
+    moved = grid(X.shifted(z, 1, -2, -1.0), "z")
+    assert moved[0, 0] == -1.0 and moved[1, 0] == 2.0 and moved[1, 29] == -1.0
+
+
 def test_nodata_and_density(spark):
     df = spark.createDataFrame([(0, 0, -9999.0), (1, 1, float("nan")), (2, 1, 3.0)], "r int, c int, z double")
     assert [r[0] for r in df.select(cells.nodata(F.col("z"), -9999)).collect()] == [None, None, 3.0]
