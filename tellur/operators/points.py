@@ -65,42 +65,73 @@ def ground(points: DataFrame, kind: str = "standard") -> DataFrame:
     return b.select(*points.columns, near.alias("ground"))
 
 
+def nearest_means(own: np.ndarray, at: np.ndarray, places: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `own` (which are the rows `at` of `places`): the mean distance to its k nearest points and the greatest of them, infinite where there are fewer.
+
+    A place stands for as many points as `times` says; the others at one's own place are at distance 0.
+    """
+    mean, far = np.empty(len(own)), np.empty(len(own))
+    for i in range(0, len(own), 256):
+        d = np.sqrt(((own[i : i + 256, None] - places[None]) ** 2).sum(axis=2))
+        near = np.argpartition(d, min(k, len(places) - 1), axis=1)[:, : k + 1]
+        d = np.take_along_axis(d, near, axis=1)
+        order = np.argsort(d, axis=1, kind="stable")
+        d, near = np.take_along_axis(d, order, axis=1), np.take_along_axis(near, order, axis=1)
+        n = times[near] - (near == at[i : i + 256, None])
+        took = np.clip(k - (np.cumsum(n, axis=1) - n), 0, n)
+        whole = took.sum(axis=1) == k
+        mean[i : i + 256] = np.where(whole, (took * d).sum(axis=1) / k, np.inf)
+        far[i : i + 256] = np.where(whole, np.where(took > 0, d, 0).max(axis=1), np.inf)
+    return mean, far
+
+
 def outliers(points: DataFrame, neighbours: int = 8, factor: float = 2.0) -> DataFrame:
     """Adds `outlier`: points whose mean distance to their nearest `neighbours` points is over the mean of all such by more than `factor` sample deviations.
 
-    Points meet in cubes of about as many points as are asked; a point whose nearest lie farther than a cube's side meets
-    those of cubes twice as wide in the next round, until none is left, so the nearest are exact. Points of equal place
-    are neighbours of each other; with fewer points than neighbours there are no outliers.
+    Points of equal place are one place with their number, so repeated points make no larger groups. Places meet in blocks
+    of 4 x 4 x 4 cubes and the cubes around; a place whose nearest lie farther than a cube's side meets those of cubes
+    twice as wide in the next round, until none is left, so the nearest are exact. With no more points than neighbours
+    there are no outliers.
     """
-    p = durable(points.withColumn("_id", F.monotonically_increasing_id()))
-    said = p.agg(F.count("*").alias("n"), *(f(x).alias(f"{f.__name__}_{x}") for x in "xyz" for f in (F.min, F.max))).first()
-    if said.n <= neighbours:
+    names = ["x", "y", "z"]
+    places = durable(points.groupBy(*(F.col(x).cast("double").alias(x) for x in names)).agg(F.count("*").alias("n")))
+    said = places.agg(F.sum("n").alias("n"), F.count("*").alias("m"), *(f(x).alias(f"{f.__name__}_{x}") for x in names for f in (F.min, F.max))).first()
+    if (said.n or 0) <= neighbours:
         return points.withColumn("outlier", F.lit(False))
-    sides = [said[f"max_{x}"] - said[f"min_{x}"] for x in "xyz"]
+    sides = [said[f"max_{x}"] - said[f"min_{x}"] for x in names]
     live = [x for x in sides if x > 0]
-    cell = (math.prod(live) * neighbours / said.n) ** (1 / len(live)) if live else 1.0
-    places, left, done = p.select("_id", "x", "y", "z"), p.select("_id", "x", "y", "z"), None
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    nearest = Window.partitionBy("a").orderBy("d")
+    cell = (math.prod(live) * neighbours / said.m) ** (1 / len(live)) if live else 1.0
+    left, done = places.withColumn("left", F.lit(True)), None
+    schema = "x double, y double, z double, n bigint, d double, far double"
     while True:
         last = cell >= max(sides)
-        cube = [F.floor(F.col(x) / cell).alias(f"k{x}") for x in "xyz"]
-        own = left.select(F.col("_id").alias("a"), *(F.col(x).alias(f"a{x}") for x in "xyz"), *cube)
-        for x in "xyz":
-            own = own.withColumn("s", F.explode(steps)).withColumn(f"k{x}", F.col(f"k{x}") + F.col("s")).drop("s")
-        met = own.join(places.select("_id", "x", "y", "z", *cube), ["kx", "ky", "kz"]).where("a <> _id")
-        d = F.sqrt(sum(((F.col(x) - F.col(f"a{x}")) * (F.col(x) - F.col(f"a{x}")) for x in "yz"), (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax"))))
-        best = met.select("a", d.alias("d")).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= neighbours).groupBy("a").agg(F.avg("d").alias("d"), F.max("d").alias("far"), F.count("*").alias("n"))
-        best = durable(best.where(F.lit(last) | ((F.col("n") == neighbours) & (F.col("far") <= cell))).select(F.col("a").alias("_id"), "d"))
+        cubes = left
+        for x in names:
+            k = F.floor((F.col(x) - said[f"min_{x}"]) / cell)
+            blocks = F.array_distinct(F.array(F.floor((k - 1) / 4), F.floor(k / 4), F.floor((k + 1) / 4)))
+            cubes = cubes.withColumns({f"o{x}": F.floor(k / 4), f"b{x}": F.explode(blocks)})
+        cubes = cubes.withColumn("own", F.col("left") & (F.col("ox") == F.col("bx")) & (F.col("oy") == F.col("by")) & (F.col("oz") == F.col("bz")))
+
+        def work(f: pd.DataFrame) -> pd.DataFrame:
+            at, xyz = np.flatnonzero(f.own.to_numpy()), f[names].to_numpy()
+            mean, far = nearest_means(xyz[at], at, xyz, f.n.to_numpy(), neighbours)
+            return pd.DataFrame({"x": xyz[at, 0], "y": xyz[at, 1], "z": xyz[at, 2], "n": f.n.to_numpy()[at], "d": mean, "far": far})
+
+        met = cubes.select(*names, "n", "own", "bx", "by", "bz").groupBy("bx", "by", "bz").applyInPandas(work, schema)
+        best = durable(met.where(F.lit(last) | (F.col("far") <= cell)).select(*names, "n", "d"))
         done = best if done is None else done.unionByName(best)
         if last:
             break
-        left = durable(left.join(best, "_id", "left_anti"))
-        if not left.limit(1).count():
+        known = best.select(*names, F.lit(False).alias("known"))
+        left = durable(left.join(known, names, "left").select(*names, "n", (F.col("left") & F.col("known").isNull()).alias("left")))
+        if not left.where("left").limit(1).count():
             break
         cell *= 2
-    m = done.agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("sd")).first()
-    return p.join(done, "_id").select(*points.columns, (F.col("d") > m.m + factor * m.sd).alias("outlier"))
+    m = done.agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("m"), F.sum("n").alias("n")).first()
+    sd = math.sqrt(done.agg(F.sum((F.col("d") - m.m) * (F.col("d") - m.m) * F.col("n"))).first()[0] / (m.n - 1))
+    flags = done.select(*(F.col(x).alias(f"_{x}") for x in names), (F.col("d") > m.m + factor * sd).alias("outlier"))
+    same = [F.col(x).cast("double") == F.col(f"_{x}") for x in names]
+    return points.join(flags, same[0] & same[1] & same[2]).select(*points.columns, "outlier")
 
 
 #: Parameters of the cloth by terrain (fixed values): cell, threshold, rigidness, time step, smoothing of slopes.

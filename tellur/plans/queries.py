@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tellur.functions import recipes
+from tellur.operators import batch
 from tellur.operators import blend as B
 from tellur.operators import change as C
 from tellur.operators import detect as D
@@ -16,7 +19,9 @@ from tellur.operators import points as P
 from tellur.operators import stencil as S
 from tellur.operators import windows as W
 from tellur.registry import query
+from tellur.sinks import rasters
 from tellur.sources import cells as X
+from tellur.sources.durable import shared_folder
 
 
 def rounded(df, digits: int = 6):
@@ -151,15 +156,10 @@ SELECT d.r, d.c, CASE WHEN v IS NOT NULL THEN round(least(255.0::DOUBLE, greates
 )
 
 
-def _layers(s, d):
-    """Shade, slope, openness and sky view of the raster with nodata, joined by cell."""
-    z = X.dem_nd(s, d)
-    near = S.neighbours(z)
-    dx, dy = S.horn()
-    valid = F.col("z").isNotNull()
-    shade = sum((S.shade(a, 45) for a in (45, 135, 225)), S.shade(315, 45)) / 4.0 * 255
-    out = near.select("r", "c", F.when(valid, shade).alias("hillshade"), F.when(valid, F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))).alias("slope"))
-    return out.join(H.openness(z, False, 8, 10), ["r", "c"]).join(H.sky_view(z, 8, 10), ["r", "c"])
+def _layers(s, d, directions: int = 8, radius: int = 10):
+    """Shade, slope, openness and sky view of the raster with nodata, by one pass over its tiles."""
+    rays = {"directions": directions, "radius": radius}
+    return H.measures(X.dem_nd(s, d), {"hillshade": ("hillshade", {"azimuths": (315, 45, 135, 225)}), "slope": ("slope", {}), "openness": ("openness", rays), "svf": ("svf", rays)})
 
 
 _SHADE4 = f"({' + '.join(shade_sql(a, 45) for a in (315, 45, 135, 225))}) / 4 * 255"
@@ -169,38 +169,85 @@ def _over(a: str, b: str, blended: str, opacity: float) -> str:
     return f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, ({blended.format(a=a, b=b)}) * {opacity} + {1 - opacity} * {a}))"
 
 
-register(
-    "vat",
-    f"""{_G}, {horizon_sql('h', 8, 10, 0)}, {horizon_sql('p', 8, 10, -1)},
+def vat_sql(directions: int, radius: int) -> str:
+    return f"""{_G}, {horizon_sql('h', directions, radius, 0)}, {horizon_sql('p', directions, radius, -1)},
 l AS (SELECT g.r, g.c, CASE WHEN g.z IS NOT NULL THEN {_SHADE4} END AS hs, CASE WHEN g.z IS NOT NULL THEN {SLOPE} END AS sl, o.o, v.v FROM g
   LEFT JOIN (SELECT r, c, avg(90 - degrees(asin(s))) AS o FROM p_j GROUP BY 1, 2) o USING (r, c) LEFT JOIN (SELECT r, c, 1 - avg(s) AS v FROM h_j GROUP BY 1, 2) v USING (r, c)),
 b AS (SELECT min(hs) h0, max(hs) h1, min(sl) s0, max(sl) s1, min(o) o0, max(o) o1, min(v) v0, max(v) v1 FROM l),
 n AS (SELECT r, c, (hs-h0)/(h1-h0) AS h, 1-(sl-s0)/(s1-s0) AS s, (o-o0)/(o1-o0) AS o, (v-v0)/(v1-v0) AS v FROM l, b),
 x AS (SELECT *, {_over('h', 's', '{a} * {b}', 0.5)} AS x FROM n),
 y AS (SELECT *, {_over('x', 'o', 'CASE WHEN {a} < 0.5 THEN 2 * {a} * {b} ELSE 1 - 2 * (1 - {a}) * (1 - {b}) END', 0.5)} AS y FROM x)
-SELECT r, c, CASE WHEN h IS NOT NULL THEN round(({_over('y', 'v', '{a} * {b}', 0.5)}) * 255, 6) END AS vat FROM y""",
-    lambda s, d: B.vat(_layers(s, d)),
-)
+SELECT r, c, CASE WHEN h IS NOT NULL THEN round(({_over('y', 'v', '{a} * {b}', 0.5)}) * 255, 6) END AS vat FROM y"""
+
+
+register("vat", vat_sql(8, 10), lambda s, d: B.vat(_layers(s, d)))
+register("vat_full", vat_sql(16, 50), lambda s, d: B.vat(_layers(s, d, 16, 50)))
 register("principal_components", None, lambda s, d: B.principal(_layers(s, d), ["hillshade", "slope", "openness", "svf"]))
 
 
-def _e4(s, d):
-    z = X.dem_nd(s, d)
-    out = W.topographic_position(z, 3, 10, 40).withColumnsRenamed({k: f"mstp_{k}" for k in ("red", "green", "blue")})
-    parts = {
-        "pos": (H.openness(z, False, 8, 10), F.col("openness") / 90),
-        "neg": (H.openness(z, True, 8, 10), F.col("openness") / 90),
-        "ld": (H.local_dominance(z, 5, 10, 1, 30), F.col("dominance") / 255),
-        "slope": (S.slope(z), F.col("slope") / 90),
-        "svf_small": (H.sky_view(z, 16, 10), F.col("svf")),
-        "svf_large": (H.sky_view(z, 16, 50), F.col("svf")),
-    }
-    for k, (x, v) in parts.items():
-        out = out.join(x.select("r", "c", v.alias(k)), ["r", "c"], "left")
-    return B.e4mstp(out)
 
+def dominance_sql(name: str, least: int, most: int, angle: float, height: float = 1.7) -> str:
+    v = ", ".join(f"({a}, {b}, {float(q)!r}::DOUBLE)" for a, b, q in H.dominance_offsets(least, most, 1, angle))
+    return f"""
+{name}_o(dr, dc, q) AS (VALUES {v}), {name}_e AS (SELECT max(r) AS lr, max(c) AS lc FROM dem_nd),
+{name}_k AS MATERIALIZED (SELECT f.r, f.c, f.z, q, least(lr, greatest(0, f.r + dr)) AS gr, least(lc, greatest(0, f.c + dc)) AS gc FROM dem_nd f, {name}_o, {name}_e WHERE f.z IS NOT NULL),
+{name}_v AS (SELECT k.r, k.c, avg(atan((k.z + {height}::DOUBLE - g.z) / q)) AS v FROM {name}_k k JOIN dem_nd g ON g.r = gr AND g.c = gc WHERE g.z IS NOT NULL GROUP BY 1, 2),
+{name} AS (SELECT d.r, d.c, least(255.0::DOUBLE, greatest(0.0::DOUBLE, (v - 0.5) / 1.3::DOUBLE * 255)) AS dominance FROM dem_nd d JOIN {name}_v v USING (r, c))"""
 
-register("e4mstp", None, _e4)
+
+_unit = lambda x: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {x}))"
+_sky = f"({_unit('(coalesce(f.v, 1) - 0.9) / 0.1')} + 0.5 * {_unit('(coalesce(n.v, 1) - 0.7) / 0.3')}) / 1.5"
+_E4 = ", ".join(
+    f"floor(round(least(255.0::DOUBLE, greatest(0.0::DOUBLE, ((CASE WHEN {x} < 0.5 THEN 2 * {x} * {m} / 255 ELSE 1 - 2 * (1 - {x}) * (1 - {m} / 255) END) * 0.9 + {x} * 0.1) * 255)), 6))::INT AS {k}"
+    for k, x, m in (("red", "x1", "mr"), ("green", "x2", "mg"), ("blue", "x2", "mb"))
+)
+register(
+    "e4mstp",
+    f"""{_G}, {position_sql((3, 20, 100))}, {horizon_sql('p', 16, 10, -1)}, {horizon_sql('n', 16, 10, -1, '-')}, {horizon_sql('l', 16, 50, 0)}, {dominance_sql('ld', 10, 20, 15)},
+po AS (SELECT r, c, avg(90 - degrees(asin(s))) AS v FROM p_j GROUP BY 1, 2), ne AS (SELECT r, c, avg(90 - degrees(asin(s))) AS v FROM n_j GROUP BY 1, 2),
+near AS (SELECT r, c, 1 - avg(greatest(0, s)) AS v FROM p_j GROUP BY 1, 2), far AS (SELECT r, c, 1 - avg(s) AS v FROM l_j GROUP BY 1, 2),
+k AS (SELECT g.r, g.c, CASE WHEN g.z IS NOT NULL THEN {SLOPE} / 90 END AS s, po.v / 90 * (ne.v / 90) * (ld.dominance / 255) AS tex, {_sky} AS sky, m.red AS mr, m.green AS mg, m.blue AS mb
+  FROM g JOIN mstp m USING (r, c) LEFT JOIN po USING (r, c) LEFT JOIN ne USING (r, c) LEFT JOIN ld USING (r, c) LEFT JOIN near n USING (r, c) LEFT JOIN far f USING (r, c)),
+x AS (SELECT *, {_unit('coalesce(s, 0)')} * (sky * 0.25 + 0.75) AS x1, {_unit('coalesce(tex * (1 - s), 0)')} * (sky * 0.25 + 0.75) AS x2 FROM k)
+SELECT r, c, {_E4} FROM x""",
+    lambda s, d: batch.e4(X.dem_nd(s, d)),
+)
+for _name, _sign in (("openness_positive_full", ""), ("openness_negative_full", "-")):
+    register(_name, f"WITH {X.SQL}, {horizon_sql('h', 16, 20, -1, _sign)} " + with_nodata("SELECT r, c, avg(90 - degrees(asin(s))) AS v FROM h_j GROUP BY 1, 2", "v", "openness"), lambda s, d, neg=bool(_sign): H.openness(X.dem_nd(s, d), neg))
+register("local_dominance_full", f"WITH {X.SQL}, {dominance_sql('ld', 10, 20, 15)} SELECT d.r, d.c, round(dominance, 6) AS dominance FROM dem_nd d LEFT JOIN ld USING (r, c)", lambda s, d: H.local_dominance(X.dem_nd(s, d)))
+register("local_relief_full", f"WITH {X.SQL}, {relief_sql('dem_nd', 20)} SELECT r, c, round(slrm, 6) AS slrm FROM slrm", lambda s, d: W.local_relief(X.dem_nd(s, d)))
+register("topographic_position_full", f"WITH {X.SQL}, {position_sql((5, 50, 500))} SELECT r, c, red, green, blue FROM mstp", lambda s, d: W.topographic_position(X.dem_nd(s, d)))
+register("sky_view_anisotropic_filtered", None, lambda s, d: H.anisotropic_sky_view(X.dem_nd(s, d), noise=2))
+_mirror = lambda x, last: f"least((({x}) % (2 * {last}) + 2 * {last}) % (2 * {last}), 2 * {last} - (({x}) % (2 * {last}) + 2 * {last}) % (2 * {last}))"
+register(
+    "openness_reflected",
+    f"""WITH {X.SQL}, o(dir, dr, dc, dist) AS (VALUES {", ".join(f"({i}, {a}, {b}, {q!r}::DOUBLE)" for i, ray in enumerate(H.rays(8, 10)) for a, b, q in ray)}),
+e AS (SELECT avg(z) AS mean, max(r) AS lr, max(c) AS lc FROM dem_nd), f AS (SELECT r, c, z, coalesce(z, mean) AS x, lr, lc FROM dem_nd, e),
+j AS (SELECT f.r, f.c, o.dir, max((g.x - f.x) / sqrt((g.x - f.x) * (g.x - f.x) + o.dist * o.dist)) AS s FROM f CROSS JOIN o
+  JOIN f g ON g.r = {_mirror('f.r + o.dr', 'f.lr')} AND g.c = {_mirror('f.c + o.dc', 'f.lc')} WHERE f.z IS NOT NULL GROUP BY 1, 2, 3) """
+    + with_nodata("SELECT r, c, avg(90 - degrees(asin(s))) AS v FROM j GROUP BY 1, 2", "v", "openness"),
+    lambda s, d: H.openness(X.dem_nd(s, d), False, 8, 10, edge="reflect"),
+)
+_S = {"s": ("0.7", "0.3"), "l": ("0.9", "0.1")}
+register(
+    "sky_view_stretched",
+    f"""WITH {X.SQL}, {horizon_sql('h', 16, 10, 0)}, v AS (SELECT r, c, 1 - avg(s) AS v FROM h_j GROUP BY 1, 2)
+SELECT d.r, d.c, {', '.join(f"CASE WHEN v IS NOT NULL THEN round({_unit(f'(v - {a}) / {b}')}, 6) END AS {k}" for k, (a, b) in _S.items())} FROM dem_nd d LEFT JOIN v USING (r, c)""",
+    lambda s, d: H.sky_view(X.dem_nd(s, d)).select("r", "c", *(B.clip((F.col("svf") - float(a)) / float(b)).alias(k) for k, (a, b) in _S.items())),
+)
+
+register(
+    "batch_relief",
+    f"""{_G}, {relief_sql('dem_nd', 8)}, {horizon_sql('p', 16, 5, -1)}, {dominance_sql('ld', 5, 10, 15, 1.0)},
+po AS (SELECT r, c, avg(90 - degrees(asin(s))) AS v FROM p_j GROUP BY 1, 2),
+k AS (SELECT g.r, g.c, CASE WHEN g.z IS NOT NULL THEN {SHADE} END AS hillshade, CASE WHEN g.z IS NOT NULL THEN {SLOPE} END AS slope, po.v AS openness_positive, ld.dominance AS local_dominance, slrm.slrm
+  FROM g JOIN slrm USING (r, c) LEFT JOIN po USING (r, c) LEFT JOIN ld USING (r, c)),
+b AS (SELECT min(slrm) AS a0, max(slrm) AS a1, min(slope) AS b0, max(slope) AS b1 FROM k),
+n AS (SELECT k.*, (slrm - a0) / (a1 - a0) AS a, 1 - (slope - b0) / (b1 - b0) AS b FROM k, b)
+SELECT r, c, {', '.join(f'round({x}, 6) AS {x}' for x in ('hillshade', 'slope', 'openness_positive', 'local_dominance', 'slrm'))}, round((a * b * 0.5 + 0.5 * a) * 255, 6) AS red_relief FROM n""",
+    lambda s, d: batch.batch(X.dem_nd(s, d), ["hillshade", "slope", "openness_positive", "local_dominance", "slrm", "red_relief"], "upland_steep"),
+)
+register("batch_everything", None, lambda s, d: batch.batch(X.dem_nd(s, d), list(batch.NAMES), "forested"))
 
 # --- statistics, blends, change -------------------------------------------------------------------------------------
 
@@ -257,7 +304,7 @@ round(coalesce(sum(dod) FILTER (mask = 2), 0) - coalesce(sum(-dod) FILTER (mask
 )
 
 _KINDS = {
-    "average": "avg(z)", "min": "min(z)", "max": "max(z)", "sum": "sum(z)", "med": "quantile_cont(z, 0.5)", "q1": "quantile_cont(z, 0.25)", "q3": "quantile_cont(z, 0.75)", "rms": "sqrt(avg(z * z))", "nearest": "max_by(z, r * 1000 + c)",
+    "average": "avg(z)", "min": "min(z)", "max": "max(z)", "sum": "sum(z)", "med": "quantile_cont(z, 0.5)", "q1": "quantile_cont(z, 0.25)", "q3": "quantile_cont(z, 0.75)", "rms": "sqrt(avg(z * z))", "nearest": "arg_min(z, (power(r % 4 - 1.5, 2) + power(c % 4 - 1.5, 2)) * 1000 - r % 4 * 4 - c % 4)",
 }
 for _kind, _sql in _KINDS.items():
     register(f"resample_{_kind}", f"WITH {X.SQL} SELECT (r // 4)::INT AS r, (c // 4)::INT AS c, round({_sql}, 6) AS z FROM dem GROUP BY 1, 2".replace("GROUP BY 1, 2", "GROUP BY dem.r // 4, dem.c // 4"), lambda s, d, k=_kind: C.resample(X.dem(s, d), 4, k))
@@ -268,16 +315,46 @@ register(
 )
 register(
     "pyramid",
-    " UNION ALL ".join(f"SELECT {i} AS level, ((event_id // 100) // {2**i})::INT AS r, ((event_id % 100) // {2**i})::INT AS c, round(avg(value), 6) AS z FROM events GROUP BY ALL" for i in (1, 2, 3)),
+    " UNION ALL ".join(f"SELECT {i} AS level, ((event_id // 100) // {2**i})::INT AS r, ((event_id % 100) // {2**i})::INT AS c, round(avg(value), 9) AS z FROM events GROUP BY ALL" for i in (1, 2, 3)),
     lambda s, d: C.pyramid(X.dem(s, d), 3),
+    9,
 )
+
+
+def bilinear_sql(table: str, step: str, r0: str, c0: str, rows: str, cols: str, z: str = "z") -> str:
+    """(r, c, v): the four cells around each target, those that exist weighed anew."""
+    return f"""
+t AS (SELECT a.r, b.c, {r0} + {step} * a.r AS y, {c0} + {step} * b.c AS x FROM (SELECT unnest(range(0, {rows})) AS r) a, (SELECT unnest(range(0, {cols})) AS c) b),
+k AS (SELECT r, c, floor(y)::INT + i AS sr, floor(x)::INT + j AS sc, (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
+  FROM t, (VALUES (0), (1)) i(i), (VALUES (0), (1)) j(j)),
+bl AS (SELECT k.r::INT AS r, k.c::INT AS c, sum(w * {z})::DOUBLE / sum(w)::DOUBLE AS v FROM k JOIN {table} g ON g.r = sr AND g.c = sc WHERE {z} IS NOT NULL AND w > 0 GROUP BY 1, 2)"""
+
+
+_last = lambda axis, step, o: f"(SELECT floor((max({axis}) - {o}) / {step})::BIGINT + 1 FROM dem_nd)"
 register(
     "resample_bilinear",
-    f"""WITH {X.SQL}, t AS (SELECT a.r, b.c, 0.25 + 1.5 * a.r AS y, 0.25 + 1.5 * b.c AS x FROM (SELECT unnest(range(0, 40)) AS r) a, (SELECT unnest(range(0, 66)) AS c) b),
-k AS (SELECT r, c, floor(y)::INT + i AS sr, floor(x)::INT + j AS sc, (CASE WHEN i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
-  FROM t, (VALUES (0), (1)) i(i), (VALUES (0), (1)) j(j))
-SELECT k.r::INT AS r, k.c::INT AS c, round(sum(w * z)::DOUBLE / sum(w)::DOUBLE, 6) AS z FROM k JOIN dem_nd g ON g.r = sr AND g.c = sc WHERE z IS NOT NULL AND w > 0 GROUP BY 1, 2""",
-    lambda s, d: C.bilinear(X.dem_nd(s, d), 40, 66, 1.5, 0.25, 0.25),
+    f"WITH {X.SQL}, {bilinear_sql('dem_nd', '1.5', '0.25', '0.25', _last('r', 1.5, 0.25), _last('c', 1.5, 0.25))} SELECT r, c, round(v, 6) AS z FROM bl",
+    lambda s, d: C.bilinear(X.dem_nd(s, d), 1.5, 0.25, 0.25),
+)
+
+
+def _grid(s, d, x0: float = 0.0, y0: float = 0.0, px: float = 1.0, table=X.dem_nd) -> dict:
+    """A grid of the raster's rows and columns, its corner at (x0, y0), rows running down."""
+    said = table(s, d).agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    return {"x0": x0, "y0": y0, "px_w": px, "px_h": -px, "rows": (said.r or 0) + 1, "cols": (said.c or 0) + 1}
+
+
+register(
+    "difference_shifted",
+    f"""WITH {X.SQL}, {bilinear_sql('dem_new', '1', '-0.25', '0.5', '(SELECT max(r) + 1 FROM dem_nd)', '(SELECT max(c) + 1 FROM dem_nd)')},
+d AS (SELECT o.r, o.c, b.v - o.z AS dod FROM dem_nd o LEFT JOIN bl b USING (r, c))
+SELECT r, c, round(dod, 6) AS dod, CASE WHEN dod IS NULL THEN 255 WHEN dod < -{C.detection_level()!r}::DOUBLE THEN 1 WHEN dod > {C.detection_level()!r}::DOUBLE THEN 2 ELSE 0 END AS mask FROM d""",
+    lambda s, d: C.difference(X.dem_nd(s, d), C.aligned(X.dem_new(s, d), _grid(s, d, -0.5, -0.25), _grid(s, d))),
+)
+register(
+    "bands_coregistered",
+    f"""WITH {X.SQL}, {bilinear_sql('bands', '0.5', '-0.25', '-0.25', '(SELECT max(r) + 1 FROM dem_nd)', '(SELECT max(c) + 1 FROM dem_nd)', 'b1')} SELECT r, c, round(v, 6) AS z FROM bl""",
+    lambda s, d: C.aligned(X.bands(s, d).select("r", "c", F.col("b1").alias("z")), _grid(s, d, px=2.0, table=X.bands), _grid(s, d)),
 )
 register("stack", f"WITH {X.SQL} SELECT r, c, a.z AS b0, b.z AS b1, round(x.b1, 6) AS b2 FROM dem_nd a FULL JOIN dem_new b USING (r, c) FULL JOIN bands x USING (r, c)".replace("a.z AS b0, b.z AS b1", "round(a.z, 6) AS b0, round(b.z, 6) AS b1"),
     lambda s, d: C.stack([X.dem_nd(s, d), X.dem_new(s, d), X.bands(s, d).select("r", "c", F.col("b1").alias("z"))]).select("r", "c", *(F.col("bands")[i].alias(f"b{i}") for i in range(3))))
@@ -286,52 +363,69 @@ register(
     f"WITH {X.SQL} SELECT r, c, round(coalesce(a.z, b.b2), 6) AS z FROM dem_nd a FULL JOIN bands b USING (r, c)",
     lambda s, d: C.mosaic([X.bands(s, d).select("r", "c", F.col("b2").alias("z")), X.dem_nd(s, d)]),
 )
-for _recipe, _mode, _light, _opacity in (("terrain_cir", "luminance", "l * 0.4 + l * s * 0.6", 0.6), ("crop_marks", "overlay", "0.5 * s + 0.5 * (CASE WHEN l < 0.5 THEN 2 * l * s ELSE 1 - 2 * (1 - l) * (1 - s) END)", 0.5), ("erosion_risk", "multiply", "0.3 * s + 0.7 * (l * s)", 0.7), ("bare_earth", "screen", "0.5 * s + 0.5 * (1 - (1 - l) * (1 - s))", 0.5)):
+_RELIEFS = {
+    "svf": f"{_G}, {horizon_sql('h', 16, 10, 0)}, rel AS (SELECT r, c, 1 - avg(s) AS v FROM h_j GROUP BY 1, 2)",
+    "local_dominance": f"{_G}, {dominance_sql('ld', 10, 20, 15)}, rel AS (SELECT r, c, dominance AS v FROM ld)",
+    "slope": f"{_G}, rel AS (SELECT r, c, {SLOPE} AS v FROM g WHERE z IS NOT NULL)",
+    "slrm": f"{_G}, {relief_sql('dem_nd', 20)}, rel AS (SELECT r, c, slrm AS v FROM slrm)",
+}
+_LIGHT = {
+    "luminance": "l * (1 - {o}) + l * s * {o}",
+    "overlay": "(1 - {o}) * s + {o} * (CASE WHEN l < 0.5 THEN 2 * l * s ELSE 1 - 2 * (1 - l) * (1 - s) END)",
+    "multiply": "(1 - {o}) * s + {o} * (l * s)",
+    "screen": "(1 - {o}) * s + {o} * (1 - (1 - l) * (1 - s))",
+}
+for _recipe, (_relief, _names, _mode, _opacity) in C.RECIPES.items():
+    _light = _LIGHT[_mode].format(o=_opacity)
     _rgb = ", ".join(f"coalesce(floor(round(least(255.0::DOUBLE, greatest(0.0::DOUBLE, ({_light.replace('s', f's{i}')}) * 255)), 6))::INT, 0) AS {n}" for i, n in ((1, "red"), (2, "green"), (3, "blue")))
     register(
         f"fusion_{_recipe}",
-        f"""WITH {X.SQL}, x AS (SELECT r, c, z, b1, b2, b3 FROM dem_nd JOIN bands USING (r, c)),
+        f"""{_RELIEFS[_relief]}, x AS (SELECT d.r, d.c, rel.v AS z, b1, b2, b3 FROM dem_nd d JOIN bands USING (r, c) LEFT JOIN rel USING (r, c)),
 b AS (SELECT min(z) z0, max(z) z1, min(b1) a0, max(b1) a1, min(b2) c0, max(b2) c1, min(b3) d0, max(b3) d1 FROM x),
 n AS (SELECT r, c, (z - z0) / (z1 - z0) AS l, (b1 - a0) / (a1 - a0) AS s1, (b2 - c0) / (c1 - c0) AS s2, (b3 - d0) / (d1 - d0) AS s3 FROM x, b)
 SELECT r, c, {_rgb} FROM n""",
-        lambda s, d, m=_mode, o=_opacity: C.fuse(X.dem_nd(s, d), X.bands(s, d), ("b1", "b2", "b3"), m, o),
+        lambda s, d, r=_recipe, n=_names: C.fused(X.dem_nd(s, d), X.bands(s, d).select("r", "c", *(F.col(b).alias(k) for b, k in zip(("b1", "b2", "b3"), n, strict=True))), r),
     )
 
 # --- detections -----------------------------------------------------------------------------------------------------
 
 
 def _outputs(s, d):
-    """Orders as a detector's raw outputs: centre, size, objectness, two class scores."""
+    """Orders as a detector's raw outputs, a scene of 1000 x 1000 pixels for each thousand: centre, size, objectness, two class scores."""
     k, o = F.col("o_orderkey"), s.read.parquet(f"{d}/orders.parquet")
     v = [(k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double"), (k % 53 + 4).cast("double"), (k % 31 + 4).cast("double"), F.col("o_totalprice") / 500000, (k % 7) / F.lit(7.0), (k % 5) / F.lit(5.0)]
-    return o.select(k.alias("id"), F.array(*v).alias("out"))
+    return o.select(k.alias("id"), F.floor(k / 1000).alias("scene"), F.array(*v).alias("out"))
+
+
+def _boxes(s, d):
+    return D.decode(_outputs(s, d), 0.1).drop("scene")
 
 
 _DETS = """WITH v AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 1000)::DOUBLE AS cx, (o_orderkey * 91 % 1000)::DOUBLE AS cy, (o_orderkey % 53 + 4)::DOUBLE AS w, (o_orderkey % 31 + 4)::DOUBLE AS h,
   o_totalprice / 500000 AS o, (o_orderkey % 7) / 7.0::DOUBLE AS s0, (o_orderkey % 5) / 5.0::DOUBLE AS s1 FROM orders),
 d AS (SELECT id, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2, o * greatest(s0, s1) AS confidence, CASE WHEN s0 >= s1 THEN 0 ELSE 1 END AS class_id FROM v),
 k AS (SELECT * FROM d WHERE confidence >= 0.1 AND x2 > x1 AND y2 > y1) """
-register("detections_decode", _DETS + "SELECT id, x1, y1, x2, y2, round(confidence, 9) AS confidence, class_id FROM k", lambda s, d: D.decode(_outputs(s, d), 0.1), 9)
+register("detections_decode", _DETS + "SELECT id, x1, y1, x2, y2, round(confidence, 9) AS confidence, class_id FROM k", _boxes, 9)
 register(
     "detections_rescale",
     _DETS
     + """SELECT id, round(least(640, greatest(0, x1 * 640 / 1000)) + 100, 2) AS x1, round(least(480, greatest(0, y1 * 480 / 1000)) + 200, 2) AS y1, round(least(640, greatest(0, x2 * 640 / 1000)) + 100, 2) AS x2,
 round(least(480, greatest(0, y2 * 480 / 1000)) + 200, 2) AS y2, round(confidence, 4) AS confidence, class_id, CASE class_id WHEN 0 THEN 'mound' ELSE 'class_1' END AS class_name FROM k""",
-    lambda s, d: D.rescale(D.decode(_outputs(s, d), 0.1), 1000, F.lit(640.0), F.lit(480.0), F.lit(100.0), F.lit(200.0)).withColumn("class_name", D.label(F.col("class_id"), ["mound"])),
+    lambda s, d: D.rescale(_boxes(s, d), 1000, F.lit(640.0), F.lit(480.0), F.lit(100.0), F.lit(200.0)).withColumn("class_name", D.label(F.col("class_id"), ["mound"])),
 )
 register(
     "detections_overlap",
     _DETS
     + """, p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2-a.x1)*(a.y2-a.y1) + (b.x2-b.x1)*(b.y2-b.y1) AS u
-  FROM k a JOIN k b ON a.class_id = b.class_id AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
+  FROM k a JOIN k b ON a.class_id = b.class_id AND a.id // 1000 = b.id // 1000 AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
 SELECT a, b, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.3""",
-    lambda s, d: D.overlaps(D.decode(_outputs(s, d), 0.1), 0.3, 64),
+    lambda s, d: D.overlaps(D.decode(_outputs(s, d), 0.1), 0.3, 32, by=("class_id", "scene")),
 )
-register("detections_suppress", None, lambda s, d: D.suppress(D.decode(_outputs(s, d), 0.1), 0.45))
+register("detections_suppress", None, lambda s, d: D.suppress(D.decode(_outputs(s, d), 0.1), 0.45, ("class_id", "scene")))
 register(
     "detections_to_map",
     _DETS + "SELECT id, 500000 + x1 * 0.5 AS x1, 6000000 - y2 * 0.5 AS y1, 500000 + x2 * 0.5 AS x2, 6000000 - y1 * 0.5 AS y2, round(confidence, 9) AS confidence, class_id FROM k",
-    lambda s, d: D.to_map(D.decode(_outputs(s, d), 0.1), (500000, 0.5, 0, 6000000, 0, -0.5)),
+    lambda s, d: D.to_map(_boxes(s, d), (500000, 0.5, 0, 6000000, 0, -0.5)),
     9,
 )
 
@@ -354,15 +448,20 @@ SELECT r::INT AS r, c::INT AS c, round(sum(w * z) / sum(w), 6) AS z FROM w GROUP
     lambda s, d: P.inverse_distance(_points(s, d), 2.0),
 )
 register("points_ground", None, lambda s, d: P.ground(_points(s, d)))
+register("points_cloth", None, lambda s, d: P.cloth_ground(_points(s, d)))
+register("points_outliers", None, lambda s, d: P.outliers(_points(s, d)))
+register("points_range", _POINTS + "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM p WHERE z BETWEEN 5 AND 40 AND NOT x BETWEEN 20 AND 30", lambda s, d: P.in_range(_points(s, d), "z[5:40], x![20:30]"))
+register("points_ferry", _POINTS + "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(z, 6) AS height FROM p", lambda s, d: P.ferried(_points(s, d), "z=>height"))
 register(
-    "points_outliers",
-    _POINTS
-    + """, a AS (SELECT r, c, sum(z) AS s, count(*) AS n FROM b GROUP BY b.r, b.c),
-k AS (SELECT a.r + i AS r, a.c + j AS c, sum(s) AS s, sum(n) AS n FROM a, (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j) GROUP BY 1, 2),
-d AS (SELECT id, x, y, z, n, abs(z - (s - z) / greatest(1, n - 1)) AS d FROM b JOIN k USING (r, c)), m AS (SELECT avg(d) AS m, stddev_pop(d) AS sd FROM d)
-SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, (n - 1 < 8 OR d > m + 2 * sd) AS outlier FROM d, m""",
-    lambda s, d: P.outliers(_points(s, d), 2.0),
+    "points_crs",
+    "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'EPSG:' || (32600 + p_size) WHEN p_size % 5 = 0 THEN p_type WHEN p_size % 7 <> 0 THEN p_name END AS crs FROM part",
+    lambda s, d: (lambda m: m.select("p_partkey", P.crs_of(m).alias("crs")))(
+        s.read.parquet(f"{d}/part.parquet").select(
+            "p_partkey", F.when(F.col("p_size") % 3 == 0, F.col("p_size") + 32600).alias("epsg"), F.when(F.col("p_size") % 5 == 0, F.col("p_type")).otherwise("").alias("wkt"), F.when(F.col("p_size") % 7 != 0, F.col("p_name")).alias("proj4")
+        )
+    ),
 )
+register("points_pipeline", None, lambda s, d: P.run(_points(s, d).select("x", "y", "z"), P.pipeline("lineitem", "dem", cell=2.0))[0])
 
 # --- names and recipes ----------------------------------------------------------------------------------------------
 
@@ -372,10 +471,47 @@ register(
 SELECT p_partkey, regexp_replace(regexp_replace(x, '^[._/\\]+', ''), '\s+', '_', 'g') AS slug FROM x""",
     lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", recipes.slug(F.concat_ws("/", "p_name", "p_type")).alias("slug")),
 )
+
+
+def _recipes(s, d):
+    """Parts as recipes of many kinds, right and wrong."""
+    part, k = s.read.parquet(f"{d}/part.parquet"), F.col("p_partkey")
+    version = F.when(k % 5 == 0, F.lit("1.0")).otherwise(F.concat(F.lit("1."), (k % 9).cast("string"), F.lit(".0")))
+    radius = F.when(k % 4 == 1, F.lit("5.5")).when(k % 4 == 2, F.lit('"7"')).otherwise(F.col("p_size").cast("string"))
+    name = F.when(k % 6 == 0, F.lit("moon")).otherwise("svf")
+    place = F.when(k % 7 == 0, F.lit("lunar")).when(k % 7 == 1, F.lit("coastal")).otherwise("")
+    body = F.format_string('{"recipe_version":"%s","algorithms":{"%s":{"enabled":%s,"search_radius":%s,"_own":1},"slope":{"units":"%s"}},"landscape_type":"%s"}', version, name, F.when(k % 3 == 0, F.lit("1")).otherwise("true"), radius, F.col("p_brand"), place)
+    return part.select("p_partkey", F.when(k % 11 == 0, F.lit("[]")).when(k % 11 == 1, F.lit('{"algorithms":[]}')).otherwise(body).alias("recipe"))
+
+
+_RECIPES = r"""WITH v AS (SELECT p_partkey, p_partkey AS k, p_brand, CASE WHEN p_partkey % 4 = 1 THEN '5.5' WHEN p_partkey % 4 = 2 THEN '"7"' ELSE p_size::VARCHAR END AS radius FROM part),
+j AS (SELECT p_partkey, (CASE WHEN k % 11 = 0 THEN '[]' WHEN k % 11 = 1 THEN '{"algorithms":[]}' ELSE '{"recipe_version":"' || CASE WHEN k % 5 = 0 THEN '1.0' ELSE '1.' || (k % 9) || '.0' END || '","algorithms":{"' || CASE WHEN k % 6 = 0 THEN 'moon' ELSE 'svf' END || '":{"enabled":'
+  || CASE WHEN k % 3 = 0 THEN '1' ELSE 'true' END || ',"search_radius":' || radius || ',"_own":1},"slope":{"units":"' || p_brand || '"}},"landscape_type":"' || CASE WHEN k % 7 = 0 THEN 'lunar' WHEN k % 7 = 1 THEN 'coastal' ELSE '' END || '"}' END)::JSON AS j FROM v)
+"""
 register(
     "recipes_check",
-    """SELECT event_id, CASE WHEN props IS NULL THEN 1 ELSE 0 END + 1 + 1 AS n_errors FROM events""",
-    lambda s, d: recipes.check(s.read.parquet(f"{d}/events.parquet"), "props").select("event_id", F.size("errors").alias("n_errors")),
+    _RECIPES
+    + r"""SELECT p_partkey, (CASE WHEN json_type(j) <> 'OBJECT' THEN 1 ELSE (NOT regexp_matches(coalesce(j->>'$.recipe_version', ''), '^\d+\.\d+\.\d+$'))::INT + (coalesce(json_type(j, '$.algorithms'), '') <> 'OBJECT')::INT
+  + coalesce((json_type(j, '$.algorithms.svf.enabled') <> 'BOOLEAN')::INT, 0) + coalesce((json_type(j, '$.algorithms.svf.search_radius') NOT IN ('UBIGINT', 'BIGINT', 'BOOLEAN'))::INT, 0)
+  + (coalesce(j->>'$.landscape_type', '') NOT IN ('', 'flat_agricultural', 'forested', 'upland_steep', 'coastal'))::INT END)::INT AS n_errors,
+CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.algorithms.moon') IS NOT NULL THEN 1 ELSE 0 END AS n_warnings FROM j""",
+    lambda s, d: recipes.check(_recipes(s, d)).select("p_partkey", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings")),
+)
+register(
+    "recipes_presets",
+    _RECIPES + """SELECT p_partkey, CASE WHEN json_type(j, '$.algorithms') = 'OBJECT' THEN coalesce(j->>'$.algorithms.svf.search_radius', j->>'$.algorithms.moon.search_radius') END AS radius, j->>'$.algorithms.slope.units' AS units,
+CASE WHEN json_type(j, '$.algorithms') = 'OBJECT' THEN 2 ELSE 0 END AS n FROM j""",
+    lambda s, d: _recipes(s, d)
+    .select("p_partkey", recipes.presets_of().alias("p"))
+    .select("p_partkey", F.coalesce(F.col("p")["svf"]["search_radius"], F.col("p")["moon"]["search_radius"]).alias("radius"), F.col("p")["slope"]["units"].alias("units"), F.coalesce(F.size("p"), F.lit(0)).alias("n"))
+    .withColumn("n", F.greatest(F.col("n"), F.lit(0))),
+)
+register(
+    "recipes_export",
+    """SELECT o_orderkey, '{"recipe_version":"1.0.0","name":"' || o_orderpriority || '","author":"' || o_custkey || '","created":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '","algorithms":{"svf":{"radius":' || (o_orderkey % 20) || '}}}' AS recipe FROM orders""",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(
+        "o_orderkey", recipes.exported(F.col("o_orderpriority"), F.col("o_custkey").cast("string"), F.col("o_orderdate"), F.struct(F.struct((F.col("o_orderkey") % 20).alias("radius")).alias("svf"))).alias("recipe")
+    ),
 )
 
 # --- interpolating resamplers ---------------------------------------------------------------------------------------
@@ -420,7 +556,7 @@ register(
     _DETS
     + """SELECT id, x1, y1, x2, y2, round(confidence, 9) AS confidence, class_id, printf('%.2f,%.2f,%.2f,%.2f', x1, y1, x2, y2) AS bbox,
 printf('POLYGON ((%.2f %.2f, %.2f %.2f, %.2f %.2f, %.2f %.2f, %.2f %.2f))', x1, y1, x2, y1, x2, y2, x1, y2, x1, y1) AS wkt FROM k""",
-    lambda s, d: L.footprints(D.decode(_outputs(s, d), 0.1)),
+    lambda s, d: L.footprints(_boxes(s, d)),
     9,
 )
 register(
@@ -451,3 +587,113 @@ g AS (SELECT tr, tc, min(z) AS lo, max(z) AS hi FROM s GROUP BY 1, 2)
 SELECT tr, tc, r, c, coalesce(round(CASE WHEN hi - lo > 1e-6 THEN (z - lo) / (hi - lo) END, 6), 0) AS x FROM s JOIN g USING (tr, tc)""",
     lambda s, d: (lambda x: L.detector_tiles(x, (x.agg(F.max("r")).first()[0] or 0) + 1, X.WIDTH, 32, 4))(X.dem_nd(s, d)),
 )
+
+# --- models over tiles, sinks, places, bands -------------------------------------------------------------------------
+
+
+def brightest(x: np.ndarray) -> list[np.ndarray]:
+    """A model that frames the brightest part of each eighth of its input, by corners, confidence and class."""
+    n = x.shape[-1] // 8
+    parts = x[0, 0, : n * 8, : n * 8].reshape(8, n, 8, n).transpose(0, 2, 1, 3).reshape(64, n * n)
+    at = parts.argmax(axis=1)
+    r, c = np.stack(np.divmod(np.arange(64), 8)) * n + np.stack(np.divmod(at, n))
+    return [np.stack([c, r, c + 1, r + 1, parts.max(axis=1), np.arange(64) % 2], axis=1)[None]]
+
+
+register("detections_model", None, lambda s, d: D.detect(X.dem_nd(s, d), brightest, ["mound", "pit"], 64, 8, 64, 0.5))
+register(
+    "detections_decode_parts",
+    """WITH p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n, l_partkey % 100 + 0.0::DOUBLE AS x1, l_suppkey % 50 + 0.0::DOUBLE AS y1, l_quantity - 5 AS w, l_discount * 10 AS c, l_linenumber AS k FROM lineitem)
+SELECT l_orderkey, n::INT AS n, x1, y1, x1 + w AS x2, y1 + w AS y2, round(c, 9) AS confidence, k::INT AS class_id FROM p WHERE n < l_orderkey % 5 AND c >= 0.25 AND w > 0""",
+    lambda s, d: D.decode_parts(
+        s.read.parquet(f"{d}/lineitem.parquet")
+        .groupBy("l_orderkey")
+        .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"))).alias("v"))
+        .select(
+            "l_orderkey",
+            (F.col("l_orderkey") % 5).alias("num"),
+            F.transform("v", lambda x: (lambda a, b, w: F.array(a, b, a + w, b + w))((x["l_partkey"] % 100).cast("double"), (x["l_suppkey"] % 50).cast("double"), x["l_quantity"] - 5)).alias("boxes"),
+            F.transform("v", lambda x: x["l_discount"] * 10).alias("scores"),
+            F.transform("v", lambda x: x["l_linenumber"]).alias("classes"),
+        ),
+        0.25,
+    ),
+    9,
+)
+
+
+def _new(s) -> str:
+    return f"{shared_folder(s)}/raster-{uuid.uuid4().hex}"
+
+
+def _written(write, read):
+    """What is read back of what was written under a new path in the shared folder."""
+
+    def make(s, d):
+        write(s, d, path := _new(s))
+        return read(s, path)
+
+    return make
+
+
+register("raster_written", f"WITH {X.SQL} SELECT r, c, round(z, 6) AS z FROM dem_nd", _written(lambda s, d, p: rasters.write_raster(X.dem_nd(s, d), p), rasters.read_raster))
+register("raster_window", f"WITH {X.SQL} SELECT r, c, round(z, 6) AS z FROM dem_nd WHERE r BETWEEN 5 AND 40 AND c BETWEEN 10 AND 70", _written(lambda s, d, p: rasters.write_raster(X.dem_nd(s, d), p, 32), lambda s, p: rasters.read_raster(s, p, (5, 40, 10, 70), 32)))
+register("change_written", _DOD + "SELECT r, c, mask AS z FROM k", _written(lambda s, d, p: rasters.write_change(C.difference(X.dem_nd(s, d), X.dem_new(s, d)), p), lambda s, p: rasters.read_raster(s, f"{p}/mask")))
+register("colours_written", f"WITH {X.SQL}, {position_sql((3, 10, 40))} SELECT r, c, red, green, blue FROM mstp", _written(lambda s, d, p: rasters.write_colours(W.topographic_position(X.dem_nd(s, d), 3, 10, 40), p), rasters.read_raster))
+
+
+def _anomalies(s, d):
+    o = s.read.parquet(f"{d}/orders.parquet").where("o_orderstatus <> 'P'")
+    return o.select(F.col("o_orderkey").alias("fid"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), F.lit(None).cast("string").alias("anomaly_id"), (F.col("o_totalprice") / 1000000).alias("confidence"), F.lit("survey").alias("method"))
+
+
+register(
+    "field_package",
+    """SELECT printf('ANOM-%04d', row_number() OVER (ORDER BY o_orderkey)) AS anomaly_id, round(o_totalprice / 1000000, 6) AS confidence, 'survey' AS method, round(o_totalprice, 6) AS x, o_custkey::DOUBLE AS y FROM orders WHERE o_orderstatus <> 'P'""",
+    lambda s, d: s.read.parquet(rasters.write_package(L.anomalies(_anomalies(s, d), "fid"), s.read.parquet(f"{d}/nation.parquet").select("n_name", F.lit("EPSG:32630").alias("crs")), _new(s), "survey of the field") + "/anomalies").select("anomaly_id", "confidence", "method", "x", "y"),
+)
+register(
+    "raster_extents",
+    """SELECT p_partkey, p_size * 9 AS rows, p_size * 7 AS cols, p_retailprice AS x0, p_retailprice * 2 AS y0, 0.5 AS px_w, -(p_size % 4 + 1) / 2.0::DOUBLE AS px_h, CASE WHEN p_size % 3 > 0 THEN p_brand END AS crs, (0.5 + (p_size % 4 + 1) / 2.0::DOUBLE) / 2 AS cell_size,
+round(p_retailprice, 6) AS x_min, round(p_retailprice * 2 - p_size * 9 * (p_size % 4 + 1) / 2.0::DOUBLE, 6) AS y_min, round(p_retailprice + p_size * 7 * 0.5, 6) AS x_max, round(p_retailprice * 2, 6) AS y_max FROM part""".replace("p_retailprice AS x0, p_retailprice * 2 AS y0, 0.5 AS px_w", "round(p_retailprice, 6) AS x0, round(p_retailprice * 2, 6) AS y0, 0.5::DOUBLE AS px_w"),
+    lambda s, d: X.extents(
+        s.read.parquet(f"{d}/part.parquet").select(
+            "p_partkey", (F.col("p_size") * 9).alias("rows"), (F.col("p_size") * 7).alias("cols"), F.col("p_retailprice").alias("x0"), (F.col("p_retailprice") * 2).alias("y0"), F.lit(0.5).alias("px_w"), (-(F.col("p_size") % 4 + 1) / 2).alias("px_h"), F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).otherwise(" ").alias("crs")
+        )
+    ),
+)
+register(
+    "rasters_same_place",
+    """WITH m AS (SELECT p_partkey, p_brand AS crs_a, CASE WHEN p_partkey % 9 = 0 THEN 'EPSG:1' ELSE p_brand END AS crs_b, p_retailprice AS x0, p_retailprice + p_size AS x1, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1e-9 ELSE 0.5 END AS off FROM part)
+SELECT p_partkey, CASE WHEN crs_a <> crs_b THEN 'other CRS' WHEN off > 1e-3 THEN 'other extent' END AS error FROM m""",
+    lambda s, d: B.same_place(
+        s.read.parquet(f"{d}/part.parquet").select(
+            "p_partkey", F.col("p_brand").alias("crs_a"), F.when(F.col("p_partkey") % 9 == 0, "EPSG:1").otherwise(F.col("p_brand")).alias("crs_b"),
+            *(x.alias(f"{k}_a") for k, x in (("x0", F.col("p_retailprice")), ("y0", F.lit(0.0)), ("x1", F.col("p_retailprice") + F.col("p_size")), ("y1", F.lit(10.0)))),
+            *((x + F.when(F.col("p_partkey") % 3 == 0, 0.0).when(F.col("p_partkey") % 3 == 1, 1e-9).otherwise(0.5)).alias(f"{k}_b") for k, x in (("x0", F.col("p_retailprice")), ("y0", F.lit(0.0)), ("x1", F.col("p_retailprice") + F.col("p_size")), ("y1", F.lit(10.0)))),
+        )
+    ).select("p_partkey", "error"),
+)
+register(
+    "blend_prescaled",
+    f"""WITH {X.SQL}, q AS (SELECT min(z - 50) lo, max(z - 50) hi FROM dem_nd), p AS (SELECT max(z) hi FROM dem_nd)
+SELECT r, c, round(z / p.hi * 255, 6) AS base, round((z - 50 - q.lo) / (q.hi - q.lo) * 255, 6) AS upper FROM dem_nd, p, q""",
+    lambda s, d: (lambda a, b: a.select("r", "c", F.col("z").alias("base")).join(b.select("r", "c", F.col("z").alias("upper")), ["r", "c"]))(
+        *B.prescale((lambda z: z.withColumn("z", F.col("z") / z.agg(F.max("z")).first()[0]))(X.dem_nd(s, d)), X.dem_nd(s, d).withColumn("z", F.col("z") - 50))
+    ),
+)
+register(
+    "bands_described",
+    "SELECT p_partkey, 'B' || (p_size % 14) AS band, " + ", ".join(f"CASE 'B' || (p_size % 14) {' '.join(f'WHEN {k!r} THEN {v[i]!r}' for k, v in X.SENTINEL.items())} END AS {n}" for i, n in enumerate(("description", "resolution", "center_nm"))) + " FROM part",
+    lambda s, d: X.described(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit("B"), (F.col("p_size") % 14).cast("string")).alias("band"))),
+)
+register("raster_band", f"WITH {X.SQL} SELECT r, c, round(b2, 6) AS z FROM bands", lambda s, d: X.band(X.bands(s, d).select("r", "c", F.posexplode(F.array("b1", "b2", "b3")).alias("band", "z")).withColumn("band", F.col("band") + 1), 2))
+register("raster_shifted", f"WITH {X.SQL} SELECT d.r, d.c, CASE WHEN m.r IS NULL THEN -1 ELSE round(m.z, 6) END AS z FROM dem_nd d LEFT JOIN dem_nd m ON m.r = d.r - 2 AND m.c = d.c + 3", lambda s, d: X.shifted(X.dem_nd(s, d), 2, -3, -1.0))
+register(
+    "viewer_pages",
+    """WITH t AS (SELECT p_partkey, p_name || ' <' || p_brand || ' & "co">' AS t FROM part)
+SELECT p_partkey, '<!DOCTYPE html><html><head><meta charset=''utf-8''><title>' || replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</title></head><body><div id=''map''></div><script src=''viewer.js'' data-config=''config.json''></script></body></html>' AS html FROM t""",
+    lambda s, d: L.pages(
+        s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat("p_name", F.lit(" <"), "p_brand", F.lit(' & "co">')).alias("title"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), F.lit(8).alias("zoom"), F.lit(1.0).alias("opacity"))
+    ).select("p_partkey", "html"),
+)

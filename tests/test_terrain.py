@@ -436,6 +436,53 @@ def test_batch_is_what_each_relief_is(spark):
         batch.batch(z, ["moon"])
 
 
+def test_principal_components_against_numpy(spark):
+    import numpy as np
+
+    from tellur import registry
+
+    got = registry.queries()["principal_components"](spark, "/root/testdata/sf0.001").toPandas().sort_values(["r", "c"])
+    from tellur.plans import queries as Q
+
+    x = Q._layers(spark, "/root/testdata/sf0.001").toPandas().sort_values(["r", "c"])
+    m = x[["hillshade", "slope", "openness", "svf"]].to_numpy()
+    ok = ~np.isnan(m).any(axis=1)
+    v = m[ok]
+    z = (v - v.mean(axis=0)) / v.std(axis=0)
+    values, vectors = np.linalg.eigh(np.cov(z, rowvar=False))
+    vectors = vectors[:, np.argsort(-values)[:3]]
+    vectors *= np.sign(vectors[np.abs(vectors).argmax(axis=0), range(3)])
+    scores = z @ vectors
+    low, high = np.percentile(scores, [2, 98], axis=0)
+    want = np.clip((scores - low) / (high - low), 0, 1) * 255
+    assert np.allclose(got[["pc1", "pc2", "pc3"]].to_numpy()[ok], want, atol=1e-4) and np.isnan(got[["pc1"]].to_numpy()[~ok]).all()
+
+
+def test_ground_against_windows_by_numpy(spark):
+    """The morphological filter over a rough surface with objects, against openings of whole arrays."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows, cols = 30, 26
+    h = np.add.outer(np.arange(rows) * 0.1, np.arange(cols) * 0.05) + rng.normal(0, 0.05, (rows, cols))
+    h[8:12, 5:9] += 6
+    h[20, 20] += 3
+    window, slope, first, most, cell = points.GROUND["standard"]
+
+    def sweep(z, k, f):
+        p = np.pad(z, k, constant_values=np.nan)
+        return f([p[i : i + rows, j : j + cols] for i in range(2 * k + 1) for j in range(2 * k + 1)], axis=0)
+
+    surface, ok, last, k = h, np.ones(h.shape, bool), 1, 1
+    while 2 * k + 1 <= window:
+        surface = sweep(sweep(surface, k, np.nanmin), k, np.nanmax)
+        ok &= h - surface <= min(most, first + slope * (2 * k + 1 - last) * cell)
+        last, k = 2 * k + 1, 2 * k
+    df = spark.createDataFrame([(c + 0.5, r + 0.5, float(h[r, c])) for r in range(rows) for c in range(cols)], "x double, y double, z double")
+    got = {(int(p.y), int(p.x)): p.ground for p in points.ground(df).collect()}
+    assert [got[r, c] for r in range(rows) for c in range(cols)] == ok.ravel().tolist() and not ok[9, 6]
+
+
 def test_sinks(spark, tmp_path):
     from tellur.sinks import rasters
     from tellur.sources import cells as X
@@ -486,12 +533,12 @@ def test_suppression_of_a_whole_class(spark):
     boxes = Q.D.decode(Q._outputs(spark, "/root/testdata/sf0.001"), 0.1).collect()
     want, kept = set(), {}
     for r in sorted(boxes, key=lambda r: (-r.confidence, r.id)):
-        for k in kept.setdefault(r.class_id, []):
+        for k in kept.setdefault((r.class_id, r.scene), []):
             both = max(0, min(r.x2, k.x2) - max(r.x1, k.x1)) * max(0, min(r.y2, k.y2) - max(r.y1, k.y1))
             if both / ((r.x2 - r.x1) * (r.y2 - r.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - both) >= 0.45:
                 break
         else:
-            kept[r.class_id].append(r)
+            kept[r.class_id, r.scene].append(r)
             want.add(r.id)
     got = [r.id for r in registry.queries()["detections_suppress"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(want)
