@@ -62,7 +62,9 @@ def check(recipes: DataFrame, column: str = "recipe") -> DataFrame:
 
     Unknown algorithms are warned of, unknown parameters pass, bounds aren't enforced; a landscape_type is a name of PRESETS or empty.
     """
-    v = F.try_parse_json(column)
+    # Exploding one element parses each recipe once, not for each of the kinds that are asked of it.
+    parsed = recipes.select("*", F.explode(F.array(F.try_parse_json(column))).alias("_parsed"))
+    v = F.col("_parsed")
     kind = lambda path: _kind(v, path)
     is_object = F.coalesce(kind("$") == "OBJECT", F.lit(False))
     version, place = F.try_variant_get(v, "$.recipe_version", "string"), F.try_variant_get(v, "$.landscape_type", "string")
@@ -79,12 +81,13 @@ def check(recipes: DataFrame, column: str = "recipe") -> DataFrame:
     wrong.append(F.when(landscape.isNotNull() & (landscape != "VOID") & ~F.coalesce((landscape == "STRING") & place.isin("", *PRESETS), F.lit(False)), F.lit("landscape_type is unknown")))
     names = F.map_keys(F.from_json(F.get_json_object(column, "$.algorithms"), "map<string,string>"))
     unknown = F.coalesce(F.array_except(names, F.array(*map(F.lit, DEFINITIONS))), F.array().cast("array<string>"))
-    return recipes.withColumns(
+    out = parsed.withColumns(
         {
             "errors": F.when(is_object, F.array_compact(F.array(*wrong))).otherwise(F.array(F.lit("not an object"))),
             "warnings": F.when(is_object, F.transform(unknown, lambda x: F.concat(x, F.lit(" is unknown")))).otherwise(F.array().cast("array<string>")),
         }
     )
+    return out.drop("_parsed")
 
 
 def presets_of(column: str = "recipe") -> Column:

@@ -297,7 +297,3 @@ def run(points: DataFrame, stages: str) -> tuple[DataFrame, dict]:
             raise ValueError(f"{kind} isn't built")
     points = durable(points)
     return points, {"point_count": points.count(), "stage_count": len(parts), "first_stage_type": parts[0]["type"] if parts else None}
-
-
-def viewer_zoom(width: float, least: int = 8) -> int:
-    return max(least, min(16, int(14 - width / 5000))) if math.isfinite(width) else 8
