@@ -3,8 +3,9 @@
 The tokenizer encodes pre-tokens one by one, so a text's count is the sum over its pre-tokens. Tier one is a table of
 pre-token lengths that every task gets: the entries of the tokenizer's own vocabulary, the frequent pre-tokens of its
 training text, so the table is as large as the vocabulary at most and doesn't grow with the corpus. Tier two is a bounded
-cache in the worker: pre-tokens that the table misses are encoded together, once, by the library itself. Texts with
-characters outside a plain set, or with a special token's string, go to the library whole.
+cache in the worker: pre-tokens that the table misses are encoded together, once, by the library itself. Which characters
+the pattern splits as the library does is found out from the library, for the scripts in use, when a job begins; texts with
+any other character, or with a special token's string, go to the library whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from tellur.llm.common import read
 
 #: The published pre-token pattern of byte-level BPE (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of these characters only: on them, all versions of Unicode agree about letters, numbers and white space.
-PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xac\xae-\xb4\xb6-\xb8\xbb-\xbe\xbf-ſ‐-‧‰-⁞€]*"
 #: Entries of a worker's cache; it starts anew when full.
 CACHE = 500_000
 
@@ -55,9 +54,36 @@ def whole_counts(path: str, texts: list[str]) -> list[int]:
     return [len(x.ids) for x in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def frequent(path: str) -> dict[str, int]:
-    """Lengths in tokens of the vocabulary's entries that are one pre-token, as text."""
-    t = _load(path, "tokenizers")
+@lru_cache(maxsize=2)
+def plain(path: str) -> str:
+    """A pattern of texts whose characters the tokenizer's own splitter treats as PRE_TOKEN does.
+
+    What a character does to a split follows from its kind (letter, number, space or other), which shows beside one of
+    each kind: so each character stands in a line of such neighbours, and its line's splits are compared. Versions of
+    Unicode differ in the kinds of some.
+    """
+    splitter, find = _load(path, "tokenizers").pre_tokenizer, regex.compile(PRE_TOKEN).finditer
+    codes = [*range(0xD800), *range(0xE000, 0x10000), *range(0x1F000, 0x1FB00)]  # without surrogates; of other planes, pictures
+    odd, width = set(), 12
+    for i in range(0, len(codes), 4096):
+        part = codes[i : i + 4096]
+        text = "".join(f"a{c}a1{c}1!{c}! {c} " for c in map(chr, part))
+        mine, theirs = ({m.span() for m in find(text)}, {x for _, x in splitter.pre_tokenize_str(text)})
+        odd |= {part[(place - 1) // width] if place else part[0] for span in mine ^ theirs for place in span}
+        odd |= {part[min(len(part) - 1, place // width)] for span in mine ^ theirs for place in span}
+    good = [x for x in codes if x not in odd]
+    runs, start = [], None
+    for x, after in zip(good, [*good[1:], None], strict=True):
+        start = x if start is None else start
+        if after != x + 1:
+            runs.append(f"{regex.escape(chr(start))}-{regex.escape(chr(x))}")
+            start = None
+    return f"[{''.join(runs)}]*"
+
+
+def frequent(path: str, texts: str) -> dict[str, int]:
+    """Lengths in tokens of the vocabulary's entries that are one pre-token, as text of the pattern `texts`."""
+    t, fits = _load(path, "tokenizers"), regex.compile(texts).fullmatch
     decode = {v: k for k, v in _byte_letters().items()}
     words = []
     for entry in t.get_vocab(with_added_tokens=False):
@@ -66,7 +92,7 @@ def frequent(path: str) -> dict[str, int]:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if regex.fullmatch(PRE_TOKEN, text) and regex.fullmatch(PLAIN, text):
+        if regex.fullmatch(PRE_TOKEN, text) and fits(text):
             words.append(text)
     return dict(zip(words, whole_counts(path, words), strict=True))
 
@@ -81,10 +107,10 @@ def _byte_letters() -> dict[int, str]:
 class Counter:
     """Counts of texts in one worker."""
 
-    def __init__(self, path: str, table: dict[str, int] | None, specials: list[str]):
+    def __init__(self, path: str, table: dict[str, int] | None, specials: list[str], texts: str = ""):
         self.path, self.table, self.cache = path, table, {}
         self.find = regex.compile(PRE_TOKEN).findall
-        self.plain = regex.compile(PLAIN).fullmatch
+        self.plain = regex.compile(texts).fullmatch
         self.specials = specials
 
     def counts(self, texts: list[str | None]) -> list[int]:
@@ -127,12 +153,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     spec = {} if _kind(path) == "sentencepiece" else json.loads(_load(path, "tokenizers").to_str())
     pre = spec.get("pre_tokenizer") or {}
     plain_bpe = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-    table = frequent(path) if plain_bpe else None
+    fits = plain(path) if plain_bpe else ""
+    table = frequent(path, fits) if plain_bpe else None
     specials = [x["content"] for x in spec.get("added_tokens", [])]
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, sent.value, specials)
+        counter = Counter(path, sent.value, specials, fits)
         for b in batches:
             texts = b.column(1).to_pylist()
             n = counter.counts(texts)

@@ -223,6 +223,22 @@ def test_tokens(docs):
         assert got == sorted((len(t.encode()), n, n > 100) for t, n in zip(rows, tokens.whole_counts(path, rows), strict=True))
 
 
+def test_tokens_of_many_scripts():
+    """Cyrillic, Chinese, Arabic, Hindi and pictures are counted by the table and the cache, and as the library does; so is any mixture."""
+    import regex
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    texts = tokens.plain(path)
+    counter = tokens.Counter(path, tokens.frequent(path, texts), ["<|endoftext|>"], texts)
+    rng = random.Random(1)
+    pool = [chr(x) for x in [*range(32, 0x3000), *range(0x3040, 0xD7FF, 7), *range(0x1F300, 0x1FB20), 0x2F800]]
+    some = ["Привет, мир", "漢字かな交じり文", "emoji 😀🎉 ok", "العربية ١٢٣", "हिन्दी में", "a\x1cb\x85c\u3000d"]
+    assert all(regex.fullmatch(texts, t) for t in some)
+    some += ["".join(rng.choice(pool) if rng.random() < 0.5 else rng.choice(" ab1!\n'") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    assert counter.counts(some) == tokens.whole_counts(path, some) and len(counter.cache) > 1000
+
+
 @pytest.mark.parametrize(
     "html, want",
     [
