@@ -21,6 +21,7 @@ from tellur.operators import windows as W
 from tellur.registry import query
 from tellur.sinks import rasters
 from tellur.sources import cells as X
+from tellur.sources import las
 from tellur.sources.durable import shared_folder
 
 
@@ -636,6 +637,19 @@ def _written(write, read):
     return make
 
 
+def _las_points(s, d):
+    """Points to the millimetre, with a strength and a class."""
+    x = s.read.parquet(f"{d}/lineitem.parquet")
+    z = F.floor("l_extendedprice") / 1000
+    return x.select((F.col("l_partkey") % 100 + F.col("l_discount")).alias("x"), (F.col("l_suppkey") % 100 + F.col("l_tax")).alias("y"), z.alias("z"), F.col("l_quantity").cast("int").alias("intensity"), F.col("l_linenumber").alias("classification"))
+
+
+register(
+    "points_las",
+    "SELECT round(l_partkey % 100 + l_discount, 3) AS x, round(l_suppkey % 100 + l_tax, 3) AS y, round(floor(l_extendedprice) / 1000, 3) AS z, l_quantity::INT AS intensity, l_linenumber::INT AS classification FROM lineitem",
+    _written(lambda s, d, p: las.write_points(_las_points(s, d), p, 32630), las.read_points),
+    3,
+)
 register("raster_written", f"WITH {X.SQL} SELECT r, c, round(z, 6) AS z FROM dem_nd", _written(lambda s, d, p: rasters.write_raster(X.dem_nd(s, d), p), rasters.read_raster))
 register("raster_window", f"WITH {X.SQL} SELECT r, c, round(z, 6) AS z FROM dem_nd WHERE r BETWEEN 5 AND 40 AND c BETWEEN 10 AND 70", _written(lambda s, d, p: rasters.write_raster(X.dem_nd(s, d), p, 32), lambda s, p: rasters.read_raster(s, p, (5, 40, 10, 70), 32)))
 register("change_written", _DOD + "SELECT r, c, mask AS z FROM k", _written(lambda s, d, p: rasters.write_change(C.difference(X.dem_nd(s, d), X.dem_new(s, d)), p), lambda s, p: rasters.read_raster(s, f"{p}/mask")))

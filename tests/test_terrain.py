@@ -302,6 +302,39 @@ def test_cloth(spark):
         points.to_dem(df(flat[:5]), "EPSG:1")
 
 
+def test_las_files(spark, tmp_path, monkeypatch):
+    import struct
+
+    from tellur.sources import las
+
+    rows = [(500000.123 + i, 6000000.5 - i, i / 8, i * 300, i % 40) for i in range(250)] + [(None, 1.0, 1.0, 1, 1)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, intensity int, classification int").coalesce(2)
+    las.write_points(df, str(tmp_path / "a"), 32630)
+    got = sorted(las.read_points(spark, str(tmp_path / "a")).collect())
+    assert len(got) == 250 and all(abs(a - b) < 0.00051 for r, w in zip(got, rows, strict=False) for a, b in zip(r[:3], w[:3], strict=True))
+    assert [(r.intensity, r.classification) for r in got] == [(min(65535, w[3]), min(31, w[4])) for w in rows[:250]]
+    meta = las.read_meta(spark, str(tmp_path / "a"))
+    assert sum(r.n for r in meta.collect()) == 250 and {r[0] for r in meta.select(points.crs_of(meta)).collect()} == {"EPSG:32630"}
+    las.write_points(df.limit(0), str(tmp_path / "none"))
+    assert las.read_points(spark, str(tmp_path / "none")).count() == 0
+    # A file of version 1.4 and format 6, by hand, with its CRS as text and an end cut off.
+    wkt = b'PROJCS["x"]\0'
+    head = bytearray(375)
+    head[:4], head[24], head[25] = b"LASF", 1, 4
+    struct.pack_into("<HII", head, 94, 375, 375 + 54 + len(wkt), 1)
+    struct.pack_into("<BHI", head, 104, 6, 30, 0)
+    struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 10, 20, 30)
+    struct.pack_into("<Q", head, 247, 3)
+    body = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(wkt), b"") + wkt + struct.pack("<iiiHBBB13x", 100, 200, 300, 7, 0, 0, 9) * 2
+    (tmp_path / "b.las").write_bytes(bytes(head) + body + b"cut off")
+    (r, _), m = las.read_points(spark, str(tmp_path / "b.las")).collect(), las.read_meta(spark, str(tmp_path / "b.las")).first()
+    assert tuple(r) == (11.0, 22.0, 33.0, 7, 9) and m.wkt == 'PROJCS["x"]' and m.n == 3
+    head[104] |= 0x80
+    for bad in (bytes(head), b"LASF", b"other" * 100):
+        with pytest.raises(ValueError):
+            las.header(bad)
+
+
 def test_pipelines_of_points(spark):
     pts = spark.createDataFrame([(x + 0.5, y + 0.5, 10.0 if (x, y) != (5, 5) else 300.0) for x in range(12) for y in range(12)], "x double, y double, z double")
     cells, said = points.run(pts, points.pipeline("a.las", "b.tif"))
