@@ -57,6 +57,26 @@ def runs(texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[list[str]
         yield run
 
 
+#: A key with so many rows and over a thousandth of all is joined in SALTS parts.
+HOT_ROWS, SALTS = 10_000, 64
+
+
+def joined(rows: DataFrame, classes: DataFrame, on: list[str], counts: DataFrame) -> DataFrame:
+    """Inner join of written `rows` with one row of `classes` for each key; `counts` has the keys with the number of their rows as `times`.
+
+    Rows of a hot key are dealt over SALTS parts and its class is sent to each, so no task gets more than a part of them.
+    Hot keys are fewer than a thousand, so they are broadcast.
+    """
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    hot = durable(counts.where(F.col("times") > max(HOT_ROWS, total / 1000)).select(*on, F.lit(True).alias("_hot")))
+    if not hot.count():
+        return rows.join(classes, on)
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")  # of a written table, so retries agree
+    dealt = rows.withColumn("_part", part).join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.col("_part")).otherwise(0)).drop("_hot", "_part")
+    sent = classes.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(sent, [*on, "_salt"]).drop("_salt")
+
+
 #: Bytes of text that a model is fitted on, about, at most.
 MOST_BYTES = 1 << 27
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellur.llm.common import durable, read
+from tellur.llm.common import durable, joined, read
 from tellur.llm.graph import components
 
 #: Most and fewest fingerprints in a chunk. Between the two a chunk has 1/64 of all, so that copies of a chunk sent to its partners grow with the input.
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, bits: int = 64
     """
     words = [f"f{i}" for i in range(bits // 64)]
     rows = durable(fingerprints(docs, n, bits, id_col, text_col))
-    reps = rows.groupBy(*words).agg(F.min("id").alias("least"))
+    reps = rows.groupBy(*words).agg(F.min("id").alias("least"), F.count("*").alias("times"))
     # A fingerprint of one word names itself; longer ones get a 64-bit hash of theirs as the name.
     reps = durable(reps.withColumn("node", F.col("f0") if len(words) == 1 else F.xxhash64(*words)))
     labels = components(links(reps.select("node", *words), radius, bits))
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, bits: int = 64
     named = durable(named)
     roots = durable(named.groupBy("root").agg(F.min("least").alias("component")))
     classes = durable(named.join(roots, "root").select(*words, "component"))
-    return rows.join(classes, words).select("id", *words, "component")
+    return joined(rows, classes, words, reps).select("id", *words, "component")
 
 
 def shingle_set(text: str | None, n: int) -> bytes:
@@ -281,8 +281,8 @@ def alike(texts: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, least: fl
                 ok.append(both >= least * (len(p) + len(q) - both) - 1e-9)
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.join(held.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    return joined.select("u", "v", "a", "b").mapInArrow(same, "u bigint, v bigint")
+    both = pairs.join(held.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(same, "u bigint, v bigint")
 
 
 def text_of(texts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def text_of(texts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def families(docs: DataFrame, n: int, least: float, bits: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((id, digest, node) of each row of `docs`, (node, component, rep) of each set of shingles): the groups of `near_copies`.
+    """((id, digest, node) of each row of `docs`, (node, component, rep, times) of each set of shingles): the groups of `near_copies`.
 
     A row is named by its id and its text's digest, so rows that repeat an id or have none are told apart. `rep` is the
     row of its group that stands for it: the one with the smallest id, nulls last, then the smallest digest.
@@ -303,7 +303,7 @@ def families(docs: DataFrame, n: int, least: float, bits: int, radius: int, id_c
     k = len(words)
     rows = durable(fingerprints(texts, n, bits, "id", "text", True, "digest").select("id", "digest", *words, F.xxhash64(*words, f"f{k}").alias("node")))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
-    reps = durable(rows.groupBy("node", *words).agg(F.min(first).alias("rep")))
+    reps = durable(rows.groupBy("node", *words).agg(F.min(first).alias("rep"), F.count("*").alias("times")))
     pairs = links(reps.select("node", *words), radius, bits, nearest, 16).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = durable(pairs.where("u <> v").distinct())
     labels = components(alike(texts, reps, pairs, n, least))
@@ -322,10 +322,11 @@ def families(docs: DataFrame, n: int, least: float, bits: int, radius: int, id_c
     # The groups that further links join become one: their roots are the nodes of a smaller graph.
     group = named.select("node", "root")
     between = found.join(group.withColumnsRenamed({"node": "u", "root": "a"}), "u").join(group.withColumnsRenamed({"node": "v", "root": "b"}), "v")
-    joined = components(between.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "root")
-    named = durable(named.join(joined, "root", "left").select("node", "rep", F.coalesce("label", "root").alias("root")))
+    merged = components(between.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "root")
+    named = durable(named.join(merged, "root", "left").select("node", "rep", F.coalesce("label", "root").alias("root")))
     roots = durable(named.groupBy("root").agg(F.min("rep").alias("rep")))
-    return rows.select("id", "digest", "node"), durable(named.select("node", "root").join(roots, "root").select("node", F.col("rep.id").alias("component"), "rep"))
+    classes = named.select("node", "root").join(roots, "root").join(reps.select("node", "times"), "node")
+    return rows.select("id", "digest", "node"), durable(classes.select("node", F.col("rep.id").alias("component"), "rep", "times"))
 
 
 def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 34, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,7 +342,7 @@ def near_copies(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128
     id. Nulls, empty texts, ties and other columns as in `near_duplicates`; texts without words are copies of each other.
     """
     rows, classes = families(docs, n, least, bits, radius, id_col, text_col)
-    return rows.select("id", "node").join(classes, "node").select("id", "component")
+    return joined(rows.select("id", "node"), classes.drop("times"), ["node"], classes).select("id", "component")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8, bits: int = 128, radius: int = 34) -> DataFrame:

@@ -47,8 +47,11 @@ def plain_fingerprint(text):
     return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("radius", [3, 14])
-def test_simhash(docs, radius):
+@pytest.mark.parametrize("radius, hot", [(3, 10_000), (14, 2)])
+def test_simhash(docs, radius, hot, monkeypatch):
+    from tellur.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rows = docs.select("doc_id", "text").collect()
     f = [plain_fingerprint(r.text) for r in rows]
     label = list(range(len(rows)))
