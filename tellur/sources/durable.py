@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Only a local session without one, as in tests, gets a temporary folder."""
+    """The folder that ``spark.checkpoint.dir`` names, or the context's checkpoint folder. Only a local session without one, as in tests, gets a temporary folder."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if (set_by_hand := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        return set_by_hand.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     spark.conf.set("spark.checkpoint.dir", folder := tempfile.mkdtemp(prefix="spark-checkpoint-"))

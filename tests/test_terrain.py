@@ -549,6 +549,13 @@ def test_nodata_and_density(spark):
     assert cells.densify(df).count() == 6
 
 
+def test_the_shared_folder_is_the_clusters(spark):
+    from tellur.sources.durable import durable, shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert durable(spark.range(5)).count() == 5 and shared_folder(spark) in spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def test_entry_points_agree(spark):
     import __spark_entry__ as e
 
