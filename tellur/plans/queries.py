@@ -392,17 +392,17 @@ SELECT r, c, {_rgb} FROM n""",
 
 
 def _outputs(s, d):
-    """Orders as a detector's raw outputs, a scene of 1000 x 1000 pixels for each thousand: centre, size, objectness, two class scores."""
+    """Orders as a detector's raw outputs, a scene of 1000 x 1000 pixels for each eight thousand, so that boxes overlap and pairs grow with the rows: centre, size, objectness, two class scores."""
     k, o = F.col("o_orderkey"), s.read.parquet(f"{d}/orders.parquet")
-    v = [(k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double"), (k % 53 + 4).cast("double"), (k % 31 + 4).cast("double"), F.col("o_totalprice") / 500000, (k % 7) / F.lit(7.0), (k % 5) / F.lit(5.0)]
-    return o.select(k.alias("id"), F.floor(k / 1000).alias("scene"), F.array(*v).alias("out"))
+    v = [(k * 37 % 1000 + F.floor(k / 1000) % 8 * 2).cast("double"), (k * 91 % 1000).cast("double"), (k % 53 + 4).cast("double"), (k % 31 + 4).cast("double"), F.col("o_totalprice") / 500000, (k % 7) / F.lit(7.0), (k % 5) / F.lit(5.0)]
+    return o.select(k.alias("id"), F.floor(k / 8000).alias("scene"), F.array(*v).alias("out"))
 
 
 def _boxes(s, d):
     return D.decode(_outputs(s, d), 0.1).drop("scene")
 
 
-_DETS = """WITH v AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 1000)::DOUBLE AS cx, (o_orderkey * 91 % 1000)::DOUBLE AS cy, (o_orderkey % 53 + 4)::DOUBLE AS w, (o_orderkey % 31 + 4)::DOUBLE AS h,
+_DETS = """WITH v AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 1000 + o_orderkey // 1000 % 8 * 2)::DOUBLE AS cx, (o_orderkey * 91 % 1000)::DOUBLE AS cy, (o_orderkey % 53 + 4)::DOUBLE AS w, (o_orderkey % 31 + 4)::DOUBLE AS h,
   o_totalprice / 500000 AS o, (o_orderkey % 7) / 7.0::DOUBLE AS s0, (o_orderkey % 5) / 5.0::DOUBLE AS s1 FROM orders),
 d AS (SELECT id, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2, o * greatest(s0, s1) AS confidence, CASE WHEN s0 >= s1 THEN 0 ELSE 1 END AS class_id FROM v),
 k AS (SELECT * FROM d WHERE confidence >= 0.1 AND x2 > x1 AND y2 > y1) """
@@ -418,7 +418,7 @@ register(
     "detections_overlap",
     _DETS
     + """, p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2-a.x1)*(a.y2-a.y1) + (b.x2-b.x1)*(b.y2-b.y1) AS u
-  FROM k a JOIN k b ON a.class_id = b.class_id AND a.id // 1000 = b.id // 1000 AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
+  FROM k a JOIN k b ON a.class_id = b.class_id AND a.id // 8000 = b.id // 8000 AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
 SELECT a, b, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.3""",
     lambda s, d: D.overlaps(D.decode(_outputs(s, d), 0.1), 0.3, 32, by=("class_id", "scene")),
 )
