@@ -21,8 +21,7 @@ def decode(rows: DataFrame, threshold: float, column: str = "out") -> DataFrame:
     best = F.array_max(F.slice(v, 6, F.greatest(F.lit(1), F.size(v) - 5)))
     six = F.size(v) == 6
     corner = lambda i, sign, j: F.when(six, v[j]).otherwise(v[i] + sign * v[i + 2] / 2)
-    out = rows.where(F.size(v) >= 6).select(
-        *(c for c in rows.columns if c != column),
+    box = F.struct(
         corner(0, -1, 0).alias("x1"),
         corner(1, -1, 1).alias("y1"),
         corner(0, 1, 2).alias("x2"),
@@ -30,6 +29,8 @@ def decode(rows: DataFrame, threshold: float, column: str = "out") -> DataFrame:
         F.when(six, v[4]).otherwise(v[4] * best).alias("confidence"),
         F.when(six, v[5].cast("int")).otherwise((F.array_position(F.slice(v, 6, F.size(v) - 5), best) - 1).cast("int")).alias("class_id"),
     )
+    # A generator, so that each number is computed once a row and not wherever a later step uses it.
+    out = rows.where(F.size(v) >= 6).select(*(c for c in rows.columns if c != column), F.inline(F.array(box)))
     return out.where((F.col("confidence") >= threshold) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
 
 
