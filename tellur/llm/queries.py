@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tellur.llm import decontaminate, htmltext, licenses, mixing, quality, simhash, tokens, topk, toxicity, warc
+from tellur.llm import decontaminate, htmltext, licenses, minhash, mixing, negatives, quality, simhash, tokens, topk, toxicity, warc, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_licenses": licenses.op9_licenses,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_minhash": minhash.op13_minhash,
 }
-ORACLES = {"op2_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op9_licenses": licenses.ORACLE}
+ORACLES = {"op2_topk": topk.ORACLE, "op5_warc": warc.ORACLE, "op6_mix": mixing.ORACLE, "op9_licenses": licenses.ORACLE, "op11_negatives": negatives.ORACLE, "op13_minhash": minhash.ORACLE}
