@@ -1,4 +1,4 @@
-"""Many reliefs of one raster by one plan: measures of tiles come from one pass, composites from their columns."""
+"""Many reliefs of each raster at once: measures of tiles come from one pass, are written once, and composites are made of their columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tellur.functions.recipes import preset
 from tellur.operators import blend, horizon, stencil, windows
+from tellur.operators.ranges import with_bounds
 from tellur.sources.cells import keys
+from tellur.sources.durable import durable
 
 #: Options where no preset says otherwise (fixed values).
 DEFAULTS = {
@@ -43,7 +45,8 @@ def batch(cells: DataFrame, asked: list[str], context: str | None = None, cell:
         "openness_negative": {"openness_negative": ("openness", p["openness"] | {"negative": True})},
         "local_dominance": {"local_dominance": ("dominance", p["local_dominance"])},
         "vat": {"_hillshade": ("hillshade", MIX), "slope": ("slope", {}), "_openness": ("openness", {"radius": p["vat"]["openness"], "directions": 16}), "_svf": ("svf", {"radius": p["vat"]["svf"], "directions": 16})},
-        "red_relief": {"slope": ("slope", {})},
+        "slrm": {"slrm": ("slrm", p["slrm"])},
+        "red_relief": {"slope": ("slope", {}), "slrm": ("slrm", p["slrm"])},
         "e4mstp": E4,
     }
     tiles: dict[str, tuple[str, dict]] = {}
@@ -52,18 +55,23 @@ def batch(cells: DataFrame, asked: list[str], context: str | None = None, cell:
     out = cells.select(*by, "z")
     if tiles:
         out = out.join(horizon.measures(cells, tiles, cell), by)
-    if {"slrm", "red_relief"} & set(asked):
-        out = out.join(windows.local_relief(cells, **p["slrm"]), by)
     if "tri" in asked:
         out = out.join(stencil.ruggedness(cells), by)
     if "mstp" in asked:
         out = out.join(windows.topographic_position(cells, **p["mstp"]).withColumnsRenamed({k: f"mstp_{k}" for k in COLOURS}), by)
-    if "red_relief" in asked:
-        out = out.join(blend.red_relief(out.select(*by, "slrm"), out.select(*by, "slope")).withColumnRenamed("red", "red_relief"), by)
-    if "vat" in asked:
-        out = out.join(blend.vat(out.select(*by, F.col("_hillshade").alias("hillshade"), "slope", F.col("_openness").alias("openness"), F.col("_svf").alias("svf"))), by)
     if "e4mstp" in asked:
+        out = durable(out)
         out = out.join(e4(cells, out.select(*by, "z", *E4)).withColumnsRenamed({k: f"e4mstp_{k}" for k in COLOURS}), by)
+    ranged = {"red_relief": {"slrm": "slrm", "slope": "slope"}, "vat": {"_hillshade": "hillshade", "slope": "slope", "_openness": "openness", "_svf": "svf"}}
+    ranged = {k: v for k, v in ranged.items() if k in asked}
+    if ranged:  # each layer's range in each raster, taken from the written layers
+        out = with_bounds(out, list(dict.fromkeys(c for v in ranged.values() for c in v)))
+    if "red_relief" in asked:
+        out = out.withColumn("red_relief", blend.red_of())
+    if "vat" in asked:
+        layers = {f"{v}{e}": F.col(f"{k}{e}") for k, v in ranged["vat"].items() for e in ("", "_low", "_high")}
+        made = blend.vat_of(out.select(F.struct(*out.columns).alias("_own"), *(x.alias(n) for n, x in layers.items())))
+        out = made.select(*(F.col("_own")[c].alias(c) for c in out.columns), "vat")
     return out.select(*by, *(c for n in asked for c in ([f"{n}_{k}" for k in COLOURS] if n in ("mstp", "e4mstp") else [n])))
 
 

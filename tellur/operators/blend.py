@@ -1,14 +1,18 @@
-"""Stretches, blends and composites: a few global numbers, then one expression for each cell."""
+"""Stretches, blends and composites: a few numbers of each raster, then one expression for each cell."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellur.operators.change import quantiles
+from tellur.operators.ranges import attached, quantiles_of, with_bounds
 from tellur.operators.windows import byte
 from tellur.sources.cells import keys
+from tellur.sources.durable import durable
 
 MODES = ("multiply", "screen", "overlay", "soft_light")
 
@@ -17,15 +21,14 @@ def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
-def bounds(table: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
-    """The least and greatest value of each column, in one pass; (0, 0) for a column without values."""
-    said = table.agg(*(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max))).first()
-    return {n: (said[f"min_{n}"] or 0.0, said[f"max_{n}"] or 0.0) for n in names}
+def stretch(x: Column, low: Column, high: Column, constant: float = 0.5, least: float = 0.0) -> Column:
+    """Min-max to 0..1; a column without range is `constant`."""
+    return F.when(x.isNull(), None).when(high - low > least, (x - low) / (high - low)).otherwise(F.lit(constant))
 
 
-def stretch(x: Column, low: float, high: float, constant: float = 0.5, least: float = 0.0) -> Column:
-    """Min-max to 0..1; a column without range is `constant`."""
-    return F.when(x.isNull(), None).otherwise((x - low) / (high - low) if high - low > least else F.lit(constant))
+def stretched(name: str, constant: float = 0.5, least: float = 0.0) -> Column:
+    """A column of a table `with_bounds` by its raster's range."""
+    return stretch(F.col(name), F.col(f"{name}_low"), F.col(f"{name}_high"), constant, least)
 
 
 def blended(a: Column, b: Column, mode: str) -> Column:
@@ -68,42 +71,49 @@ def same_place(metas: DataFrame) -> DataFrame:
 
 
 def prescale(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two rasters (r, c, z) as layers of 0..255, by their ranges: `a` is the base (see `prescaled`)."""
+    """Two tables of rasters (r, c, z) as layers of 0..255, by each raster's range: `a` is the base (see `prescaled`)."""
     out = []
     for x, base in ((a, True), (b, False)):
-        low, high = bounds(x, ["z"])["z"]
-        out.append(x.withColumn("z", prescaled(F.col("z"), low, high, base)))
+        out.append(with_bounds(x, ["z"], write=False).withColumn("z", prescaled(F.col("z"), F.col("z_low"), F.col("z_high"), base)).drop("z_low", "z_high"))
     return out[0], out[1]
 
 
-def prescaled(x: Column, low: float, high: float, base: bool) -> Column:
+def prescaled(x: Column, low: Column, high: Column, base: bool) -> Column:
     """A layer in 0..1 times 255; for the upper layer also min-max to 0..255 if it goes below 0 (127 if constant)."""
-    if 0 <= low and high <= 1 and high > 0:
-        return x * 255
-    if not base and low < 0:
-        return F.when(x.isNotNull(), (x - low) / (high - low) * 255 if high > low else F.lit(127.0))
-    return x
+    out = F.when((low >= 0) & (high <= 1) & (high > 0), x * 255)
+    if not base:
+        out = out.when((low < 0) & x.isNotNull(), F.when(high > low, (x - low) / (high - low) * 255).otherwise(127.0))
+    return out.otherwise(x)
 
 
 def red_relief(relief: DataFrame, steep: DataFrame, opacity: float = 0.5) -> DataFrame:
     """(r, c, red) from (r, c, slrm) and (r, c, slope): stretched relief times inverted slope; layers without range are 0."""
     by = [*keys(relief), "r", "c"]
-    x = relief.join(steep, by)
-    b = bounds(x, ["slrm", "slope"])
-    layers = [stretch(F.col(n), *b[n], constant=0.0) for n in ("slrm", "slope")]
-    slope = 1 - layers[1] if b["slope"][1] > b["slope"][0] else layers[1]
-    return x.select(*by, over(layers[0] * 255, slope * 255, "multiply", opacity).alias("red"))
+    return with_bounds(relief.join(steep, by), ["slrm", "slope"]).select(*by, red_of(opacity).alias("red"))
+
+
+def red_of(opacity: float = 0.5) -> Column:
+    """The red relief of a table `with_bounds` of slrm and slope."""
+    steep = stretched("slope", 0.0)
+    return over(stretched("slrm", 0.0) * 255, F.when(F.col("slope_high") > F.col("slope_low"), 1 - steep).otherwise(steep) * 255, "multiply", opacity)
 
 
 def vat(layers: DataFrame) -> DataFrame:
     """(r, c, vat) from (r, c, hillshade, slope, openness, svf): shade times inverted slope, openness overlaid, times sky view, each by half."""
-    b = bounds(layers, ["hillshade", "slope", "openness", "svf"])
-    by = [*keys(layers), "r", "c"]
-    x = layers.select(*by, *((stretch(F.col(k), *v) * 255).alias(k) for k, v in b.items()))
+    return vat_of(with_bounds(layers, list(VAT))).select(*keys(layers), "r", "c", "vat")
+
+
+#: The layers of a VAT (fixed values).
+VAT = ("hillshade", "slope", "openness", "svf")
+
+
+def vat_of(layers: DataFrame) -> DataFrame:
+    """Adds `vat` to a table `with_bounds` of its layers."""
     # One column for each step: Catalyst keeps such steps apart and computes each once.
+    x = layers.withColumns({k: stretched(k) * 255 for k in VAT})
     x = x.withColumn("vat", over(F.col("hillshade"), 255 - F.col("slope"), "multiply", 0.5))
     x = x.withColumn("vat", over(F.col("vat"), F.col("openness"), "overlay", 0.5))
-    return x.withColumn("vat", over(F.col("vat"), F.col("svf"), "multiply", 0.5)).select(*by, "vat")
+    return x.withColumn("vat", over(F.col("vat"), F.col("svf"), "multiply", 0.5))
 
 
 def e4mstp(layers: DataFrame) -> DataFrame:
@@ -123,19 +133,35 @@ def e4mstp(layers: DataFrame) -> DataFrame:
     return layers.select(*keys(layers), "r", "c", *(v.alias(k) for k, v in out.items()))
 
 
+def loadings(said: DataFrame, n: int) -> DataFrame:
+    """([raster_id,] mean, sd, v): of each raster's moments (mean, sd, and the n x n covariances cov) the loadings of three components, one after the other."""
+    by = keys(said)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            whole = [np.nan_to_num(np.array([*f[c]], float)) for c in ("mean", "sd", "cov")]
+            mean, sd, cov = whole[0], np.maximum(whole[1], 1e-10), whole[2].reshape(-1, n, n)
+            vectors = np.linalg.eigh(cov / (sd[:, :, None] * sd[:, None, :]))[1][:, :, ::-1][:, :, :3]
+            top = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=1)[:, None], axis=1)
+            yield f[by].assign(mean=[*mean], sd=[*sd], v=[x.T.ravel() for x in vectors * np.sign(top)])
+
+    return said.mapInPandas(work, "".join(f"`{b}` {said.schema[b].dataType.simpleString()}, " for b in by) + "mean array<double>, sd array<double>, v array<double>")
+
+
 def principal(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """(r, c, pc1, pc2, pc3): the first three components of the z-scored metrics, each stretched from its 2nd to 98th percentile to 0..255.
+    """(r, c, pc1, pc2, pc3): the first three components of each raster's z-scored metrics, each stretched from its 2nd to 98th percentile to 0..255.
 
     The sign of a component makes its largest loading positive. Cells with a missing metric are NULL.
     """
-    ok = metrics.dropna(subset=names)
-    said = ok.agg(*(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.avg, F.stddev_pop)), *(F.covar_samp(a, b).alias(f"c_{a}_{b}") for a in names for b in names)).first()
-    sd = {n: max(said[f"stddev_pop_{n}"] or 0.0, 1e-10) for n in names}
-    cov = np.array([[(said[f"c_{a}_{b}"] or 0.0) / (sd[a] * sd[b]) for b in names] for a in names])
-    vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :3]
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(3)])
-    z = [(F.col(n) - (said[f"avg_{n}"] or 0.0)) / sd[n] for n in names]
-    by = [*keys(metrics), "r", "c"]
-    scores = metrics.select(*by, *(sum((z[i] * float(vectors[i, k]) for i in range(1, len(names))), z[0] * float(vectors[0, k])).alias(f"pc{k + 1}") for k in range(3)))
-    q = {f"pc{k}": quantiles(scores, f"pc{k}", [0.02, 0.98]) or (0.0, 0.0) for k in (1, 2, 3)}
-    return scores.select(*by, *((clip(stretch(F.col(k), *v, constant=0.0, least=1e-10)) * 255).alias(k) for k, v in q.items()))
+    by, n = keys(metrics), len(names)
+    metrics = durable(metrics.select(*by, "r", "c", *names))
+    whole = metrics.dropna(subset=names)
+    said = whole.groupBy(*by).agg(F.array(*map(F.avg, names)).alias("mean"), F.array(*map(F.stddev_pop, names)).alias("sd"), F.array(*(F.covar_samp(a, b) for a in names for b in names)).alias("cov"))
+    x = attached(metrics, loadings(said, n))
+    z = [(F.col(c) - F.col("mean")[i]) / F.col("sd")[i] for i, c in enumerate(names)]
+    scores = durable(x.select(*by, "r", "c", *(sum((z[i] * F.col("v")[k * n + i] for i in range(1, n)), z[0] * F.col("v")[k * n]).alias(f"pc{k + 1}") for k in range(min(n, 3)))))
+    pcs = scores.columns[-min(n, 3) :]
+    long = scores.select(*by, F.explode(F.array(*(F.struct(F.lit(pc).alias("pc"), F.col(pc).alias("x")) for pc in pcs))).alias("own")).select(*by, "own.pc", "own.x")
+    ends = quantiles_of(long, "x", [0.02, 0.98], by=[*by, "pc"])
+    ends = ends.groupBy(*by).agg(*(F.coalesce(F.max(F.when(F.col("pc") == pc, F.col(q))), F.lit(0.0)).alias(f"{pc}_{k}") for pc in pcs for k, q in (("low", "q0"), ("high", "q1"))))
+    return attached(scores, ends).select(*by, "r", "c", *((clip(stretched(pc, 0.0, 1e-10)) * 255).alias(pc) for pc in pcs))

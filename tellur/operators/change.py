@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellur.operators.ranges import attached, quantiles_of, with_bounds
 from tellur.sources.cells import keys
 
 
@@ -64,7 +65,10 @@ def statistics(cells: DataFrame) -> DataFrame:
     shares, by = (5, 25, 50, 75, 95), keys(cells)
     out = [F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std")]
     counts = [F.count("z").alias("n_valid"), F.count_if(F.col("z").isNull()).alias("n_nodata")]
-    if by or cells.where("z IS NOT NULL").count() <= AT_ONCE:
+    if by:
+        said = attached(cells.groupBy(*by).agg(*out, *counts), quantiles_of(cells, "z", [p / 100 for p in shares]))
+        return said.select(*by, "z_min", "z_max", "z_mean", "z_std", *(F.col(f"q{i}").alias(f"p{p}") for i, p in enumerate(shares)), "n_valid", "n_nodata")
+    if cells.where("z IS NOT NULL").count() <= AT_ONCE:
         return cells.groupBy(*by).agg(*out, *(F.percentile("z", F.lit(p / 100)).alias(f"p{p}") for p in shares), *counts)
     q = quantiles(cells, "z", [p / 100 for p in shares])
     one = cells.agg(*out, *counts)
@@ -72,22 +76,21 @@ def statistics(cells: DataFrame) -> DataFrame:
 
 
 def histogram(cells: DataFrame, bins: int = 100) -> DataFrame:
-    """(bin, n, height): equal widths from the least to the greatest value, the last closed; height is relative to the fullest bin."""
-    said = cells.agg(F.min("z").alias("lo"), F.max("z").alias("hi")).first()
-    if said.lo is None:
-        return cells.sparkSession.createDataFrame([], "bin int, n bigint, height double")
-    wide = (said.hi - said.lo) or 1.0
-    n = cells.where("z IS NOT NULL").groupBy(F.least(F.lit(bins - 1), F.floor((F.col("z") - said.lo) / wide * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    most = n.agg(F.max("n").alias("most"))
-    return n.crossJoin(F.broadcast(most)).select("bin", "n", (F.col("n") / F.col("most")).alias("height"))
+    """([raster_id,] bin, n, height): of each raster, equal widths from its least to its greatest value, the last closed; height is relative to its fullest bin."""
+    by = keys(cells)
+    x = with_bounds(cells.select(*by, "z"), ["z"], write=False).where("z IS NOT NULL")
+    wide = F.when(F.col("z_high") > F.col("z_low"), F.col("z_high") - F.col("z_low")).otherwise(1.0)
+    n = x.groupBy(*by, F.least(F.lit(bins - 1), F.floor((F.col("z") - F.col("z_low")) / wide * bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return n.select(*by, "bin", "n", (F.col("n") / F.max("n").over(Window.partitionBy(*by))).alias("height"))  # `bins` rows of a raster
 
 
 def display_range(cells: DataFrame, deviations: float | None = 2.0) -> DataFrame:
-    """(low, high): the range, cut to the mean plus and minus so many deviations if given."""
-    s = cells.groupBy(*keys(cells)).agg(F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std"))
+    """([raster_id,] low, high): each raster's range, cut to the mean plus and minus so many deviations if given."""
+    by = keys(cells)
+    s = cells.groupBy(*by).agg(F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_std"))
     if deviations is None:
-        return s.select(F.col("z_min").alias("low"), F.col("z_max").alias("high"))
-    return s.select(F.greatest("z_min", F.col("z_mean") - deviations * F.col("z_std")).alias("low"), F.least("z_max", F.col("z_mean") + deviations * F.col("z_std")).alias("high"))
+        return s.select(*by, F.col("z_min").alias("low"), F.col("z_max").alias("high"))
+    return s.select(*by, F.greatest("z_min", F.col("z_mean") - deviations * F.col("z_std")).alias("low"), F.least("z_max", F.col("z_mean") + deviations * F.col("z_std")).alias("high"))
 
 
 def detection_level(rmse_old: float = 0.15, rmse_new: float = 0.15, z: float = 1.96) -> float:
@@ -235,18 +238,18 @@ RECIPES = {
 
 def fuse(relief: DataFrame, bands: DataFrame, names: tuple[str, str, str], mode: str, opacity: float) -> DataFrame:
     """(r, c, red, green, blue): a relief (r, c, z) blended into three bands, all stretched to 0..1; mixed with the bands by opacity. Nodata is 0."""
-    from tellur.operators.blend import blended, bounds, stretch
+    from tellur.operators.blend import blended, stretched
     from tellur.operators.windows import byte
 
     if missing := [n for n in names if n not in bands.columns]:
         raise ValueError(f"bands are missing: {missing}")
     by = [*keys(relief), "r", "c"]
-    x = relief.select(*by, F.col("z").alias("relief")).join(bands, by)
-    b = bounds(x, ["relief", *dict.fromkeys(names)])
-    light = stretch(F.col("relief"), *b["relief"], least=1e-10)
+    x = relief.select(*by, F.col("z").alias("relief")).join(bands.select(*by, *dict.fromkeys(names)), by)
+    x = with_bounds(x, ["relief", *dict.fromkeys(names)])
+    light = stretched("relief", least=1e-10)
 
     def channel(n: str) -> Column:
-        s = stretch(F.col(n), *b[n], least=1e-10)
+        s = stretched(n, least=1e-10)
         if mode == "luminance":
             out = light * (1 - opacity) + light * s * opacity
         else:
@@ -286,7 +289,7 @@ KERNELS = {"triangle": (lambda x: F.greatest(F.lit(0.0), 1 - x), 1), "cubic": (_
 
 
 def interpolate(cells: DataFrame, step: float, kind: str = "cubic", r0: float = 0.0, c0: float = 0.0, least: float = 0.1, widen: bool = True, last: tuple[int, int] | None = None) -> DataFrame:
-    """(r, c, z) at centres r0 + r step, c0 + c step of the source lattice, up to its last row and column, or to the target (r, c) `last`.
+    """(r, c, z) at centres r0 + r step, c0 + c step of the source lattice, up to each raster's last row and column, or to the target (r, c) `last`.
 
     The kernel is separable, so each source cell adds its value and weight to the target columns that it reaches, and
     each of those sums to the target rows: two groupings that combine before their shuffle, and no join. A step over 1
@@ -297,19 +300,20 @@ def interpolate(cells: DataFrame, step: float, kind: str = "cubic", r0: float =
     kernel, reach = KERNELS[kind]
     scale = max(1.0, step) if widen else 1.0
     by = keys(cells)
-    said = cells.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
-    if said.r is None:
-        return cells.select(*by, "r", "c", "z")
+    ends = {"r": F.lit(last[0]), "c": F.lit(last[1])} if last else {"r": F.col("_last_r"), "c": F.col("_last_c")}
+    own = [] if last else ["_last_r", "_last_c"]
+    if not last:  # each raster ends at its own last row and column
+        said = cells.groupBy(*by).agg(*(F.floor((F.max(x) - o) / step).cast("int").alias(f"_last_{x}") for x, o in (("r", r0), ("c", c0))))
+        cells = attached(cells, said)
 
-    def spread(df: DataFrame, axis: str, origin: float, end: int, other: str) -> DataFrame:
+    def spread(df: DataFrame, axis: str, origin: float, other: str) -> DataFrame:
         first = F.greatest(F.lit(0), F.ceil((F.col(axis) - reach * scale - origin) / step).cast("int"))
-        end = F.least(F.lit(end), F.floor((F.col(axis) + reach * scale - origin) / step).cast("int"))
-        out = df.select(*by, axis, other, "v", "w", F.explode(F.when(first <= end, F.sequence(first, end))).alias("t"))
+        end = F.least(ends[axis], F.floor((F.col(axis) + reach * scale - origin) / step).cast("int"))
+        out = df.select(*by, *own, axis, other, "v", "w", F.explode(F.when(first <= end, F.sequence(first, end))).alias("t"))
         k = kernel(F.abs(F.col(axis) - (F.lit(float(origin)) + F.col("t") * step)) / scale)
-        return out.groupBy(*by, "t", other).agg(F.sum(F.col("v") * k).alias("v"), F.sum(F.col("w") * k).alias("w")).withColumnRenamed("t", f"to_{axis}")
+        return out.groupBy(*by, *own, "t", other).agg(F.sum(F.col("v") * k).alias("v"), F.sum(F.col("w") * k).alias("w")).withColumnRenamed("t", f"to_{axis}")
 
-    known = cells.where("z IS NOT NULL").select(*by, "r", "c", F.col("z").alias("v"), F.lit(1.0).alias("w"))
-    ends = last or (int((said.r - r0) // step), int((said.c - c0) // step))
-    wide = spread(known, "c", c0, ends[1], "r")
-    out = spread(wide, "r", r0, ends[0], "to_c").where(F.col("w") > least)
+    known = cells.where("z IS NOT NULL").select(*by, *own, "r", "c", F.col("z").alias("v"), F.lit(1.0).alias("w"))
+    wide = spread(known, "c", c0, "r")
+    out = spread(wide, "r", r0, "to_c").where(F.col("w") > least)
     return out.select(*by, F.col("to_r").alias("r"), F.col("to_c").alias("c"), (F.col("v") / F.col("w")).alias("z"))

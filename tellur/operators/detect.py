@@ -87,25 +87,92 @@ def overlaps(boxes: DataFrame, threshold: float, cell: float, id_col: str = "id"
     return p.select(F.col("aid").alias("a"), F.col("bid").alias("b"), overlap("a", "b").alias("iou")).where(F.col("iou") >= threshold)
 
 
+#: Overlaps that one task resolves at once, and the side of the fields that more are divided into, in cells of the grid.
+AT_ONCE, FIELD = 100_000, 32
+
+
+def resolved(strong: np.ndarray, weak: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of overlaps (a stronger and a weaker node each) the nodes that are decided, and whether they stay.
+
+    All overlaps of the nodes `own` are there; of others some are. A node stays once nothing stronger is left that could
+    take it, and takes what is weaker; a node of others can only go.
+    """
+    names, codes = np.unique(np.concatenate([strong, weak]), return_inverse=True)
+    a, b = codes[: len(strong)], codes[len(strong) :]
+    order = np.argsort(a, kind="stable")
+    b = b[order]
+    starts = np.searchsorted(a[order], np.arange(len(names) + 1))
+    over = np.bincount(b, minlength=len(names))
+    mine = np.isin(names, own)
+    stays = np.full(len(names), -1)
+    ready = np.flatnonzero(mine & (over == 0)).tolist()
+    stays[ready] = 1
+    while ready:
+        u = ready.pop()
+        for w in b[starts[u] : starts[u + 1]].tolist():
+            if stays[u] == 1 and stays[w] < 0:
+                stays[w] = 0
+                ready.append(w)
+            elif stays[u] == 0:
+                over[w] -= 1
+                if over[w] == 0 and mine[w] and stays[w] < 0:
+                    stays[w] = 1
+                    ready.append(w)
+    known = stays >= 0
+    return names[known], stays[known] == 1
+
+
 def suppress(boxes: DataFrame, threshold: float = 0.45, by: tuple[str, ...] = ("class_id",), id_col: str = "id", cell: float = 32) -> DataFrame:
     """Greedy suppression within each group: by falling confidence (ties by id), a box stays if its overlap with all kept is under the threshold (above 0).
 
-    The rule is resolved over the graph of overlaps: in each round boxes that no undecided stronger box overlaps stay, and
-    what they overlap goes. No group meets in one task.
+    The rule is resolved over the graph of overlaps. AT_ONCE overlaps or fewer are one task's. More are divided by fields
+    of the plane, as wide as hold so few; a task resolves what depends on its own boxes only, decided boxes leave the
+    graph, and fields twice as wide follow, moved by half a field. The strongest box left is decided in each round, and
+    whatever depends on boxes of one field.
     """
     names = [f.name for f in boxes.schema.fields if f.name in {*by, id_col, "x1", "y1", "x2", "y2", "confidence"}]
     boxes = durable(boxes.select(*names, F.monotonically_increasing_id().alias("node")))
     pairs = overlaps(boxes, threshold, cell, "node", by)
-    rank = lambda p: boxes.select(F.col("node").alias(p), F.struct(-F.col("confidence"), id_col, "node").alias(p + "rank"))
-    pairs = pairs.join(rank("a"), "a").join(rank("b"), "b").withColumn("first", F.col("arank") < F.col("brank"))
-    left = durable(pairs.select(F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("strong"), F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("weak")))
-    gone = None
-    while left.limit(1).count():
-        heads = left.select("strong").distinct().join(left.select(F.col("weak").alias("strong")), "strong", "left_anti")
-        lost = durable(left.join(heads, "strong", "left_semi").select(F.col("weak").alias("node")).distinct())
+    group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
+    end = lambda p: boxes.select(F.col("node").alias(p), F.struct(-F.col("confidence"), id_col, "node").alias(f"{p}rank"), F.struct("node", group.alias("g"), "x1", "y1").alias(f"{p}end"))
+    pairs = pairs.join(end("a"), "a").join(end("b"), "b")
+    first = F.col("arank") < F.col("brank")
+    left = durable(pairs.select(F.when(first, F.col("aend")).otherwise(F.col("bend")).alias("s"), F.when(first, F.col("bend")).otherwise(F.col("aend")).alias("w")))
+    gone, turn = None, 0
+
+    def fields(x: DataFrame, turn: int) -> DataFrame:
+        """The lots of both ends: the fields of this turn, finer ones where they are crowded, and where cells are, parts by the box."""
+
+        def place(e: str, level: int) -> Column:
+            side = cell * FIELD * 2.0**level
+            return F.xxhash64(F.lit(level), F.col(e)["g"], *(F.floor(F.col(e)[k] / side + (turn % 2) / 2) for k in ("x1", "y1")))
+
+        x = x.withColumns({f"{e}_lot": place(e, turn) for e in "sw"})
+        for level in range(turn - 1, -7, -1):
+            crowd = durable(x.select(F.explode(F.array_distinct(F.array("s_lot", "w_lot"))).alias("lot")).groupBy("lot").agg(F.ceil(F.count("*") / AT_ONCE).alias("k")).where("k > 1"))
+            if not crowd.limit(1).count():
+                break
+            for e, node in (("s", "strong"), ("w", "weak")):
+                finer = place(e, level) if level > -6 else F.xxhash64(f"{e}_lot", F.pmod(F.xxhash64(node), F.col("k")))
+                x = x.join(crowd.withColumnRenamed("lot", f"{e}_lot"), f"{e}_lot", "left").withColumn(f"{e}_lot", F.when(F.col("k").isNull(), F.col(f"{e}_lot")).otherwise(finer)).drop("k")
+        return x
+
+    def work(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        own = np.concatenate([f.strong[f.s_lot == key[0]], f.weak[f.w_lot == key[0]]])
+        nodes, stays = resolved(f.strong.to_numpy(), f.weak.to_numpy(), own)
+        return pd.DataFrame({"node": nodes, "stays": stays})
+
+    while n := left.count():
+        x = left.select(F.col("s.node").alias("strong"), F.col("w.node").alias("weak"), "s", "w", *(F.lit(0).cast("bigint").alias(f"{e}_lot") for e in "sw"))
+        if n > AT_ONCE:
+            x = fields(x, turn)
+        sent = x.select("strong", "weak", "s_lot", "w_lot", F.explode(F.array_distinct(F.array("s_lot", "w_lot"))).alias("lot"))
+        known = durable(sent.groupBy("lot").applyInPandas(work, "node bigint, stays boolean"))
+        lost = known.where("NOT stays").select("node")
         gone = lost if gone is None else gone.union(lost)
-        left = left.join(lost.withColumnRenamed("node", "strong"), "strong", "left_anti").join(lost.withColumnRenamed("node", "weak"), "weak", "left_anti")
-        left = durable(left.select("strong", "weak"))
+        for e in "sw":
+            left = left.join(known.select(F.col("node").alias("_n")), F.col(e)["node"] == F.col("_n"), "left_anti")
+        left, turn = durable(left), min(turn + 1, 20)
     return (boxes if gone is None else boxes.join(gone, "node", "left_anti")).select(*names)
 
 
@@ -162,12 +229,14 @@ def onnx_model(data: bytes):
     return run
 
 
-def detect(cells: DataFrame, model, names: list[str], tile: int = 640, overlap: int = 32, size: int = 640, threshold: float = 0.25) -> DataFrame:
+def detect(cells: DataFrame, model, names: list[str], tile: int = 640, overlap: int = 32, size: int = 640, threshold: float = 0.25, most: float | None = 0.45) -> DataFrame:
     """([raster_id,] tr, tc, x1, y1, x2, y2, confidence, class_id, label): a model's detections over overlapping tiles, in raster pixels.
 
     `cells` have bands z, or b0, b1, ...; `model` takes (1, bands, size, size) floats and returns its outputs: one array of
     rows as `decode` takes them, or num, boxes, scores and classes. Other outputs, label maps among them, give no boxes.
-    Tile k begins at k times (tile - overlap). A task holds one tile; a cell is sent to the few tiles that hold it.
+    Tile k begins at k times (tile - overlap). A task holds one tile; a cell is sent to the few tiles that hold it. Of the
+    boxes of a raster and class that overlap by `most` or more, the most confident stays, of equal ones that of the first
+    tile (None: all stay).
     """
     by, step = keys(cells), tile - overlap
     bands = [c for c in cells.columns if c not in (*by, "r", "c")]
@@ -203,4 +272,8 @@ def detect(cells: DataFrame, model, names: list[str], tile: int = 640, overlap:
     boxes = decode(found.where("out IS NOT NULL").drop("num", "boxes", "scores", "classes"), threshold)
     boxes = boxes.unionByName(decode_parts(found.where("num IS NOT NULL").drop("out"), threshold).drop("n"))
     boxes = rescale(boxes, size, F.col("w"), F.col("h"), F.col("tc") * step, F.col("tr") * step).where("x2 > x1 AND y2 > y1")
-    return boxes.select(*by, "tr", "tc", "x1", "y1", "x2", "y2", "confidence", "class_id", label(F.col("class_id"), names).alias("label"))
+    out = [*by, "tr", "tc", "x1", "y1", "x2", "y2", "confidence", "class_id"]
+    if most is not None:
+        boxes = boxes.withColumn("_at", F.struct("tr", "tc", "y1", "x1", "y2", "x2"))
+        boxes = suppress(boxes, most, (*by, "class_id"), "_at").select("*", "_at.tr", "_at.tc")
+    return boxes.select(*out, label(F.col("class_id"), names).alias("label"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tellur.operators.ranges import attached
+from tellur.sources.cells import keys
+
 #: Fields of an anomaly record and what a missing one is taken as (fixed values; None: stays missing).
 FIELDS = {"anomaly_id": None, "confidence": 0.5, "method": "manual"}
 
@@ -87,20 +90,22 @@ def cloud_check(meta: DataFrame) -> DataFrame:
     return meta.withColumns({"level": level.cast("int"), "valid": valid})
 
 
-def detector_tiles(cells: DataFrame, rows: int, cols: int, tile: int = 640, overlap: int = 32) -> DataFrame:
-    """(tr, tc, r, c, x): the cells of every overlapping tile, each tile stretched to 0..1 over its own range; nodata is 0.
+def detector_tiles(cells: DataFrame, rows: int | None = None, cols: int | None = None, tile: int = 640, overlap: int = 32) -> DataFrame:
+    """([raster_id,] tr, tc, r, c, x): the cells of every overlapping tile, each tile stretched to 0..1 over its own range; nodata is 0.
 
-    Tile k begins at k times (tile - overlap); there are as many as cover the raster, one at least. A cell is sent to the
+    Tile k begins at k times (tile - overlap); there are as many as cover `rows` and `cols`, or each raster's own where none
+    are given, one at least. A cell is sent to the
     few tiles that hold it, and the range of a tile is combined before its shuffle.
     """
-    step = tile - overlap
+    step, by = tile - overlap, keys(cells)
+    own = cells.groupBy(*by).agg(*(F.coalesce(F.lit(n).cast("int"), F.max(x) + 1).alias(f"_{x}s") for x, n in (("r", rows), ("c", cols))))
 
-    def tiles(axis: str, size: int) -> Column:
-        n = max(1, -(-(size - overlap) // step))
+    def tiles(axis: str) -> Column:
+        n = F.greatest(F.lit(1), F.ceil((F.col(f"_{axis}s") - overlap) / step).cast("int"))
         first = F.greatest(F.lit(0), F.floor((F.col(axis) - tile) / step).cast("int") + 1)
-        return F.explode(F.sequence(first, F.least(F.lit(n - 1), F.floor(F.col(axis) / step).cast("int"))))
+        return F.explode(F.sequence(first, F.least(n - 1, F.floor(F.col(axis) / step).cast("int"))))
 
-    sent = cells.select("r", "c", "z", tiles("r", rows).alias("tr")).select("*", tiles("c", cols).alias("tc"))
-    span = sent.groupBy("tr", "tc").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    sent = attached(cells, own).withColumn("tr", tiles("r")).withColumn("tc", tiles("c")).select(*by, "r", "c", "z", "tr", "tc")
+    span = sent.groupBy(*by, "tr", "tc").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     x = F.when(F.col("hi") - F.col("lo") > 1e-6, (F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return sent.join(span, ["tr", "tc"]).select("tr", "tc", "r", "c", F.coalesce(x, F.lit(0.0)).alias("x"))
+    return sent.join(span, [*by, "tr", "tc"]).select(*by, "tr", "tc", "r", "c", F.coalesce(x, F.lit(0.0)).alias("x"))

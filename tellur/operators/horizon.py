@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tellur.operators.tiles import Block, over_tiles
+from tellur.operators.windows import mean_of
 
 #: Degrees by which a sample may lie under a rise and still confirm it, in the filter of the sky view by direction (fixed value).
 TOLERANCE = 2.0
@@ -172,6 +173,7 @@ MEASURES = {
         lambda b, cell, p: sky_of(b, b.filled(), p["directions"], p["radius"], p["noise"], cell, directional(p["directions"], p["azimuth"], p["strength"])),
     ),
     "openness": ({"directions": 16, "radius": 20, "negative": False}, lambda p: p["radius"], lambda b, cell, p: openness_of(b, b.filled() * (-1 if p["negative"] else 1), p["directions"], p["radius"], cell)),
+    "slrm": ({"radius": 20}, lambda p: p["radius"], lambda b, cell, p: b.cut(b.z) - mean_of(b, p["radius"])),
     "dominance": ({"least": 10, "most": 20, "step": 1, "angle": 15, "height": 1.7}, lambda p: p["most"], lambda b, cell, p: dominance_of(b, p["least"], p["most"], p["step"], p["angle"], p["height"], cell)),
 }
 

@@ -22,6 +22,8 @@ class Block:
     mean: float
     #: Rows and columns of the raster's box, counted from the block's corner: first and last of each.
     box: tuple[int, int, int, int]
+    #: Cells around the tile along a row, if not as many as along a column.
+    halo_c: int | None = None
 
     def filled(self) -> np.ndarray:
         """Nodata, and what lies outside the raster, as the raster's mean."""
@@ -49,23 +51,45 @@ class Block:
         r0, r1, c0, c1 = self.box
         return self._at(mirror(self.z.shape[0], r0, r1), mirror(self.z.shape[1], c0, c1))
 
+    def mirrored(self) -> np.ndarray:
+        """Outside the raster the cells mirrored at its border, which is repeated, over and over if the raster is narrow; nodata stays NaN."""
+
+        def mirror(n: int, low: int, high: int) -> np.ndarray:
+            side = high - low + 1
+            at = np.mod(np.arange(n) - low, 2 * side)
+            return low + np.minimum(at, 2 * side - 1 - at)
+
+        r0, r1, c0, c1 = self.box
+        return self._at(mirror(self.z.shape[0], r0, r1), mirror(self.z.shape[1], c0, c1))
+
+    def box_sums(self, z: np.ndarray, radius: int) -> np.ndarray:
+        """Sums over the square around each cell of the tile, by prefix sums along both axes of the block."""
+        s = np.zeros((z.shape[0] + 1, z.shape[1] + 1))
+        np.cumsum(np.cumsum(z, axis=0), axis=1, out=s[1:, 1:])
+        low, high = self.halo - radius, self.halo + radius + 1
+        h, w = z.shape[0] - 2 * self.halo, z.shape[1] - 2 * self.halo
+        ends = lambda a, b: s[a : a + h, b : b + w]
+        return ends(high, high) - ends(low, high) - ends(high, low) + ends(low, low)
+
     def cut(self, z: np.ndarray, dr: int = 0, dc: int = 0) -> np.ndarray:
         """The tile, moved by so many cells within the halo."""
-        h = self.halo
-        return z[h + dr : z.shape[0] - h + dr, h + dc : z.shape[1] - h + dc]
+        h, w = self.halo, self.halo if self.halo_c is None else self.halo_c
+        return z[h + dr : z.shape[0] - h + dr, w + dc : z.shape[1] - w + dc]
 
 
 Kernel = Callable[[Block], dict[str, np.ndarray]]
 
 
-def over_tiles(cells: DataFrame, halo: int, kernel: Kernel, names: list[str], tile: int = 256) -> DataFrame:
+def over_tiles(cells: DataFrame, halo: int | tuple[int, int], kernel: Kernel, names: list[str], tile: int | tuple[int, int] = 256) -> DataFrame:
     """([raster_id,] r, c, *names): what a kernel makes of every tile of every raster.
 
-    The kernel gets a block and returns an array of the tile's size for each name. A task holds one block, (tile + 2 halo)^2
+    The kernel gets a block and returns an array of the tile's size for each name. `halo` and `tile` are cells along both
+    axes, or along a column and along a row. A task holds one block, (tile + 2 halo)^2
     cells; cells in several halos are sent to each. Rasters may begin anywhere; cells that a raster's box lacks are
     nodata. Nodata cells have no values.
     """
     by = keys(cells)
+    halos, tiles = (x if isinstance(x, tuple) else (x, x) for x in (halo, tile))
     stats = cells.groupBy(*by).agg(F.avg("z").alias("_mean"), *(f(x).alias(f"_{f.__name__}_{x}") for x in "rc" for f in (F.min, F.max)))
     own = ["_mean", "_min_r", "_max_r", "_min_c", "_max_c"]
     if by:
@@ -75,6 +99,7 @@ def over_tiles(cells: DataFrame, halo: int, kernel: Kernel, names: list[str], ti
         sent = cells.select("r", "c", F.col("z").cast("double").alias("z"), *(F.lit(fixed[x]).alias(x) for x in own))
 
     def spans(x: str):
+        halo, tile = halos["rc".index(x)], tiles["rc".index(x)]
         low, last = F.col(f"_min_{x}"), F.floor((F.col(f"_max_{x}") - F.col(f"_min_{x}")) / tile)
         return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(x) - low - halo) / tile)).cast("int"), F.least(last, F.floor((F.col(x) - low + halo) / tile)).cast("int")))
 
@@ -83,12 +108,12 @@ def over_tiles(cells: DataFrame, halo: int, kernel: Kernel, names: list[str], ti
 
     def work(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         mean, r_min, r_max, c_min, c_max = (fixed[x] if fixed else f[x].iloc[0] for x in own)
-        r0, c0 = int(r_min) + key[-2] * tile, int(c_min) + key[-1] * tile
-        h, w = min(tile, int(r_max) + 1 - r0), min(tile, int(c_max) + 1 - c0)
-        z = np.full((h + 2 * halo, w + 2 * halo), np.nan)
-        z[f.r.to_numpy() - r0 + halo, f.c.to_numpy() - c0 + halo] = f.z.to_numpy(float)
-        box = (int(r_min) - r0 + halo, int(r_max) - r0 + halo, int(c_min) - c0 + halo, int(c_max) - c0 + halo)
-        block = Block(z, halo, float(mean) if mean is not None and mean == mean else 0.0, box)
+        r0, c0 = int(r_min) + key[-2] * tiles[0], int(c_min) + key[-1] * tiles[1]
+        h, w = min(tiles[0], int(r_max) + 1 - r0), min(tiles[1], int(c_max) + 1 - c0)
+        z = np.full((h + 2 * halos[0], w + 2 * halos[1]), np.nan)
+        z[f.r.to_numpy() - r0 + halos[0], f.c.to_numpy() - c0 + halos[1]] = f.z.to_numpy(float)
+        box = (int(r_min) - r0 + halos[0], int(r_max) - r0 + halos[0], int(c_min) - c0 + halos[1], int(c_max) - c0 + halos[1])
+        block = Block(z, halos[0], float(mean) if mean is not None and mean == mean else 0.0, box, halos[1])
         out = kernel(block)
         ok = ~np.isnan(block.cut(z))
         rr, cc = np.mgrid[r0 : r0 + h, c0 : c0 + w]

@@ -18,7 +18,8 @@ from tellur.operators import horizon as H
 from tellur.operators import points as P
 from tellur.operators import stencil as S
 from tellur.operators import windows as W
-from tellur.registry import query
+from tellur.operators.ranges import with_bounds
+from tellur.registry import oracle_sql, query
 from tellur.sinks import rasters
 from tellur.sources import cells as X
 from tellur.sources import las
@@ -272,8 +273,7 @@ def _two(s, d):
     """Both epochs stretched to 0..255, as layers to blend."""
     out = []
     for z in (X.dem_nd(s, d), X.dem_new(s, d)):
-        b = B.bounds(z, ["z"])["z"]
-        out.append(z.select("r", "c", (B.stretch(F.col("z"), *b) * 255).alias("z")))
+        out.append(with_bounds(z, ["z"], write=False).select("r", "c", (B.stretched("z") * 255).alias("z")))
     return out
 
 
@@ -423,6 +423,15 @@ SELECT a, b, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.3""",
     lambda s, d: D.overlaps(D.decode(_outputs(s, d), 0.1), 0.3, 32, by=("class_id", "scene")),
 )
 register("detections_suppress", None, lambda s, d: D.suppress(D.decode(_outputs(s, d), 0.1), 0.45, ("class_id", "scene")))
+register(
+    "detections_overlap_dense",
+    _DETS
+    + """, p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2-a.x1)*(a.y2-a.y1) + (b.x2-b.x1)*(b.y2-b.y1) AS u
+  FROM k a JOIN k b ON a.class_id = b.class_id AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
+SELECT a, b, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.3""",
+    lambda s, d: D.overlaps(_boxes(s, d), 0.3, 32),
+)
+register("detections_suppress_dense", None, lambda s, d: D.suppress(_boxes(s, d), 0.45))
 register(
     "detections_to_map",
     _DETS + "SELECT id, 500000 + x1 * 0.5 AS x1, 6000000 - y2 * 0.5 AS y1, 500000 + x2 * 0.5 AS x2, 6000000 - y1 * 0.5 AS y2, round(confidence, 9) AS confidence, class_id FROM k",
@@ -711,3 +720,30 @@ SELECT p_partkey, '<!DOCTYPE html><html><head><meta charset=''utf-8''><title>' |
         s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat("p_name", F.lit(" <"), "p_brand", F.lit(' & "co">')).alias("title"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), F.lit(8).alias("zoom"), F.lit(1.0).alias("opacity"))
     ).select("p_partkey", "html"),
 )
+
+# --- two rasters in one table: each as if it were alone ---------------------------------------------------------------
+
+
+def _by_raster(name: str, make, digits: int = 6):
+    """The query `name` over both rasters of `dems`: its SQL, run on each by itself."""
+    sql = oracle_sql()[name].replace(", 6)", f", {digits})")
+    register(f"{name}_rasters", f"SELECT 1 AS raster_id, * FROM ({sql}) UNION ALL SELECT 2, * FROM ({sql.replace(X.SQL_ND, X.SQL_TALL)})", make, digits)
+
+
+def _bands_of_rasters(s, d, names):
+    own = X.bands(s, d).select("r", "c", *(F.col(b).alias(k) for b, k in zip(("b1", "b2", "b3"), names, strict=True)))
+    return own.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("raster_id"), "*")
+
+
+_by_raster("slope", lambda s, d: S.slope(X.dems(s, d)))
+_by_raster("local_relief", lambda s, d: W.local_relief(X.dems(s, d), 5))
+_by_raster("topographic_position", lambda s, d: W.topographic_position(X.dems(s, d), 3, 10, 40))
+_by_raster("red_relief", lambda s, d: B.red_relief(W.local_relief(X.dems(s, d), 5), S.slope(X.dems(s, d))))
+_by_raster("vat", lambda s, d: B.vat(H.measures(X.dems(s, d), {"hillshade": ("hillshade", {"azimuths": (315, 45, 135, 225)}), "slope": ("slope", {}), "openness": ("openness", {"directions": 8, "radius": 10}), "svf": ("svf", {"directions": 8, "radius": 10})})))
+_by_raster("batch_relief", lambda s, d: batch.batch(X.dems(s, d), ["hillshade", "slope", "openness_positive", "local_dominance", "slrm", "red_relief"], "upland_steep"))
+_by_raster("statistics", lambda s, d: C.statistics(X.dems(s, d)))
+_by_raster("histogram", lambda s, d: C.histogram(X.dems(s, d)))
+_by_raster("display_range", lambda s, d: C.display_range(X.dems(s, d)))
+_by_raster("interpolate_cubic", lambda s, d: C.interpolate(X.dems(s, d), 0.70710678118, "cubic", 0.23712345678, 0.51131357911), 4)
+_by_raster("fusion_erosion_risk", lambda s, d: C.fused(X.dems(s, d), _bands_of_rasters(s, d, C.RECIPES["erosion_risk"][1]), "erosion_risk"))
+_by_raster("detector_tiles", lambda s, d: L.detector_tiles(X.dems(s, d), tile=32, overlap=4))

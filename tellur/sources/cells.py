@@ -100,6 +100,13 @@ def dem_nd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", F.when(F.col("event_id") % 97 != 13, F.col("value")))
 
 
+def dems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raster_id, r, c, z): raster 1 is `dem_nd`; raster 2 the same values fifty times as high, on a lattice of 40 columns with other nodata."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tall = lattice(events, "event_id", F.when(F.col("event_id") % 89 != 7, F.col("value") * 50 + 1000), 40)
+    return dem_nd(spark, sf_dir).select(F.lit(1).alias("raster_id"), "*").unionByName(tall.select(F.lit(2).alias("raster_id"), "*"))
+
+
 def dem_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second epoch: heights moved by the JSON property k."""
     k = F.get_json_object("props", "$.k").cast("double")
@@ -115,9 +122,12 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The raster with nodata, and the one that stands beside it in `dems`, for DuckDB.
+SQL_ND = "dem_nd AS (SELECT (event_id // 100)::INT AS r, (event_id % 100)::INT AS c, CASE WHEN event_id % 97 <> 13 THEN value END AS z FROM events)"
+SQL_TALL = "dem_nd AS (SELECT (event_id // 40)::INT AS r, (event_id % 40)::INT AS c, CASE WHEN event_id % 89 <> 7 THEN value * 50 + 1000 END AS z FROM events)"
 #: The same views for DuckDB.
-SQL = """
+SQL = f"""
 dem AS (SELECT (event_id // 100)::INT AS r, (event_id % 100)::INT AS c, value AS z FROM events),
-dem_nd AS (SELECT (event_id // 100)::INT AS r, (event_id % 100)::INT AS c, CASE WHEN event_id % 97 <> 13 THEN value END AS z FROM events),
+{SQL_ND},
 dem_new AS (SELECT (event_id // 100)::INT AS r, (event_id % 100)::INT AS c, value + ((props->>'$.k')::DOUBLE - 50) / 50.0::DOUBLE AS z FROM events),
 bands AS (SELECT (o_orderkey // 100)::INT AS r, (o_orderkey % 100)::INT AS c, o_totalprice AS b1, day(o_orderdate)::DOUBLE AS b2, length(o_orderpriority)::DOUBLE AS b3 FROM orders)"""

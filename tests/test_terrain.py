@@ -1,13 +1,14 @@
 """Operators on small rasters with known answers."""
 
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tellur.functions import recipes
-from tellur.operators import blend, change, detect, field, horizon, points, stencil, windows
+from tellur.operators import batch, blend, change, detect, field, horizon, points, stencil, windows
 from tellur.sources import cells
 
 
@@ -363,7 +364,7 @@ def test_models_over_tiles(spark):
         return [np.array([[[at[1], at[0], at[1] + 1, at[0] + 1, float(x[0, 0][at]), 0]]])]
 
     z = raster(spark, lambda r, c: None if (r, c) == (0, 0) else float((r * 37 + c * 101) % 997), 20, 24)
-    got = detect.detect(z, brightest, ["peak"], 8, 2, 8, 0.5).collect()
+    got = detect.detect(z, brightest, ["peak"], 8, 2, 8, 0.5, most=None).collect()
     h = {(r.r, r.c): r.z for r in z.collect()}
     assert len(got) == 3 * 4 and {r.label for r in got} == {"peak"}
     for r in got:
@@ -371,7 +372,7 @@ def test_models_over_tiles(spark):
         if len(own) >= 63:  # tiles at the end are smaller and resized
             assert (r.y1, r.x1) == max(own, key=own.get)
     four = lambda x: [np.array([2]), np.array([[[0, 0, 4, 4], [1, 1, 1, 5], [0, 0, 8, 8]]]), np.array([[0.9, 0.9, 0.9]]), np.array([[1, 0, 0]])]
-    boxes = detect.detect(z, four, ["a"], 24, 0, 8).collect()
+    boxes = detect.detect(z, four, ["a"], 24, 0, 8, most=None).collect()
     assert [(r.x2, r.y2, r.label) for r in boxes] == [(12.0, 10.0, "class_1")]
     assert detect.detect(z, lambda x: [np.zeros((1, 8, 8))], []).count() == 0
     whole = detect.model_input(np.array([[[0, 255], [51, 102]]]), 2)
@@ -564,19 +565,127 @@ def test_entry_points_agree(spark):
     assert set(e.oracle_sql()) <= set(q) and "slope" in q
 
 
-def test_suppression_of_a_whole_class(spark):
-    """The query against the greedy rule over all boxes of a class, wherever they lie."""
-    from tellur import registry
-    from tellur.plans import queries as Q
-
-    boxes = Q.D.decode(Q._outputs(spark, "/root/testdata/sf0.01"), 0.1).collect()
-    want, kept = set(), {}
+def plain_suppression(boxes, by, threshold=0.45):
+    """The ids that the greedy rule keeps over all boxes of a group, wherever they lie."""
+    want, kept = [], {}
     for r in sorted(boxes, key=lambda r: (-r.confidence, r.id)):
-        held = kept.setdefault((r.class_id, r.scene), [])
+        held = kept.setdefault(tuple(r[k] for k in by), [])
         x1, y1, x2, y2 = np.array(held).reshape(-1, 4).T
         both = np.maximum(0, np.minimum(r.x2, x2) - np.maximum(r.x1, x1)) * np.maximum(0, np.minimum(r.y2, y2) - np.maximum(r.y1, y1))
-        if not (both / ((r.x2 - r.x1) * (r.y2 - r.y1) + (x2 - x1) * (y2 - y1) - both) >= 0.45).any():
+        if not (both / ((r.x2 - r.x1) * (r.y2 - r.y1) + (x2 - x1) * (y2 - y1) - both) >= threshold).any():
             held.append((r.x1, r.y1, r.x2, r.y2))
-            want.add(r.id)
-    got = [r.id for r in registry.queries()["detections_suppress"](spark, "/root/testdata/sf0.01").collect()]
-    assert sorted(got) == sorted(want) and len(want) < len(boxes)
+            want.append(r.id)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("at_once", [100_000, 300])
+@pytest.mark.parametrize("name, by", [("detections_suppress", ("class_id", "scene")), ("detections_suppress_dense", ("class_id",))])
+def test_suppression_of_a_whole_class(spark, monkeypatch, name, by, at_once):
+    """The queries against the greedy rule, in scenes and in one dense field, in one task and in many fields."""
+    from tellur import registry
+    from tellur.plans import queries as Q
+
+    monkeypatch.setattr(detect, "AT_ONCE", at_once)
+    boxes = Q.D.decode(Q._outputs(spark, "/root/testdata/sf0.01"), 0.1).collect()
+    want = plain_suppression(boxes, by)
+    got = [r.id for r in registry.queries()[name](spark, "/root/testdata/sf0.01").collect()]
+    assert sorted(got) == want and len(want) < len(boxes)
+
+
+@pytest.mark.parametrize("at_once", [100_000, 300])
+def test_suppression_along_a_chain(spark, monkeypatch, at_once):
+    """Boxes of which each overlaps the next and is stronger: every second one stays, however many depend on each other."""
+    monkeypatch.setattr(detect, "AT_ONCE", at_once)
+    boxes = spark.createDataFrame([(i, i * 30.0, 0.0, i * 30.0 + 100, 50.0, 1 - i / 2000, 0) for i in range(1000)], "id int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int")
+    began = time.time()
+    assert sorted(r.id for r in detect.suppress(boxes).collect()) == [*range(0, 1000, 2)]
+    assert time.time() - began < (10 if at_once > 1000 else 60)
+    few = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, 0.5, 0), (1, 0.0, 0.0, 1.0, 1.0, 0.5, 0), (None, 0.0, 0.0, 1.0, 1.0, 0.9, 1)], boxes.schema)
+    assert detect.suppress(few).count() == 2 and detect.suppress(boxes.limit(0)).count() == 0
+
+
+def test_detector_suppresses_over_tiles(spark):
+    """A box in the overlap of two tiles is found twice and stays once, in each of two rasters."""
+
+    def bright(x):
+        at = np.argwhere(x[0, 0] >= 1)
+        return [np.array([[[c, r, c + 1, r + 1, 0.9, 0] for r, c in at]]).reshape(1, -1, 6)]
+
+    z = raster(spark, lambda r, c: 1.0 if (r, c) in ((7, 7), (2, 11)) else 0.0, 14, 14).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("raster_id"), "*")
+    got = detect.detect(z, bright, ["peak"], 8, 2, 8, 0.5)
+    assert sorted((r.raster_id, r.x1, r.y1) for r in got.collect()) == [(k, *at) for k in (1, 2) for at in ((7.0, 7.0), (11.0, 2.0))]
+    assert detect.detect(z, bright, ["peak"], 8, 2, 8, 0.5, most=None).count() == 2 * 5
+
+
+COMPANY = {
+    "slrm": lambda x: windows.local_relief(x, 3),
+    "slope": stencil.slope,
+    "mstp": lambda x: windows.topographic_position(x, 1, 2, 4),
+    "red_relief": lambda x: blend.red_relief(windows.local_relief(x, 2), stencil.slope(x)),
+    "vat": lambda x: blend.vat(horizon.measures(x, {"hillshade": ("hillshade", {}), "slope": ("slope", {}), "openness": ("openness", {"directions": 4, "radius": 2}), "svf": ("svf", {"directions": 4, "radius": 2})})),
+    "principal": lambda x: blend.principal(horizon.measures(x, {"m0": ("hillshade", {}), "m1": ("slope", {}), "m2": ("svf", {"directions": 4, "radius": 2}), "m3": ("slrm", {"radius": 2})}), ["m0", "m1", "m2", "m3"]),
+    "fuse": lambda x: change.fuse(x, x.select(*[k for k in ("raster_id",) if k in x.columns], "r", "c", F.col("z").alias("p"), (F.col("z") * F.col("c")).alias("q"), F.col("r").cast("double").alias("s")), ("p", "q", "s"), "luminance", 0.6),
+    "prescale": lambda x: blend.prescale(x, x.withColumn("z", F.col("z") - 4))[1],
+    "histogram": lambda x: change.histogram(x, 7),
+    "range": change.display_range,
+    "statistics": change.statistics,
+    "interpolate": lambda x: change.interpolate(x, 0.7, "cubic", 0.2, 0.3),
+    "bilinear": lambda x: change.bilinear(x, 1.5),
+    "tiles": lambda x: field.detector_tiles(x, tile=6, overlap=2),
+    "batch": lambda x: batch.batch(x, ["slrm", "vat", "red_relief", "tri", "mstp"]),
+}
+
+
+@pytest.mark.parametrize("name", COMPANY)
+def test_a_raster_is_what_it_is_alone(spark, name):
+    """Beside one of another shape that is fifty times as high."""
+    make = COMPANY[name]
+    low = raster(spark, lambda r, c: None if (r + c) % 11 == 5 else float((r * 37 + c * 101) % 97) / 9, 13, 17)
+    high = raster(spark, lambda r, c: None if (r, c) == (2, 2) else float((r * 53 + c * 19) % 89) * 50 + 300, 22, 9)
+    named = lambda x, k: x.select(F.lit(k).cast("int").alias("raster_id"), "*")
+    both = make(named(low, 1).unionByName(named(high, 2)))
+    for k, x in ((1, low), (2, high)):
+        alone = make(x)
+        rows = lambda df: sorted((tuple(None if v is None else round(v, 7) for v in r) for r in df.select(*alone.columns).collect()), key=str)  # noqa: B023, E731
+        assert rows(both.where(F.col("raster_id") == k)) == rows(alone), k
+
+
+def test_quantiles_of_many_rasters(spark, monkeypatch):
+    """Large and small rasters at once, by bins of a few, against numpy."""
+    from tellur.operators import ranges
+
+    monkeypatch.setattr(ranges, "BINS", 8)
+    rng = np.random.default_rng(5)
+    sets = {1: rng.normal(size=900), 2: rng.integers(0, 3, 700) * 1.0, 3: np.concatenate([rng.normal(size=400) * 1e-9, [1e9] * 200]), 4: np.full(500, 7.0), 5: rng.normal(size=20), None: rng.normal(size=300) * 1e300}
+    rows = [(k, float(v)) for k, x in sets.items() for v in x] + [(6, None), (1, None)]
+    shares = [0.0, 0.02, 0.25, 0.5, 0.98, 1.0]
+    got = {r[0]: r[1:] for r in ranges.quantiles_of(spark.createDataFrame(rows, "raster_id int, z double"), "z", shares, most=100, left=30).collect()}
+    assert set(got) == set(sets)
+    for k, x in sets.items():
+        assert got[k] == pytest.approx(np.quantile(x, shares)), k
+    alone = spark.createDataFrame([(float(v),) for v in sets[1]], "z double")
+    for most in (100, 10_000):
+        assert list(ranges.quantiles_of(alone, "z", shares, most=most, left=30).first()) == pytest.approx(np.quantile(sets[1], shares))
+    assert ranges.quantiles_of(alone.limit(0), "z", shares).count() == 0
+
+
+@pytest.mark.parametrize("radius", [2, 5, 30])
+def test_wide_windows_by_strips(spark, monkeypatch, radius):
+    """Windows summed axis by axis in strips are those of square blocks, and those of a plain loop."""
+    z = raster(spark, lambda r, c: None if (r * c) % 7 == 3 else float((r * 37 + c * 101) % 97) + 1e6, 21, 33)
+    two = z.withColumn("raster_id", F.lit(1)).unionByName(z.where("r < 9").withColumn("z", F.col("z") * 3).withColumn("raster_id", F.lit(2)))
+    near = {k: {(r.raster_id, r.r, r.c): r[k] for r in make(two).collect()} for k, make in (("mean", lambda x: windows.box_mean(x, radius)), (f"dev_{radius}", lambda x: windows.deviations(x, (1, radius))))}
+    monkeypatch.setattr(windows, "WIDE", 1)
+    monkeypatch.setattr(windows, "STRIP", 4)
+    for k, make in (("mean", lambda x: windows.box_mean(x, radius)), (f"dev_{radius}", lambda x: windows.deviations(x, (1, radius)))):
+        far = {(r.raster_id, r.r, r.c): r[k] for r in make(two).collect()}
+        assert far.keys() == near[k].keys()
+        assert all((far[at] is None) == (v is None) and (v is None or abs(far[at] - v) < 1e-6) for at, v in near[k].items())
+    x = np.array([[np.nan if (r * c) % 7 == 3 else float((r * 37 + c * 101) % 97) + 1e6 for c in range(33)] for r in range(21)])
+    x = np.where(np.isnan(x), np.nanmean(x), x)
+    padded = np.pad(x, radius, mode="symmetric")
+    for (k, r, c), v in near["mean"].items():
+        if k == 1 and v is not None:
+            assert abs(v - padded[r : r + 2 * radius + 1, c : c + 2 * radius + 1].mean()) < 1e-6
+            own = x[max(0, r - radius) : r + radius + 1, max(0, c - radius) : c + radius + 1]
+            assert abs(near[f"dev_{radius}"][k, r, c] - (x[r, c] - own.mean()) / own.std()) < 1e-6
