@@ -337,10 +337,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
     return out
 
 
-def untouched(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no benchmark item; a row with a null id stays."""
-    found = durable(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leak_id")).distinct())
-    return docs.join(found, docs.doc_id == found.leak_id, "left_anti")
+def untouched(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no benchmark item.
+
+    Each row is judged by its own text, whose 64-bit hash names it here: one with a null id that holds an item goes, and a
+    clean one that shares its id with one that goes stays. Texts that hold an item are one row each of what is joined,
+    however often they are repeated. Null texts hold none.
+    """
+    name = F.xxhash64(F.col(text_col).cast("string"))
+    found = leaks(docs.select(name.alias("doc_id"), F.col(text_col).cast("string").alias("text")), benchmark, **options)
+    found = durable(found.select(F.col("doc_id").alias("_leak")).distinct())
+    return docs.join(found, name == F.col("_leak"), "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Paragraphs pass points for their length and commas to their ancestors, fewer with each level, and in full to the article
 that they are in; a container's points are discounted by the share of its text in links. The best container is kept with
-those of its siblings that read like text. Parsing and scoring take time in proportion to the page, however it is nested.
+all that stands beside it and isn't mostly links, and with what has points enough beside the containers around it. A form
+that holds most of the page's text is its wrapper. Parsing and scoring take time in proportion to the page, however it is
+nested.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from pyspark.sql import functions as F
 from tellur.llm.common import read
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mo mn mtext mrow mstyle msup msub msubsup mfrac msqrt mroot munder mover mfenced semantics".split())
 #: Elements that never hold the article's text.
-DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input label iframe object svg math canvas audio video dialog menu".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg canvas annotation audio video dialog menu".split())
 #: Words of which a class or id is made that marks menus, notices, adverts, comments and the like.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related replies share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Of those the words that alone, in an article, may as well name a part of it: an editor's comment, a notice that it quotes.
+UNSURE = frozenset("banner comment header menu notice notices promotion related social".split())
 #: Words that may stand beside those in such a name. With any other word the name is that of something else: ad-hoc, menu-prices.
 BESIDE = frozenset("area articles bar block bottom box buttons center container content form icons inner item items js left links list main mobile outer page posts primary right section secondary site slot sticky thread to top unit wrap wrapper".split())
 #: An opening tag of the first kind ends an open element of the second.
@@ -101,24 +105,26 @@ for _name in ("parse_starttag", "parse_endtag", "parse_comment", "parse_pi", "pa
     setattr(Builder, _name, _to_the_end(getattr(HTMLParser, _name)))
 
 
-def marked(names: str) -> bool:
-    """Whether a class, id or role of these, as a whole, names a menu, notice, advert or the like."""
+def marked(names: str, within: bool = False) -> bool:
+    """Whether a class, id or role of these, as a whole, names a menu, notice, advert or the like; `within` an article not by an unsure word alone."""
     for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
         words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if within and len(words) == 1 and words[0] in UNSURE:
+            continue
         if not MARKS.isdisjoint(words) and all(w in MARKS or w in BESIDE for w in words):
             return True
     return False
 
 
-def _dropped(node: Node) -> bool:
-    if node.tag in DROPPED:
+def _dropped(node: Node, wrappers: set[int]) -> bool:
+    if node.tag in DROPPED and id(node) not in wrappers:
         return True
     if node.tag == "header":
         return node.home is None
-    return node.tag not in ("body", "html", "root", "main") and bool(node.marks) and marked(node.marks)
+    return node.tag not in ("body", "html", "root", "main") and bool(node.marks) and marked(node.marks, node.parent is not None and node.parent.home is not None)
 
 
-def _text(nodes: list[Node]) -> str:
+def _text(nodes: list[Node | str]) -> str:
     """The nodes' text: blocks and line breaks part words, white space becomes one space."""
     out, todo = [], list(reversed(nodes))
     while todo:
@@ -133,13 +139,26 @@ def _text(nodes: list[Node]) -> str:
     return " ".join("".join(out).split())
 
 
+def _wrappers(root: Node) -> set[int]:
+    """The forms that hold more than half of the text outside of other dropped elements."""
+    seen, todo, sizes = [], [root], {}
+    while todo:
+        x = todo.pop()
+        seen.append(x)
+        todo.extend(c for c in x.children if not isinstance(c, str) and (c.tag == "form" or c.tag not in DROPPED))
+    for x in reversed(seen):  # children come before parents
+        sizes[id(x)] = sum(len(c.strip()) if isinstance(c, str) else sizes.get(id(c), 0) for c in x.children)
+    return {id(x) for x in seen if x.tag == "form" and 2 * sizes[id(x)] > sizes[id(root)]}
+
+
 def _prune(root: Node) -> list[Node]:
     """Takes out dropped elements; the rest in page order."""
+    wrappers = _wrappers(root)
     seen, todo = [], [root]
     while todo:
         x = todo.pop()
         seen.append(x)
-        x.children = [c for c in x.children if isinstance(c, str) or not _dropped(c)]
+        x.children = [c for c in x.children if isinstance(c, str) or not _dropped(c, wrappers)]
         todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
     return seen
 
@@ -186,15 +205,32 @@ def main_text(html: str | None) -> str:
     if not found:
         return _text([root]) if root.links < root.size else ""
     best = max(found, key=lambda x: x.score * (1 - x.links / max(1, x.size)))  # of equal ones the outermost
-    kept = [best]
-    if best.parent is not None and best.tag != "main":
-        least = (0.0 if best.tag == "article" else 4.0, 0.2 * best.score)
-        kept = [c for c in best.parent.children if not isinstance(c, str) and (c is best or _reads(c, max(least)) and (best.tag != "article" or c.tag == "article"))]
+    kept: list[Node | str] = [best]
+    least, at = max(4.0, 0.2 * best.score), best
+    while at.parent is not None and at.tag not in ("body", "main"):
+        top = at.parent.tag in ("body", "html", "root")
+        if at is best and not top and (best.tag != "article" or best.parent.home is not None):
+            reads = _beside
+        elif at.tag == "article":  # several of a page
+            reads = lambda x: not isinstance(x, str) and x.tag == "article" and _reads(x, 0.2 * best.score)
+        else:
+            reads = lambda x: not isinstance(x, str) and (_reads(x, least) or at is best and x.tag in ("article", "section") and _beside(x))  # noqa: B023, E731
+        place = next(i for i, c in enumerate(at.parent.children) if c is at)
+        before, after = at.parent.children[:place], at.parent.children[place + 1 :]
+        kept = [*filter(reads, before), *kept, *filter(reads, after)]
+        at = at.parent
     return _text(kept)
 
 
-def _reads(x: Node, least: float) -> bool:
-    """Whether a sibling of the best container belongs to the text."""
+def _beside(x: Node | str) -> bool:
+    """Whether what stands beside the best container in one that isn't the page itself belongs to the text: all but what is mostly links."""
+    return isinstance(x, str) or 2 * x.links < x.size
+
+
+def _reads(x: Node | str, least: float) -> bool:
+    """Whether what stands beside a container around the text belongs to it, by its own points."""
+    if isinstance(x, str):
+        return False
     density = x.links / max(1, x.size)
     if x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote"):
         return density < 0.25 and x.size > 0
