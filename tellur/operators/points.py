@@ -8,9 +8,13 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellur.operators.cloth import cloth_of
+from tellur.operators.distance import inverse_distance
+from tellur.operators.tiles import Block, over_tiles
+from tellur.sources.cells import keys
 from tellur.sources.durable import durable
 
 #: Parameters of the progressive morphological filter by terrain (fixed values): largest window, slope, first and largest distance, cell.
@@ -22,47 +26,76 @@ def binned(points: DataFrame, cell: float) -> DataFrame:
 
 
 def lowest(points: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(r, c, z, n): the lowest point and the number of points in each cell."""
-    return binned(points, cell).groupBy("r", "c").agg(F.min("z").alias("z"), F.count("*").alias("n"))
+    """([raster_id,] r, c, z, n): the lowest point and the number of points in each cell of each cloud."""
+    return binned(points, cell).groupBy(*keys(points), "r", "c").agg(F.min("z").alias("z"), F.count("*").alias("n"))
 
 
-def inverse_distance(points: DataFrame, cell: float = 1.0, reach: int = 2, power: float = 2.0, smoothing: float = 1.0) -> DataFrame:
-    """(r, c, z): weighed means at cell centres of all points within `reach` cells; a point is sent to the centres it reaches, sums combine first."""
+def nearby_distance(points: DataFrame, cell: float = 1.0, reach: int = 2, power: float = 2.0, smoothing: float = 1.0) -> DataFrame:
+    """([raster_id,] r, c, z): weighed means at cell centres of all points within `reach` cells; a point is sent to the centres it reaches, sums combine first."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     b = binned(points, cell).withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).withColumns({"r": F.col("r") + F.col("dr"), "c": F.col("c") + F.col("dc")})
     dx, dy = F.col("x") - (F.col("c") + 0.5) * cell, F.col("y") - (F.col("r") + 0.5) * cell
     w = F.pow(dx * dx + dy * dy + smoothing * smoothing, F.lit(-power / 2))
-    return b.withColumn("w", w).groupBy("r", "c").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
+    return b.withColumn("w", w).groupBy(*keys(points), "r", "c").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
 
 
-def opening(cells: DataFrame, radius: int) -> DataFrame:
-    """(r, c, z): the greatest of the least values in squares of the given radius, on a dense raster."""
-    for f in (F.min, F.max):
-        for line, along in (("r", "c"), ("c", "r")):
-            cells = cells.withColumn("z", f("z").over(Window.partitionBy(line).orderBy(along).rangeBetween(-radius, radius)))
-    return cells
+def running(z: np.ndarray, radius: int, f: np.ufunc, empty: float) -> np.ndarray:
+    """The least or greatest value (`f`) of the square around each cell, `empty` beyond the array.
 
-
-def ground(points: DataFrame, kind: str = "standard") -> DataFrame:
-    """Adds `ground`: whether a point lies near the surface that openings of growing windows leave (Zhang et al., 2003)."""
+    Along each axis the array is cut into blocks as wide as the square; the value of a span is that of the end of one
+    block, running backward, and of the start of the next, running forward: two values a cell, whatever the radius.
+    """
+    wide = 2 * radius + 1
+    for _ in range(2):
+        n = z.shape[1]
+        blocks = -(-(n + 2 * radius) // wide)
+        p = np.full((z.shape[0], blocks * wide), empty)
+        p[:, radius : radius + n] = z
+        p = p.reshape(len(z), blocks, wide)
+        forward = f.accumulate(p, axis=2).reshape(len(z), -1)
+        backward = f.accumulate(p[:, :, ::-1], axis=2)[:, :, ::-1].reshape(len(z), -1)
+        z = f(backward[:, :n], forward[:, wide - 1 : wide - 1 + n]).T
+    return z
+
+
+def opened(z: np.ndarray, radius: int) -> np.ndarray:
+    """The greatest of the least values in squares of the given radius; missing cells (NaN) take no part and stay missing."""
+    none = np.isnan(z)
+    low = running(np.where(none, np.inf, z), radius, np.minimum, np.inf)
+    return np.where(none, np.nan, running(np.where(none, -np.inf, low), radius, np.maximum, -np.inf))
+
+
+def steps(kind: str) -> list[tuple[int, float]]:
+    """(radius, limit) of the growing windows of a terrain: how far a point may lie above the surface that each leaves."""
     if kind not in GROUND:
         raise ValueError(f"no such terrain: {kind}")
     window, slope, first, most, cell = GROUND[kind]
-    surface = lowest(points, cell).select("r", "c", "z")
-    base = surface.withColumnsRenamed({"z": "z0"})
-    flags, last, k = None, 1, 1
+    out, last, k = [], 1, 1
     while 2 * k + 1 <= window:
-        opened = opening(surface, k)
-        limit = min(most, first + slope * (2 * k + 1 - last) * cell)
-        step = opened.withColumn("limit", F.lit(limit)).select("r", "c", F.col("z").alias(f"o{k}"), F.col("limit").alias(f"l{k}"))
-        flags = step if flags is None else flags.join(step, ["r", "c"])
-        surface, last, k = opened, 2 * k + 1, 2 * k
-    names = [c[1:] for c in flags.columns if c.startswith("o")]
-    b = binned(points, cell).join(flags.join(base, ["r", "c"]), ["r", "c"])
-    near = F.lit(True)
-    for n in names:
-        near = near & (F.col("z") - F.col(f"o{n}") <= F.col(f"l{n}"))
-    return b.select(*points.columns, near.alias("ground"))
+        out.append((k, min(most, first + slope * (2 * k + 1 - last) * cell)))
+        last, k = 2 * k + 1, 2 * k
+    return out
+
+
+def ground(points: DataFrame, kind: str = "standard") -> DataFrame:
+    """Adds `ground`: whether a point lies near the surface that openings of growing windows leave (Zhang et al., 2003).
+
+    All windows are opened one after the other within tiles whose halo holds them all, so the lowest heights are sent
+    once; a cell keeps one number, the least height that a window bounds its points by. Each raster_id is a cloud.
+    """
+    plan, by = steps(kind), [*keys(points), "r", "c"]
+    cell = GROUND[kind][4]
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        z, most = b.z, np.full(b.z.shape, np.inf)
+        for k, limit in plan:
+            z = opened(z, k)
+            most = np.fmin(most, z + limit)
+        return {"most": b.cut(most)}
+
+    surface = durable(lowest(points, cell).select(*by, "z"))
+    bounds = over_tiles(surface, 2 * sum(k for k, _ in plan), kernel, ["most"]).where("most IS NOT NULL")
+    return binned(points, cell).join(bounds, by).select(*points.columns, (F.col("z") <= F.col("most")).alias("ground"))
 
 
 def nearest_means(own: np.ndarray, at: np.ndarray, places: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,68 +176,15 @@ CLOTH = {
 }
 
 
-def drape(low: np.ndarray, rigidness: int, time_step: float, slopes: bool, iterations: int) -> np.ndarray:
-    """The cloth over lowest heights (NaN: none) turned upside down, turned back (Zhang et al., 2016).
+def cloth_ground(points: DataFrame, kind: str = "archaeology_standard", iterations: int = 500, tile: int = 512, halo: int = 128) -> DataFrame:
+    """Adds `ground`: whether a point lies within the threshold of a cloth draped over the points of its cloud from below (see `cloth_of`).
 
-    It falls by gravity and stops where it meets a height; after each fall neighbours pull a particle to their mean, as
-    often as it is rigid. With `slopes`, particles beside fixed ones of nearly their height are laid down at the end.
-    """
-    under = np.where(np.isnan(low), -np.inf, -low)
-    top = np.nanmax(-low) + 1.0
-    cloth, before, fixed = np.full(low.shape, top), np.full(low.shape, top), np.zeros(low.shape, bool)
-    fall = 0.2 * time_step * time_step
-    for _ in range(iterations):
-        now = np.where(fixed, cloth, cloth + (cloth - before) * 0.99 - fall)
-        before = cloth
-        for _ in range(rigidness):
-            p = np.pad(now, 1, mode="edge")
-            mean = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4
-            now = np.where(fixed, now, now + (mean - now) / 2)
-        hit = ~fixed & (now <= under)
-        now, fixed = np.where(hit, under, now), fixed | hit
-        moved = np.abs(now - before).max()
-        cloth = now
-        if moved < 1e-3:
-            break
-    if slopes:
-        for _ in range(max(low.shape)):
-            p, f = np.pad(cloth, 1, mode="edge"), np.pad(fixed, 1)
-            beside = np.zeros(low.shape, bool)
-            for r, c in ((0, 1), (2, 1), (1, 0), (1, 2)):
-                at = np.s_[r : r + low.shape[0], c : c + low.shape[1]]
-                beside |= f[at] & (np.abs(p[at] - under) < 0.3)
-            if not (laid := ~fixed & beside & np.isfinite(under)).any():
-                break
-            cloth, fixed = np.where(laid, under, cloth), fixed | laid
-    return -cloth
-
-
-def cloth_ground(points: DataFrame, kind: str = "archaeology_standard", iterations: int = 500, tile: int = 128, halo: int = 16) -> DataFrame:
-    """Adds `ground`: whether a point lies within the threshold of a cloth draped over the points from below.
-
-    Cloths are those of blocks of tile x tile cells with `halo` more around, so a task holds one block's lowest heights and
-    its own points; an unknown kind is the standard one. Of a cloth beyond the halo nothing is known, so blocks can differ from one
-    whole cloth where it hangs free for longer than that.
+    The cloth is one for each raster_id, whatever the tiles. An unknown kind is the standard one.
     """
     cell, threshold, rigidness, time_step, slopes = CLOTH.get(kind, CLOTH["archaeology_standard"])
-    low = binned(points, cell).groupBy("r", "c").agg(F.min("z").alias("z"))
-    schema = "r int, c int, cloth double"
-
-    def spans(x: str):
-        return F.explode(F.sequence(F.floor((F.col(x) - halo) / tile).cast("int"), F.floor((F.col(x) + halo) / tile).cast("int")))
-
-    sent = low.select("r", "c", "z", spans("r").alias("tr")).select("*", spans("c").alias("tc"))
-
-    def work(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        r, c = f.r.to_numpy(), f.c.to_numpy()
-        z = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
-        z[r - r.min(), c - c.min()] = f.z
-        cloth = drape(z, rigidness, time_step, slopes, iterations)[r - r.min(), c - c.min()]
-        own = (r // tile == key[0]) & (c // tile == key[1])
-        return pd.DataFrame({"r": r[own], "c": c[own], "cloth": cloth[own]})
-
-    hung = sent.groupBy("tr", "tc").applyInPandas(work, schema)
-    near = binned(points, cell).join(hung, ["r", "c"])
+    by = [*keys(points), "r", "c"]
+    hung = cloth_of(lowest(points, cell).select(*by, "z"), rigidness, time_step, slopes, iterations, tile, halo)
+    near = binned(points, cell).join(hung, by)
     return near.select(*points.columns, (F.abs(F.col("z") - F.col("cloth")) <= threshold).alias("ground"))
 
 

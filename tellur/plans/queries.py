@@ -455,8 +455,9 @@ register(
     + """, k AS (SELECT r + i AS r, c + j AS c, x, y, z FROM b, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)),
 w AS (SELECT r, c, z, 1 / ((x - (c + 0.5) * 2) * (x - (c + 0.5) * 2) + (y - (r + 0.5) * 2) * (y - (r + 0.5) * 2) + 1) AS w FROM k)
 SELECT r::INT AS r, c::INT AS c, round(sum(w * z) / sum(w), 6) AS z FROM w GROUP BY w.r, w.c""",
-    lambda s, d: P.inverse_distance(_points(s, d), 2.0),
+    lambda s, d: P.nearby_distance(_points(s, d), 2.0),
 )
+register("points_inverse_distance_all", None, lambda s, d: P.inverse_distance(_points(s, d), 2.0))
 register("points_ground", None, lambda s, d: P.ground(_points(s, d)))
 register("points_cloth", None, lambda s, d: P.cloth_ground(_points(s, d)))
 register("points_outliers", None, lambda s, d: P.outliers(_points(s, d)))

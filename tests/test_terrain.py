@@ -689,3 +689,79 @@ def test_wide_windows_by_strips(spark, monkeypatch, radius):
             assert abs(v - padded[r : r + 2 * radius + 1, c : c + 2 * radius + 1].mean()) < 1e-6
             own = x[max(0, r - radius) : r + radius + 1, max(0, c - radius) : c + radius + 1]
             assert abs(near[f"dev_{radius}"][k, r, c] - (x[r, c] - own.mean()) / own.std()) < 1e-6
+
+
+def test_running_extremes_and_openings():
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(17, 23))
+    z[rng.random(z.shape) < 0.3] = np.nan
+    for k in (1, 2, 5, 30):
+        p = np.pad(z, k, constant_values=np.nan)
+        near = lambda p, f: np.array([[f(p[r : r + 2 * k + 1, c : c + 2 * k + 1]) for c in range(23)] for r in range(17)])  # noqa: B023, E731
+        assert np.array_equal(points.running(np.where(np.isnan(z), np.inf, z), k, np.minimum, np.inf), near(p, np.nanmin))
+        low = np.where(np.isnan(z), np.nan, near(p, np.nanmin))
+        want = np.where(np.isnan(z), np.nan, near(np.pad(low, k, constant_values=np.nan), np.nanmax))
+        assert np.array_equal(points.opened(z, k), want, equal_nan=True)
+
+
+def plain_cloth(low, rigidness, time_step, slopes, iterations):
+    """One whole cloth over a dense array."""
+    from tellur.operators import cloth
+
+    under = np.where(np.isnan(low), -np.inf, -low)
+    now = before = np.full(low.shape, np.nanmax(-low) + 1.0)
+    fixed = np.zeros(low.shape, bool)
+    for _ in range(iterations):
+        now, before, fixed = cloth.fall(under, now, before, fixed, rigidness, time_step)
+        if np.abs(now - before).max() < cloth.STILL:
+            break
+    return -(cloth.laid(under, now, fixed)[0] if slopes else now)
+
+
+@pytest.mark.parametrize("tile, halo", [(512, 128), (16, 16), (11, 4)])
+def test_a_cloth_is_the_same_for_any_tiles(spark, tile, halo):
+    """Two clouds of other size and rest, with holes and a house wider than a tile."""
+    from tellur.operators import cloth
+
+    rng = np.random.default_rng(4)
+    clouds = {}
+    for k, (h, w) in {1: (30, 41), 2: (9, 23)}.items():
+        z = np.add.outer(np.arange(h) * 0.1, np.arange(w) * 0.05) + rng.normal(0, 0.05, (h, w)) + k
+        z[5 : h // 2, 6 : w // 2] += 5
+        z[rng.random((h, w)) < 0.2] = np.nan
+        z[0, 0] = z[-1, -1] = k
+        clouds[k] = z
+    low = spark.createDataFrame([(k, r - 4, c + 9, float(z[r, c])) for k, z in clouds.items() for r, c in np.argwhere(~np.isnan(z)).tolist()], "raster_id int, r int, c int, z double")
+    got = {(x.raster_id, x.r, x.c): x.cloth for x in cloth.cloth_of(low, 2, 0.65, True, 24, tile, halo).collect()}
+    want = {(k, r - 4, c + 9): plain_cloth(z, 2, 0.65, True, 24)[r, c] for k, z in clouds.items() for r, c in np.argwhere(~np.isnan(z)).tolist()}
+    assert got == want
+    if tile != 16:
+        alone = low.where("raster_id = 2").drop("raster_id")
+        assert {(2, x.r, x.c): x.cloth for x in cloth.cloth_of(alone, 3, 0.65, False, 400 if tile == 512 else 10, tile, halo).collect()} == {(2, r - 4, c + 9): plain_cloth(clouds[2], 3, 0.65, False, 400 if tile == 512 else 10)[r, c] for r, c in np.argwhere(~np.isnan(clouds[2])).tolist()}
+        assert cloth.cloth_of(alone.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("power, smoothing", [(2.0, 1.0), (3.0, 0.5)])
+def test_inverse_distances_of_all_points(spark, monkeypatch, power, smoothing):
+    """Every cell against all points: within the stated bound, and far closer; crowded cells in parts; clouds apart."""
+    from tellur.operators import distance
+
+    monkeypatch.setattr(distance, "BLOCK", 32)
+    monkeypatch.setattr(distance, "POINTS", 300)
+    rng = np.random.default_rng(7)
+    clouds = {1: np.column_stack([rng.uniform(-40, 110, (2500, 2)), rng.uniform(0, 50, 2500)]), 2: np.column_stack([rng.uniform(0, 12, (40, 2)), rng.uniform(90, 99, 40)])}
+    clouds[1] = np.concatenate([clouds[1], np.column_stack([rng.uniform(3, 4, (1200, 2)), np.full(1200, 80.0)])])
+    df = spark.createDataFrame([(k, *map(float, p)) for k, x in clouds.items() for p in x] + [(1, None, 0.0, 1.0)], "raster_id int, x double, y double, z double")
+    got = {(x.raster_id, x.r, x.c): x.z for x in points.inverse_distance(df, 1.0, power, smoothing).collect()}
+    worst = 0.0
+    for k, x in clouds.items():
+        (c0, r0), (c1, r1) = np.floor(x[:, :2].min(axis=0)).astype(int), np.floor(x[:, :2].max(axis=0)).astype(int)
+        cells = [(r, c) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1)]
+        assert {at for at in got if at[0] == k} == {(k, *at) for at in cells}
+        t = np.array(cells)[:, ::-1] + 0.5
+        for i in range(0, len(t), 2000):
+            w = (((t[i : i + 2000, None] - x[None, :, :2]) ** 2).sum(axis=2) + smoothing**2) ** (-power / 2)
+            want = (w @ x[:, 2]) / w.sum(axis=1)
+            worst = max(worst, np.abs(want - [got[(k, *at)] for at in cells[i : i + 2000]]).max())
+    assert worst < 2 * distance.bound(power=power) * 80 and worst < 0.0015 * 80, worst
+    assert points.inverse_distance(df.limit(0)).count() == 0
