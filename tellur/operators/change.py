@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tellur.functions.projection import turned
 from tellur.operators.ranges import attached, quantiles_of, with_bounds
 from tellur.sources.cells import keys
 
@@ -195,10 +196,8 @@ def aligned(cells: DataFrame, grid: dict, to: dict, kind: str = "bilinear") -> D
         raise ValueError("the grids run in other directions")
     by, inside = keys(cells), (F.col("r") >= 0) & (F.col("r") < to["rows"]) & (F.col("c") >= 0) & (F.col("c") < to["cols"])
     if kind in KERNELS or kind == "bilinear":
-        if abs(step[0] - step[1]) > 1e-9 * step[0]:
-            raise ValueError("the cells have other shapes")
         first = [o + s / 2 - 0.5 for o, s in zip(off, step, strict=True)]
-        out = interpolate(cells, step[0], "triangle" if kind == "bilinear" else kind, *first, *((0.0,) if kind == "bilinear" else ()), widen=kind != "bilinear", last=(to["rows"] - 1, to["cols"] - 1))
+        out = interpolate(cells, tuple(step), "triangle" if kind == "bilinear" else kind, *first, *((0.0,) if kind == "bilinear" else ()), widen=kind != "bilinear", last=(to["rows"] - 1, to["cols"] - 1))
         return out.where(inside)
     at = [((F.col(x) + 0.5 - o) / s) for x, o, s in zip("rc", off, step, strict=True)]
     cell = [F.floor(x).cast("int").alias(f"{n}2") for x, n in zip(at, "rc", strict=True)]
@@ -208,6 +207,36 @@ def aligned(cells: DataFrame, grid: dict, to: dict, kind: str = "bilinear") -> D
     return out.withColumnsRenamed({"r2": "r", "c2": "c"}).where(inside)
 
 
+def warped(cells: DataFrame, grid: dict, crs: str, to: dict, to_crs: str, kind: str = "bilinear") -> DataFrame:
+    """([raster_id,] r, c, z) of a raster on `grid` in one CRS at the cells of the grid `to` in another; grids as in `aligned`.
+
+    The centre of each target cell is turned into the source's CRS, and takes the cell it lies in ('nearest') or the four
+    around it by their distances, those that exist weighed anew ('bilinear'). Each target asks for its cells by a key, so
+    the raster is shuffled once and sums combine before theirs. In one CRS it is `aligned`, whose every kind can be had.
+    """
+    if crs == to_crs:
+        return aligned(cells, grid, to, kind)
+    if kind not in ("nearest", "bilinear"):
+        raise ValueError(f"between CRS there are nearest and bilinear, not {kind!r}")
+    by, spark = keys(cells), cells.sparkSession
+    row = spark.range(to["rows"]).select(F.col("id").cast("int").alias("r"))
+    targets = row.select("r", F.explode(F.sequence(F.lit(0), F.lit(to["cols"] - 1))).alias("c"))
+    at = targets.withColumns({x: F.lit(float(to[o])) + (F.col(k) + 0.5) * float(to[p]) for x, o, k, p in (("x", "x0", "c", "px_w"), ("y", "y0", "r", "px_h"))})
+    # Where the centre lies in source cells. What it asks for is generated, empty where it lies outside, so no filter repeats the series.
+    at = turned(at, to_crs, crs).select(F.col("r").alias("_r"), F.col("c").alias("_c"), ((F.col("y") - float(grid["y0"])) / float(grid["px_h"])).alias("_u"), ((F.col("x") - float(grid["x0"])) / float(grid["px_w"])).alias("_v"))
+    inside = (F.col("_u") > -1) & (F.col("_u") < grid["rows"] + 1) & (F.col("_v") > -1) & (F.col("_v") < grid["cols"] + 1)
+    if kind == "nearest":
+        cells_of = F.array(F.struct(F.floor("_u").cast("int").alias("r"), F.floor("_v").cast("int").alias("c"), F.lit(1.0).alias("w")))
+    else:
+        at = at.withColumns({"_lr": F.floor(F.col("_u") - 0.5), "_lc": F.floor(F.col("_v") - 0.5)})
+        part = {"r": F.col("_u") - 0.5 - F.col("_lr"), "c": F.col("_v") - 0.5 - F.col("_lc")}
+        cells_of = F.array(*(F.struct((F.col("_lr") + i).cast("int").alias("r"), (F.col("_lc") + j).cast("int").alias("c"), ((part["r"] if i else 1 - part["r"]) * (part["c"] if j else 1 - part["c"])).alias("w")) for i in (0, 1) for j in (0, 1)))
+    asked = at.select("_r", "_c", F.inline(F.when(inside, cells_of))).where("w > 0")
+    found = asked.join(cells.where("z IS NOT NULL").select(*by, "r", "c", "z"), ["r", "c"])
+    out = found.groupBy(*by, F.col("_r").alias("to_r"), F.col("_c").alias("to_c")).agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
+    return out.select(*by, F.col("to_r").alias("r"), F.col("to_c").alias("c"), "z")
+
+
 def stack(layers: list[DataFrame]) -> DataFrame:
     """([raster_id,] r, c, bands): co-located rasters as one array for each cell; a cell that a layer lacks has NULL there."""
     by = [*keys(layers[0]), "r", "c"]
@@ -288,25 +317,27 @@ def _lanczos(x: Column) -> Column:
 KERNELS = {"triangle": (lambda x: F.greatest(F.lit(0.0), 1 - x), 1), "cubic": (_cubic, 2), "cubic_spline": (_spline, 2), "lanczos": (_lanczos, 3)}
 
 
-def interpolate(cells: DataFrame, step: float, kind: str = "cubic", r0: float = 0.0, c0: float = 0.0, least: float = 0.1, widen: bool = True, last: tuple[int, int] | None = None) -> DataFrame:
+def interpolate(cells: DataFrame, step: float | tuple[float, float], kind: str = "cubic", r0: float = 0.0, c0: float = 0.0, least: float = 0.1, widen: bool = True, last: tuple[int, int] | None = None) -> DataFrame:
     """(r, c, z) at centres r0 + r step, c0 + c step of the source lattice, up to each raster's last row and column, or to the target (r, c) `last`.
 
     The kernel is separable, so each source cell adds its value and weight to the target columns that it reaches, and
     each of those sums to the target rows: two groupings that combine before their shuffle, and no join. A step over 1
-    widens the kernel, unless `widen` is off. Nodata cells weigh nothing; a target whose weights sum to `least` or less has none.
+    widens the kernel, unless `widen` is off; a pair is the steps along a column and along a row. Nodata cells weigh nothing; a target whose weights sum to `least` or less has none.
     """
     if kind not in KERNELS:
         raise ValueError(f"no kernel {kind!r}; there are {', '.join(KERNELS)}")
     kernel, reach = KERNELS[kind]
-    scale = max(1.0, step) if widen else 1.0
+    steps = dict(zip("rc", step if isinstance(step, tuple) else (step, step), strict=True))
     by = keys(cells)
     ends = {"r": F.lit(last[0]), "c": F.lit(last[1])} if last else {"r": F.col("_last_r"), "c": F.col("_last_c")}
     own = [] if last else ["_last_r", "_last_c"]
     if not last:  # each raster ends at its own last row and column
-        said = cells.groupBy(*by).agg(*(F.floor((F.max(x) - o) / step).cast("int").alias(f"_last_{x}") for x, o in (("r", r0), ("c", c0))))
+        said = cells.groupBy(*by).agg(*(F.floor((F.max(x) - o) / steps[x]).cast("int").alias(f"_last_{x}") for x, o in (("r", r0), ("c", c0))))
         cells = attached(cells, said)
 
     def spread(df: DataFrame, axis: str, origin: float, other: str) -> DataFrame:
+        step = steps[axis]
+        scale = max(1.0, step) if widen else 1.0
         first = F.greatest(F.lit(0), F.ceil((F.col(axis) - reach * scale - origin) / step).cast("int"))
         end = F.least(ends[axis], F.floor((F.col(axis) + reach * scale - origin) / step).cast("int"))
         out = df.select(*by, *own, axis, other, "v", "w", F.explode(F.when(first <= end, F.sequence(first, end))).alias("t"))

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from tellur.functions import projection as J
 from tellur.functions import recipes
 from tellur.operators import batch
 from tellur.operators import blend as B
@@ -352,6 +353,40 @@ d AS (SELECT o.r, o.c, b.v - o.z AS dod FROM dem_nd o LEFT JOIN bl b USING (r, c
 SELECT r, c, round(dod, 6) AS dod, CASE WHEN dod IS NULL THEN 255 WHEN dod < -{C.detection_level()!r}::DOUBLE THEN 1 WHEN dod > {C.detection_level()!r}::DOUBLE THEN 2 ELSE 0 END AS mask FROM d""",
     lambda s, d: C.difference(X.dem_nd(s, d), C.aligned(X.dem_new(s, d), _grid(s, d, -0.5, -0.25), _grid(s, d))),
 )
+#: A corner in zone 31 near its eastern border, and the same place in zone 32, for the reprojected epoch.
+_CORNER = {"EPSG:32631": (700_000.0, 5_000_000.0), "EPSG:32632": (228_120.0, 5_002_670.0)}
+
+
+def _turned_sql(source: str, target: str, x: str, y: str) -> str:
+    """(lon, lat), then (x, y) of the target, as a chain of FROM clauses over a relation `t` with columns r, c and the expressions x, y."""
+    (lon0, _), (lon1, _) = J.zone(source), J.zone(target)
+    k = repr(J._MERIDIAN) + "::DOUBLE"
+    sums = lambda cs, f, g, u, v, sign: "".join(f" {sign} {c!r}::DOUBLE * {f}({2 * j} * {u}) * {g}({2 * j} * {v})" for j, c in enumerate(cs, 1))
+    return f"""
+t1 AS (SELECT *, ({y}) / {k} AS up, (({x}) - 500000) / {k} AS outw FROM t),
+t2 AS (SELECT *, up{sums(J.FROM_PLANE, 'sin', 'cosh', 'up', 'outw', '-')} AS xi, outw{sums(J.FROM_PLANE, 'cos', 'sinh', 'up', 'outw', '-')} AS eta FROM t1),
+t3 AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM t2),
+t4 AS (SELECT *, degrees({lon0!r}::DOUBLE + atan2(sinh(eta), cos(xi))) AS lon, degrees(chi{''.join(f' + {d!r}::DOUBLE * sin({2 * j} * chi)' for j, d in enumerate(J.TO_GEODETIC, 1))}) AS lat FROM t3),
+t5 AS (SELECT *, sin(radians(lat)) AS s, radians(lon) - {lon1!r}::DOUBLE AS d FROM t4),
+t6 AS (SELECT *, sinh(atanh(s) - {J._ECCENTRICITY!r}::DOUBLE * atanh({J._ECCENTRICITY!r}::DOUBLE * s)) AS q FROM t5),
+t7 AS (SELECT *, atan2(q, cos(d)) AS up2, atanh(sin(d) / sqrt(1 + q * q)) AS out2 FROM t6),
+t8 AS (SELECT r, c, 500000 + {k} * (out2{sums(J.TO_PLANE, 'cos', 'sinh', 'up2', 'out2', '+')}) AS x, {k} * (up2{sums(J.TO_PLANE, 'sin', 'cosh', 'up2', 'out2', '+')}) AS y FROM t7)"""
+
+
+_OLD, _NEW = _CORNER["EPSG:32631"], _CORNER["EPSG:32632"]
+register(
+    "difference_reprojected",
+    f"""WITH {X.SQL}, g AS (SELECT max(r) + 1 AS rows, max(c) + 1 AS cols FROM dem_nd), t AS (SELECT r, c FROM dem_nd),
+{_turned_sql('EPSG:32631', 'EPSG:32632', f'{_OLD[0]!r}::DOUBLE + (c + 0.5) * 2', f'{_OLD[1]!r}::DOUBLE - (r + 0.5) * 2')},
+w AS (SELECT r, c, (y - {_NEW[1]!r}::DOUBLE) / -2.05::DOUBLE - 0.5 AS u, (x - {_NEW[0]!r}::DOUBLE) / 2.2::DOUBLE - 0.5 AS v FROM t8),
+k AS (SELECT r, c, floor(u)::INT + i AS sr, floor(v)::INT + j AS sc, (CASE WHEN i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN j = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS wt
+  FROM w, (VALUES (0), (1)) i(i), (VALUES (0), (1)) j(j)),
+b AS (SELECT k.r, k.c, sum(wt * z) / sum(wt) AS z FROM k JOIN dem_new n ON n.r = sr AND n.c = sc WHERE z IS NOT NULL AND wt > 0 GROUP BY k.r, k.c),
+d AS (SELECT o.r, o.c, b.z - o.z AS dod FROM dem_nd o LEFT JOIN b USING (r, c))
+SELECT r, c, round(dod, 3) AS dod, CASE WHEN dod IS NULL THEN 255 WHEN dod < -{C.detection_level()!r}::DOUBLE THEN 1 WHEN dod > {C.detection_level()!r}::DOUBLE THEN 2 ELSE 0 END AS mask FROM d""",
+    lambda s, d: C.difference(X.dem_nd(s, d), C.warped(X.dem_new(s, d), {"x0": _NEW[0], "y0": _NEW[1], "px_w": 2.2, "px_h": -2.05} | {k: v for k, v in _grid(s, d).items() if k in ("rows", "cols")}, "EPSG:32632", _grid(s, d, *_OLD, px=2.0), "EPSG:32631")),
+    3,
+)
 register(
     "bands_coregistered",
     f"""WITH {X.SQL}, {bilinear_sql('bands', '0.5', '-0.25', '-0.25', '(SELECT max(r) + 1 FROM dem_nd)', '(SELECT max(c) + 1 FROM dem_nd)', 'b1')} SELECT r, c, round(v, 6) AS z FROM bl""",

@@ -765,3 +765,45 @@ def test_inverse_distances_of_all_points(spark, monkeypatch, power, smoothing):
             worst = max(worst, np.abs(want - [got[(k, *at)] for at in cells[i : i + 2000]]).max())
     assert worst < 2 * distance.bound(power=power) * 80 and worst < 0.0015 * 80, worst
     assert points.inverse_distance(df.limit(0)).count() == 0
+
+
+def test_places_in_other_crs(spark):
+    """A known place, and there and back again within a millimetre over whole zones, both hemispheres and the plane of the web."""
+    from tellur.functions import projection
+
+    rows = [(float(lon), float(lat)) for lon in np.linspace(3, 9, 7) for lat in (-79, -33.3, -0.001, 0, 12.5, 48.8583, 83)] + [(2.2945, 48.8583)]
+    df = spark.createDataFrame(rows, "lon double, lat double")
+    for crs in ("EPSG:32631", "EPSG:32632", "EPSG:32731", "EPSG:3857", "EPSG:4326"):
+        there = projection.from_degrees(df, crs)
+        for r in projection.to_degrees(there, crs, lon="lon2", lat="lat2").collect():
+            assert abs(r.lon - r.lon2) * 111_320 * math.cos(math.radians(r.lat)) < 1e-3 and abs(r.lat - r.lat2) * 111_320 < 1e-3
+            if crs == "EPSG:32631" and r.lon == 2.2945:
+                assert abs(r.x - 448_251.9) < 0.05 and abs(r.y - 5_411_943.8) < 0.05
+    with pytest.raises(ValueError):
+        projection.turned(df, "EPSG:27700", "EPSG:4326", "lon", "lat")
+
+
+@pytest.mark.parametrize("kind", ["bilinear", "nearest"])
+def test_rasters_between_crs(spark, kind):
+    """A plane over the ground, seen from the next zone, is the plane there; two rasters at once; holes stay holes; one CRS is an alignment."""
+    from tellur.functions import projection
+
+    old = {"x0": 700_000.0, "y0": 5_000_000.0, "px_w": 10.0, "px_h": -10.0, "rows": 12, "cols": 15}
+    new = {"x0": 228_100.0, "y0": 5_002_700.0, "px_w": 6.0, "px_h": -7.5, "rows": 40, "cols": 45}
+    at = spark.range(new["rows"] * new["cols"]).select((F.col("id") / new["cols"]).cast("int").alias("r"), (F.col("id") % new["cols"]).cast("int").alias("c"))
+    at = at.withColumns({"x": new["x0"] + (F.col("c") + 0.5) * new["px_w"], "y": new["y0"] + (F.col("r") + 0.5) * new["px_h"]})
+    plane = projection.turned(at, "EPSG:32632", "EPSG:32631").select("r", "c", ((F.col("x") - 700_000) * 0.3 + (F.col("y") - 5_000_000) * 0.7).alias("z"))
+    plane = spark.createDataFrame(plane.collect(), plane.schema)
+    holed = plane.withColumn("z", F.when((F.col("r") - 20) * (F.col("r") - 20) + (F.col("c") - 20) * (F.col("c") - 20) > 60, F.col("z")))
+    two = plane.withColumn("raster_id", F.lit(1)).unionByName(holed.withColumn("raster_id", F.lit(2)))
+    got = {(r.raster_id, r.r, r.c): r.z for r in change.warped(two, new, "EPSG:32632", old, "EPSG:32631", kind).collect()}
+    for r in range(12):
+        for c in range(15):
+            assert abs(got[1, r, c] - ((c + 0.5) * 3 - (r + 0.5) * 7)) < (0.05 if kind == "bilinear" else 4.0)  # a plane in one zone bends a little in the other
+    assert 0 < 180 - sum(k[0] == 2 for k in got) < 60
+    z = raster(spark, lambda r, c: r * 2.0 + c, 8, 8)
+    grid_a, grid_b = {"x0": 0.0, "y0": 0.0, "px_w": 1.0, "px_h": -1.0, "rows": 8, "cols": 8}, {"x0": 1.0, "y0": -1.0, "px_w": 2.0, "px_h": -0.5, "rows": 6, "cols": 3}
+    for r in change.warped(z, grid_a, "EPSG:32631", grid_b, "EPSG:32631").collect():  # cells of other shape, each axis by its own step
+        assert abs(r.z - (2 * (1 + (r.r + 0.5) * 0.5 - 0.5) + 1 + (r.c + 0.5) * 2 - 0.5)) < 1e-9
+    with pytest.raises(ValueError):
+        change.warped(z, grid_a, "EPSG:32631", grid_b, "EPSG:4326", "cubic")
