@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from tellur.operators.ranges import attached
 from tellur.sources.cells import keys
 
-#: Fields of an anomaly record and what a missing one is taken as (fixed values; None: stays missing).
-FIELDS = {"anomaly_id": None, "confidence": 0.5, "method": "manual"}
+#: Fields of an anomaly record and what a missing one is taken as (fixed values; None: a name by its number, the present time).
+FIELDS = {"anomaly_id": None, "detection_method": "manual", "confidence": 0.5, "feature_type": "unknown", "field_status": "pending", "observer": "", "photo_path": "", "notes": "", "timestamp": None}
 
 
 def numbered(df: DataFrame, key: str, name: str = "number", width: int = 65_536) -> DataFrame:
@@ -27,15 +27,21 @@ def numbered(df: DataFrame, key: str, name: str = "number", width: int = 65_536)
 
 
 def anomalies(features: DataFrame, key: str) -> DataFrame:
-    """Point records of features with x and y: missing names become ANOM-0001 and so on by `key`, other fields get their defaults."""
-    out = numbered(features.where("x IS NOT NULL AND y IS NOT NULL"), key, "_number")
-    out = out.withColumn("anomaly_id", F.coalesce("anomaly_id", F.format_string("ANOM-%04d", "_number"))).drop("_number")
-    return out.fillna({k: v for k, v in FIELDS.items() if v is not None})
+    """Point records of features with x and y: missing names become ANOM-0001 and so on by `key`, other fields of FIELDS get their defaults, whether missing in a row or altogether.
+
+    A missing time is that of the query, as ISO 8601 text.
+    """
+    kinds = {"confidence": "double"}
+    absent = {k: F.lit(None).cast(kinds.get(k, "string")) for k in FIELDS if k not in features.columns}
+    out = numbered(features.withColumns(absent).where("x IS NOT NULL AND y IS NOT NULL"), key, "_number")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    out = out.withColumns({"anomaly_id": F.coalesce("anomaly_id", F.format_string("ANOM-%04d", "_number")), "timestamp": F.coalesce(F.col("timestamp").cast("string"), now)})
+    return out.drop("_number").fillna({k: v for k, v in FIELDS.items() if v is not None})
 
 
 def template(spark: SparkSession) -> DataFrame:
     """An empty table of anomaly records, to be filled in the field."""
-    return spark.createDataFrame([], "anomaly_id string, confidence double, method string, description string, observer string, observed_at timestamp, status string, photo string, notes string")
+    return spark.createDataFrame([], ", ".join(f"{k} {'double' if k == 'confidence' else 'string'}" for k in FIELDS))
 
 
 def escaped(text: Column) -> Column:

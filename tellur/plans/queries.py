@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import uuid
 
 import numpy as np
@@ -21,9 +22,9 @@ from tellur.operators import stencil as S
 from tellur.operators import windows as W
 from tellur.operators.ranges import with_bounds
 from tellur.registry import oracle_sql, query
-from tellur.sinks import rasters
+from tellur.sinks import geopackage, rasters
 from tellur.sources import cells as X
-from tellur.sources import las
+from tellur.sources import geotiff, las
 from tellur.sources.durable import shared_folder
 
 
@@ -584,7 +585,7 @@ register(
     "anomalies_read",
     """WITH x AS (SELECT o_orderkey AS fid, o_totalprice AS x, (o_custkey * 2)::DOUBLE AS y, CASE WHEN o_orderkey % 3 = 0 THEN 'A-' || o_orderkey END AS a,
   CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 1000000 END AS f, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS m FROM orders WHERE o_orderstatus <> 'P')
-SELECT fid, round(x, 6) AS x, y, coalesce(a, printf('ANOM-%04d', row_number() OVER (ORDER BY fid))) AS anomaly_id, round(coalesce(f, 0.5), 6) AS confidence, coalesce(m, 'manual') AS method FROM x""",
+SELECT fid, round(x, 6) AS x, y, coalesce(a, printf('ANOM-%04d', row_number() OVER (ORDER BY fid))) AS anomaly_id, round(coalesce(f, 0.5), 6) AS confidence, coalesce(m, 'manual') AS detection_method, 'unknown' AS feature_type, 'pending' AS field_status, '' AS observer, '' AS photo_path, '' AS notes FROM x""",
     lambda s, d: L.anomalies(
         s.read.parquet(f"{d}/orders.parquet").select(
             F.col("o_orderkey").alias("fid"),
@@ -592,10 +593,10 @@ SELECT fid, round(x, 6) AS x, y, coalesce(a, printf('ANOM-%04d', row_number() OV
             (F.col("o_custkey") * 2).cast("double").alias("y"),
             F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('A-', o_orderkey) END AS anomaly_id"),
             F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 1000000 END AS confidence"),
-            F.expr("CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS method"),
+            F.expr("CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS detection_method"),
         ),
         "fid",
-    ),
+    ).drop("timestamp"),
 )
 register(
     "detections_footprints",
@@ -697,19 +698,61 @@ register(
 )
 register("raster_written", f"WITH {X.SQL} SELECT r, c, round(z, 6) AS z FROM dem_nd", _written(lambda s, d, p: rasters.write_raster(X.dem_nd(s, d), p), rasters.read_raster))
 register("raster_window", f"WITH {X.SQL} SELECT r, c, round(z, 6) AS z FROM dem_nd WHERE r BETWEEN 5 AND 40 AND c BETWEEN 10 AND 70", _written(lambda s, d, p: rasters.write_raster(X.dem_nd(s, d), p, 32), lambda s, p: rasters.read_raster(s, p, (5, 40, 10, 70), 32)))
+_TIFF = {"x0": 500_000.0, "y0": 6_000_000.0, "px_w": 2.0, "px_h": -2.0}
+register("geotiff_written", f"WITH {X.SQL} SELECT r, c, round(z, 6) AS z FROM dem_nd", _written(lambda s, d, p: geotiff.write_geotiff(X.dem_nd(s, d), p, _TIFF, 32630, tile=64), lambda s, p: geotiff.read_geotiff(s, p).select("r", "c", "z")))
+register("geotiff_window", f"WITH {X.SQL} SELECT r, c, round(z, 6) AS z FROM dem_nd WHERE r BETWEEN 5 AND 40 AND c BETWEEN 10 AND 70", _written(lambda s, d, p: geotiff.write_geotiff(X.dem_nd(s, d), p, _TIFF, 32630, tile=16), lambda s, p: geotiff.read_geotiff(s, p, (5, 40, 10, 70)).select("r", "c", "z")))
+register(
+    "geotiff_overview",
+    "SELECT ((event_id // 100) // 4)::INT AS r, ((event_id % 100) // 4)::INT AS c, round(avg(value), 6) AS z FROM events GROUP BY ALL",
+    _written(lambda s, d, p: geotiff.write_geotiff(X.dem(s, d), p, _TIFF, 32630, tile=16, levels=2), lambda s, p: geotiff.read_geotiff(s, p, level=2).select("r", "c", "z")),
+)
+register(
+    "geotiff_bands",
+    f"""WITH {X.SQL}, m AS (SELECT max(r) + 1 AS rows, max(c) + 1 AS cols FROM bands)
+SELECT band, r, c, round(z, 6) AS z, 500000.0::DOUBLE AS x0, 6000000.0::DOUBLE AS y0, 32630 AS epsg, rows::BIGINT AS rows, cols::BIGINT AS cols FROM
+(SELECT 1 AS band, r, c, b1 AS z FROM bands UNION ALL SELECT 2, r, c, b2 FROM bands UNION ALL SELECT 3, r, c, b3 FROM bands), m""",
+    _written(lambda s, d, p: geotiff.write_geotiff(X.bands(s, d), p, _TIFF, 32630, tile=64), lambda s, p: geotiff.read_geotiff(s, p).join(geotiff.read_meta(s, p), "file").select("band", "r", "c", "z", "x0", "y0", "epsg", "rows", "cols")),
+)
 register("change_written", _DOD + "SELECT r, c, mask AS z FROM k", _written(lambda s, d, p: rasters.write_change(C.difference(X.dem_nd(s, d), X.dem_new(s, d)), p), lambda s, p: rasters.read_raster(s, f"{p}/mask")))
 register("colours_written", f"WITH {X.SQL}, {position_sql((3, 10, 40))} SELECT r, c, red, green, blue FROM mstp", _written(lambda s, d, p: rasters.write_colours(W.topographic_position(X.dem_nd(s, d), 3, 10, 40), p), rasters.read_raster))
 
 
 def _anomalies(s, d):
     o = s.read.parquet(f"{d}/orders.parquet").where("o_orderstatus <> 'P'")
-    return o.select(F.col("o_orderkey").alias("fid"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), F.lit(None).cast("string").alias("anomaly_id"), (F.col("o_totalprice") / 1000000).alias("confidence"), F.lit("survey").alias("method"))
+    return o.select(F.col("o_orderkey").alias("fid"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), F.lit(None).cast("string").alias("anomaly_id"), (F.col("o_totalprice") / 1000000).alias("confidence"), F.lit("survey").alias("detection_method"))
 
 
 register(
     "field_package",
-    """SELECT printf('ANOM-%04d', row_number() OVER (ORDER BY o_orderkey)) AS anomaly_id, round(o_totalprice / 1000000, 6) AS confidence, 'survey' AS method, round(o_totalprice, 6) AS x, o_custkey::DOUBLE AS y FROM orders WHERE o_orderstatus <> 'P'""",
-    lambda s, d: s.read.parquet(rasters.write_package(L.anomalies(_anomalies(s, d), "fid"), s.read.parquet(f"{d}/nation.parquet").select("n_name", F.lit("EPSG:32630").alias("crs")), _new(s), "survey of the field") + "/anomalies").select("anomaly_id", "confidence", "method", "x", "y"),
+    """SELECT printf('ANOM-%04d', row_number() OVER (ORDER BY o_orderkey)) AS anomaly_id, round(o_totalprice / 1000000, 6) AS confidence, 'survey' AS detection_method, round(o_totalprice, 6) AS x, o_custkey::DOUBLE AS y FROM orders WHERE o_orderstatus <> 'P'""",
+    lambda s, d: s.read.parquet(rasters.write_package(L.anomalies(_anomalies(s, d), "fid"), s.read.parquet(f"{d}/nation.parquet").select("n_name", F.lit("EPSG:32630").alias("crs")), _new(s), "survey of the field") + "/anomalies").select("anomaly_id", "confidence", "detection_method", "x", "y"),
+)
+
+
+def _package(s, path: str, names: list[str]):
+    """The features of written GeoPackages, read by SQLite in tasks."""
+
+    def work(frames):
+        import sqlite3
+        import struct
+
+        import pandas as pd
+
+        for f in frames:
+            for file in f.file:
+                db = sqlite3.connect(f"file:{file}?mode=ro", uri=True)
+                rows = db.execute(f"SELECT geom, {', '.join(names)} FROM anomalies").fetchall()
+                yield pd.DataFrame([(*struct.unpack("<2d", g[13:29]), struct.unpack("<i", g[4:8])[0], *r) for g, *r in rows], columns=["x", "y", "srs", *names])
+
+    found = geotiff.local(path)
+    return s.createDataFrame([(os.path.join(found, n),) for n in sorted(os.listdir(found)) if n.endswith(".gpkg")], "file string").repartition(8).mapInPandas(work, "x double, y double, srs int, " + ", ".join(f"{n} {'double' if n == 'confidence' else 'string'}" for n in names))
+
+
+register(
+    "geopackage_written",
+    """SELECT printf('ANOM-%04d', row_number() OVER (ORDER BY o_orderkey)) AS anomaly_id, round(o_totalprice / 1000000, 6) AS confidence, 'survey' AS detection_method, 'unknown' AS feature_type, 'pending' AS field_status, '' AS notes,
+round(o_totalprice, 6) AS x, o_custkey::DOUBLE AS y, 32630 AS srs FROM orders WHERE o_orderstatus <> 'P'""",
+    _written(lambda s, d, p: geopackage.write_geopackage(L.anomalies(_anomalies(s, d), "fid").drop("fid"), p, "anomalies", "EPSG:32630"), lambda s, p: _package(s, p, ["anomaly_id", "confidence", "detection_method", "feature_type", "field_status", "notes"])),
 )
 register(
     "raster_extents",

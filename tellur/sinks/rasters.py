@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tellur.functions.recipes import slug
 from tellur.operators.field import template
+from tellur.sinks.geopackage import write_geopackage
 from tellur.sources.cells import keys
 
 
@@ -46,7 +47,7 @@ def write_change(change: DataFrame, path: str, tile: int = 256) -> None:
 
 
 def write_package(anomalies: DataFrame, layers: DataFrame, folder: str, project: str, crs: str | None = None) -> str:
-    """Writes a field package, and gives its path: anomalies, layers (name, crs, ...) and a project row, in a new folder named after the project.
+    """Writes a field package, and gives its path: anomalies (as Parquet, and as GeoPackages in survey/), layers (name, crs, ...) and a project row, in a new folder named after the project.
 
     Without a CRS that of the layers is taken; raises if they have none or several. Fails if the folder is there.
     """
@@ -61,6 +62,7 @@ def write_package(anomalies: DataFrame, layers: DataFrame, folder: str, project:
     empty = template(spark)
     missing = {c: F.lit(None).cast(t) for c, t in empty.dtypes if c not in anomalies.columns}
     anomalies.withColumns(missing).select(*empty.columns, "x", "y").write.mode("errorifexists").parquet(f"{path}/anomalies")
+    write_geopackage(anomalies.withColumns(missing).select(*empty.columns, "x", "y"), f"{path}/survey", "anomalies", crs)
     layers.write.mode("errorifexists").parquet(f"{path}/layers")
     spark.createDataFrame([(project, name, crs)], "project string, folder string, crs string").write.mode("errorifexists").parquet(f"{path}/project")
     return path

@@ -403,8 +403,9 @@ def test_interpolation_keeps_planes_and_skips_nodata(spark, kind):
 
 def test_field_records(spark):
     rows = [(5, 1.0, 2.0, None, None, None), (200_000, 1.0, 2.0, None, 0.9, "auto"), (7, None, 2.0, "x", None, None), (9, 3.0, 4.0, "mine", None, None)]
-    got = {r.k: (r.anomaly_id, r.confidence, r.method) for r in field.anomalies(spark.createDataFrame(rows, "k bigint, x double, y double, anomaly_id string, confidence double, method string"), "k").collect()}
-    assert got == {5: ("ANOM-0001", 0.5, "manual"), 9: ("mine", 0.5, "manual"), 200_000: ("ANOM-0003", 0.9, "auto")}
+    found = field.anomalies(spark.createDataFrame(rows, "k bigint, x double, y double, anomaly_id string, confidence double, detection_method string"), "k").collect()
+    assert {r.k: (r.anomaly_id, r.confidence, r.detection_method) for r in found} == {5: ("ANOM-0001", 0.5, "manual"), 9: ("mine", 0.5, "manual"), 200_000: ("ANOM-0003", 0.9, "auto")}
+    assert {(r.feature_type, r.field_status, r.observer, r.photo_path, r.notes) for r in found} == {("unknown", "pending", "", "", "")} and all(r.timestamp[10] == "T" for r in found)
     box = field.footprints(spark.createDataFrame([(0.0, 0.0, 2.0, 1.5), (1.0, 1.0, 1.0, 5.0), (None, 0.0, 1.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")).collect()
     assert [r.bbox for r in box] == ["0.00,0.00,2.00,1.50"] and box[0].wkt.startswith("POLYGON ((0.00 0.00, 2.00 0.00, 2.00 1.50")
 
@@ -533,7 +534,7 @@ def test_sinks(spark, tmp_path):
         rasters.write_colours(z, str(tmp_path / "rgb2"))
     rasters.write_change(change.difference(z, z.where("r > 0")), str(tmp_path / "dod"))
     assert {r.z for r in rasters.read_raster(spark, str(tmp_path / "dod/mask")).collect()} == {0, 255}
-    found = field.anomalies(spark.createDataFrame([(1, 1.0, 2.0, None, None, None)], "k bigint, x double, y double, anomaly_id string, confidence double, method string"), "k")
+    found = field.anomalies(spark.createDataFrame([(1, 1.0, 2.0, None, None, None)], "k bigint, x double, y double, anomaly_id string, confidence double, detection_method string"), "k")
     layers = spark.createDataFrame([("a", "EPSG:1"), ("b", "")], "name string, crs string")
     path = rasters.write_package(found, layers, str(tmp_path), "My site!")
     assert path.endswith("/My_site_") and spark.read.parquet(f"{path}/project").first().crs == "EPSG:1" and spark.read.parquet(f"{path}/anomalies").columns[:9] == field.template(spark).columns
@@ -807,3 +808,106 @@ def test_rasters_between_crs(spark, kind):
         assert abs(r.z - (2 * (1 + (r.r + 0.5) * 0.5 - 0.5) + 1 + (r.c + 0.5) * 2 - 0.5)) < 1e-9
     with pytest.raises(ValueError):
         change.warped(z, grid_a, "EPSG:32631", grid_b, "EPSG:4326", "cubic")
+
+
+def test_geopackages(spark, tmp_path):
+    """Points and outlines read back by SQLite, with the tables that the format asks for; no CRS, no file."""
+    import sqlite3
+    import struct
+
+    from tellur.sinks import geopackage
+
+    found = field.anomalies(spark.createDataFrame([(1, 1.5, 2.5, "it's"), (2, -4.0, 8.0, None), (3, None, 1.0, None)], "k bigint, x double, y double, notes string"), "k").drop("k").repartition(1)
+    geopackage.write_geopackage(found, str(tmp_path / "a"), "anomalies", "EPSG:32630")
+    db = sqlite3.connect(next(iter((tmp_path / "a").glob("*.gpkg"))))
+    rows = db.execute("SELECT geom, anomaly_id, detection_method, confidence, feature_type, field_status, notes FROM anomalies ORDER BY anomaly_id").fetchall()
+    assert [(struct.unpack("<iBI2d", g[4:]), *r) for g, *r in rows] == [((32630, 1, 1, 1.5, 2.5), "ANOM-0001", "manual", 0.5, "unknown", "pending", "it's"), ((32630, 1, 1, -4.0, 8.0), "ANOM-0002", "manual", 0.5, "unknown", "pending", "")]
+    assert db.execute("SELECT min_x, min_y, max_x, max_y, srs_id FROM gpkg_contents").fetchall() == [(-4.0, 2.5, 1.5, 8.0, 32630)] and db.execute("PRAGMA application_id").fetchone()[0] == 0x47504B47
+    assert db.execute("SELECT geometry_type_name FROM gpkg_geometry_columns").fetchall() == [("POINT",)] and db.execute("SELECT organization_coordsys_id FROM gpkg_spatial_ref_sys WHERE srs_id = 32630").fetchone() == (32630,)
+    boxes = spark.createDataFrame([(0.0, 0.0, 2.0, 1.0, 0.9, 3, True)], "x1 double, y1 double, x2 double, y2 double, confidence double, class_id int, sure boolean")
+    geopackage.write_geopackage(boxes, str(tmp_path / "b"), "finds", "EPSG:4326")
+    files = [sqlite3.connect(f).execute("SELECT geom, confidence, class_id FROM finds").fetchall() for f in (tmp_path / "b").glob("*.gpkg")]
+    (g, confidence, class_id), = (r for f in files for r in f)
+    assert struct.unpack("<BIII10d", g[8:])[:4] == (1, 3, 1, 5) and struct.unpack("<10d", g[21:]) == (0, 0, 2, 0, 2, 1, 0, 1, 0, 0) and (confidence, class_id) == (0.9, 3)
+    geopackage.write_geopackage(boxes.limit(0), str(tmp_path / "c"), "finds", "EPSG:4326")
+    for bad in (None, "", "WGS 84"):
+        with pytest.raises(ValueError):
+            geopackage.write_geopackage(boxes, str(tmp_path / "d"), "finds", bad)
+    with pytest.raises(ValueError):
+        geopackage.write_geopackage(boxes, str(tmp_path / "b"), "finds", "EPSG:4326")
+
+
+def test_geotiffs(spark, tmp_path):
+    """Rasters of several types, places and files there and back; a window opens its tiles only; overviews are the pyramid's."""
+    from tellur.sources import geotiff
+
+    at = {"x0": 500_000.0, "y0": 6_000_000.0, "px_w": 0.5, "px_h": -2.0}
+    z = raster(spark, lambda r, c: None if (r * c) % 13 == 5 else r * 100 + c / 8, 70, 45).withColumns({"r": F.col("r") - 6, "c": F.col("c") + 9})
+    two = z.select(F.lit("a").alias("raster_id"), "*").unionByName(z.where("r < 10").select(F.lit("b").alias("raster_id"), "r", "c", (-F.col("z")).alias("z")))
+    for dtype in ("float64", "float32"):
+        geotiff.write_geotiff(two, path := str(tmp_path / dtype), at, 32630, dtype, tile=16, side=32, levels=1)
+        meta = {r.file.rsplit("/")[-1]: r for r in geotiff.read_meta(spark, path).collect()}
+        assert len(meta) == 3 * 2 + 2 and meta["a_1_1.tif"][1:11] == (32, 13, 1, 500_000 + (9 + 32) * 0.5, 6_000_000 + (32 - 6) * -2.0, 0.5, -2.0, 32630, -9999.0, 16)
+        named = geotiff.read_geotiff(spark, path).withColumn("_p", F.regexp_extract("file", r"/(\w)_(\d+)_(\d+)\.tif", 0))
+        place = F.split(F.regexp_replace("_p", r"[/]|\.tif", ""), "_")
+        back = named.select(place[0].alias("raster_id"), (F.col("r") + place[1].cast("int") * 32 - 6).alias("r"), (F.col("c") + place[2].cast("int") * 32 + 9).alias("c"), "z")
+        assert {(r.raster_id, r.r, r.c): r.z for r in back.collect()} == {(r.raster_id, r.r, r.c): r.z for r in two.collect()}
+        over = geotiff.read_geotiff(spark, f"{path}/a_0_0.tif", level=1)
+        want = grid(change.pyramid(z.select(F.col("r") + 6, F.col("c") - 9, "z").toDF("r", "c", "z"), 1), "z")
+        assert all(v is None or abs(v - want[k]) < 1e-2 for k, v in grid(over, "z").items()) and over.where("z IS NOT NULL").count() == 256
+    with pytest.raises(ValueError):
+        geotiff.write_geotiff(z, path, at)
+    bands = z.where("z IS NOT NULL").select("r", "c", (F.col("r") % 200 + 6).alias("red"), F.col("c").alias("green"))
+    geotiff.write_geotiff(bands, path := str(tmp_path / "bytes"), at, 4326, "uint8", 255, tile=16, levels=0)
+    got = {(r.band, r.r, r.c): r.z for r in geotiff.read_geotiff(spark, path).where("z IS NOT NULL").collect()}
+    assert got == {(b, r.r + 6, r.c - 9): float(v) for r in bands.collect() for b, v in ((1, r.red), (2, r.green))}
+    # Bytes of all tiles but those of the window are spoilt: the window doesn't touch them.
+    name = f"{tmp_path}/bytes/raster_0_0.tif"
+    d = geotiff.read_head(name)[0]
+    with open(name, "r+b") as f:
+        for t, (o, n) in enumerate(zip(d["offsets"], d["counts"], strict=True)):
+            if t % 15 not in (4, 5):  # 3 tiles across, 5 down, two bands
+                f.seek(o)
+                f.write(b"\xff" * n)
+    part = geotiff.read_geotiff(spark, path, (17, 31, 20, 44))
+    assert {(r.band, r.r, r.c) for r in part.collect()} == {(b, r, c) for b in (1, 2) for r in range(17, 32) for c in range(20, 45)}
+    with pytest.raises(Exception, match="decompress|header"):
+        geotiff.read_geotiff(spark, path).collect()
+
+
+def test_geotiffs_of_other_makers(spark, tmp_path):
+    """Strips, bands together, big-endian classic files, differences of integers; others are refused."""
+    import struct
+    import zlib
+
+    from tellur.sources import geotiff
+
+    x = np.arange(5 * 4 * 2).reshape(5, 4, 2) * 37 % 256
+
+    def tiff(order, bits, compression, predictor):
+        kind = np.dtype(f"{order}u{bits // 8}")
+        y = np.diff(x.astype(kind), axis=1, prepend=kind.type(0)) if predictor == 2 else x
+        strips = [y[i : i + 2].astype(kind).tobytes() for i in range(0, 5, 2)]
+        strips = [zlib.compress(s) for s in strips] if compression == 8 else strips
+        fields = [(256, 3, [4]), (257, 3, [5]), (258, 3, [bits, bits]), (259, 3, [compression]), (273, 4, None), (277, 3, [2]), (278, 3, [2]), (279, 4, [len(s) for s in strips]), (317, 3, [predictor])]
+        start = 8 + 2 + 12 * len(fields) + 4
+        more, entries, places = b"", b"", start + 24
+        for tag, t, v in fields:
+            v = v or [places + sum(map(len, strips[:i])) for i in range(len(strips))]
+            raw = struct.pack(f"{order}{len(v)}{'H' if t == 3 else 'I'}", *v)
+            if len(raw) > 4:
+                entries += struct.pack(f"{order}HHII", tag, t, len(v), start + len(more))
+                more += raw
+            else:
+                entries += struct.pack(f"{order}HHI", tag, t, len(v)) + raw.ljust(4, b"\0")
+        return (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 8) + struct.pack(f"{order}H", len(fields)) + entries + bytes(4) + more.ljust(24, b"\0") + b"".join(strips)
+
+    for i, how in enumerate((("<", 8, 1, 1), (">", 16, 8, 1), ("<", 16, 8, 2), (">", 8, 8, 2))):
+        name = tmp_path / f"{i}.tif"
+        name.write_bytes(tiff(*how))
+        assert {(r.band, r.r, r.c): r.z for r in geotiff.read_geotiff(spark, str(name)).collect()} == {(b + 1, r, c): float(x[r, c, b]) for r in range(5) for c in range(4) for b in range(2)}, how
+    (tmp_path / "lzw.tif").write_bytes(tiff("<", 8, 5, 1))
+    (tmp_path / "text.tif").write_bytes(b"no raster")
+    for bad in ("lzw.tif", "text.tif"):
+        with pytest.raises(Exception, match="can't be read|isn't a TIFF"):
+            geotiff.read_geotiff(spark, str(tmp_path / bad)).collect()
