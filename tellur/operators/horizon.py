@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tellur.operators.stencil import gradient, shade
 from tellur.operators.tiles import Block, over_tiles
 from tellur.operators.windows import mean_of
 
@@ -146,26 +147,10 @@ def local_dominance(cells: DataFrame, least: int = 10, most: int = 20, step: flo
     return over_tiles(cells, most, lambda b: {"dominance": dominance_of(b, least, most, step, angle, height, cell)}, ["dominance"])
 
 
-def gradient_of(block: Block, cell: float) -> tuple[np.ndarray, np.ndarray]:
-    """Horn's (dz/dx, dz/dy), borders repeated, nodata as the mean; needs a halo of 1."""
-    z = np.nan_to_num(block.repeated(), nan=block.mean)
-    at = lambda dr, dc: block.cut(z, dr, dc)
-    dx = at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)
-    dy = at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)
-    return dx / (8 * cell), dy / (8 * cell)
-
-
-def shade_of(gradient: tuple[np.ndarray, np.ndarray], azimuth: float, altitude: float) -> np.ndarray:
-    dx, dy = gradient
-    zenith, az = math.radians(90 - altitude), math.radians((360 - azimuth % 360 + 90) % 360)
-    steep = np.arctan(np.hypot(dx, dy))
-    return np.clip(np.cos(steep) * math.cos(zenith) + np.sin(steep) * math.sin(zenith) * np.cos(az - np.arctan2(-dy, dx)), 0, 1)
-
-
 #: Measures of a tile by name: parameters with their defaults, the halo that they need, and what makes them of a block.
 MEASURES = {
-    "hillshade": ({"azimuths": (315, 45, 135, 225, 270, 0), "altitude": 45}, lambda p: 1, lambda b, cell, p: sum(shade_of(gradient_of(b, cell), a, p["altitude"]) for a in p["azimuths"]) / len(p["azimuths"]) * 255),
-    "slope": ({}, lambda p: 1, lambda b, cell, p: np.degrees(np.arctan(np.hypot(*gradient_of(b, cell))))),
+    "hillshade": ({"azimuths": (315, 45, 135, 225, 270, 0), "altitude": 45}, lambda p: 1, lambda b, cell, p: sum(shade(gradient(b, cell), a, p["altitude"]) for a in p["azimuths"]) / len(p["azimuths"]) * 255),
+    "slope": ({}, lambda p: 1, lambda b, cell, p: np.degrees(np.arctan(np.hypot(*gradient(b, cell))))),
     "svf": ({"directions": 16, "radius": 10, "noise": 0}, lambda p: p["radius"], lambda b, cell, p: sky_of(b, b.filled(), p["directions"], p["radius"], p["noise"], cell)),
     "asvf": (
         {"directions": 16, "radius": 10, "azimuth": 315, "strength": 0.5, "noise": 0},

@@ -1,83 +1,83 @@
-"""3x3 operators by two window passes: along rows, then along columns. Edges repeat the border cell."""
+"""3x3 operators within tiles that have one cell more on each side. Edges repeat the border cell."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellur.sources.cells import keys, whole
+from tellur.operators.tiles import Block, over_tiles
+from tellur.sources.cells import keys
 
 
-def neighbours(cells: DataFrame, value: str = "z", fill: bool = True) -> DataFrame:
-    """Adds nw, n, ne, w, m, e, sw, s, se for every cell.
+def surroundings(block: Block, fill: bool = True) -> dict[tuple[int, int], np.ndarray]:
+    """The tile's heights moved by one cell each way, by (rows down, columns right). With `fill`, nodata counts as the raster's mean, otherwise it stays NaN."""
+    z = np.nan_to_num(block.repeated(), nan=block.mean) if fill else block.repeated()
+    return {(dr, dc): block.cut(z, dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)}
 
-    With `fill`, nodata counts as the raster's mean, otherwise it stays NULL; cells that a raster's box lacks are nodata
-    too. Two shuffles, on row and on column, whatever is computed from the nine values afterwards.
-    """
-    by, names = keys(cells), cells.columns
-    cells = whole(cells, value)
-    x = F.coalesce(F.col(value), F.col("_mean")) if fill else F.col(value)
-    across, down = Window.partitionBy(*by, "r").orderBy("c"), Window.partitionBy(*by, "c").orderBy("r")
-    one = cells.withColumn("_v", F.struct(x.alias("x")))
-    one = one.withColumn("_row", F.struct(F.coalesce(F.lag("_v").over(across), F.col("_v"))["x"].alias("w"), F.col("_v.x").alias("m"), F.coalesce(F.lead("_v").over(across), F.col("_v"))["x"].alias("e")))
-    one = one.withColumns({"_up": F.coalesce(F.lag("_row").over(down), F.col("_row")), "_down": F.coalesce(F.lead("_row").over(down), F.col("_row"))})
-    nine = {"nw": "_up.w", "n": "_up.m", "ne": "_up.e", "w": "_row.w", "m": "_row.m", "e": "_row.e", "sw": "_down.w", "s": "_down.m", "se": "_down.e"}
-    return one.select(*names, *(F.col(v).alias(k) for k, v in nine.items()))
 
+def gradient(block: Block, cell: float, method: str = "horn") -> tuple[np.ndarray, np.ndarray]:
+    """(dz/dx, dz/dy) by Horn's 1-2-1 weights or by central differences; dz/dy is south minus north."""
+    at = surroundings(block)
+    if method == "finite_difference":
+        return (at[0, 1] - at[0, -1]) / (2 * cell), (at[1, 0] - at[-1, 0]) / (2 * cell)
+    side = lambda dr, dc: sum((2 if k == 0 else 1) * at[(dr, k) if dr else (k, dc)] for k in (-1, 0, 1))
+    return (side(0, 1) - side(0, -1)) / (8 * cell), (side(1, 0) - side(-1, 0)) / (8 * cell)
 
-def horn(cell: float = 1.0) -> tuple[Column, Column]:
-    """(dz/dx, dz/dy) by 1-2-1 weights; dz/dy is south minus north."""
-    c = F.col
-    dx = (c("ne") + 2 * c("e") + c("se")) - (c("nw") + 2 * c("w") + c("sw"))
-    dy = (c("sw") + 2 * c("s") + c("se")) - (c("nw") + 2 * c("n") + c("ne"))
-    return dx / (8.0 * cell), dy / (8.0 * cell)
 
-
-def finite(cell: float = 1.0) -> tuple[Column, Column]:
-    return (F.col("e") - F.col("w")) / (2.0 * cell), (F.col("s") - F.col("n")) / (2.0 * cell)
-
-
-def _where_valid(x: Column) -> Column:
-    return F.when(F.col("z").isNotNull(), x)
+def shade(steps: tuple[np.ndarray, np.ndarray], azimuth: float, altitude: float) -> np.ndarray:
+    """Illumination in 0..1. The aspect points uphill, as the compatible variant has it."""
+    dx, dy = steps
+    zenith, az = math.radians(90 - altitude), math.radians((360 - azimuth % 360 + 90) % 360)
+    steep = np.arctan(np.hypot(dx, dy))
+    return np.clip(np.cos(steep) * math.cos(zenith) + np.sin(steep) * math.sin(zenith) * np.cos(az - np.arctan2(-dy, dx)), 0, 1)
 
 
 def slope(cells: DataFrame, units: str = "degrees", method: str = "horn", cell: float = 1.0) -> DataFrame:
     """(r, c, slope) in degrees or percent, from Horn's or central differences."""
     if units not in ("degrees", "percent") or method not in ("horn", "finite_difference") or not cell > 0:
         raise ValueError(f"no such slope: {units}, {method}, cell {cell}")
-    dx, dy = (horn if method == "horn" else finite)(cell)
-    steep = F.sqrt(dx * dx + dy * dy)
-    return neighbours(cells).select(*keys(cells), "r", "c", _where_valid(F.degrees(F.atan(steep)) if units == "degrees" else steep * 100).alias("slope"))
 
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        steep = np.hypot(*gradient(b, cell, method))
+        return {"slope": np.degrees(np.arctan(steep)) if units == "degrees" else steep * 100}
 
-def shade(azimuth: float, altitude: float, cell: float = 1.0) -> Column:
-    """Illumination in 0..1. The aspect points uphill, as the compatible variant has it."""
-    dx, dy = horn(cell)
-    zenith, az = math.radians(90 - altitude), math.radians((360 - azimuth % 360 + 90) % 360)
-    steep = F.atan(F.sqrt(dx * dx + dy * dy))
-    lit = F.cos(steep) * math.cos(zenith) + F.sin(steep) * math.sin(zenith) * F.cos(F.lit(az) - F.atan2(-dy, dx))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), lit))
+    return over_tiles(cells, 1, kernel, ["slope"])
 
 
 def hillshade(cells: DataFrame, azimuths: tuple[float, ...] = (315, 45, 135, 225, 270, 0), altitude: float = 45, cell: float = 1.0) -> DataFrame:
     """(r, c, hillshade): the mean over azimuths, 0..255."""
     if not azimuths or not 0 <= altitude <= 90:
         raise ValueError("azimuths and an altitude of 0 to 90 are needed")
-    total = sum((shade(a, altitude, cell) for a in azimuths[1:]), shade(azimuths[0], altitude, cell))
-    return neighbours(cells).select(*keys(cells), "r", "c", _where_valid(total / float(len(azimuths)) * 255).alias("hillshade"))
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        steps = gradient(b, cell)
+        return {"hillshade": sum(shade(steps, a, altitude) for a in azimuths) / len(azimuths) * 255}
+
+    return over_tiles(cells, 1, kernel, ["hillshade"])
 
 
 def hillshade_bands(cells: DataFrame, n: int = 16, altitude: float = 35, cell: float = 1.0) -> DataFrame:
     """(r, c, bands): one illumination in 0..1 for each of n evenly spread azimuths."""
     if not 4 <= n <= 64:
         raise ValueError("4 to 64 directions")
-    parts = F.array(*(shade(360 * i / n, altitude, cell) for i in range(n)))
-    return neighbours(cells).select(*keys(cells), "r", "c", _where_valid(parts).alias("bands"))
+    names = [f"b{i}" for i in range(n)]
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        steps = gradient(b, cell)
+        return {name: shade(steps, 360 * i / n, altitude) for i, name in enumerate(names)}
+
+    out = over_tiles(cells, 1, kernel, names)
+    return out.select(*keys(cells), "r", "c", F.when(F.col("b0").isNotNull(), F.array(*names)).alias("bands"))
 
 
 def ruggedness(cells: DataFrame) -> DataFrame:
     """(r, c, tri): the root of the summed squared differences to the eight neighbours; nodata neighbours add nothing."""
-    parts = [F.coalesce((F.col(x) - F.col("m")) * (F.col(x) - F.col("m")), F.lit(0.0)) for x in ("nw", "n", "ne", "w", "e", "sw", "s", "se")]
-    return neighbours(cells, fill=False).select(*keys(cells), "r", "c", _where_valid(F.sqrt(sum(parts[1:], parts[0]))).alias("tri"))
+
+    def kernel(b: Block) -> dict[str, np.ndarray]:
+        at = surroundings(b, fill=False)
+        return {"tri": np.sqrt(sum(np.nan_to_num((x - at[0, 0]) ** 2) for k, x in at.items() if k != (0, 0)))}
+
+    return over_tiles(cells, 1, kernel, ["tri"])

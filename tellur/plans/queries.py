@@ -494,7 +494,28 @@ SELECT r::INT AS r, c::INT AS c, round(sum(w * z) / sum(w), 6) AS z FROM w GROUP
     lambda s, d: P.nearby_distance(_points(s, d), 2.0),
 )
 register("points_inverse_distance_all", None, lambda s, d: P.inverse_distance(_points(s, d), 2.0))
-register("points_ground", None, lambda s, d: P.ground(_points(s, d)))
+
+
+def ground_sql(kind: str) -> str:
+    """Openings of growing windows on the dense grid of lowest points, by frames along both axes; missing cells take no part."""
+    cell = P.GROUND[kind][4]
+    parts, last = [], "s0"
+    for n, (k, _) in enumerate(P.steps(kind), 1):
+        for step, (f, of) in enumerate((("min", last), ("max", f"e{n}"))):
+            frame = f"ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING"
+            parts.append(f"{f[:2]}{n} AS (SELECT r, c, z0, {f}(z) OVER (PARTITION BY r ORDER BY c {frame}) AS z FROM {of})")
+            parts.append(f"{'es'[step]}{n} AS (SELECT r, c, z0, CASE WHEN z0 IS NOT NULL THEN {f}(z) OVER (PARTITION BY c ORDER BY r {frame}) END AS z FROM {f[:2]}{n})")
+        last = f"s{n}"
+    most = ", ".join(f"s{n}.z + {limit!r}::DOUBLE" for n, (_, limit) in enumerate(P.steps(kind), 1))
+    joins = " ".join(f"JOIN s{n} USING (r, c)" for n in range(2, len(P.steps(kind)) + 1))
+    return f"""{_POINTS.replace("/ 2)", f"/ {cell}::DOUBLE)")}, low AS (SELECT r, c, min(z) AS z FROM b GROUP BY b.r, b.c), x AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM low),
+g AS (SELECT a.r, c FROM (SELECT unnest(range(r0, r1 + 1))::INT AS r FROM x) a, (SELECT unnest(range(c0, c1 + 1))::INT AS c FROM x) b),
+s0 AS (SELECT g.r, g.c, low.z AS z0, low.z FROM g LEFT JOIN low USING (r, c)), {', '.join(parts)},
+m AS (SELECT r, c, least({most}) AS most FROM s1 {joins} WHERE s1.z IS NOT NULL)
+SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(b.z, 6) AS z, b.z <= most AS ground FROM b JOIN m USING (r, c)"""
+
+
+register("points_ground", ground_sql("standard"), lambda s, d: P.ground(_points(s, d)))
 register("points_cloth", None, lambda s, d: P.cloth_ground(_points(s, d)))
 register("points_outliers", None, lambda s, d: P.outliers(_points(s, d)))
 register("points_range", _POINTS + "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM p WHERE z BETWEEN 5 AND 40 AND NOT x BETWEEN 20 AND 30", lambda s, d: P.in_range(_points(s, d), "z[5:40], x![20:30]"))

@@ -147,7 +147,9 @@ class Reader(DataSourceReader):
             out += [Run(path, self.level, tiles[i : i + self.at_once]) for i in range(0, len(tiles), self.at_once)]
         return out
 
-    def read(self, part: Run) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Run | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no partitions
+            return
         d = read_head(part.path)[part.level]
         across, down = -(-d["cols"] // d["tile_cols"]), -(-d["rows"] // d["tile_rows"])
         r0, r1, c0, c1 = self.window or (0, d["rows"], 0, d["cols"])

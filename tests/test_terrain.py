@@ -317,6 +317,18 @@ def test_las_files(spark, tmp_path, monkeypatch):
     assert [(r.intensity, r.classification) for r in got] == [(min(65535, w[3]), min(31, w[4])) for w in rows[:250]]
     meta = las.read_meta(spark, str(tmp_path / "a"))
     assert sum(r.n for r in meta.collect()) == 250 and {r[0] for r in meta.select(points.crs_of(meta)).collect()} == {"EPSG:32630"}
+    with pytest.raises(ValueError):
+        las.write_points(df, str(tmp_path / "a"))
+    # Files of a few points, partitions of fewer, and a box that passes over files by their heads.
+    las.write_points(df, str(tmp_path / "small"), 32630, 40)
+    assert len(las.files(str(tmp_path / "small"))) >= 7
+    spark.dataSource.register(las.Las)
+    fine = spark.read.format("las").option("points", 7).load(str(tmp_path / "small"))
+    assert sorted(fine.collect()) == got and fine.rdd.getNumPartitions() >= 36
+    box = (500010.0, 5999900.0, 500060.5, 5999980.0)
+    assert sorted(las.read_points(spark, str(tmp_path / "small"), box).collect()) == [r for r in got if box[0] <= r.x <= box[2] and box[1] <= r.y <= box[3]]
+    asked = las.Reader({"path": str(tmp_path / "small"), "box": ",".join(map(str, box))}).partitions()
+    assert 0 < len(asked) < len(las.files(str(tmp_path / "small")))
     las.write_points(df.limit(0), str(tmp_path / "none"))
     assert las.read_points(spark, str(tmp_path / "none")).count() == 0
     # A file of version 1.4 and format 6, by hand, with its CRS as text and an end cut off.
