@@ -35,7 +35,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage (operator 10); a row with a null id stays."""
+    """Documents that hold no benchmark passage (operator 10), each row judged by its own text."""
     return decontaminate.untouched(docs, read(spark, sf_dir, "benchmark"))
 
 
