@@ -3,8 +3,9 @@
 A window has as many words as the template and may lie anywhere in the text: in a line, across lines or paragraphs. Dice
 of t or more needs a share t / (2 - t) of the template's bigrams in the window, and as many of its words as can hold so
 many bigrams. The number of the template's words that the text has bounds which templates a text meets, then the number
-of bigrams does; only then windows are made, at the places of the template's bigrams. Templates are a fixed list, inlined
-as one literal; nothing is joined or shuffled.
+of bigrams does, then how close together so many of them stand; all this within the scan. Only the bigrams of the windows
+left are sent, to the task of their text, where running counts give the Dice of all windows in one pass. Templates are a
+fixed list, inlined as one literal.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellur.llm.common import read
@@ -103,51 +104,94 @@ def kinds_of(templates: dict[str, str], least: float) -> list[dict]:
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, start, n_words, dice): the best window of each row's text for each template that reaches `least`.
+def texts_in(spark: SparkSession, folder: str, most_bytes: int = 1 << 20) -> dict[str, str]:
+    """Templates from the files of a folder, such as whole licence texts, each named by its file: TEMPLATES | texts_in(...).
 
-    Text is lower-cased and everything but letters and digits becomes a space; `start` counts words from 0. A window
-    begins with a bigram of the template and has as many words, fewer at the text's end; ties go to the first. Of windows
-    that overlap, one gives way to any of a greater Dice, then more words, then the smaller name. Null and empty texts match nothing; null
-    ids are kept; repeated rows match each; templates of one word never match. Texts of any length, of one line or many,
-    are scanned whole. Other columns take no part. An empty table gives none.
+    They go into the plan, so a folder of more than `most_bytes` bytes is an error.
     """
-    known = kinds_of(templates, least)
-    schema = "array<struct<license: string, words: array<string>, bigrams: array<string>, need_words: int, need: int, wide: int>>"
-    kinds = F.from_json(F.lit(json.dumps(known)), schema)  # a constant, folded once
-    every = F.from_json(F.lit(json.dumps(sorted({w for k in known for w in k["words"]}))), "array<string>")
-    fewest = min((k["need_words"] for k in known), default=1)
+    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+    if (n := spark.read.format("binaryFile").load(folder).agg(F.sum("length")).first()[0] or 0) > most_bytes:
+        raise ValueError(f"{n} bytes of templates")
+    return {r.name: r.text for r in files.collect()}
 
-    def once(df: DataFrame, **columns: Column) -> DataFrame:
-        """Adds columns by exploding one element, which keeps Catalyst from copying their expressions into those that use them."""
-        ((name, x),) = columns.items()
-        return df.select("*", F.explode(F.array(x)).alias(name))
 
-    def rated(k: Column) -> Column:
-        """The best (dice, -start) of a template's windows, as a match."""
-        places = F.filter(F.transform("b", lambda x, i: F.when(F.array_contains(k["bigrams"], x), i + 1)), lambda x: x.isNotNull())
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds a column by exploding one element, which keeps Catalyst from copying its expression into those that use it."""
+    ((name, x),) = columns.items()
+    return df.select("*", F.explode(F.array(x)).alias(name))
 
-        def rate(at: Column) -> Column:
-            own = F.array_distinct(F.slice("b", at, k["wide"]))
-            return F.struct((F.lit(2.0) * F.size(F.array_intersect(own, k["bigrams"])) / (F.size(own) + F.size(k["bigrams"]))).alias("dice"), (1 - at).alias("behind"))
 
-        best = F.array_max(F.transform(places, rate))
-        return F.struct(best["dice"].alias("dice"), (-best["behind"]).alias("start"), (k["wide"] + 1).alias("n_words"), k["license"].alias("license"))
-
-    def gives_way(x: Column, y: Column) -> Column:
-        overlap = (x["start"] < y["start"] + y["n_words"]) & (y["start"] < x["start"] + x["n_words"])
-        longer = (y["n_words"] > x["n_words"]) | ((y["n_words"] == x["n_words"]) & (y["license"] < x["license"]))
-        return overlap & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & longer))
+def near_windows(docs: DataFrame, known: list[dict], id_col: str, text_col: str) -> DataFrame:
+    """(n, doc_id, t, i, g, inside): bigrams g at places i of the windows of a row n in which enough bigrams of its template t may stand."""
+    schema = "array<struct<t: int, words: array<string>, bigrams: array<string>, need_words: int, need: int, wide: int>>"
+    kinds = F.from_json(F.lit(json.dumps([k | {"t": t} for t, k in enumerate(known)])), schema)  # a constant, folded once
+    every = F.from_json(F.lit(json.dumps(sorted({w for k in known for w in k["words"]}))), "array<string>")
+    fewest = min((k["need_words"] for k in known), default=1)
+    some = sorted({g for k in known for g in k["bigrams"]})
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    rows = rows.select("doc_id", F.explode(F.array(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " "))).alias("w"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("n", F.monotonically_increasing_id()).where("text IS NOT NULL")
+    rows = rows.select("n", "doc_id", F.explode(F.array(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " "))).alias("w"))
     rows = once(rows, have=F.array_intersect("w", every)).where(F.size("have") >= fewest)
     rows = once(rows, k=F.filter(kinds, lambda k: F.size(F.array_intersect("have", k["words"])) >= k["need_words"])).where(F.size("k") > 0)
     rows = once(rows.drop("have"), b=F.transform(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1))))
-    rows = once(rows.select("doc_id", "b", "k"), met=F.filter("k", lambda k: F.size(F.array_intersect("b", k["bigrams"])) >= k["need"])).where(F.size("met") > 0)
-    rows = once(rows.select("doc_id", "b", "met"), m=F.filter(F.transform("met", rated), lambda x: x["dice"] >= least))
-    left = F.filter("m", lambda x: ~F.exists("m", lambda y: gives_way(x, y)))
-    return rows.select("doc_id", F.explode(left).alias("m")).select("doc_id", "m.license", "m.start", "m.n_words", F.round("m.dice", 6).alias("dice"))
+    rows = once(rows.select("n", "doc_id", "b", "k"), met=F.filter("k", lambda k: F.size(F.array_intersect("b", k["bigrams"])) >= k["need"])).where(F.size("met") > 0)
+    rows = once(rows.drop("k"), hits=F.filter(F.transform("b", lambda x, i: F.when(x.isin(some), i)), lambda i: i.isNotNull()))
+    rows = rows.select("n", "doc_id", "b", "hits", F.explode("met").alias("k"))
+    rows = once(rows, own=F.filter("hits", lambda i: F.array_contains("k.bigrams", F.get("b", i)))).drop("hits")
+    # A window needs the next need - 1 of the template's places within its width.
+    starts = F.filter(F.transform("own", lambda i, j: F.when(F.get("own", j + F.col("k.need") - 1) < i + F.col("k.wide"), i)), lambda i: i.isNotNull())
+    rows = once(rows, starts=starts).where(F.size("starts") > 0)
+
+    def fresh(i: Column, j: Column) -> Column:
+        """The places of a window that the one before it doesn't have."""
+        low = F.greatest(i, F.get("starts", j - 1) + F.col("k.wide"))
+        high = F.least(i + F.col("k.wide"), F.size("b")) - 1
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    places = F.flatten(F.transform("starts", fresh))
+    known_of = lambda i: F.get("b", i).isin(some) & F.array_contains("k.bigrams", F.get("b", i))
+    return rows.select("n", "doc_id", "k.t", F.inline(F.transform(places, lambda i: F.struct(i.alias("i"), F.get("b", i).alias("g"), known_of(i).alias("inside")))))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, license, start, n_words, dice): all windows of each row's text that reach `least` for a template, but those that give way to others.
+
+    Text is lower-cased and everything but letters and digits becomes a space; `start` counts words from 0. A window
+    begins with a bigram of the template and has as many words, fewer at the text's end. It gives way to a better one of its
+    template that begins at most half the template's words away: one of greater Dice or, with the same, an earlier one. Of
+    those left, by falling Dice, then falling words, then names, then places, each that overlaps none taken before is taken; so a text
+    with two notices gives two rows. Null and empty texts match nothing; null ids are kept; repeated rows match each;
+    templates of one word never match. Texts of any length, of one line or many, are scanned whole. Other columns take no
+    part. An empty table, or no templates, gives none.
+    """
+    known = kinds_of(templates, least)
+    of = lambda f, kind: F.get(F.lit([f(k) for k in known]).cast(f"array<{kind}>"), F.col("t"))
+    wide, size = of(lambda k: k["wide"], "int"), of(lambda k: len(k["bigrams"]), "int")
+
+    # A bigram is new to the windows that begin after its last place before and up to its own: the sums of such gains and losses are running counts.
+    rows = near_windows(docs, known, id_col, text_col).repartition("n")
+    first = F.greatest(F.lag("i").over(Window.partitionBy("n", "t", "g").orderBy("i")) + 1, F.col("i") - wide + 1, F.lit(0))
+    inside = F.col("inside").cast("int")
+    change = lambda s, one, same, begins: F.struct(s.alias("start"), F.lit(one).alias("one"), same.alias("same"), begins.alias("begins"))
+    changes = F.array(change(F.col("first"), 1, inside, F.lit(False)), change(F.col("i") + 1, -1, -inside, F.lit(False)), change(F.col("i"), 0, F.lit(0), F.col("inside")))
+    rows = rows.withColumn("first", first).select("n", "doc_id", "t", F.inline(changes))
+    run = Window.partitionBy("n", "t").orderBy("start")
+    rows = rows.withColumns({"own": F.sum("one").over(run), "common": F.sum("same").over(run)}).where("begins")
+    rows = rows.withColumn("dice", F.lit(2.0) * F.col("common") / (F.col("own") + size)).where(F.col("dice") >= least)
+
+    around = Window.partitionBy("n", "t").orderBy(F.col("start") / (F.floor((wide + 1) / 2) + 0.5)).rangeBetween(-1, 1)
+    best = F.max(F.struct("dice", (-F.col("start")).alias("behind"))).over(around)
+    rows = rows.withColumn("best", best).where(F.col("best.behind") == -F.col("start"))
+    rows = rows.select("n", "doc_id", "start", (wide + 1).alias("n_words"), of(lambda k: k["license"], "string").alias("license"), "dice")
+
+    # Windows that reach each other by overlaps are settled together, in order.
+    by_start = Window.partitionBy("n").orderBy("start", "n_words", "license")
+    end = F.max(F.col("start") + F.col("n_words")).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("apart", F.coalesce((F.col("start") >= end).cast("int"), F.lit(0))).withColumn("lot", F.sum("apart").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    lots = rows.groupBy("n", "doc_id", "lot").agg(F.array_sort(F.collect_list(F.struct((-F.col("dice")).alias("off"), (-F.col("n_words")).alias("less"), "license", "start"))).alias("m"))
+    overlap = lambda x, y: (x["start"] < y["start"] - y["less"]) & (y["start"] < x["start"] - x["less"])
+    taken = F.aggregate("m", F.slice("m", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: overlap(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+    return lots.select("doc_id", F.explode(taken).alias("m")).select("doc_id", "m.license", "m.start", (-F.col("m.less")).alias("n_words"), F.round(-F.col("m.off"), 6).alias("dice"))
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
@@ -159,17 +203,20 @@ def oracle(templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE) ->
     """The scan in SQL, every window that begins with a bigram of a template, without the pruning."""
     known = ", ".join(f"('{k['license']}', {k['wide']}, [{', '.join(f"'{x}'" for x in k['bigrams'])}])" for k in kinds_of(templates, least))
     return rf"""
-WITH t(license, wide, bigrams) AS (VALUES {known}),
+WITH RECURSIVE t(license, wide, bigrams) AS (VALUES {known}),
 g AS (SELECT license, wide, bigrams, unnest(bigrams) AS g FROM t),
 w AS (SELECT row_number() OVER () AS n, doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT n, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM w WHERE len(w) > 1),
 p AS (SELECT n, unnest(b) AS g, unnest(range(len(b))) AS start FROM b),
 h AS (SELECT p.n, p.start, g.license, g.wide, g.bigrams, b.doc_id, list_distinct(b.b[p.start + 1 : p.start + g.wide]) AS own FROM p JOIN g USING (g) JOIN b ON p.n = b.n),
 d AS (SELECT n, doc_id, license, start, wide + 1 AS n_words, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice FROM h),
-m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, license ORDER BY dice DESC, start) AS q FROM d WHERE dice >= {least}) WHERE q = 1)
-SELECT doc_id, license, start::INTEGER AS start, n_words::INTEGER AS n_words, round(dice, 6) AS dice FROM m x
-WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.n = x.n AND x.start < y.start + y.n_words AND y.start < x.start + x.n_words
-  AND (y.dice > x.dice OR y.dice = x.dice AND (y.n_words > x.n_words OR y.n_words = x.n_words AND y.license < x.license)))
+m AS (SELECT * FROM d WHERE dice >= {least}),
+k AS (SELECT * FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.n = x.n AND y.license = x.license AND abs(y.start - x.start) <= x.n_words // 2
+  AND (y.dice > x.dice OR y.dice = x.dice AND y.start < x.start))),
+l AS (SELECT n, doc_id, list(struct_pack(dice, n_words, license, start) ORDER BY dice DESC, n_words DESC, license, start) AS q FROM k GROUP BY n, doc_id),
+r AS (SELECT n, doc_id, q[1] AS x, q FROM l
+  UNION ALL SELECT n, doc_id, q[1], q FROM (SELECT n, doc_id, list_filter(q, lambda y: y.start >= x.start + x.n_words OR x.start >= y.start + y.n_words) AS q FROM r) WHERE len(q) > 0)
+SELECT doc_id, x.license AS license, x.start::INTEGER AS start, x.n_words::INTEGER AS n_words, round(x.dice, 6) AS dice FROM r
 """
 
 

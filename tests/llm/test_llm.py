@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, with nulls, empty texts, ties, repeats and clashing columns."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -649,6 +650,7 @@ def test_licenses(spark):
         (8, "word"),
         (9, "under the terms of the License " * 400),
         (10, "Released under the MIT License. " * 300 + "Licensed under CC BY 4.0."),
+        (11, f"Part one. {text} Part two: x {text.replace('copies', 'things', 1)}"),
     ]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"w": F.lit(1), "b": F.lit(1), "k": F.lit(1)})).collect()
     found = sorted((r.doc_id or 0, r.license, r.start, r.n_words) for r in got)
@@ -660,7 +662,9 @@ def test_licenses(spark):
         (6, "GPL-3.0/header", 2, len(licenses.words_of(licenses.TEMPLATES["GPL-3.0/header"]))),
         (7, "BSD-3-Clause/text", 2, len(licenses.words_of(licenses.TEMPLATES["BSD-3-Clause/text"]))),
         (10, "CC-BY-4.0/notice", 1500, 6),
-        (10, "MIT/notice", 0, 5),
+        *((10, "MIT/notice", 5 * i, 5) for i in range(300)),
+        (11, "MIT/text", 2, n := len(licenses.words_of(text))),
+        (11, "MIT/text", n + 5, n),
     ]
     assert licenses.scan(spark.createDataFrame(rows[:0], "doc_id bigint, text string")).count() == 0
 
@@ -680,12 +684,56 @@ def test_licenses_agree_with_sql(spark, tmp_path):
                 own[at] = rng.choice(["", "changed", own[at].upper()])
             words += own[: rng.choice([None, None, len(own) * 9 // 10])] + prose(rng, rng.randint(0, 10)).split()
         rows.append((i, rng.choice([" ", "\n", "\n\n", " * "]).join(words)))
+    for i in range(150, 180):  # notices that follow each other, whole, altered and cut
+        own = licenses.TEMPLATES[rng.choice(names)].split()
+        words = []
+        for _ in range(rng.randint(2, 5)):
+            copy = [w if rng.random() > 0.03 else "changed" for w in own]
+            words += copy[rng.choice([0, 0, len(own) // 10]) :] + prose(rng, rng.choice([0, 0, 3])).split()
+        rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     documents = docs.toPandas()  # noqa: F841  DuckDB reads it by name
     want = sorted(duckdb.sql(licenses.ORACLE).fetchall(), key=str)
     assert sorted(map(tuple, licenses.scan(docs).collect()), key=str) == want and len(want) > 120
 
 
+def test_licenses_in_a_long_text(spark):
+    """600 KB of licence texts in one row: every one is found, in time that grows with the text."""
+    text = licenses.TEMPLATES["MIT/text"]
+    docs = spark.createDataFrame([(1, f"{text} " * 600)], "doc_id bigint, text string")
+    start = time.monotonic()
+    got = sorted(r.start for r in licenses.scan(docs).collect())
+    assert got == [i * len(licenses.words_of(text)) for i in range(600)]
+    assert time.monotonic() - start < 30
+
+
+def test_licenses_by_whole_texts(spark, tmp_path):
+    """Templates of a folder, of thousands of words each: a copy with changed words is found where it stands, windows are those of a plain loop."""
+    rng = random.Random(31)
+    for name in ("long", "longer"):
+        (tmp_path / "texts").mkdir(exist_ok=True)
+        (tmp_path / "texts" / name).write_text(" ".join(f"word{rng.randrange(900)}" for _ in range(3000 if name == "long" else 6000)))
+    own = licenses.texts_in(spark, str(tmp_path / "texts"))
+    assert sorted(own) == ["long", "longer"]
+    copy = [w if rng.random() > 0.02 else "changed" for w in own["long"].split()]
+    rows = [(1, " ".join(["before", "it", *copy, "after", "it", *copy])), (2, own["longer"]), (3, " ".join(copy[:1000]))]
+    got = sorted(licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), own).collect())
+    words = licenses.words_of(own["long"])
+    assert [(r.doc_id, r.license, r.n_words) for r in got] == [(1, "long", len(words)), (1, "long", len(words)), (2, "longer", len(licenses.words_of(own["longer"])))]
+    whole, n = licenses.words_of(rows[0][1]), len(words)
+    want = set(licenses.bigrams_of(words))
+
+    def dice(s):
+        x = set(licenses.bigrams_of(whole[s : s + n]))
+        return 2 * len(x & want) / (len(x) + len(want))
+
+    for r in got[:2]:
+        near = {s: dice(s) for s in range(max(0, r.start - 40), r.start + 40) if " ".join(whole[s : s + 2]) in want}
+        assert r.start == min(near, key=lambda s: (-near[s], s)) and r.dice == round(near[r.start], 6)
+    with pytest.raises(ValueError, match="bytes"):
+        licenses.texts_in(spark, str(tmp_path / "texts"), 100)
+
+
 def test_lcs():
     rng = random.Random(6)
     for _ in range(50):
