@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tellur.operators.cloth import cloth_of
 from tellur.operators.distance import inverse_distance
+from tellur.operators.stages import CHANGES, low_noise
 from tellur.operators.tiles import Block, over_tiles
 from tellur.sources.cells import keys
 from tellur.sources.durable import durable
@@ -65,11 +66,18 @@ def opened(z: np.ndarray, radius: int) -> np.ndarray:
     return np.where(none, np.nan, running(np.where(none, -np.inf, low), radius, np.maximum, -np.inf))
 
 
-def steps(kind: str) -> list[tuple[int, float]]:
-    """(radius, limit) of the growing windows of a terrain: how far a point may lie above the surface that each leaves."""
+def numbers(kind: str | tuple) -> tuple[float, float, float, float, float]:
+    """The parameters of a terrain, or those given as they are."""
+    if isinstance(kind, tuple):
+        return kind
     if kind not in GROUND:
         raise ValueError(f"no such terrain: {kind}")
-    window, slope, first, most, cell = GROUND[kind]
+    return GROUND[kind]
+
+
+def steps(kind: str | tuple) -> list[tuple[int, float]]:
+    """(radius, limit) of the growing windows of a terrain: how far a point may lie above the surface that each leaves."""
+    window, slope, first, most, cell = numbers(kind)
     out, last, k = [], 1, 1
     while 2 * k + 1 <= window:
         out.append((k, min(most, first + slope * (2 * k + 1 - last) * cell)))
@@ -77,14 +85,14 @@ def steps(kind: str) -> list[tuple[int, float]]:
     return out
 
 
-def ground(points: DataFrame, kind: str = "standard") -> DataFrame:
+def ground(points: DataFrame, kind: str | tuple = "standard") -> DataFrame:
     """Adds `ground`: whether a point lies near the surface that openings of growing windows leave (Zhang et al., 2003).
 
     All windows are opened one after the other within tiles whose halo holds them all, so the lowest heights are sent
     once; a cell keeps one number, the least height that a window bounds its points by. Each raster_id is a cloud.
     """
     plan, by = steps(kind), [*keys(points), "r", "c"]
-    cell = GROUND[kind][4]
+    cell = numbers(kind)[4]
 
     def kernel(b: Block) -> dict[str, np.ndarray]:
         z, most = b.z, np.full(b.z.shape, np.inf)
@@ -258,22 +266,38 @@ def pipeline(source: str, target: str, kind: str = "standard", cell: float = 1.0
 
 
 def run(points: DataFrame, stages: str) -> tuple[DataFrame, dict]:
-    """(points or cells, counts) by a pipeline's stages over a table in place of its reader; classes are 7 for outliers, 2 for ground, 1 for others."""
-    parts = checked(stages)
+    """(points or cells, counts) by a pipeline's stages over a table in place of its reader; classes are 7 for noise, 2 for ground, 1 for others.
+
+    The ground filter takes its numbers from the stage, those of the standard terrain (or of `terrain`) where the stage has none. `stats` in the
+    counts are those of filters.stats: least, greatest and mean value of each dimension. Readers and merges take the table as it is.
+    """
+    parts, stats = checked(stages), {}
     for stage in parts:
         kind = stage["type"]
         if kind == "filters.outlier":
             points = outliers(points, stage.get("mean_k", 8), stage.get("multiplier", 2.0)).withColumn("Classification", F.when(F.col("outlier"), 7).otherwise(1)).drop("outlier")
+        elif kind == "filters.elm":
+            own = F.col("Classification") if "Classification" in points.columns else F.lit(1)
+            points = low_noise(points, stage.get("cell", 10.0), stage.get("threshold", 1.0)).withColumn("Classification", F.when(F.col("low"), 7).otherwise(own)).drop("low")
         elif kind == "filters.pmf":
-            seen = points.where("Classification <> 7") if "Classification" in points.columns else points
-            points = ground(seen, stage.get("terrain", "standard")).withColumn("Classification", F.when(F.col("ground"), 2).otherwise(1)).drop("ground")
+            seen = points.where("Classification IS NULL OR Classification <> 7") if "Classification" in points.columns else points
+            names = ("max_window_size", "slope", "initial_distance", "max_distance", "cell_size")
+            own = tuple(stage.get(n, v) for n, v in zip(names, numbers(stage.get("terrain", "standard")), strict=True))
+            points = ground(seen, own).withColumn("Classification", F.when(F.col("ground"), 2).otherwise(1)).drop("ground")
         elif kind == "filters.range":
             points = in_range(points, stage["limits"])
         elif kind == "filters.ferry":
             points = ferried(points, stage["dimensions"])
+        elif kind == "filters.stats":
+            seen = [c for c, t in points.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+            said = points.select(F.struct(F.lit(0), *(F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean")).alias(c) for c in seen)).alias("s")).first().s
+            stats |= {c: said[c].asDict() for c in seen}
+        elif kind in CHANGES:
+            points = CHANGES[kind](points, stage)
         elif kind == "writers.gdal":
             points = inverse_distance(points, stage.get("resolution", 1.0))
         elif not kind.startswith(("readers.", "writers.")):
             raise ValueError(f"{kind} isn't built")
     points = durable(points)
-    return points, {"point_count": points.count(), "stage_count": len(parts), "first_stage_type": parts[0]["type"] if parts else None}
+    counts = {"point_count": points.count(), "stage_count": len(parts), "first_stage_type": parts[0]["type"] if parts else None}
+    return points, counts | ({"stats": stats} if stats else {})

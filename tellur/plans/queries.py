@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import uuid
@@ -18,6 +19,7 @@ from tellur.operators import detect as D
 from tellur.operators import field as L
 from tellur.operators import horizon as H
 from tellur.operators import points as P
+from tellur.operators import stages
 from tellur.operators import stencil as S
 from tellur.operators import windows as W
 from tellur.operators.ranges import with_bounds
@@ -530,6 +532,38 @@ register(
     ),
 )
 register("points_pipeline", None, lambda s, d: P.run(_points(s, d).select("x", "y", "z"), P.pipeline("lineitem", "dem", cell=2.0))[0])
+register(
+    "points_low_noise",
+    _POINTS
+    + """, o AS (SELECT *, floor(y / 4)::INT AS cr, floor(x / 4)::INT AS cc FROM p), n AS (SELECT *, lead(z) OVER (PARTITION BY cr, cc ORDER BY z) - z AS gap FROM o),
+e AS (SELECT *, max(CASE WHEN gap > 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY cr, cc ORDER BY z ROWS UNBOUNDED PRECEDING) = 0 AS low FROM n)
+SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, low FROM e""",
+    lambda s, d: stages.low_noise(_points(s, d), 4.0, 0.5),
+)
+register(
+    "points_centroids",
+    _POINTS + "SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n FROM p GROUP BY floor(x / 5), floor(y / 5), floor(z / 5)",
+    lambda s, d: stages.centroids(_points(s, d), 5.0),
+)
+register("points_sampled", None, lambda s, d: stages.sampled(_points(s, d), 4.0))
+register(
+    "points_stages",
+    _POINTS
+    + """, t AS (SELECT id, 2 * x - y + 1 AS x, y + 0.5 AS y, z / 2 AS z FROM p WHERE x BETWEEN 10 AND 60 AND y BETWEEN 0 AND 80)
+SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CASE WHEN id <= 1000 THEN 2 ELSE 1 END::BIGINT AS Classification, id AS source,
+floor(y / 20)::INT || '/' || floor(x / 20)::INT AS raster_id FROM t""",
+    lambda s, d: P.run(_points(s, d), json.dumps({"pipeline": [
+        {"type": "readers.las"},
+        {"type": "filters.crop", "bounds": "([10, 60], [0, 80])"},
+        {"type": "filters.transformation", "matrix": "2 -1 0 1  0 1 0 0.5  0 0 0.5 0  0 0 0 1"},
+        {"type": "filters.ferry", "dimensions": "id=>source, id=>Classification"},
+        {"type": "filters.assign", "assignment": "Classification[:1000]=0"},
+        {"type": "filters.assign", "assignment": "Classification[1:]=1"},
+        {"type": "filters.assign", "assignment": "Classification[0:0]=2"},
+        {"type": "filters.splitter", "length": 20},
+    ]}))[0],
+)
+register("points_dem", None, lambda s, d: P.to_dem(_points(s, d), "EPSG:32630", cell=2.0)[0])
 
 # --- names and recipes ----------------------------------------------------------------------------------------------
 

@@ -1,5 +1,6 @@
 """Operators on small rasters with known answers."""
 
+import json
 import math
 import time
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tellur.functions import recipes
-from tellur.operators import batch, blend, change, detect, field, horizon, points, stencil, windows
+from tellur.operators import batch, blend, change, detect, field, horizon, points, stages, stencil, windows
 from tellur.sources import cells
 
 
@@ -349,6 +350,71 @@ def test_las_files(spark, tmp_path, monkeypatch):
             las.header(bad)
 
 
+def test_stages_of_pipelines(spark):
+    rows = [(1.0, 1.0, 0.0, 1, 1), (2.0, 1.0, 3.0, 1, 2), (3.0, 2.0, 3.5, 2, 2), (4.0, 9.0, 5.0, 1, 3), (25.0, 25.0, 7.0, 2, 3), (None, 1.0, 2.0, 3, 3)]
+    pts = spark.createDataFrame(rows, "x double, y double, z double, ReturnNumber int, NumberOfReturns int").withColumn("Classification", F.col("ReturnNumber"))
+    xs = lambda df: sorted((r.x for r in df.collect()), key=str)
+    assert xs(stages.cropped(pts, "([1, 3], [0, 1.5])")) == [1.0, 2.0] and xs(stages.cropped(pts, "([1, 3], [0, 1.5])", True)) == [25.0, 3.0, 4.0]
+    assert xs(stages.cropped(pts, "([0, 30], [0, 30], [3, 5])")) == [2.0, 3.0, 4.0]
+    r = stages.transformed(pts, "0 -1 0 10 1 0 0 20 0 0 2 0 0 0 0 1").where("z = 14").first()
+    assert (r.x, r.y, r.z) == (-15.0, 45.0, 14.0)
+    there = stages.transformed(pts, "1 0 0 500000 0 1 0 6000000 0 0 1 0 0 0 0 1")
+    back, _ = points.run(there, json.dumps({"pipeline": [{"type": "filters.reprojection", "in_srs": a, "out_srs": b} for a, b in (("EPSG:32630", "EPSG:4326"), ("EPSG:4326", "EPSG:32630"))]}))
+    assert xs(back)[:5] == pytest.approx([500001.0, 500002.0, 500003.0, 500004.0, 500025.0], abs=1e-3)
+    assert [r.Classification for r in stages.assigned(pts, "Classification[2:3]=9").orderBy("z").collect()] == [1, 9, 1, 9, 1, 9]
+    assert {r.UserData for r in stages.assigned(pts, "UserData[:]=4").collect()} == {4}
+    assert [xs(stages.returned(pts, g)) for g in ("first", "intermediate", "last", "only", "first, only")] == [[2.0, 4.0], [25.0], [3.0, None], [1.0], [1.0, 2.0, 4.0]]
+    assert {(r.x, r.n) for r in stages.centroids(pts, 5.0).collect()} == {(2.0, 3), (4.0, 1), (25.0, 1)}
+    assert {(r.x, r.raster_id) for r in stages.split(pts.where("x > 3"), 20.0).collect()} == {(4.0, "0/0"), (25.0, "1/1")}
+    assert xs(stages.low_noise(pts, 10.0, 1.0).where("low")) == [1.0] and xs(stages.low_noise(pts, 10.0, 0.4).where("low")) == [1.0, 2.0, 3.0]
+    out, said = points.run(pts, json.dumps({"pipeline": [{"type": "readers.las"}, {"type": "filters.elm"}, {"type": "filters.merge"}, {"type": "filters.stats"}]}))
+    assert sorted(r.Classification for r in out.collect()) == [1, 1, 2, 2, 3, 7] and said["stats"]["z"] == {"min": 0.0, "max": 7.0, "mean": pytest.approx(20.5 / 6)}
+    for bad in (lambda: stages.cropped(pts, "1, 2"), lambda: stages.transformed(pts, "1 2 3"), lambda: stages.assigned(pts, "z=1"), lambda: stages.assigned(pts, "no[1:2]=1"), lambda: stages.returned(pts, "third"), lambda: stages.sampled(pts, 0)):
+        with pytest.raises(ValueError):
+            bad()
+    none = pts.limit(0)
+    assert not any(f(none).count() for f in (stages.low_noise, lambda p: stages.sampled(p, 1.0), lambda p: stages.centroids(p, 1.0), lambda p: stages.split(p, 1.0)))
+
+
+def test_low_noise_by_a_plain_loop(spark):
+    rng = np.random.default_rng(8)
+    rows = [(str(k % 2), *map(float, p)) for k, p in enumerate(np.column_stack([rng.uniform(0, 30, (300, 2)), rng.normal(0, 3, 300).round(1)]))] + [(None, 1.0, 1.0, -50.0), (None, 1.0, 1.0, 0.0)]
+    got = sorted(map(tuple, stages.low_noise(spark.createDataFrame(rows, "raster_id string, x double, y double, z double"), 10.0, 0.5).collect()), key=str)
+    cells = {}
+    for r in rows:
+        cells.setdefault((r[0], r[1] // 10, r[2] // 10), []).append(r)
+    want = []
+    for own in cells.values():
+        own.sort(key=lambda r: r[3])
+        low = True
+        for a, b in zip(own, [*own[1:], None], strict=True):
+            low = low and b is not None and b[3] - a[3] > 0.5
+            want.append((*a, low))
+    assert got == sorted(want, key=str) and 10 < sum(r[4] for r in want)
+
+
+def test_sampled_points(spark):
+    """As by a loop over the points in the order of their hash; repeated places and a cube with most of the points too."""
+    rng = np.random.default_rng(9)
+    places = [*rng.uniform(0, 6, (250, 3)).round(2), *rng.uniform(0, 0.3, (250, 3)).round(2)]
+    rows = [(None if k % 3 else "b", *map(float, p), k) for k, p in enumerate([*places, *places[:20]])] + [("b", None, 1.0, 1.0, -1)]
+    pts = spark.createDataFrame(rows, "raster_id string, x double, y double, z double, i int")
+    hashed = pts.where("x IS NOT NULL").withColumn("h", F.xxhash64("x", "y", "z")).collect()
+    want = []
+    for r in sorted(hashed, key=lambda r: (r.h, r.x, r.y, r.z, r.i)):
+        if all(r.raster_id != o.raster_id or (r.x - o.x) ** 2 + (r.y - o.y) ** 2 + (r.z - o.z) ** 2 >= 1 for o in want):
+            want.append(r)
+    got = stages.sampled(pts, 1.0)
+    assert got.columns == pts.columns and {r.i for r in got.collect()} == {r.i for r in want}
+
+
+def test_ground_by_numbers_of_a_stage(spark):
+    pts = spark.createDataFrame([(x + 0.5, y + 0.5, 0.3 if (x, y) == (5, 5) else 0.0) for x in range(12) for y in range(12)], "x double, y double, z double")
+    stage = {"type": "filters.pmf", "max_window_size": 9, "slope": 0.01, "max_distance": 0.1, "initial_distance": 0.1, "cell_size": 1.0}
+    classes = lambda s: points.run(pts, json.dumps({"pipeline": [s]}))[0].where("Classification = 2").count()
+    assert classes(stage) == 143 and classes({"type": "filters.pmf", "terrain": "forested"}) == 144
+
+
 def test_pipelines_of_points(spark):
     pts = spark.createDataFrame([(x + 0.5, y + 0.5, 10.0 if (x, y) != (5, 5) else 300.0) for x in range(12) for y in range(12)], "x double, y double, z double")
     cells, said = points.run(pts, points.pipeline("a.las", "b.tif"))
