@@ -96,10 +96,10 @@ def centroids(points: DataFrame, cell: float) -> DataFrame:
 def sampled(points: DataFrame, radius: float) -> DataFrame:
     """Points of which no two are closer than `radius`, and to one of which each point left out is closer.
 
-    Points are gone through by a hash of their place, then by place; one is taken if none taken before is closer. Of rows of
-    equal place that with the least other columns counts. A cube whose diagonal is the radius gives one point at most, so in
-    each round a cube sends its first point only, to the 124 around it; those first among all that they meet are taken, and
-    what is close to them goes. So no round pairs the points of a cube, however many. Points that miss a coordinate are left out.
+    In each round a cube whose diagonal is the radius, which can give one point at most, puts forward its first point by a hash
+    of the place, then by place. Those that no earlier one put forward is closer to are taken, and what is close to them
+    goes. So no round pairs the points of a cube, however many, and a point meets one of each of the 124 cubes around at most.
+    Of rows of equal place that with the least other columns counts. Points that miss a coordinate are left out.
     """
     if not radius > 0:
         raise ValueError("a radius is above 0")
@@ -108,27 +108,27 @@ def sampled(points: DataFrame, radius: float) -> DataFrame:
     cube, order = [f"_{a}" for a in _AXES], F.struct(F.xxhash64(*_AXES).alias("h"), *_AXES)
     known = points.where(" AND ".join(f"{a} IS NOT NULL" for a in _AXES))
     left = known.groupBy(*by, *_AXES).agg(F.min(F.struct(*rest)).alias("_rest")) if rest else known.select(*by, *_AXES).distinct()
-    left = durable(left.withColumns({f"_{a}": F.floor(F.col(a) / side) for a in _AXES}))
+    left = left.withColumns({f"_{a}": F.floor(F.col(a) / side) for a in _AXES})
     shift = F.sequence(F.lit(-2), F.lit(2))
 
-    def sent(first: DataFrame) -> DataFrame:
+    close = functools.reduce(Column.__add__, ((F.col(f"p.{a}") - F.col(f"o_p.{a}")) * (F.col(f"p.{a}") - F.col(f"o_p.{a}")) for a in _AXES)) < radius * radius
+
+    def around(taken: DataFrame) -> DataFrame:
         for a in cube:
-            first = first.withColumn("_s", F.explode(shift)).withColumn(a, F.col(a) + F.col("_s")).drop("_s")
-        return first
+            taken = taken.withColumn("_s", F.explode(shift)).withColumn(a, F.col(a) + F.col("_s")).drop("_s")
+        return _other(taken)
 
-    where, out = [*by, *cube], None
+    left, where, out = left.withColumn("p", order), [*by, *cube], None
+    every = left = durable(left)
     while left.limit(1).count():
-        firsts = durable(left.groupBy(*where).agg(F.min(order).alias("_o")))
-        met = sent(firsts).groupBy(*where).agg(F.min("_o").alias("_best"))
-        kept = durable(firsts.join(_other(met), _alike(where)).where(F.col("_o") == F.col("o__best")).select(*where, "_o"))
-        own = functools.reduce(Column.__and__, (F.col(a) == F.col(f"o__o.{a}") for a in _AXES))
-        gap = functools.reduce(Column.__add__, ((F.col(a) - F.col(f"o__o.{a}")) * (F.col(a) - F.col(f"o__o.{a}")) for a in _AXES))
-        taken = left.join(_other(kept), _alike(where) & own, "left_semi")
-        out = taken if out is None else out.unionByName(taken)
-        left = durable(left.join(_other(sent(kept)), _alike(where) & (gap < radius * radius), "left_anti"))
+        firsts = durable(left.groupBy(*where).agg(F.min("p").alias("p")))
+        kept = durable(firsts.join(around(firsts), _alike(where) & close & (F.col("o_p") < F.col("p")), "left_anti"))
+        out = kept if out is None else out.unionByName(kept)
+        left = durable(left.join(around(kept), _alike(where) & close, "left_anti"))
     if out is None:
         return points.limit(0)
-    return out.select(*(F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in points.columns))
+    taken = every.join(_other(out), _alike(where) & (F.col("p") == F.col("o_p")), "left_semi")
+    return taken.select(*(F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in points.columns))
 
 
 def split(points: DataFrame, length: float) -> DataFrame:

@@ -394,18 +394,28 @@ def test_low_noise_by_a_plain_loop(spark):
 
 
 def test_sampled_points(spark):
-    """As by a loop over the points in the order of their hash; repeated places and a cube with most of the points too."""
+    """As by loops in rounds, no two close and none left out without one close; repeated places and a cube with most of the points too."""
     rng = np.random.default_rng(9)
     places = [*rng.uniform(0, 6, (250, 3)).round(2), *rng.uniform(0, 0.3, (250, 3)).round(2)]
     rows = [(None if k % 3 else "b", *map(float, p), k) for k, p in enumerate([*places, *places[:20]])] + [("b", None, 1.0, 1.0, -1)]
     pts = spark.createDataFrame(rows, "raster_id string, x double, y double, z double, i int")
     hashed = pts.where("x IS NOT NULL").withColumn("h", F.xxhash64("x", "y", "z")).collect()
-    want = []
+    first = {}
     for r in sorted(hashed, key=lambda r: (r.h, r.x, r.y, r.z, r.i)):
-        if all(r.raster_id != o.raster_id or (r.x - o.x) ** 2 + (r.y - o.y) ** 2 + (r.z - o.z) ** 2 >= 1 for o in want):
-            want.append(r)
+        first.setdefault((r.raster_id, r.x, r.y, r.z), r)
+    close = lambda a, b: a.raster_id == b.raster_id and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 1
+    left, want = [*first.values()], []
+    while left:
+        firsts = {}
+        for r in left:
+            firsts.setdefault((r.raster_id, *(v // (1 / math.sqrt(3)) for v in (r.x, r.y, r.z))), r)
+        firsts = [*firsts.values()]
+        kept = [r for k, r in enumerate(firsts) if not any(close(r, o) for o in firsts[:k])]
+        want += kept
+        left = [r for r in left if not any(close(r, o) for o in kept)]
     got = stages.sampled(pts, 1.0)
     assert got.columns == pts.columns and {r.i for r in got.collect()} == {r.i for r in want}
+    assert not any(close(a, b) for k, a in enumerate(want) for b in want[:k]) and all(any(close(r, o) for o in want) for r in hashed)
 
 
 def test_ground_by_numbers_of_a_stage(spark):
