@@ -999,3 +999,24 @@ def test_geotiffs_of_other_makers(spark, tmp_path):
     for bad in ("lzw.tif", "text.tif"):
         with pytest.raises(Exception, match="can't be read|isn't a TIFF"):
             geotiff.read_geotiff(spark, str(tmp_path / bad)).collect()
+
+
+def divided(spark, tmp_path, rows=150, cols=40):
+    """A raster of several files, where it lies, and what is written."""
+    from tellur.sources import geotiff
+
+    grid_ = {"x0": 500.0, "y0": 6000.0, "px_w": 2.0, "px_h": -2.0}
+    z = raster(spark, lambda r, c: r * 100.0 + c, rows, cols)
+    geotiff.write_geotiff(z, path := str(tmp_path / "divided"), grid_, 32630, tile=16, side=64, levels=2)
+    return path, grid_, {(r, c): r * 100.0 + c for r in range(rows) for c in range(cols)}
+
+
+def test_rasters_of_several_files_keep_their_rows(spark, tmp_path):
+    from tellur.sources import geotiff
+
+    path, at, whole = divided(spark, tmp_path)
+    assert len(geotiff.files(path)) == 3
+    got = geotiff.read_geotiff(spark, path, grid=at).collect()
+    assert len(got) == len(whole) and {(x.r, x.c): x.z for x in got} == whole
+    moved = geotiff.read_geotiff(spark, path, grid=at | {"x0": at["x0"] - 6.0, "y0": at["y0"] + 4.0})
+    assert {(x.r - 2, x.c - 3): x.z for x in moved.collect()} == whole
