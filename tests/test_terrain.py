@@ -1020,3 +1020,13 @@ def test_rasters_of_several_files_keep_their_rows(spark, tmp_path):
     assert len(got) == len(whole) and {(x.r, x.c): x.z for x in got} == whole
     moved = geotiff.read_geotiff(spark, path, grid=at | {"x0": at["x0"] - 6.0, "y0": at["y0"] + 4.0})
     assert {(x.r - 2, x.c - 3): x.z for x in moved.collect()} == whole
+
+
+def test_windows_of_several_files(spark, tmp_path):
+    from tellur.sources import geotiff
+
+    path, at, whole = divided(spark, tmp_path)
+    for r0, r1, c0, c1 in ((5, 40, 10, 20), (60, 70, 3, 9), (130, 140, 0, 39)):
+        got = geotiff.read_geotiff(spark, path, (r0, r1, c0, c1), grid=at).collect()
+        inside = {k: v for k, v in whole.items() if r0 <= k[0] <= r1 and c0 <= k[1] <= c1}
+        assert len(got) == len(inside) and {(x.r, x.c): x.z for x in got} == inside
