@@ -1030,3 +1030,15 @@ def test_windows_of_several_files(spark, tmp_path):
         got = geotiff.read_geotiff(spark, path, (r0, r1, c0, c1), grid=at).collect()
         inside = {k: v for k, v in whole.items() if r0 <= k[0] <= r1 and c0 <= k[1] <= c1}
         assert len(got) == len(inside) and {(x.r, x.c): x.z for x in got} == inside
+
+
+def test_overviews_of_several_files(spark, tmp_path):
+    from tellur.sources import geotiff
+
+    path, at, whole = divided(spark, tmp_path)
+    got = geotiff.read_geotiff(spark, path, level=2, grid=at).collect()
+    mean = {}
+    for (r, c), v in whole.items():
+        mean.setdefault((r // 4, c // 4), []).append(v)
+    assert len(got) == len(mean)
+    assert all(abs(x.z - sum(v) / len(v)) < 1e-9 for x in got for v in [mean[x.r, x.c]])
