@@ -1042,3 +1042,12 @@ def test_overviews_of_several_files(spark, tmp_path):
         mean.setdefault((r // 4, c // 4), []).append(v)
     assert len(got) == len(mean)
     assert all(abs(x.z - sum(v) / len(v)) < 1e-9 for x in got for v in [mean[x.r, x.c]])
+
+
+def test_extent_of_several_files(spark, tmp_path):
+    from tellur.sources import geotiff
+
+    path, at, _ = divided(spark, tmp_path, 150, 70)
+    meta = geotiff.mosaic(geotiff.read_meta(spark, path)).collect()
+    assert len(meta) == 6
+    assert {(x.rows, x.cols, x.x0, x.y0, x.px_w, x.px_h, x.epsg) for x in meta} == {(150, 70, at["x0"], at["y0"], 2.0, -2.0, 32630)}
