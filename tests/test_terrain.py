@@ -1051,3 +1051,19 @@ def test_extent_of_several_files(spark, tmp_path):
     meta = geotiff.mosaic(geotiff.read_meta(spark, path)).collect()
     assert len(meta) == 6
     assert {(x.rows, x.cols, x.x0, x.y0, x.px_w, x.px_h, x.epsg) for x in meta} == {(150, 70, at["x0"], at["y0"], 2.0, -2.0, 32630)}
+
+
+def test_crowded_blocks_are_dealt_by_their_places(spark, monkeypatch):
+    from tellur.operators import distance
+
+    monkeypatch.setattr(distance, "POINTS", 100)
+    rng = np.random.default_rng(8)
+    xy = [(int(k) // 16 * 4 + float(u), int(k) % 16 * 4 + float(v)) for k in range(256) for u, v in rng.uniform(0, 4, (8, 2))]
+    placed = spark.createDataFrame([(x, y, int(y // 4), int(x // 4)) for x, y in xy], "x double, y double, i bigint, j bigint")
+    held = distance.dealt(placed, placed.groupBy("i", "j").agg(F.count("*").alias("places")), [])
+    sizes = [r["count"] for r in held.groupBy("part").count().collect()]
+    assert sum(sizes) == len(xy) and len(sizes) == 21 and max(sizes) < 200  # no cell has more than 100
+    once = spark.createDataFrame([(x, y, x * 2 - y) for x, y in xy], "x double, y double, z double")
+    often = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("k")
+    a, b = (grid(distance.inverse_distance(p, 2.0), "z") for p in (once, often))
+    assert len(a) == 1024 and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
