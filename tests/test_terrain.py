@@ -1067,3 +1067,15 @@ def test_crowded_blocks_are_dealt_by_their_places(spark, monkeypatch):
     often = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("k")
     a, b = (grid(distance.inverse_distance(p, 2.0), "z") for p in (once, often))
     assert len(a) == 1024 and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_geopackages_are_read_in_lots(spark, tmp_path):
+    from tellur.plans import queries
+    from tellur.sinks import geopackage
+
+    found = spark.range(25).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"), F.col("id").cast("string").alias("name")).coalesce(1)
+    geopackage.write_geopackage(found, path := str(tmp_path / "lots"), "anomalies", "EPSG:32630")
+    assert len(list((tmp_path / "lots").glob("*.gpkg"))) == 1
+    for at_once in (7, 25, 10_000):
+        got = queries._package(spark, path, ["name"], at_once).collect()
+        assert sorted((x.x, x.y, x.srs, x.name) for x in got) == sorted((float(k), 2.0 * k, 32630, str(k)) for k in range(25))
