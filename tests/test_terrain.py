@@ -1079,3 +1079,26 @@ def test_geopackages_are_read_in_lots(spark, tmp_path):
     for at_once in (7, 25, 10_000):
         got = queries._package(spark, path, ["name"], at_once).collect()
         assert sorted((x.x, x.y, x.srs, x.name) for x in got) == sorted((float(k), 2.0 * k, 32630, str(k)) for k in range(25))
+
+
+def test_a_rasters_cells_dont_meet_in_one_task(spark, monkeypatch):
+    from tellur.operators import ranges, tiles
+    from tellur.sources import durable
+
+    z = spark.range(0, 4000, 1, 8).select((F.col("id") % 2).cast("int").alias("raster_id"), F.floor(F.col("id") / 40).cast("int").alias("r"), F.floor(F.col("id") % 40 / 2).cast("int").alias("c"), (F.col("id") % 17).cast("double").alias("z"))
+    said = z.groupBy("raster_id").agg(F.max("z").alias("top"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = lambda x: x.groupBy(F.spark_partition_id().alias("p")).count().count()
+        assert spread(ranges.attached(z, said)) == 8
+        assert spread(cells.whole(z)) == 8
+        plan = tiles.over_tiles(z, 1, lambda b: {"z": b.cut(b.z)}, ["z"])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        want = sorted(ranges.quantiles_of(z, "z", [0.3, 0.5]).collect())
+        assert want == sorted(ranges.quantiles_of(z, "z", [0.3, 0.5], most=10, left=5).collect())
+        monkeypatch.setattr(durable, "FEW", 1)  # many rasters are joined by their ids
+        assert sorted(ranges.attached(z, said).collect()) == sorted(z.join(said, "raster_id").select("raster_id", "r", "c", "z", "top").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
