@@ -1102,3 +1102,18 @@ def test_a_rasters_cells_dont_meet_in_one_task(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("step", [0.7, (1.9, 0.6)])
+def test_strips_dont_change_what_is_interpolated(spark, monkeypatch, step):
+    z = raster(spark, lambda r, c: math.sin(r) * 10 + c if (r + c) % 13 else None, 70, 9)
+    both = z.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("raster_id"), "r", "c", (F.col("z") * F.col("raster_id")).alias("z"))
+    want = {(x.raster_id, x.r, x.c): x.z for x in change.interpolate(both, step, "lanczos", 0.2, 0.3).collect()}
+    assert len(want) > 300
+    for most, rows in ((100, 64), (100, 3), (5, 64)):
+        monkeypatch.setattr(change, "CELLS", most)
+        monkeypatch.setattr(change, "ROWS", rows)
+        got = change.interpolate(both, step, "lanczos", 0.2, 0.3)
+        assert (most > 9) == ("REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString())
+        got = {(x.raster_id, x.r, x.c): x.z for x in got.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
