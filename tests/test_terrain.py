@@ -681,6 +681,28 @@ def test_suppression_of_a_whole_class(spark, monkeypatch, name, by, at_once):
     assert sorted(got) == want and len(want) < len(boxes)
 
 
+@pytest.mark.parametrize("crowd, part", [(100, 2_048), (3, 7), (0, 50)])
+def test_overlaps_of_crowded_cells(spark, monkeypatch, crowd, part):
+    """All pairs against a plain loop, whether cells are joined by rows or compared by arrays in parts; null classes meet nothing."""
+    monkeypatch.setattr(detect, "CROWD", crowd)
+    monkeypatch.setattr(detect, "PART", part)
+    rng = np.random.default_rng(5)
+    at, side = rng.uniform(-40, 40, (150, 2)).round(1), rng.uniform(4, 50, (150, 2)).round(1)
+    rows = [(i, *map(float, a), *map(float, a + s), i % 3 if i % 3 < 2 else None) for i, (a, s) in enumerate(zip(at, side, strict=True))]
+    boxes = spark.createDataFrame(rows, "id bigint, x1 double, y1 double, x2 double, y2 double, class_id int")
+    want = {}
+    for a in rows:
+        for b in rows[a[0] + 1 :]:
+            both = max(0.0, min(a[3], b[3]) - max(a[1], b[1])) * max(0.0, min(a[4], b[4]) - max(a[2], b[2]))
+            iou = both / ((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - both)
+            if a[5] is not None and a[5] == b[5] and iou >= 0.3:
+                want[a[0], b[0]] = iou
+    got = [(r.a, r.b, r.iou) for r in detect.overlaps(boxes, 0.3, 32).collect()]
+    assert len(got) == len(want) > 50 and {(a, b): x for a, b, x in got} == pytest.approx(want, abs=1e-12)
+    named = detect.overlaps(boxes.withColumn("id", F.format_string("b%03d", "id")), 0.3, 32).collect()
+    assert {(int(r.a[1:]), int(r.b[1:])) for r in named} == set(want)
+
+
 @pytest.mark.parametrize("at_once", [100_000, 300])
 def test_suppression_along_a_chain(spark, monkeypatch, at_once):
     """Boxes of which each overlaps the next and is stronger: every second one stays, however many depend on each other."""
