@@ -542,6 +542,19 @@ def test_names_and_recipes(spark):
         recipes.preset("moon")
 
 
+def test_recipes_are_dealt_over_tasks(spark):
+    """Recipes of one small file are checked by many tasks, and only what each has is looked into."""
+    head = '{"recipe_version":"1.0.0","algorithms":'
+    rows = [(0, head + '{"svf":null}}'), (1, head + '{"svf":{"enabled":null,"noise_level":1e3},"slope":3,"zeta":{}},"landscape_type":3}'), (2, None), (3, head + '{"mstp":{"local_radius":5000000000}}}')]
+    rows += [(i, head + "{}}") for i in range(4, 400)]
+    out = recipes.check(spark.createDataFrame(rows, "i int, recipe string").coalesce(1)).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(out) == 400 and len({r.task for r in out}) > 4
+    got = {r.i: (r.errors, r.warnings) for r in out}
+    kind = "is of another kind"
+    assert got[0] == (["svf isn't an object"], []) and got[2] == (["not an object"], []) and got[3] == got[9] == ([], [])
+    assert got[1] == ([f"svf.enabled {kind}", f"svf.noise_level {kind}", "slope isn't an object", "landscape_type is unknown"], ["zeta is unknown"])
+
+
 def test_batch_is_what_each_relief_is(spark):
     from tellur.operators import batch
 
