@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tellur.functions import recipes
@@ -694,6 +695,22 @@ def test_suppression_of_a_whole_class(spark, monkeypatch, name, by, at_once):
     assert sorted(got) == want and len(want) < len(boxes)
 
 
+def test_suppression_in_bands(spark, monkeypatch):
+    """Dense groups by bands of confidence against the greedy rule, with equal, missing and NaN confidences; groups of few boxes and null classes beside them."""
+    monkeypatch.setattr(detect, "DENSE", 3)
+    monkeypatch.setattr(detect, "BAND", 2)
+    rng = np.random.default_rng(7)
+    at, side = rng.uniform(0, 60, (300, 2)), rng.uniform(15, 25, (300, 2))
+    sure = [None, math.nan, *rng.integers(1, 40, 298).tolist()]
+    rows = [(i, *map(float, a), *map(float, a + b), None if c is None else float(c), i % 2) for i, (a, b, c) in enumerate(zip(at, side, sure, strict=True))]
+    rows += [(1000 + i, 0.0, 0.0, 9.0, 9.0, float(i), 2 if i < 2 else None) for i in range(4)]
+    boxes = spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int")
+    assert detect.banded(boxes, ("class_id",), 32)[1] > 2
+    as_rank = lambda r: Row(**(r.asDict() | {"confidence": math.inf if r.confidence is None else -math.inf if r.confidence != r.confidence else r.confidence}))
+    want = plain_suppression([as_rank(r) for r in boxes.where("class_id IS NOT NULL").collect()], ("class_id",))
+    assert sorted(r.id for r in detect.suppress(boxes).collect()) == [*want, 1002, 1003]
+
+
 @pytest.mark.parametrize("crowd, part", [(100, 2_048), (3, 7), (0, 50)])
 def test_overlaps_of_crowded_cells(spark, monkeypatch, crowd, part):
     """All pairs against a plain loop, whether cells are joined by rows or compared by arrays in parts; null classes meet nothing."""
