@@ -285,6 +285,19 @@ def test_outliers_by_exact_neighbours(spark):
     assert [r.outlier for r in points.outliers(few).collect()] == [False] * 3
 
 
+def test_nearest_by_groups_of_cubes():
+    """Where the nearest lie within a cube's side, groups of cubes give what all places of a block give; elsewhere the distance tells."""
+    rng = np.random.default_rng(3)
+    xyz, times = rng.uniform(-1, 5, (350, 3)), rng.integers(1, 3, 350)
+    cubes = np.floor(xyz).astype(int)
+    own = np.flatnonzero(((cubes >= 0) & (cubes < 4)).all(axis=1))
+    mean, far = points.nearest_by_cubes(cubes, own, xyz, times, 8)
+    want_mean, want_far = points.nearest_means(xyz[own], own, xyz, times, 8)
+    near = want_far <= 1
+    assert 20 < near.sum() < len(own) and (far[~near] > 1).all()
+    assert (mean[near] == want_mean[near]).all() and (far[near] == want_far[near]).all()
+
+
 def test_cloth(spark):
     import numpy as np
 
