@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tellur.functions import recipes
-from tellur.operators import batch, blend, change, detect, field, horizon, points, stages, stencil, windows
+from tellur.operators import batch, blend, change, detect, field, horizon, points, stages, stencil, tiles, windows
 from tellur.sources import cells
 
 
@@ -1182,3 +1182,16 @@ def test_strips_dont_change_what_is_interpolated(spark, monkeypatch, step):
         assert (most > 9) == ("REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString())
         got = {(x.raster_id, x.r, x.c): x.z for x in got.collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tiles_are_dealt_by_their_cells(spark, monkeypatch):
+    z = spark.range(2 * 600 * 20).selectExpr("cast(id % 2 as int) AS raster_id", "cast(id div 40 as int) AS r", "cast(id div 2 % 20 as int) AS c", "cast(hash(id) % 100 as double) AS z")
+    make = lambda x: tiles.over_tiles(x, 2, lambda b: {"z": b.cut(b.filled(), 1, 2)}, ["z"], 8)
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    for cells in (z, z.where("raster_id = 0").drop("raster_id")):
+        want = rows(make(cells))
+        with monkeypatch.context() as m:
+            m.setattr(tiles, "DEALT", 1000)
+            dealt = make(cells)
+            most = dealt.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+            assert most < len(want) / 8 and rows(dealt) == want  # the session has four shuffle partitions
