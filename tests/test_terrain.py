@@ -1195,3 +1195,19 @@ def test_tiles_are_dealt_by_their_cells(spark, monkeypatch):
             dealt = make(cells)
             most = dealt.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
             assert most < len(want) / 8 and rows(dealt) == want  # the session has four shuffle partitions
+
+
+def test_blends_are_compiled_and_equal_one_expression(spark):
+    layers = spark.range(200).selectExpr("id AS r", "id AS c", *(f"if(id % 7 = {i}, null, rand({i}) * 100 - 20) AS {k}" for i, k in enumerate((*blend.VAT, "slrm"))))
+    layers = layers.withColumns({f"{k}_{e}": F.col("r") * 0 + v for k in (*blend.VAT, "slrm") for e, v in (("low", 1.5), ("high", 60.0))}).localCheckpoint()
+    once = layers.select("r", *((blend.stretched(k) * 255).alias(k) for k in blend.VAT), blend.stretched("slrm", 0.0).alias("a"), (1 - blend.stretched("slope", 0.0)).alias("b"))
+    for mode, a, b in (("multiply", "hillshade", 255 - F.col("slope")), ("overlay", "vat", F.col("openness")), ("multiply", "vat", F.col("svf"))):
+        once = once.withColumn("vat", blend.over(F.col(a), b, mode, 0.5)).localCheckpoint()
+    want = {r.r: (r.vat, r.red) for r in once.withColumn("red", blend.over(F.col("a") * 255, F.col("b") * 255, "multiply", 0.5)).collect()}
+    both = blend.red_of(blend.vat_of(layers.withColumn("own", F.struct(*layers.columns))).select("own.*", "vat"), "red")
+    assert {r.r: (r.vat, r.red) for r in both.collect()} == want and any(v is None for v, _ in want.values())
+    for x in (blend.vat_of(layers).select("r", F.round("vat", 6)), blend.red_of(layers, "red").select("r", F.round("red", 6))):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(x._jdf.queryExecution().executedPlan())
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000  # the JVM compiles no longer method
