@@ -1211,3 +1211,9 @@ def test_blends_are_compiled_and_equal_one_expression(spark):
         code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(x._jdf.queryExecution().executedPlan())
         spark.conf.unset("spark.sql.adaptive.enabled")
         assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000  # the JVM compiles no longer method
+
+
+def test_red_relief_of_one_table(spark):
+    z = spark.range(900).selectExpr("cast(id div 30 as int) AS r", "cast(id % 30 as int) AS c", "cast(hash(id) % 100 as double) AS z")
+    apart = blend.red_relief(windows.local_relief(z, 5), stencil.slope(z))
+    assert grid(blend.red_relief(horizon.measures(z, {"slrm": ("slrm", {"radius": 5}), "slope": ("slope", {})})), "red") == grid(apart, "red")
