@@ -1217,3 +1217,22 @@ def test_red_relief_of_one_table(spark):
     z = spark.range(900).selectExpr("cast(id div 30 as int) AS r", "cast(id % 30 as int) AS c", "cast(hash(id) % 100 as double) AS z")
     apart = blend.red_relief(windows.local_relief(z, 5), stencil.slope(z))
     assert grid(blend.red_relief(horizon.measures(z, {"slrm": ("slrm", {"radius": 5}), "slope": ("slope", {})})), "red") == grid(apart, "red")
+
+
+def test_cells_of_many_tasks_are_packed_by_tiles(spark, monkeypatch):
+    """A shuffle for more than 200 tasks holds all rows that a task sends: a row for each cell took seven times the memory."""
+    z = spark.range(2 * 600 * 20).selectExpr("if(id % 2 = 0, 'a', 'b') AS raster_id", "cast(id div 40 as int) AS r", "cast(id div 2 % 20 as int) AS c", "if(id div 40 < 40 OR id % 7 = 3, NULL, cast(hash(id) % 100 as double)) AS z")
+    z = z.unionByName(spark.sql("SELECT CAST(NULL AS string) AS raster_id, 1 AS r, 1 AS c, 1D AS z"))
+    make = lambda x: tiles.over_tiles(x, 2, lambda b: {"z": b.cut(b.filled(), 1, 2)}, ["z"], 8)
+    rows = lambda x: sorted(tuple((v is None, v) for v in r) for r in x.collect())
+    one = z.where("raster_id = 'a'").drop("raster_id")
+    for cells, ragged in ((z, z.orderBy(F.hash("r", "c"))), (one, one.orderBy(F.hash("r", "c")))):
+        want, sent = rows(make(cells)), []
+        keep = tiles.dealt
+        with monkeypatch.context() as m:
+            m.setattr(tiles, "DEALT", 1000)
+            m.setattr(tiles, "dealt", lambda x, *a: sent.append(x) or keep(x, *a))
+            assert rows(make(cells)) == want
+            assert sent[0].count() < len(want) / 8  # rows before the shuffle
+            m.setattr(tiles, "PACKED", 100)
+            assert rows(make(cells)) == want and rows(make(ragged)) == want
