@@ -4,9 +4,9 @@ A fingerprint has a bit for each bit of the shingles' XXH64 values (for more tha
 seeds), set where over half of the values have it. Equal fingerprints meet first, by a grouping that combines before its
 shuffle, so a group of copies of any size is one row afterwards. The distinct fingerprints are dealt into chunks of one
 population count each. Fingerprints within the radius differ in population count by the radius at most, so only chunks
-with such counts meet; a task compares two chunks with numpy (exclusive-or, bit counts, in tiles that fit the cache) and
-emits a spanning forest of the links that it finds, never the pairs themselves. Components of the forests are those of
-the links.
+with such counts meet; a task compares two chunks with numpy (exclusive-or and bit counts, of the pairs that agree in a
+part of their bits if those are few, or else of all in tiles that fit the cache) and emits a spanning forest of the links
+that it finds, never the pairs themselves. Components of the forests are those of the links.
 """
 
 from __future__ import annotations
@@ -75,12 +75,40 @@ def fingerprints(docs: DataFrame, n: int = 3, bits: int = 64, id_col: str = "doc
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *more).mapInArrow(work, "id bigint, " + ", ".join(f"f{i} bigint" for i in range(k)) + "".join(f", {x} string" for x in more))
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of rows within `radius` bits, as positions (in a, then b): b is None to compare a with itself."""
-    same = b is None
-    b = a if same else b
-    off = 0 if same else len(a)
-    parent = np.arange(len(a) + (0 if same else len(b)))
+def agreeing(a: np.ndarray, b: np.ndarray, radius: int, same: bool, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
+    """Pairs of rows (positions in a, in b) that agree in a whole part of a word, about `most` at a time; a pair may come again for another part.
+
+    Of k words, one differs in radius // k bits at most, so of that many parts and one more of it, one doesn't differ:
+    every pair within the radius is among those given. None where these aren't much fewer than all pairs.
+    """
+    n, found = radius // a.shape[1] + 1, []
+    for k in range(a.shape[1]):
+        for i in range(n):
+            low, high = 64 * i // n, 64 * (i + 1) // n
+            x, y = ((f[:, k] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1) for f in (a, b))
+            r, c = (np.argsort(v, kind="stable") for v in (x, y))
+            first, last = (np.searchsorted(y[c], x[r], side) for side in ("left", "right"))
+            found.append((r, c, first, np.cumsum(last - first)))
+    if 8 * sum(int(ends[-1]) for *_, ends in found if len(ends)) > len(a) * len(b):
+        return None
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for r, c, first, ends in found:
+            i = 0
+            while i < len(r):
+                done = int(ends[i - 1]) if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, done + most, "right")))
+                times = np.diff(ends[i:j], prepend=done)
+                at = np.arange(int(ends[j - 1]) - done) + np.repeat(first[i:j] - (ends[i:j] - times - done), times)
+                p, q = np.repeat(r[i:j], times), c[at]
+                yield (p[p < q], q[p < q]) if same else (p, q)
+                i = j
+
+    return pairs()
+
+
+def all_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within `radius` bits (positions in a, in b), by a tile of all pairs at a time."""
     for i in range(0, len(a), 256):
         x = a[i : i + 256]
         for j in range(i if same else 0, len(b), 2048):
@@ -90,17 +118,32 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
                 bits = bits + np.bitwise_count(x[:, None, k] ^ y[None, :, k])
             r, c = np.nonzero(bits <= radius)
             r, c = r + i, c + j
-            if same:
-                r, c = r[r < c], c[r < c]
-            c = c + off
-            while len(r):
-                p, q = parent[r], parent[c]
-                if not (far := p != q).any():
-                    break
-                r, c, p, q = r[far], c[far], p[far], q[far]
-                np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
-                while (parent != (up := parent[parent])).any():
-                    parent = up
+            yield (r[r < c], c[r < c]) if same else (r, c)
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of rows within `radius` bits, as positions (in a, then b): b is None to compare a with itself.
+
+    Compared are the pairs that agree in a part of their bits, where that leaves few, or else all.
+    """
+    same = b is None
+    b = a if same else b
+    off = 0 if same else len(a)
+    parent = np.arange(len(a) + (0 if same else len(b)))
+    pairs = agreeing(a, b, radius, same)
+    for r, c in all_pairs(a, b, radius, same) if pairs is None else pairs:
+        if pairs is not None:
+            ok = np.bitwise_count(a[r] ^ b[c]).sum(axis=1) <= radius
+            r, c = r[ok], c[ok]
+        c = c + off
+        while len(r):
+            p, q = parent[r], parent[c]
+            if not (far := p != q).any():
+                break
+            r, c, p, q = r[far], c[far], p[far], q[far]
+            np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+            while (parent != (up := parent[parent])).any():
+                parent = up
     child = np.flatnonzero(parent != np.arange(len(parent)))
     return child, parent[child]
 

@@ -79,6 +79,35 @@ def test_nearest_and_forest_agree_with_all_pairs():
     assert len(child) >= 50 and set(child) | set(root) <= set(range(len(a) + len(b)))
 
 
+@pytest.mark.parametrize("words, radius", [(1, 0), (1, 3), (2, 3), (1, 40)])
+def test_forest_of_few_pairs_joins_what_all_pairs_join(words, radius, monkeypatch):
+    """Forests of pairs that agree in a part of their bits, against those of all pairs: planted links, one crowded part, an empty side."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2**64, (700, words), dtype=np.uint64)
+    a[200:300] &= np.uint64(0xFFFF0000FFFFFFFF)
+    flips = [[sum(1 << int(i) for i in rng.choice(64, n, replace=False)) for n in (k % 5, *[0] * (words - 1))] for k in range(400)]
+    b = np.concatenate([a[:400] ^ np.array(flips, np.uint64), rng.integers(0, 2**64, (900, words), dtype=np.uint64)])
+    for one, other in ((a, b), (np.concatenate([a, b]), None), (a, b[:0]), (a[:0], None)):
+        got = simhash.forest(one, other, radius)
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "agreeing", lambda *_: None)
+            want = simhash.forest(one, other, radius)
+        assert all((x == y).all() for x, y in zip(got, want, strict=True)) and (len(got[0]) > 50) == (one is not a[:0] and len(one) > 0 and (other is None or len(other) > 0))
+    pairs = simhash.agreeing(a, b, radius, False, 100)
+    assert pairs is None if radius == 40 else max(len(p) for p, _ in pairs) < 1000
+
+
+def test_forest_compares_few_pairs(monkeypatch):
+    """Of 400 million pairs of two chunks, under a thousandth is compared, and every planted link is found."""
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 2**64, (2, 20_000, 1), dtype=np.uint64)
+    b[:50] = a[:50] ^ np.uint64(1 << 63 | 1 << 20 | 1)
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(x.size) or count(x))
+    child, root = simhash.forest(a, b, 3)
+    assert {(x, y) for x, y in zip(root, child, strict=True)} >= {(i, 20_000 + i) for i in range(50)} and sum(compared) < 400_000
+
+
 def test_near_copies_keep_one(spark):
     rng = random.Random(8)
     base = prose(rng, 400).split()
