@@ -746,6 +746,28 @@ def test_overlaps_of_crowded_cells(spark, monkeypatch, crowd, part):
     assert {(int(r.a[1:]), int(r.b[1:])) for r in named} == set(want)
 
 
+def test_boxes_of_a_crowded_cell_are_sent_once(spark, monkeypatch):
+    """3,000 boxes that begin their overlaps in one cell go to one task once each, and their pairs come in pieces."""
+    rng = np.random.default_rng(11)
+    xy = rng.uniform(0, 15, (3000, 2))
+    xy = np.concatenate([xy, xy + rng.uniform(18, 24, (3000, 2))], axis=1)
+    boxes = spark.createDataFrame([(i, *map(float, x), 0) for i, x in enumerate(xy)], "id bigint, x1 double, y1 double, x2 double, y2 double, class_id int")
+    sent, kind = [], type(boxes)
+    real = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: sent.append(self) or real(self, *a))
+    found = detect.overlaps(boxes, 0.3, 32)
+    assert [x.count() for x in sent] == [3000]
+    x, y = (np.minimum(xy[:, None, k + 2], xy[:, k + 2]) - np.maximum(xy[:, None, k], xy[:, k]) for k in (0, 1))
+    area = (xy[:, 2] - xy[:, 0]) * (xy[:, 3] - xy[:, 1])
+    both = np.maximum(x, 0) * np.maximum(y, 0)
+    want = np.triu(both / (area[:, None] + area - both) >= 0.3, 1)
+    assert found.count() == want.sum() > 1_000_000
+    monkeypatch.setattr(detect, "PAIRS", 10_000)
+    pieces = [*detect.near(xy, None, 0.3, 32, (0, 0))]
+    assert max(len(p[0]) for p in pieces) < 10_000 + 64 * 1024 and sum(len(p[0]) for p in pieces) == want.sum()
+    assert {(min(p), max(p)) for p in zip(*(x.tolist() for x in pieces[0][:2]), strict=True)} <= set(zip(*(x.tolist() for x in np.nonzero(want)), strict=True))
+
+
 @pytest.mark.parametrize("at_once", [100_000, 300])
 def test_suppression_along_a_chain(spark, monkeypatch, at_once):
     """Boxes of which each overlaps the next and is stronger: every second one stays, however many depend on each other."""
