@@ -724,6 +724,38 @@ def test_suppression_in_bands(spark, monkeypatch):
     assert sorted(r.id for r in detect.suppress(boxes).collect()) == [*want, 1002, 1003]
 
 
+def test_what_is_left_of_a_band_is_divided(spark, monkeypatch):
+    """A band whose boxes gather where nothing stayed before doesn't make the square of its boxes in overlaps."""
+    rows = [(i, x := 0.0 if i >= 900 else 400.0, x, x + 20.0, x + 20.0, float(i), 0) for i in range(2000)]
+    boxes = spark.createDataFrame(rows, "id int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int")
+    met, real = [], detect.overlaps
+    monkeypatch.setattr(detect, "overlaps", lambda *a: met.append((x := real(*a)).count()) or x)
+    assert sorted(r.id for r in detect.suppress(boxes).collect()) == [899, 1999] and sum(met) < 10_000
+
+
+@pytest.mark.parametrize("held, by", [(500_000, ("class_id",)), (40, ("class_id",)), (500_000, ())])
+def test_suppression_by_boxes_sent_or_joined(spark, monkeypatch, held, by):
+    """Boxes kept are sent to all tasks, or joined beyond HELD, to the same end; those of null classes stay."""
+    monkeypatch.setattr(detect, "DENSE", 3)
+    monkeypatch.setattr(detect, "BAND", 2)
+    monkeypatch.setattr(detect, "HELD", held)
+    rng = np.random.default_rng(13)
+    at, side = rng.uniform(-90, 90, (400, 2)).round(1), rng.uniform(10, 40, (400, 2)).round(1)
+    rows = [(i, *map(float, a), *map(float, a + b), i * 7 % 50 / 50, i % 2 if i < 390 or not by else None) for i, (a, b) in enumerate(zip(at, side, strict=True))]
+    boxes = spark.createDataFrame(rows, "id bigint, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int")
+    want = plain_suppression([r for r in boxes.collect() if r.class_id is not None], by) + [*range(390, 400)] * bool(by)
+    assert sorted(r.id for r in detect.suppress(boxes, by=by).collect()) == want
+    stay, group = rng.uniform(-60, 60, (30, 2)), F.xxhash64(*by) if by else F.lit(0).cast("bigint")
+    stay = np.concatenate([stay, stay + 30], axis=1)
+    code = boxes.where("class_id = 1").select(group).first()[0]
+    found = {most: sorted(r.id for r in detect.untaken(boxes, stay, np.full(30, code), 0.3, by, 16, most).collect()) for most in (5, 1 << 20)}
+    x, y = (np.minimum((at + side)[:, None, k], stay[:, k + 2]) - np.maximum(at[:, None, k], stay[:, k]) for k in (0, 1))
+    both = np.maximum(x, 0) * np.maximum(y, 0)
+    taken = (both / (side.prod(axis=1)[:, None] + 900 - both) >= 0.3).any(axis=1)
+    left = [r[0] for r in rows if not taken[r[0]] or by and r[-1] != 1]
+    assert found[5] == found[1 << 20] == left and len(left) < 390
+
+
 @pytest.mark.parametrize("crowd, part", [(100, 2_048), (3, 7), (0, 50)])
 def test_overlaps_of_crowded_cells(spark, monkeypatch, crowd, part):
     """All pairs against a plain loop, whether cells are joined by rows or compared by arrays in parts; null classes meet nothing."""
